@@ -5,11 +5,11 @@ by the collision-corrected bit-count estimate before an exact check on whole shi
 
 Large groups of copies never become all pairs. Equal shingle sets are one class from the start. Then
 
-1. every member of a band bucket is compared with the bucket's smallest member (linear in the bucket), and components of
-   the confirmed links are formed;
-2. only buckets that still hold several components are looked at again: every pair that could join two components is
-   estimated, as (members outside the bucket's largest component) x (members). Buckets with many such members are first
-   split by a second and third band, so texts that merely share a frequent passage part ways.
+1. over a few bands, every text is compared with one other, the bucket-smallest text that it meets most often, and
+   components of the confirmed links are formed;
+2. over all bands, only buckets that still hold several components are looked at: every pair that could join two
+   components is estimated, as (members outside the bucket's largest component) x (members). Buckets with many such
+   members are first split by a second and third band, so texts that merely share a frequent passage part ways.
 
 A pair inside one component can't change the components, so the result is that of comparing all pairs that share a
 bucket. A pair of similarity 0.75 shares no bucket with a probability of about 5e-6.
@@ -36,7 +36,9 @@ ROWS = HASHES // BANDS
 #: Estimates this far below the threshold are 4.5 standard deviations off; such pairs aren't checked exactly.
 MARGIN = 0.21
 #: A bucket with more members outside its largest component than this is split by further bands.
-CROWDED = 64
+CROWDED = 16
+#: Bands of the first pass; the second pass looks at all.
+LEAD_BANDS = 8
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,7 +178,9 @@ def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs of doc_ids whose whole shingle sets reach the similarity, by integer arithmetic."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = pin(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles binary"))
+    # The ids grow with the corpus, so they are never broadcast.
+    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = pin(texts.mapInArrow(_sets, "id long, shingles binary"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
@@ -212,13 +216,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     )
     facts = reps.select("id", "n", "sig")
 
-    def bucketed() -> DataFrame:
-        rows = reps.select("id", F.posexplode("bands").alias("band", "value"))
-        return rows.select(F.xxhash64("band", "value").alias("key"), "band", "id")
+    def bucketed(rows: DataFrame, bands: int = BANDS) -> DataFrame:
+        rows = rows.withColumn("bands", F.slice("bands", 1, bands))
+        rows = rows.select(*(c for c in rows.columns if c not in ("n", "sig", "bands")), F.posexplode("bands").alias("band", "value"))
+        return rows.withColumn("key", F.xxhash64("band", "value")).drop("value")
 
-    leads = bucketed().groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    leads = pin(leads)
-    star = bucketed().join(leads, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    few = bucketed(reps, LEAD_BANDS).select("key", "id")
+    leads = few.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    star = few.join(leads, "key").where("a < id").groupBy("id", "a").agg(F.count("*").alias("c"))
+    star = star.groupBy("id").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), F.col("id").alias("b"))
     sides = [facts.select(*(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in facts.columns)) for x in "ab"]
     star = pin(_plausible(star.join(sides[0], "a").join(sides[1], "b"), threshold))
     links = _confirmed(docs, star, percent)
@@ -226,9 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     first = pin(components(links))
 
     # Second pass, over buckets that still hold several components.
-    owner = reps.select("id").join(first.withColumnRenamed("node", "id"), "id", "left")
-    owner = pin(owner.select("id", F.coalesce("component", "id").alias("comp")))
-    rows = pin(bucketed().join(leads.select("key"), "key").join(owner, "id").select("key", "band", "id", "comp"))
+    owner = reps.select("id", "bands").join(first.withColumnRenamed("node", "id"), "id", "left")
+    owned = bucketed(owner.select("id", F.coalesce("component", "id").alias("comp"), "bands"))
+    mixed = owned.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z")).where("c < z").select("key")
+    rows = pin(owned.join(mixed, "key").select("key", "band", "id", "comp"))
     found = None
     for level in range(3):
         now, crowded = _split(rows)
@@ -257,3 +264,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns; rows without an id stay, rows of one id become one."""
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
