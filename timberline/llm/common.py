@@ -2,62 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.conf.get("spark.timberline.scratch", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="timberline-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        own = f"file://{own}"
-        spark.conf.set("spark.timberline.scratch", own)
-    return own
 
+from timberline.sources.shared import pin, shared_dir, unpin
 
-def pin(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns a frame over the written table.
+__all__ = ["pin", "read", "shared_dir", "unpin"]
 
-    This cuts the lineage in a way that survives lost executors. ``replaces`` is an earlier pinned frame that nothing
-    reads any more; its files are deleted after the new ones exist.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._timberline_path = path
-    if replaces is not None:
-        unpin(replaces)
-    return out
 
-
-def unpin(df: DataFrame) -> None:
-    """Deletes the files of a pinned frame that nothing reads any more."""
-    path = getattr(df, "_timberline_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals rows out anew so that heavy per-row work isn't tied to how the input files were split."""
-    return df.repartition(*keys) if keys else df
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
