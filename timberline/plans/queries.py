@@ -12,6 +12,7 @@ from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
 from timberline.plans import derived as D
+from timberline.plans import rules
 from timberline.sources.shared import pin
 
 QUERIES, ORACLES = {}, {}
@@ -34,10 +35,12 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Typed and stitched lines of a derived log, written once for each session and table folder, as every report reads them."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _PARSED:
+        # The table is small on disk but its lines are costly to parse: deal them over all cores.
+        cores = spark.sparkContext.defaultParallelism
         if kind == "trace":
-            _PARSED[key] = stitch(parse_lines(D.trace_lines(spark, sf_dir), layout="text"))
+            _PARSED[key] = stitch(parse_lines(D.trace_lines(spark, sf_dir).repartition(cores, "line_no"), layout="text"))
         else:
-            lines = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines}[kind](spark, sf_dir)
+            lines = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines}[kind](spark, sf_dir).repartition(cores, "line_no")
             # None of these lines continues another, so each is an entry.
             rows = parse_lines(lines, layout=kind).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
             _PARSED[key] = pin(rows)
@@ -254,3 +257,34 @@ def inferred_levels(spark, sf_dir):
 def normalized_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", normalize_message(F.coalesce("text", F.lit(""))).alias("pattern"))
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue-shaped groups of conversation turns with equal text, for the wording rules."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
+    g = turns.groupBy("text").agg(F.count("*").alias("count"))
+    return g.select(
+        F.lit("talk").alias("file_id"), F.col("text").alias("pattern"), F.col("text").alias("title"), F.lit(None).cast("string").alias("exception_type"), "count",
+        F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.col("text").alias("raw"))).alias("samples"), F.xxhash64("text").alias("place"),
+    )
+
+
+def _sql_rules(rows: tuple) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(r[0])}, {quoted(r[1])}, {quoted('(?i)' + r[-1])})" for r in rows)
+
+
+@query(
+    f"""with r(id, severity, p) as (values {_sql_rules(rules.DETECTORS)}), t as (select text, count(*) as c from conversations where text is not null group by text)
+    select id, severity, cast(sum(c) as bigint) as occurrences from r join t on regexp_matches(text, p) group by 1, 2"""
+)
+def insight_detectors(spark, sf_dir):
+    return rules.insights(_talk(spark, sf_dir)).select("id", "severity", "occurrences")
+
+
+@query(
+    f"""with r(id, "group", p) as (values {_sql_rules(rules.SCANS)}), t as (select text, count(*) as c from conversations where text is not null group by text)
+    select id, "group", cast(coalesce(sum(c), 0) as bigint) as lines, count(c) as groups from r left join t on regexp_matches(text, p) group by 1, 2"""
+)
+def wording_checks(spark, sf_dir):
+    return rules.scans(_talk(spark, sf_dir)).select("id", "group", "lines", "groups")
