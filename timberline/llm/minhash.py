@@ -5,11 +5,13 @@ by the collision-corrected bit-count estimate before an exact check on whole shi
 
 Large groups of copies never become all pairs. Equal shingle sets are one class from the start. Then
 
-1. over a few bands, every text is compared with one other, the bucket-smallest text that it meets most often, and
-   components of the confirmed links are formed;
+1. over a few bands, every text is compared with one other, the most central text that it meets (central: meets the most
+   texts; the original of a group of copies does), and components of the confirmed links are formed;
 2. over all bands, only buckets that still hold several components are looked at: every pair that could join two
    components is estimated, as (members outside the bucket's largest component) x (members). Buckets with many such
-   members are first split by a second and third band, so texts that merely share a frequent passage part ways.
+   members are first split by a second and third band, so texts that merely share a frequent passage part ways. Two texts
+   that were compared with the same central text o can share at most min(|x & o|, |y & o|) + min(|x - o|, |y - o|)
+   shingles; pairs that this rules out, and pairs that the signatures rule out, never leave the join.
 
 A pair inside one component can't change the components, so the result is that of comparing all pairs that share a
 bucket. A pair of similarity 0.75 shares no bucket with a probability of about 5e-6.
@@ -21,10 +23,12 @@ columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +37,8 @@ from timberline.llm.components import components
 
 HASHES, BANDS, BITS, WORDS_IN_SHINGLE = 128, 32, 2, 5
 ROWS = HASHES // BANDS
-#: Estimates this far below the threshold are 4.5 standard deviations off; such pairs aren't checked exactly.
-MARGIN = 0.21
+#: Estimates this far below the threshold are 4 standard deviations off; such pairs aren't checked exactly.
+MARGIN = 0.185
 #: A bucket with more members outside its largest component than this is split by further bands.
 CROWDED = 16
 #: Bands of the first pass; the second pass looks at all.
@@ -104,6 +108,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differing / HASHES) - chance) / (1 - chance)
 
 
+def _lists(flat: np.ndarray, rows: int) -> pa.ListArray:
+    each = len(flat) // rows if rows else 0
+    return pa.ListArray.from_arrays(pa.array([k * each for k in range(rows + 1)], pa.int32()), pa.array(flat, pa.int64()))
+
+
 def _sign(batches):
     for batch in batches:
         ids, n, h1, h2, packed, bands = batch.column("doc_id"), [], [], [], [], []
@@ -111,7 +120,7 @@ def _sign(batches):
             s = shingle_set(text)
             n.append(len(s))
             if not len(s):
-                h1.append(0), h2.append(0), packed.append(b"")
+                h1.append(0), h2.append(0), packed.append(bytes(HASHES * BITS // 8))
                 bands.append(np.zeros(BANDS, np.uint64))
                 continue
             whole = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -130,14 +139,14 @@ def _sign(batches):
                 pa.array(n, pa.int64()),
                 pa.array(h1, pa.int64()),
                 pa.array(h2, pa.int64()),
-                pa.array(packed, pa.binary()),
-                pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32), pa.array(flat)),
+                _lists(np.frombuffer(b"".join(packed), np.int64), len(n)),
+                _lists(flat, len(n)),
             ],
             ["doc_id", "n_shingles", "h1", "h2", "sig", "bands"],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, bands array<long>"
 
 
 def _sets(batches):
@@ -146,14 +155,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimated(a, b):
-    import pandas as pd
-
-    rows = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a, b)]
-    return pd.Series(estimate(*rows) if len(a) else [])
-
-
 @F.pandas_udf(T.LongType())
 def _shared(a, b):
     import pandas as pd
@@ -169,14 +170,26 @@ def _shared(a, b):
     return pd.Series(out, dtype="int64")
 
 
-def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """pairs(a, b, sig_a, sig_b, n_a, n_b) that sizes and estimate don't rule out."""
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.where(least >= most * threshold).where(_estimated("sig_a", "sig_b") >= threshold - MARGIN).select("a", "b")
+def _plausible(threshold: float) -> Column:
+    """Whether sizes n_a, n_b and packed signatures sig_a, sig_b leave the threshold within reach."""
+    differing = sum(
+        (F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in (F.get("sig_a", k).bitwiseXOR(F.get("sig_b", k)) for k in range(HASHES * BITS // 64))),
+        F.lit(0),
+    )
+    chance = 1 / 2**BITS
+    most = HASHES * (1 - chance) * (1 - (threshold - MARGIN))
+    return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold) & (differing <= math.floor(most))
+
+
+def _within_reach(percent: int) -> Column:
+    """Whether what two texts share with the same third text leaves the similarity within reach."""
+    common = F.least("with_a", "with_b") + F.least(F.col("n_a") - F.col("with_a"), F.col("n_b") - F.col("with_b"))
+    enough = common * 100 >= percent * (F.col("n_a") + F.col("n_b") - common)
+    return enough | (F.col("lead_a") != F.col("lead_b")) | F.col("lead_a").isNull() | F.col("lead_b").isNull()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of doc_ids whose whole shingle sets reach the similarity, by integer arithmetic."""
+    """a, b, shared, link: how many shingles the whole sets share, and whether the similarity is reached, by integers."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # The ids grow with the corpus, so they are never broadcast.
     texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -186,7 +199,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     )
     n = (F.octet_length("set_a") + F.octet_length("set_b")) / F.lit(8)
     shared = both.withColumn("n", n.cast("long")).withColumn("shared", _shared("set_a", "set_b"))
-    links = pin(shared.where(F.col("shared") * 100 >= percent * (F.col("n") - F.col("shared"))).select("a", "b"))
+    links = pin(shared.select("a", "b", "shared", (F.col("shared") * 100 >= percent * (F.col("n") - F.col("shared"))).alias("link")))
     unpin(sets)
     return links
 
@@ -222,13 +235,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         return rows.withColumn("key", F.xxhash64("band", "value")).drop("value")
 
     few = bucketed(reps, LEAD_BANDS).select("key", "id")
-    leads = few.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    star = few.join(leads, "key").where("a < id").groupBy("id", "a").agg(F.count("*").alias("c"))
-    star = star.groupBy("id").agg(F.max(F.struct(F.col("c"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), F.col("id").alias("b"))
+    crowds = few.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    few = pin(few.join(crowds, "key"))
+    central = few.groupBy("id").agg(F.sum("c").alias("meets"))
+    few = pin(few.drop("c").join(central, "id"), replaces=few)
+    # Ordered by how many texts they meet, then by id.
+    score = F.struct(F.col("meets").alias("meets"), (-F.col("id")).alias("id"))
+    leads = few.groupBy("key").agg(F.max(score).alias("lead"))
+    star = few.join(leads, "key").groupBy("id").agg(F.max("lead").alias("lead")).select((-F.col("lead.id")).alias("a"), F.col("id").alias("b")).where("a <> b")
     sides = [facts.select(*(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in facts.columns)) for x in "ab"]
-    star = pin(_plausible(star.join(sides[0], "a").join(sides[1], "b"), threshold))
-    links = _confirmed(docs, star, percent)
+    star = pin(star.join(sides[0], "a").join(sides[1], "b").where(_plausible(threshold)).select("a", "b"))
+    compared = _confirmed(docs, star, percent)
     unpin(star)
+    links = compared.where("link").select("a", "b")
     first = pin(components(links))
 
     # Second pass, over buckets that still hold several components.
@@ -236,16 +255,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     owned = bucketed(owner.select("id", F.coalesce("component", "id").alias("comp"), "bands"))
     mixed = owned.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("z")).where("c < z").select("key")
     rows = pin(owned.join(mixed, "key").select("key", "band", "id", "comp"))
+    # What a text shares with the central text that it was compared with; a central text shares all with itself.
+    shares = compared.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.col("shared").alias("with"))
+    own = compared.select(F.col("a").alias("id")).distinct().join(shares.select("id"), "id", "left_anti")
+    own = own.join(facts, "id").select("id", F.col("id").alias("lead"), F.col("n").alias("with"))
+    facts = pin(facts.join(shares.union(own), "id", "left"))
     found = None
     for level in range(3):
         now, crowded = _split(rows)
         if level == 2:
             now = now.unionByName(crowded.withColumn("minor", F.lit(True)))
         now = now.join(facts, "id")
-        a = now.where("minor").select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "comp", "sig", "n")))
-        b = now.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "comp", "sig", "n")))
-        pairs = a.join(b, "key").where("comp_a <> comp_b").withColumnRenamed("id_a", "a").withColumnRenamed("id_b", "b")
-        pairs = _plausible(pairs, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        kept = ("id", "comp", "sig", "n", "lead", "with")
+        a = now.where("minor").select("key", *(F.col(c).alias(f"{c}_a") for c in kept))
+        b = now.select("key", *(F.col(c).alias(f"{c}_b") for c in kept))
+        pairs = a.join(b, "key").where("comp_a <> comp_b").where(_within_reach(percent)).where(_plausible(threshold))
+        pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         found = pairs if found is None else found.union(pairs)
         if level < 2:
             more = crowded.join(reps.select("id", F.posexplode("bands").alias("band2", "value")), "id").where("band2 > band")
@@ -255,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
             rows = more
     found = pin(found.distinct())
     if not found.isEmpty():
-        links = links.union(_confirmed(docs, found, percent))
+        links = links.union(_confirmed(docs, found, percent).where("link").select("a", "b"))
         first = pin(components(links))
     owner = classes.join(first.withColumnRenamed("node", "id"), "id", "left")
     # Classes that are their own component need no row here.
