@@ -40,7 +40,7 @@ ROWS = HASHES // BANDS
 #: Estimates this far below the threshold are 4 standard deviations off; such pairs aren't checked exactly.
 MARGIN = 0.185
 #: A bucket with more members outside its largest component than this is split by further bands.
-CROWDED = 16
+CROWDED = 512
 #: Bands of the first pass; the second pass looks at all.
 LEAD_BANDS = 8
 
@@ -259,17 +259,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     shares = compared.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.col("shared").alias("with"))
     own = compared.select(F.col("a").alias("id")).distinct().join(shares.select("id"), "id", "left_anti")
     own = own.join(facts, "id").select("id", F.col("id").alias("lead"), F.col("n").alias("with"))
-    facts = pin(facts.join(shares.union(own), "id", "left"))
+    facts = pin(reps.select("id", "n", "sig", "bands").join(shares.union(own), "id", "left"))
     found = None
     for level in range(3):
         now, crowded = _split(rows)
         if level == 2:
             now = now.unionByName(crowded.withColumn("minor", F.lit(True)))
         now = now.join(facts, "id")
-        kept = ("id", "comp", "sig", "n", "lead", "with")
-        a = now.where("minor").select("key", *(F.col(c).alias(f"{c}_a") for c in kept))
+        kept = ("id", "comp", "sig", "n", "lead", "with", "bands")
+        a = now.where("minor").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in kept))
         b = now.select("key", *(F.col(c).alias(f"{c}_b") for c in kept))
-        pairs = a.join(b, "key").where("comp_a <> comp_b").where(_within_reach(percent)).where(_plausible(threshold))
+        wanted = (F.col("comp_a") != F.col("comp_b")) & _plausible(threshold) & _within_reach(percent)
+        if level == 0:
+            # Texts that meet in several bands are a pair in the first of them only.
+            same = F.zip_with(F.slice("bands_a", 1, F.col("band")), F.slice("bands_b", 1, F.col("band")), lambda x, y: x == y)
+            wanted = wanted & ~F.exists(same, lambda e: e)
+        pairs = a.join(b, "key").where(wanted)
         pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         found = pairs if found is None else found.union(pairs)
         if level < 2:
