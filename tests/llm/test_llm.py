@@ -178,6 +178,16 @@ def test_estimate():
     assert abs(minhash.estimate(a, b)[0] - 0.5) < 0.15
 
 
+def test_parity():
+    rng = np.random.default_rng(2)
+    for n, common in ((5, 0), (300, 290), (3000, 100), (1, 1)):
+        s = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        x, y = s[: len(s) // 2 + common // 2], s[len(s) // 2 - common // 2 :]
+        a, b = (np.frombuffer(minhash.parity(v), np.uint8) for v in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+        assert not (a ^ a).any()
+
+
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -11,7 +11,9 @@ Large groups of copies never become all pairs. Equal shingle sets are one class
    components is estimated, as (members outside the bucket's largest component) x (members). Buckets with many such
    members are first split by a second and third band, so texts that merely share a frequent passage part ways. Two texts
    that were compared with the same central text o can share at most min(|x & o|, |y & o|) + min(|x - o|, |y - o|)
-   shingles; pairs that this rules out, and pairs that the signatures rule out, never leave the join.
+   shingles. Besides, each text carries a parity bitmap of its whole set (a bit is flipped by every shingle that hashes to
+   it): the bits in which two bitmaps differ are never more than the shingles that only one of the two texts has. Pairs
+   that either bound rules out, and pairs that the signatures rule out, never leave the join.
 
 A pair inside one component can't change the components, so the result is that of comparing all pairs that share a
 bucket. A pair of similarity 0.75 shares no bucket with a probability of about 5e-6.
@@ -43,6 +45,8 @@ MARGIN = 0.185
 CROWDED = 512
 #: Bands of the first pass; the second pass looks at all.
 LEAD_BANDS = 8
+#: Bits of the parity bitmap. It tells texts of up to about 800 shingles apart; longer ones rest on the other bounds.
+PARITY_BITS = 1024
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,6 +104,11 @@ def pack(low: np.ndarray) -> bytes:
     return (low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6).tobytes()
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips one bit; two bitmaps differ in at most as many bits as the sets do in members."""
+    return np.packbits(np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from two arrays of packed signatures (rows of bytes), corrected for chance agreement of low bits."""
     x = a ^ b
@@ -115,19 +124,19 @@ def _lists(flat: np.ndarray, rows: int) -> pa.ListArray:
 
 def _sign(batches):
     for batch in batches:
-        ids, n, h1, h2, packed, bands = batch.column("doc_id"), [], [], [], [], []
+        ids, n, h1, h2, packed, odd, bands = batch.column("doc_id"), [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text)
             n.append(len(s))
             if not len(s):
-                h1.append(0), h2.append(0), packed.append(bytes(HASHES * BITS // 8))
+                h1.append(0), h2.append(0), packed.append(bytes(HASHES * BITS // 8)), odd.append(bytes(PARITY_BITS // 8))
                 bands.append(np.zeros(BANDS, np.uint64))
                 continue
             whole = xxhash.xxh3_128_intdigest(s.tobytes())
             h1.append(int(np.uint64(whole & (2**64 - 1)).astype(np.int64)))
             h2.append(int(np.uint64(whole >> 64).astype(np.int64)))
             m = minima(s)
-            packed.append(pack(m))
+            packed.append(pack(m)), odd.append(parity(s))
             key = np.zeros(BANDS, np.uint64)
             for row in m.reshape(BANDS, ROWS).T:
                 key = _mix(key * _POWER + row)
@@ -140,13 +149,14 @@ def _sign(batches):
                 pa.array(h1, pa.int64()),
                 pa.array(h2, pa.int64()),
                 _lists(np.frombuffer(b"".join(packed), np.int64), len(n)),
+                _lists(np.frombuffer(b"".join(odd), np.int64), len(n)),
                 _lists(flat, len(n)),
             ],
-            ["doc_id", "n_shingles", "h1", "h2", "sig", "bands"],
+            ["doc_id", "n_shingles", "h1", "h2", "sig", "odd", "bands"],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, odd array<long>, bands array<long>"
 
 
 def _sets(batches):
@@ -171,14 +181,17 @@ def _shared(a, b):
 
 
 def _plausible(threshold: float) -> Column:
-    """Whether sizes n_a, n_b and packed signatures sig_a, sig_b leave the threshold within reach."""
+    """Whether sizes n_a, n_b, signatures sig_a, sig_b and parity bitmaps odd_a, odd_b leave the threshold within reach."""
     differing = sum(
         (F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in (F.get("sig_a", k).bitwiseXOR(F.get("sig_b", k)) for k in range(HASHES * BITS // 64))),
         F.lit(0),
     )
     chance = 1 / 2**BITS
     most = HASHES * (1 - chance) * (1 - (threshold - MARGIN))
-    return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold) & (differing <= math.floor(most))
+    apart = sum((F.bit_count(F.get("odd_a", k).bitwiseXOR(F.get("odd_b", k))) for k in range(PARITY_BITS // 64)), F.lit(0))
+    # A similarity of t leaves (1 - t) / (1 + t) of both sizes outside the intersection; 1e-6 is for rounding.
+    few = apart <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold) & (differing <= math.floor(most)) & few
 
 
 def _within_reach(percent: int) -> Column:
@@ -225,13 +238,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     reps = pin(
         named.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "bands")
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "odd", "bands")
     )
-    facts = reps.select("id", "n", "sig")
+    facts = reps.select("id", "n", "sig", "odd")
 
     def bucketed(rows: DataFrame, bands: int = BANDS) -> DataFrame:
         rows = rows.withColumn("bands", F.slice("bands", 1, bands))
-        rows = rows.select(*(c for c in rows.columns if c not in ("n", "sig", "bands")), F.posexplode("bands").alias("band", "value"))
+        rows = rows.select(*(c for c in rows.columns if c not in ("n", "sig", "odd", "bands")), F.posexplode("bands").alias("band", "value"))
         return rows.withColumn("key", F.xxhash64("band", "value")).drop("value")
 
     few = bucketed(reps, LEAD_BANDS).select("key", "id")
@@ -259,14 +272,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     shares = compared.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.col("shared").alias("with"))
     own = compared.select(F.col("a").alias("id")).distinct().join(shares.select("id"), "id", "left_anti")
     own = own.join(facts, "id").select("id", F.col("id").alias("lead"), F.col("n").alias("with"))
-    facts = pin(reps.select("id", "n", "sig", "bands").join(shares.union(own), "id", "left"))
+    facts = pin(reps.select("id", "n", "sig", "odd", "bands").join(shares.union(own), "id", "left"))
     found = None
     for level in range(3):
         now, crowded = _split(rows)
         if level == 2:
             now = now.unionByName(crowded.withColumn("minor", F.lit(True)))
         now = now.join(facts, "id")
-        kept = ("id", "comp", "sig", "n", "lead", "with", "bands")
+        kept = ("id", "comp", "sig", "odd", "n", "lead", "with", "bands")
         a = now.where("minor").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in kept))
         b = now.select("key", *(F.col(c).alias(f"{c}_b") for c in kept))
         wanted = (F.col("comp_a") != F.col("comp_b")) & _plausible(threshold) & _within_reach(percent)
