@@ -171,6 +171,46 @@ def test_minhash(spark, docs, odd):
     assert minhash.one_of_each(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("crowded", (3, 40))
+def test_minhash_compares_all_of_a_crowded_bucket(spark, monkeypatch, crowded):
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {}
+    for k in range(60):  # all share a passage, two and two share more
+        words = [f"y{k}_{j}" for j in range(35)]
+        for side in range(2):
+            texts[2 * k + side] = " ".join(passage + words + [f"z{k}_{side}_{j}" for j in range(rng.integers(5, 30))])
+    sets = {k: minhash.shingle_set(t) for k, t in texts.items()}
+    bands = {k: minhash.minima(s).reshape(minhash.BANDS, minhash.ROWS) for k, s in sets.items()}
+    parent, percent = {k: k for k in texts}, 70
+    for a in texts:
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if (bands[a] == bands[b]).all(axis=1).any() and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((parent[a], parent[b]))
+                parent = {k: x if v == y else v for k, v in parent.items()}
+    monkeypatch.setattr(minhash, "LEAD_BANDS", 0)  # the second pass alone has to find them
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent).collect()
+    assert 60 < len(set(parent.values())) < 110
+    assert {r.doc_id: r.component_id for r in got} == parent
+
+
+def test_minhash_compares_pairs_of_one_shared_band(spark, monkeypatch):
+    percent = 30
+    texts = {}
+    for k in range(150):
+        common = [f"c{k}_{j}" for j in range(50)]
+        for side in range(2):
+            texts[2 * k + side] = " ".join(common + [f"z{k}_{side}_{j}" for j in range(44)])
+    bands = {k: minhash.minima(minhash.shingle_set(t)).reshape(minhash.BANDS, minhash.ROWS) for k, t in texts.items()}
+    meet = {k: (bands[k] == bands[k + 1]).all(axis=1).sum() for k in texts if k % 2 == 0}
+    monkeypatch.setattr(minhash, "CROWDED", 0)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent).collect()}
+    assert 5 < sum(n == 1 for n in meet.values())
+    assert got == {k: k - k % 2 if meet[k - k % 2] else k for k in texts}
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2**63, 4000, dtype=np.uint64)

@@ -8,15 +8,17 @@ Large groups of copies never become all pairs. Equal shingle sets are one class
 1. over a few bands, every text is compared with one other, the most central text that it meets (central: meets the most
    texts; the original of a group of copies does), and components of the confirmed links are formed;
 2. over all bands, only buckets that still hold several components are looked at: every pair that could join two
-   components is estimated, as (members outside the bucket's largest component) x (members). Buckets with many such
-   members are first split by a second and third band, so texts that merely share a frequent passage part ways. Two texts
-   that were compared with the same central text o can share at most min(|x & o|, |y & o|) + min(|x - o|, |y - o|)
+   components is estimated, as (members outside the bucket's largest component) x (members). Members of a large bucket
+   are dealt into blocks, and every block meets every other in a group of its own, so no pair is left out and no task
+   holds a whole bucket; the tests made still grow with the square of a bucket, the rows that leave the join don't. Two
+   texts that were compared with the same central text o can share at most min(|x & o|, |y & o|) + min(|x - o|, |y - o|)
    shingles. Besides, each text carries a parity bitmap of its whole set (a bit is flipped by every shingle that hashes to
    it): the bits in which two bitmaps differ are never more than the shingles that only one of the two texts has. Pairs
    that either bound rules out, and pairs that the signatures rule out, never leave the join.
 
 A pair inside one component can't change the components, so the result is that of comparing all pairs that share a
-bucket. A pair of similarity 0.75 shares no bucket with a probability of about 5e-6.
+bucket and that the signature cut leaves (the other bounds are exact). A pair of similarity 0.75 shares no bucket with a
+probability of about 5.2e-6; the signature cut (``MARGIN``) loses it with one of about 2e-7 more.
 
 Defined results: null or empty text, or text without words: ``n_shingles`` 0, a component of its own. A null ``doc_id``
 can't name a component: such a row gets a null ``component_id`` and ``kept`` true. Repeated rows are exact copies. Extra
@@ -39,9 +41,9 @@ from timberline.llm.components import components
 
 HASHES, BANDS, BITS, WORDS_IN_SHINGLE = 128, 32, 2, 5
 ROWS = HASHES // BANDS
-#: Estimates this far below the threshold are 4 standard deviations off; such pairs aren't checked exactly.
-MARGIN = 0.185
-#: A bucket with more members outside its largest component than this is split by further bands.
+#: Estimates this far below the threshold are over 5 standard deviations off; such pairs aren't checked exactly.
+MARGIN = 0.25
+#: A bucket with more members than this is compared in blocks of about so many.
 CROWDED = 512
 #: Bands of the first pass; the second pass looks at all.
 LEAD_BANDS = 8
@@ -217,14 +219,22 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows(key, band, id, comp) of buckets with several components: those to compare now, with ``minor``, and crowded ones."""
+def _blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows(key, band, id, comp) of buckets with several components -> the minor members, and all members with ``minor``.
+
+    Both have ``x`` and ``y``, the blocks of the bucket's minor members and of all its members; each member is repeated for
+    all blocks of the other side, so that every minor member meets every member once. Two minor members meet both ways.
+    """
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     # Which component is the bucket's largest; the rest are the minor ones.
-    tops = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count("*").alias("k"))
-    tops = tops.where("k > 1").select("key", F.col("top.comp").alias("major"), (F.col("m") - F.col("top.c")).alias("others"))
-    rows = rows.join(tops, "key").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
-    return rows.where(F.col("others") <= CROWDED).drop("others"), rows.where(F.col("others") > CROWDED).drop("others", "minor")
+    tops = per.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(max(CROWDED, 1))), F.lit(1)).cast("int")
+    tops = tops.select("key", F.col("top.comp").alias("major"), blocks(F.col("m") - F.col("top.c")).alias("of_minor"), blocks(F.col("m")).alias("of_all"))
+    rows = rows.join(tops, "key").withColumn("minor", F.col("comp") != F.col("major")).withColumn("h", F.xxhash64("id", F.lit("block")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where("minor").withColumn("x", F.pmod("h", "of_minor").cast("int")).withColumn("y", every("of_all"))
+    full = rows.withColumn("y", F.pmod("h", "of_all").cast("int")).withColumn("x", every("of_minor"))
+    return few.select("key", "x", "y", "band", "id", "comp"), full.select("key", "x", "y", "id", "comp", "minor")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,29 +283,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     own = compared.select(F.col("a").alias("id")).distinct().join(shares.select("id"), "id", "left_anti")
     own = own.join(facts, "id").select("id", F.col("id").alias("lead"), F.col("n").alias("with"))
     facts = pin(reps.select("id", "n", "sig", "odd", "bands").join(shares.union(own), "id", "left"))
-    found = None
-    for level in range(3):
-        now, crowded = _split(rows)
-        if level == 2:
-            now = now.unionByName(crowded.withColumn("minor", F.lit(True)))
-        now = now.join(facts, "id")
-        kept = ("id", "comp", "sig", "odd", "n", "lead", "with", "bands")
-        a = now.where("minor").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in kept))
-        b = now.select("key", *(F.col(c).alias(f"{c}_b") for c in kept))
-        wanted = (F.col("comp_a") != F.col("comp_b")) & _plausible(threshold) & _within_reach(percent)
-        if level == 0:
-            # Texts that meet in several bands are a pair in the first of them only.
-            same = F.zip_with(F.slice("bands_a", 1, F.col("band")), F.slice("bands_b", 1, F.col("band")), lambda x, y: x == y)
-            wanted = wanted & ~F.exists(same, lambda e: e)
-        pairs = a.join(b, "key").where(wanted)
-        pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        found = pairs if found is None else found.union(pairs)
-        if level < 2:
-            more = crowded.join(reps.select("id", F.posexplode("bands").alias("band2", "value")), "id").where("band2 > band")
-            more = pin(more.select(F.xxhash64("key", "band2", "value").alias("key"), F.col("band2").alias("band"), "id", "comp"))
-            if more.isEmpty():
-                break
-            rows = more
+    kept = ("id", "comp", "sig", "odd", "n", "lead", "with", "bands")
+    few, full = (x.join(facts, "id") for x in _blocked(rows))
+    few = few.select("key", "x", "y", "band", *(F.col(c).alias(f"{c}_a") for c in kept))
+    full = full.select("key", "x", "y", "minor", *(F.col(c).alias(f"{c}_b") for c in kept))
+    wanted = (F.col("comp_a") != F.col("comp_b")) & (~F.col("minor") | (F.col("id_a") < F.col("id_b")))
+    # Texts that meet in several bands are a pair in the first of them only.
+    same = F.zip_with(F.slice("bands_a", 1, F.col("band")), F.slice("bands_b", 1, F.col("band")), lambda x, y: x == y)
+    wanted = wanted & _plausible(threshold) & _within_reach(percent) & ~F.exists(same, lambda e: e)
+    pairs = few.join(full, ["key", "x", "y"]).where(wanted)
+    found = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     found = pin(found.distinct())
     if not found.isEmpty():
         links = links.union(_confirmed(docs, found, percent).where("link").select("a", "b"))
