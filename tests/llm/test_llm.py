@@ -310,6 +310,24 @@ def test_html(spark):
     assert sorted(r.n_chars for r in got) == sorted(len(r.text) for r in got) and len(got) == 3
 
 
+LONG = "Long text, with marks, goes here; it has more, and more, of them. It goes on, and on."
+
+
+def test_html_unclosed_elements_end_with_their_parent():
+    for tag in ("svg", "iframe", "object", "select", "noscript", "template"):
+        assert htmltext.main_text(f"<p>one <{tag} class=i/> two</p><p>three</p>") == "one two\n\nthree", tag
+        assert htmltext.main_text(f"<div><p>one <{tag} class=i> gone</p><p>three</p></div>") == "one\n\nthree", tag
+        assert htmltext.main_text(f"<p>one <{tag}><title>gone</title><p>gone</{tag}> two<p>three") == "one two\n\nthree", tag
+
+
+def test_html_names_count_as_a_whole():
+    for name in ("layout has-sidebar", "related-work", "side-effects", "legal-aspects", "search-methods"):
+        assert htmltext.main_text(f'<body><div class="{name}"><p>{LONG}</p></div></body>') == LONG, name
+    assert htmltext.main_text(f'<article><p>{LONG}</p><section class="related"><p>{LONG}</p></section></article>') == f"{LONG}\n\n{LONG}"
+    for name in ("site-footer", "ad", "cookie_notice"):
+        assert htmltext.main_text(f'<p>{LONG}</p><div class="{name}">{LONG}</div>') == LONG, name
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 64))

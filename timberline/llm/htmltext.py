@@ -3,11 +3,15 @@
 Every text node has a path of tags from the root to its leaf. For each path the text length and the punctuation of its
 nodes, and the number of its nodes, are summed over the page. The two ratios (length and punctuation per node) are
 smoothed over neighbouring paths in page order, fused by their product, and a path is content if its fused ratio reaches
-a share of the page's deviation. Nodes in content paths form the text; a heading or a short block inside the content's
-own container goes with it.
+a share of the page's deviation. Nodes in content paths form the text. Of the rest, a heading before content and a block
+between content, inside the container that holds most of it, go with it, unless most of the block is link text; of equal
+containers an article or main element counts first.
 
 Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms, and containers whose
-class or id names an advert, notice, sidebar, menu or comments) are left out before the ratios are taken.
+class or id names an advert, notice, sidebar, menu or comments) are left out before the ratios are taken. A class or id
+counts as a whole, and inside an article or main element it only gives its blocks paths of their own, which the ratio
+judges. If nothing else is left, names are ignored. An svg, iframe, object, select, noscript or template that isn't closed
+ends with its parent.
 
 Defined results: null or empty html, or html without content, gives an empty text. Ids and urls pass through as they are,
 nulls too; extra columns are ignored; repeated rows are extracted each. An empty table gives an empty result.
@@ -24,70 +28,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+#: Elements left out whole; one without an end tag ends with its parent.
+HOLES = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)(noscript|template|select|svg|iframe|object)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S | re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE = frozenset("nav header footer aside form head button label menu dialog".split())
+OUTSIDE = frozenset("nav header footer aside form head button label menu dialog noscript template select svg iframe object".split())
 OUTSIDE_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu)", re.I)
 NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|header|masthead|footer|comments?|replies|reply|respond|"
-    r"share|sharing|social|related|recommended|widget|toolbar|login|search|disclaimer|copyright|legal)(?:$|[\s_-])",
-    re.I,
+OUTSIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored promo banner cookie cookies consent notice notices popup modal "
+    "newsletter subscribe sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination header masthead footer comment "
+    "comments reply replies respond share sharing social related recommended widget toolbar login search disclaimer copyright legal".split()
 )
+#: Words that a name may have besides: ``site-footer`` names a footer, ``has-sidebar`` or ``related-work`` nothing.
+BESIDE_NAMES = frozenset("site main top bottom left right primary secondary list box bar links buttons form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags whose opening closes an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 SPACE = re.compile(r"\s+")
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    return bool(OUTSIDE_ROLES.search(attributes)) or any(OUTSIDE_NAMES.search(a or b or c) for a, b, c in NAMES.findall(attributes))
-
-
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(tag path, text) of the blocks outside the elements that never hold main text, in page order."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, bool]] = []  # (tag, whether it is outside)
-    outside = 0
+def _named(attributes: str) -> bool:
+    """Whether a class or an id, as a whole, is a name of what never holds main text."""
+    for values in NAMES.findall(attributes):
+        for name in "".join(values).lower().split():
+            words = [w for w in re.split("[-_]+", name) if w]
+            if any(w in OUTSIDE_NAMES for w in words) and all(w in OUTSIDE_NAMES or w in BESIDE_NAMES for w in words):
+                return True
+    return False
+
+
+def _holes(page: str) -> dict[int, int]:
+    """Where each closed hole begins -> where it ends."""
+    ends: dict[int, int] = {}
+    open_: dict[str, list[int]] = defaultdict(list)
+    for m in HOLES.finditer(page):
+        tag = (m[3] or "").lower()
+        if tag and m[2]:
+            if open_[tag]:
+                ends[open_[tag].pop()] = m.end()
+        elif tag and not m[4].rstrip().endswith("/"):
+            open_[tag].append(m.start())
+    return ends
+
+
+def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str, float]]:
+    """(tag path, text, share of link text) of the blocks outside the elements that never hold main text, in page order.
+
+    A tag whose name would leave it out, but which stands in an article or main element, has ``!`` behind it in paths.
+    """
+    out: list[tuple[tuple[str, ...], str, float]] = []
+    stack: list[tuple[str, bool, str]] = []  # (tag, whether it is outside, tag in paths)
+    outside = links = homes = 0
     parts: list[str] = []
+    linked: list[int] = []
+    holes = _holes(page)
 
     def flush() -> None:
         if parts:
-            text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            raw = "".join(parts)
+            text = SPACE.sub(" ", html.unescape(raw)).strip()
             if text:
-                out.append((tuple(t for t, _ in stack if t in BLOCKS), text))
+                first = next((k for k, x in enumerate(stack) if x[1]), len(stack)) if outside else len(stack)
+                out.append((tuple(x[2] for x in stack[:first] if x[0] in BLOCKS), text, sum(linked) / len(raw)))
             parts.clear()
+            linked.clear()
 
     def pop_to(depth: int) -> None:
-        nonlocal outside
+        nonlocal outside, links, homes
+        if outside and not all(x[1] for x in stack[depth:][:1]) and any(x[1] for x in stack[depth:]):
+            flush()  # an open hole ends with its parent
         while len(stack) > depth:
-            outside -= stack.pop()[1]
-
-    for m in TOKEN.finditer(page):
+            tag, away, _ = stack.pop()
+            outside -= away
+            links -= tag == "a"
+            homes -= tag in ("article", "main")
+
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
         raw, closing, tag, attributes, text = m.groups()
         if text is not None:
             if not outside:
                 parts.append(text)
+                linked.append(len(text) if links else 0)
             continue
         if tag is None:
             if raw:  # a script or the like is a break inside its block
                 parts.append(" ") if parts else None
             continue
         tag = tag.lower()
+        if not closing and m.start() in holes:
+            at = holes[m.start()]
+            parts.append(" ") if parts else None
+            continue
         block = tag in BLOCKS
-        if block:
+        if block and not outside:
             flush()
         elif tag == "br" and parts:
             parts.append(" ")
@@ -115,11 +159,17 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
                     pop_to(k)
                     break
         if not attributes.rstrip().endswith("/") or block:
-            away = not outside and _outside(tag, attributes) or False
-            if away:
-                flush()
-            stack.append((tag, away))
+            away, label = False, tag
+            if not outside:
+                away = tag in OUTSIDE or bool(attributes and tag not in ("html", "body", "article", "main") and OUTSIDE_ROLES.search(attributes))
+                if not away and names and attributes and tag not in ("html", "body", "article", "main") and _named(attributes):
+                    away, label = not homes, tag + "!"
+            if away and parts:
+                flush() if block else parts.append(" ")
+            stack.append((tag, away, label))
             outside += away
+            links += tag == "a"
+            homes += tag in ("article", "main")
     flush()
     return out
 
@@ -127,11 +177,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str]]:
 def main_text(page: str | None, threshold: float = 0.5) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = blocks_of(page) or blocks_of(page, names=False)
     if not blocks:
         return ""
     size: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, text in blocks:
+    for path, text, _ in blocks:
         s = size[path]
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
@@ -145,14 +195,14 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     chosen = {p for p, x in zip(paths, fused) if x >= min(threshold * fused.std(), fused.max())}
     # The container that holds most content text; what stands in it goes with the content.
     weight: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, text in blocks:
+    for path, text, _ in blocks:
         if path in chosen:
             weight[path[:-1]] += len(text)
     top = max(weight, key=lambda p: (weight[p], -len(p)))
     home = next((top[: k + 1] for k, t in enumerate(top) if t in ("article", "main")), None)
     if home is not None:
-        return "\n\n".join(t for p, t in blocks if p[: len(home)] == home)
-    return "\n\n".join(t for p, t in blocks if p in chosen or p[:-1] == top or p[: len(top)] == top)
+        return "\n\n".join(t for p, t, _ in blocks if p[: len(home)] == home)
+    return "\n\n".join(t for p, t, _ in blocks if p in chosen or p[:-1] == top or p[: len(top)] == top)
 
 
 def _extracted(batches):
