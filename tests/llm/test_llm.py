@@ -313,6 +313,13 @@ def test_html(spark):
 LONG = "Long text, with marks, goes here; it has more, and more, of them. It goes on, and on."
 
 
+def test_html_ratio_decides_inside_the_container():
+    links = "<ul>" + "".join(f"<li><a href=x>Go there {k}</a></li>" for k in range(4)) + "</ul>"
+    for home in ("article", "div", "body"):
+        page = f"<body><{home}><h2>Head</h2><p>{LONG}</p>{links}<h3>Next</h3><ol><li>short</li></ol><p>{LONG}</p>{links}<div><div>By us</div></div></{home}></body>"
+        assert htmltext.main_text(page) == "\n\n".join(["Head", LONG, "Next", "short", LONG]), home
+
+
 def test_html_unclosed_elements_end_with_their_parent():
     for tag in ("svg", "iframe", "object", "select", "noscript", "template"):
         assert htmltext.main_text(f"<p>one <{tag} class=i/> two</p><p>three</p>") == "one two\n\nthree", tag
@@ -326,6 +333,7 @@ def test_html_names_count_as_a_whole():
     assert htmltext.main_text(f'<article><p>{LONG}</p><section class="related"><p>{LONG}</p></section></article>') == f"{LONG}\n\n{LONG}"
     for name in ("site-footer", "ad", "cookie_notice"):
         assert htmltext.main_text(f'<p>{LONG}</p><div class="{name}">{LONG}</div>') == LONG, name
+        assert htmltext.main_text(f'<article><p>{LONG}</p><div class="{name}">Buy it</div><p>{LONG}</p></article>') == f"{LONG}\n\n{LONG}", name
 
 
 def test_embeddings(spark):

@@ -193,16 +193,26 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     fused = (length / nodes + smooth(length / nodes)) / 2 * (1 + (punctuation / nodes + smooth(punctuation / nodes)) / 2)
     # The best path is always content, since the threshold never exceeds the largest value.
     chosen = {p for p, x in zip(paths, fused) if x >= min(threshold * fused.std(), fused.max())}
-    # The container that holds most content text; what stands in it goes with the content.
+    # The container that holds most content text; an article or main element decides between equal ones.
     weight: dict[tuple[str, ...], int] = defaultdict(int)
     for path, text, _ in blocks:
         if path in chosen:
             weight[path[:-1]] += len(text)
-    top = max(weight, key=lambda p: (weight[p], -len(p)))
-    home = next((top[: k + 1] for k, t in enumerate(top) if t in ("article", "main")), None)
-    if home is not None:
-        return "\n\n".join(t for p, t, _ in blocks if p[: len(home)] == home)
-    return "\n\n".join(t for p, t, _ in blocks if p in chosen or p[:-1] == top or p[: len(top)] == top)
+    top = max(weight, key=lambda p: (weight[p], any(t in ("article", "main") for t in p), -len(p)))
+    home = next((top[: k + 1] for k, t in enumerate(top) if t in ("article", "main")), top)
+    kept = [path in chosen for path, _, _ in blocks]
+    mine = [k for k, (path, _, _) in enumerate(blocks) if path[: len(home)] == home]
+    content = [k for k in mine if kept[k]]
+    for k in mine:
+        path, _, linked = blocks[k]
+        if content[0] < k < content[-1] and linked < 0.5 and not any(t.endswith("!") for t in path):
+            kept[k] = True
+    # A heading goes with what it stands before.
+    for k in reversed(mine):
+        path = blocks[k][0]
+        if path[-1:] and path[-1] in HEADINGS and not any(t.endswith("!") for t in path) and k + 1 < len(blocks) and kept[k + 1]:
+            kept[k] = True
+    return "\n\n".join(text for (_, text, _), yes in zip(blocks, kept) if yes)
 
 
 def _extracted(batches):
