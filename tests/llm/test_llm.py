@@ -65,6 +65,17 @@ def test_rewrite(spark, docs, tmp_path):
     assert back.count() == assigned.where(F.col("shard").isin(touched)).count()
 
 
+def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "no id"), (None, "no id"), (None, None), (7, "seven"), (7, "seven"), (7, "other")] + [(k % 40, f"text {k} " * (k % 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assigned = resharding.assign(df)
+    touched = resharding.rewrite(df, assigned, "", str(tmp_path / "new"))
+    assert touched == list(range(8))
+    back = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
+    assert len({(r.shard, r.slot) for r in back}) == len(rows)
+
+
 def test_packing(spark, docs, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):

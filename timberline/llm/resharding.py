@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.llm.common import pin
@@ -187,10 +188,18 @@ def rewrite(docs: DataFrame, assigned: DataFrame, old_path: str, new_path: str)
     """Writes the new layout of ``docs`` under ``new_path`` and returns the shards rewritten.
 
     A shard whose rows neither leave nor arrive keeps its files under ``old_path`` and isn't read or written. Rows lie in
-    slot order within a shard's files.
+    slot order within a shard's files. Every row of ``docs`` takes one place of a row with its id (or null) and text.
     """
     moved = assigned.where("shard <> old_shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
-    placed = docs.join(assigned.where(F.col("shard").isin(touched)).select("doc_id", "shard", "slot"), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = ("r_id", "r_size", "r_crc")
+    turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("r_id"), (F.octet_length(text) + 1).cast("long").alias("r_size"), F.crc32(text).alias("r_crc"))
+    places = assigned.select(F.col("doc_id").alias("r_id"), F.col("size").alias("r_size"), F.col("text_crc32").alias("r_crc"), "shard", "slot")
+    rows, places = (x.withColumn("r_turn", turn) for x in (rows, places.where(F.col("shard").isin(touched))))
+    rows, places = rows.alias("x"), places.alias("y")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "r_turn")]
+    placed = rows.join(places, same).select(*(F.col(f"x.`{c}`") for c in docs.columns), "y.shard", "y.slot")
     placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
     return touched
