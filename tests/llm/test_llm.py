@@ -281,6 +281,20 @@ def test_pii_discovers_from_contexts(spark):
     assert got[90] == "phone:19:27" and got[91] == ""
 
 
+def test_pii_contexts_are_judged_by_kind(spark):
+    rows = [(k, f"write to us k{k}@mail.example.com please or not") for k in range(40)]
+    rows += [(50, "write to us +1 (454) 555-1234 please or not"), (51, "write to us someone(at)mail1.example.com please or not")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[51] == "email:12:40" and got[50] == "phone:12:29"
+
+
+def test_pii_finds_several_words_by_their_form(spark):
+    rows = [(k, f"ab{k} +1 (454) 555-{1000 + k} cd{k}" if k % 2 else f"x y +1 (454) 555-{1000 + k} z{k}") for k in range(60)]
+    rows += [(90, "some des +1 (826) 555-4081 190.137.223.204 du"), (91, "in 1999 the 300.1.1.1 was 12 of 1234567890123456")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[90] == "ip:27:42,phone:9:26" and got[91] == ""
+
+
 def test_urls(spark):
     html = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [

@@ -1,10 +1,12 @@
 """Personal data by fixed patterns, and by bootstrapped contextual extraction; DataFrame functions only.
 
-Spans of the four base kinds (email, ip, card, phone) are the seeds. A context is the word before and the word after an
-entity. Identifier-like tokens (those with a digit or an ``@``) in the same contexts are instances; contexts and instances
-form a weighted graph. Each round scores a context by the mean belief in its instances and an instance by the best of its
-contexts, seeds keeping belief 1. Contexts with enough distinct seeds and a high score are trusted: an unseen token
-in a trusted context whose shape fits the kind is added as a span of that kind.
+Spans of the four base kinds (email, ip, card, phone) are the seeds. The contexts of an entity are the words before and
+after it, each of the two alone, and its own form (digits and letters by one sign each) beside what sort of word precedes
+or follows. Identifier-like tokens (those with a digit or an ``@``, and phones and cards of several words) in the same
+contexts are instances; contexts and instances form a weighted graph. Every pair of context and kind is scored by itself,
+over the seeds of that kind and the unseen tokens whose shape fits it. Each round scores a pair by the mean belief in its
+instances and an instance by the best of its contexts, seeds keeping belief 1. Pairs with enough distinct seeds and a high
+score are trusted: an unseen token that fits the kind is added as a span of that kind.
 
 Only contexts that hold a seed enter the graph, instances are aggregated by (context, token) before any shuffle, and
 scores are sums and maxima per key, so a frequent context costs one row per distinct token and task.
@@ -40,6 +42,13 @@ SHAPES = {
     "card": r"^[0-9][0-9-]{10,21}[0-9]$",
     "phone": r"^[+(]?[0-9][0-9().-]{5,17}[0-9]$",
 }
+#: Candidates of several words, whole.
+LONG = {
+    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}|[0-9]{2,4}[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9A-Za-z])",
+}
+#: Distinct seeds that a context needs: of both words, of one word, of the form.
+LEAST_SEEDS = {"both": 5, "one": 20, "form": 20}
 TOKEN = r"[^\s]*[0-9@][^\s]*"
 
 
@@ -107,27 +116,59 @@ def _neighbours(df: DataFrame) -> DataFrame:
     return df.withColumn("left", F.lower(F.regexp_extract(before, r"(\S+\s+\S*|\S*)$", 1))).withColumn("right", F.lower(F.regexp_extract(after, r"^(\S*\s+\S+|\S*)", 1)))
 
 
-def trusted_contexts(tokens: DataFrame, rounds: int = 3, least_seeds: int = 5, least_score: float = 0.9, least_share: float = 0.5) -> DataFrame:
-    """(kind, left, right) of contexts whose instances are mostly entities of the kind.
-
-    ``tokens(left, right, value, kind)``: kind is null unless the token is a seed.
+def _fits(kind: str, x: Column) -> Column:
+    """Whether an unseen token can be of the kind; what the base rule judges in full and rejects can't."""
+    shape = x.rlike(SHAPES[kind])
+    if kind in LONG:
+        shape = shape | x.rlike(f"^(?:{LONG[kind]})$")
+    if kind == "card":
+        return shape & ((F.length(_digits(x)) < 16) | _luhn(x))
+    if kind == "ip":
+        return shape & (~x.rlike(r"^[0-9]+(\.[0-9]+){3}$") | F.when(x.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _valid("ip", x)).otherwise(False))
+    return shape
+
+
+def _with_contexts(tokens: DataFrame) -> DataFrame:
+    """A row for each token and context: adds ``level`` and ``context``."""
+    sort = lambda c: F.when(F.col(c) == "", "").when(F.col(c).rlike("[0-9@]"), "0").otherwise("a")
+    form = F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), r"\p{L}+", "a")
+    word = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    ways = [
+        ("both", F.xxhash64("left", "right")),
+        ("one", F.when(word("left").isNotNull(), F.xxhash64(F.lit("left"), word("left")))),
+        ("one", F.when(word("right").isNotNull(), F.xxhash64(F.lit("right"), word("right")))),
+        ("form", F.xxhash64(F.lit("form left"), form, sort("left"))),
+        ("form", F.xxhash64(F.lit("form right"), form, sort("right"))),
+    ]
+    every = F.array(*(F.struct(F.lit(level).alias("level"), key.alias("context")) for level, key in ways))
+    return tokens.withColumn("w", F.explode(every)).select(*tokens.columns, "w.level", "w.context").where("context is not null")
+
+
+def trusted_contexts(tokens: DataFrame, rounds: int = 3, least_seeds: dict[str, int] | None = None, least_score: float = 0.9, least_share: float = 0.5) -> DataFrame:
+    """(context, kind) of contexts whose instances of the kind's shape are mostly entities of the kind.
+
+    ``tokens(left, right, value, kind, fits)``: kind is null unless the token is a seed; fits has the kinds that an unseen
+    token can be of.
     """
-    context = F.xxhash64("left", "right")
-    edges = tokens.withColumn("context", context).groupBy("context", "left", "right", "value").agg(F.max("kind").alias("kind"), F.count("*").alias("n"))
-    seeded = edges.where("kind is not null").groupBy("context").agg(F.max("kind").alias("k"), F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    edges = pin(edges.join(seeded, "context"))
-    belief = edges.select("value", F.when(F.col("kind") == F.col("k"), 1.0).otherwise(0.0).alias("belief"), "k").groupBy("value", "k").agg(F.max("belief").alias("belief"))
+    least = F.lit(None).cast("int")
+    for level, n in (least_seeds or LEAST_SEEDS).items():
+        least = F.when(F.col("level") == level, n).otherwise(least)
+    kinds = F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.col("fits"))
+    each = _with_contexts(tokens.select("left", "right", "value", "kind", F.explode(kinds).alias("k")))
+    edges = each.groupBy("level", "context", "k", "value").agg(F.max(F.col("kind").isNotNull()).alias("seed"), F.count("*").alias("n"))
+    seeded = edges.where("seed").groupBy("level", "context", "k").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least)
+    edges = pin(edges.join(seeded.select("context", "k"), ["context", "k"]).select("context", "k", "value", "seed", "n"))
+    belief = edges.groupBy("value", "k").agg(F.max(F.col("seed").cast("double")).alias("belief"))
     for _ in range(rounds):
         # A context is worth the weighted mean belief in its instances; an instance the best of its contexts, damped.
-        scored = edges.join(belief, ["value", "k"], "left").groupBy("context", "k", "seeds").agg(
-            (F.sum(F.coalesce("belief", F.lit(0.0)) * F.log1p("n")) / F.sum(F.log1p("n"))).alias("score"),
-            F.avg((F.coalesce(F.col("kind"), F.lit("")) == F.col("k")).cast("double")).alias("share"),
+        scored = edges.join(belief, ["value", "k"]).groupBy("context", "k").agg(
+            (F.sum(F.when(F.col("seed"), 1.0).otherwise(F.col("belief")) * F.log1p("n")) / F.sum(F.log1p("n"))).alias("score"),
+            F.avg(F.col("seed").cast("double")).alias("share"),
         )
-        belief = edges.join(scored.select("context", "score"), "context").groupBy("value", "k").agg(
-            F.max(F.when(F.col("kind") == F.col("k"), 1.0).otherwise(F.col("score") * 0.9)).alias("belief")
+        belief = edges.join(scored.select("context", "k", "score"), ["context", "k"]).groupBy("value", "k").agg(
+            F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("score") * 0.9)).alias("belief")
         )
-    good = scored.where((F.col("score") >= least_score) & (F.col("share") >= least_share)).select("context", F.col("k").alias("kind"))
-    return good
+    return scored.where((F.col("score") >= least_score) & (F.col("share") >= least_share)).select("context", F.col("k").alias("kind"))
 
 
 def _of_kind(kind: str) -> Column:
@@ -140,9 +181,11 @@ def _tokens(base: DataFrame, *keys: str) -> DataFrame:
     seeds = base.select(*keys, "p_text", F.explode(spans).alias("s")).select(*keys, "p_text", "s.*")
     # Tokens beside the base spans: blanks stand for the spans, so places stay.
     loose = _found(F.col("p_text"), TOKEN, r"[0-9@]", lambda x: F.lit(True))
-    rest = base.select(*keys, "p_text", spans.alias("spans"), loose.alias("loose")).select(
-        *keys, "p_text", F.explode(F.filter("loose", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))).alias("s")
-    )
+    long = F.concat(*(_found(F.col("p_text"), LONG[k], GATES[k], lambda x: F.lit(True)) for k in LONG))
+    free = lambda of, taken: F.filter(of, lambda t: ~F.exists(taken, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    rest = base.select(*keys, "p_text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), loose.alias("loose"), long.alias("long"))
+    rest = rest.withColumn("long", free("long", "spans"))
+    rest = rest.select(*keys, "p_text", F.explode(F.concat("long", free(free("loose", "spans"), "long"))).alias("s"))
     lead = F.length(F.regexp_extract("s.value", r"^[\"'(\[{<,;:!?]*", 0))
     trimmed = F.regexp_replace(F.regexp_replace("s.value", r"^[\"'(\[{<,;:!?]+", ""), r"[\"')\]}>,;:!?.]+$", "")
     rest = rest.select(*keys, "p_text", F.lit(None).cast("string").alias("kind"), (F.col("s.start") + lead).alias("start"), (F.col("s.start") + lead + F.length(trimmed)).alias("end"), trimmed.alias("value"))
@@ -154,11 +197,11 @@ def extract(docs: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """``with_base`` rows plus p_added: array of (kind, start, end) discovered from contexts."""
     base = with_base(docs) if base is None else base
     tokens = pin(_tokens(base.where(F.col("p_text").rlike("[0-9@]")), "p_key"))
-    good = trusted_contexts(tokens.select("left", "right", "value", "kind"))
-    shape = F.lit(False)
-    for kind in KINDS:
-        shape = F.when(F.col("kind") == kind, F.col("value").rlike(SHAPES[kind])).otherwise(shape)
-    added = tokens.where("kind is null").drop("kind").withColumn("context", F.xxhash64("left", "right")).join(good, "context").where(shape)
+    fits = F.filter(F.array(*(F.when(_fits(k, F.col("value")), k) for k in KINDS)), lambda k: k.isNotNull())
+    tokens = pin(tokens.withColumn("fits", F.when(F.col("kind").isNull(), fits)).where("kind is not null or size(fits) > 0"), replaces=tokens)
+    good = trusted_contexts(tokens)
+    loose = tokens.where("kind is null").select("p_key", "start", "end", "left", "right", "value", F.explode("fits").alias("kind"))
+    added = _with_contexts(loose).join(good, ["context", "kind"])
     added = added.groupBy("p_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("p_added"))
     return base.join(added, "p_key", "left")
 
