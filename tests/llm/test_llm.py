@@ -361,7 +361,27 @@ def test_html_names_count_as_a_whole():
         assert htmltext.main_text(f'<article><p>{LONG}</p><div class="{name}">Buy it</div><p>{LONG}</p></article>') == f"{LONG}\n\n{LONG}", name
 
 
-def test_embeddings(spark):
+def brute_links(rows):
+    """vec_id -> (n_links, component_id, kept) by comparing all pairs."""
+    usable = [(i, np.array(v, float), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    links, parent = {r[0]: 0 for r in rows}, {r[0]: r[0] for r in rows if r[0] is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, v, y) in enumerate(usable):
+        for j, w, z in usable[a + 1 :]:
+            if y == z and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                x, y_ = sorted((root(i), root(j)))
+                parent[y_] = x
+    return {k: (n, root(k) if k is not None else None, k is None or root(k) == k) for k, n in links.items()}
+
+
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 64))
     rows = []
@@ -369,18 +389,37 @@ def test_embeddings(spark):
         v = centres[k % 30] + rng.normal(size=64) * rng.choice([0.02, 0.1, 0.14, 0.5])
         rows.append((k, v.astype(np.float32).tolist(), int(k % 30 % 3)))
     rows += [(500, rows[0][1], rows[0][2]), (501, None, 1), (502, [0.0] * 64, 1), (503, [float("nan")] + [1.0] * 63, 1), (504, rows[0][1], None), (505, [None] + [1.0] * 63, 1), (506, [1.0, 2.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: r for r in embedding.near_duplicates(df).collect()}
-    links = {r[0]: set() for r in rows}
-    usable = [(i, np.array(v, float), y) for i, v, y in rows if y is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    for a, (i, v, y) in enumerate(usable):
-        for j, w, z in usable[a + 1 :]:
-            if y == z and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98:
-                links[i].add(j), links[j].add(i)
-    assert {k: r.n_links for k, r in got.items()} == {k: len(v) for k, v in links.items()}
+    rows += [(507, [2 * c for c in rows[0][1]], rows[0][2]), (508, [1e-30] * 64, 2), (509, [1e-30] * 63 + [1.1e-30], 2), (510, [1.0], 1), (511, [2.0], 1), (512, [], 1), (None, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit("x")).withColumn("key", F.lit(1))
+    want = brute_links(rows)
+    assert want[508][0] == want[510][0] == 1 and max(n for n, _, _ in want.values()) > 5
+    for block, few in ((1024, 24), (7, 2)):  # small blocks: a bucket's members meet as many tiles
+        monkeypatch.setattr(embedding, "BLOCK", block)
+        monkeypatch.setattr(embedding, "FEW", few)
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(df).collect()}
+        assert got == want
+    wide = df.where("vec_id < 40").withColumn("embedding", F.expr("cast(embedding as array<double>)"))
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(wide).collect()} == brute_links(rows[:40])
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [0.0, 1.0], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(twice).collect())
+    assert got == Counter({(1, 0, 1, True): 1, (1, 3, 1, True): 1, (2, 3, 1, False): 1, (3, 3, 1, False): 2})
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall():
+    """Pairs at the threshold itself, for every number of hashes that a key may join."""
+    rng = np.random.default_rng(4)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 1500, 64)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    zero = np.zeros(len(a), np.int64)
+    for axes in (1, 2, 3, 4, 5):
+        x, y = (embedding.bucket_keys(v, zero, axes) for v in (a, b))
+        met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3))
+        assert met.mean() >= 0.999, axes
+    assert [embedding.axes_for(n, 64) for n in (1, 50, 5000, 10**6, 10**9)] == [1, 2, 3, 4, 6]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
