@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from timberline.functions.sqltext import X
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
@@ -138,7 +139,7 @@ def test_latency(spark, tmp_path):
 def test_timestamps(spark, line, at):
     from timberline.functions.timestamps import extract_timestamp
 
-    assert spark.range(1).select(extract_timestamp(F.lit(line))["ts_ms"]).first()[0] == at
+    assert spark.range(1).select(extract_timestamp(X.lit(line))["ts_ms"].column).first()[0] == at
 
 
 @pytest.mark.parametrize(
@@ -148,14 +149,14 @@ def test_timestamps(spark, line, at):
 def test_levels(spark, line, level):
     from timberline.functions.levels import detect_level
 
-    assert spark.range(1).select(detect_level(F.lit(line))["level"]).first()[0] == level
+    assert spark.range(1).select(detect_level(X.lit(line))["level"].column).first()[0] == level
 
 
 def test_normalized_and_fingerprint(spark):
     from timberline.functions.normalize import fnv1a, normalize_message
 
     row = spark.range(1).select(
-        normalize_message(F.lit("user 10.0.0.1 took 35ms on order-88912 at 2024-01-01 10:00:00 x@y.org")), fnv1a(F.lit("error||abc"))
+        normalize_message(X.lit("user 10.0.0.1 took 35ms on order-88912 at 2024-01-01 10:00:00 x@y.org")).column, fnv1a(X.lit("error||abc")).column
     ).first()
     assert row[0] == "user <ip> took <duration> on order-<n> at <ts> <email>"
     h = 2166136261

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import group, matched, start_of
+from timberline.functions.text import any_of, cut
 
 # Severities by rank, the words for them, and the wording that implies them.
 RANK = {"fatal": 6, "error": 5, "warn": 4, "info": 3, "debug": 2, "trace": 1, "unknown": 0}
-LEVEL_WORDS = {
-    "fatal": ("FATAL", "CRITICAL", "CRIT", "PANIC", "EMERG", "ALERT"),
-    "error": ("ERROR", "ERR", "EXCEPTION", "FAILURE", "FAILED", "FAIL"),
-    "warn": ("WARN", "WARNING", "NOTICE"),
-    "info": ("INFO", "INFORMATION", "LOG"),
-    "debug": ("DEBUG", "DBG"),
-    "trace": ("TRACE", "VERBOSE", "FINE", "FINER", "FINEST"),
-}
+LEVEL_OF_WORD = {
+    "FATAL": "fatal", "CRITICAL": "fatal", "CRIT": "fatal", "PANIC": "fatal", "EMERG": "fatal", "ALERT": "fatal",
+    "ERROR": "error", "ERR": "error", "EXCEPTION": "error", "FAILURE": "error", "FAILED": "error", "FAIL": "error",
+    "WARN": "warn", "WARNING": "warn", "NOTICE": "warn",
+    "INFO": "info", "INFORMATION": "info", "LOG": "info",
+    "DEBUG": "debug", "DBG": "debug",
+    "TRACE": "trace", "VERBOSE": "trace", "FINE": "trace", "FINER": "trace", "FINEST": "trace",
+}
 ERROR_WORDING = (
     "exception", "traceback", "stack trace", "fatal", "panic:", "segmentation fault", "assertionerror", "assertion failed",
     "failed", "failure", "cannot ", "unable to", "refused", "denied", "not found", "timed out", "timeout", "out of memory",
@@ -25,61 +24,69 @@ ERROR_WORDING = (
 WARN_WORDING = ("warn", "deprecated", "deprecation", "retry", "slow", "approaching", "fallback", "falling back", "soft ")
 DEBUG_WORDING = ("debug", "trace", "verbose")
 
-# Where a severity stands in a line, tried in this order; the last group is the word.
+# Where a severity stands in a line, tried in this order: (pattern, group of the word, what it can't do without).
 MARKERS = (
-    (r"[\[({<]\s*([A-Za-z]{3,9})\s*[\])}>]", 1),
-    (r'(?i)\b(?:level|severity|lvl|levelname|log_level|log\.level)\b\s*[=:]\s*"?([A-Za-z]{3,9})"?', 1),
-    (r"(?:^|[\s-])[*#=]?\s*([A-Za-z]{3,9})\s*[:|]\s*", 1),
-    (r"^([A-Z]{3,9}):\S+?:", 1),
-    (r"(?:^|[\s\])>(|])([*#=]?\s*)([A-Za-z]{3,9})\s*(?=[-:|(\s]|$)", 2),
-    (r"^[*#=]?\s*([A-Z]{3,9})\b", 1),
+    (r"[\[({<]\s*([A-Za-z]{3,9})\s*[\])}>]", 1, ""),
+    (r'(?i)\b(?:level|severity|lvl|levelname|log_level|log\.level)\b\s*[=:]\s*"?([A-Za-z]{3,9})"?', 1, "=:"),
+    (r"(?:^|[\s-])[*#=]?\s*([A-Za-z]{3,9})\s*[:|]\s*", 1, ":|"),
+    (r"^([A-Z]{3,9}):\S+?:", 1, ":"),
+    (r"(?:^|[\s\])>(|])([*#=]?\s*)([A-Za-z]{3,9})\s*(?=[-:|(\s]|$)", 2, ""),
+    (r"^[*#=]?\s*([A-Z]{3,9})\b", 1, ""),
 )
 SEPARATED = MARKERS[4][0]
 
 
-def _lookup(pairs: dict[str, object], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), key)
+def _lookup(pairs: dict[str, object], key: Sql) -> Sql:
+    return X.try_element_at(X.map(*(x for kv in pairs.items() for x in kv)), key)
 
 
-def rank(level: Column) -> Column:
-    return F.coalesce(_lookup(RANK, level), F.lit(0))
+def rank(level: Sql) -> Sql:
+    return X.coalesce(_lookup(RANK, level), 0)
 
 
-def token_level(token: Column) -> Column:
-    return _lookup({word: level for level, words in LEVEL_WORDS.items() for word in words}, F.upper(token))
+def token_level(token: Sql) -> Sql:
+    return _lookup(LEVEL_OF_WORD, X.upper(token))
 
 
-def detect_level(text: Column, scan: int = 160) -> Column:
+def detect_level(text: Sql, scan: int = 160) -> Sql:
     """struct(level, start, end) of the explicit severity within the first ``scan`` characters, or null.
 
     Each kind of marker looks at its first match only; if that isn't a severity, the next kind is tried.
     """
-    head = F.substring(text, 1, scan)
-    found = []
-    for pattern, index in MARKERS:
-        level = token_level(group(head, pattern, index))
-        at, whole = start_of(head, pattern), F.length(matched(head, pattern))
-        if pattern == SEPARATED:
-            at = at + F.length(F.regexp_extract(head, pattern, 1))
-            whole = F.length(F.regexp_extract(head, pattern, 2))
-        found.append(F.when(level.isNotNull(), F.struct(level.alias("level"), at.alias("start"), (at + whole).alias("end"))))
-    return F.coalesce(*found)
+
+    def all_of(head: Sql) -> Sql:
+        def way(pattern: str, index: int, gate: str) -> Sql:
+            def made(g: Sql) -> Sql:
+                def hit(level: Sql) -> Sql:
+                    at, whole = X.length(g[0]), g[1]
+                    if pattern == SEPARATED:
+                        at, whole = at + X.length(g[2]), g[3]
+                    return X.when(level.isNotNull(), X.struct(level.alias("level"), at.alias("start"), (at + X.length(whole)).alias("end")))
+
+                return X.when(g.isNotNull(), X.bind(token_level(g[index + 1]), hit))
+
+            found = X.bind(cut(head, pattern, index), made)
+            return X.when(any_of(head, gate), found) if gate else found
+
+        return X.coalesce(*(way(*m) for m in MARKERS))
+
+    return X.bind(X.substring(text, 1, scan), all_of)
 
 
 def _any_of(words: tuple[str, ...]) -> str:
     return "|".join(words)
 
 
-def infer_level(message: Column) -> Column:
+def infer_level(message: Sql) -> Sql:
     """Severity by wording."""
-    low = F.lower(message)
-    return F.when(low.rlike(_any_of(ERROR_WORDING)), "error").when(low.rlike(_any_of(WARN_WORDING)), "warn").when(low.rlike(_any_of(DEBUG_WORDING)), "debug").otherwise("info")
+    low = X.lower(message)
+    return X.when(low.rlike(_any_of(ERROR_WORDING)), "error").when(low.rlike(_any_of(WARN_WORDING)), "warn").when(low.rlike(_any_of(DEBUG_WORDING)), "debug").otherwise("info")
 
 
-def level_of_status(status: Column) -> Column:
-    return F.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info")
+def level_of_status(status: Sql) -> Sql:
+    return X.when(status >= 500, "error").when(status >= 400, "warn").otherwise("info")
 
 
-def level_of_number(n: Column) -> Column:
+def level_of_number(n: Sql) -> Sql:
     """Syslog severity numbers."""
-    return F.when(n <= 2, "fatal").when(n <= 3, "error").when(n <= 4, "warn").when(n <= 6, "info").otherwise("debug")
+    return X.when(n <= 2, "fatal").when(n <= 3, "error").when(n <= 4, "warn").when(n <= 6, "info").otherwise("debug")

@@ -2,58 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import flat, truncate
+from timberline.functions.text import any_of, flat, truncate
 
-# Ordered replacements, the most specific first.
+# Ordered replacements, the most specific first; a text without one of the third's characters or words can't match.
 REPLACEMENTS = (
-    (r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+(?:\.[A-Za-z_$][\w$]*)*Exception|\b[A-Za-z_$][\w$]*Error|\b[A-Za-z_$][\w$]*Exception)\b", "<type>"),
-    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<ts>"),
-    (r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\s*[+-]\d{4}", "<ts>"),
-    (r"\b[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\b", "<ts>"),
-    (r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b", "<time>"),
-    (r"(?i)\b\d+(?:\.\d+)?\s?(?:ms|msec|millis|seconds?|secs?|s|minutes?|min|m)\b", "<duration>"),
-    (r"(?i)\b\d+(?:\.\d+)?\s?(?:bytes?|kb|mb|gb|tb|kib|mib|gib)\b", "<size>"),
-    (r"\b\d+(?:\.\d+)?%", "<pct>"),
-    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-    (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "<email>"),
-    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
-    (r"(?i)\b(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}\b", "<ip>"),
-    (r"(?i)0x[0-9a-f]+", "<hex>"),
-    (r"(?i)\b[0-9a-f]{16,}\b", "<hash>"),
-    (r"\b[A-Za-z0-9+/]{32,}={0,2}\b", "<blob>"),
-    (r'"(?:[^"\\]|\\.)*"', "<str>"),
-    (r'"[^"]*"?:', "<key>:"),
-    (r"'(?:[^'\\]|\\.)*'", "<str>"),
-    (r"([\w./\\-]+\.\w{1,5}):\d+(?::\d+)?", "<file>:<line>"),
-    (r"(?i)\b(pid|tid|thread|status|code|id|index|offset|port|size|length|bytes|attempt|retry|connection|conn)\b(\s*[=:]\s*)\S+", "$1$2<val>"),
-    (r"\b\d{4,}\b", "<n>"),
-    (r"(?i)([a-z][a-z0-9+.-]*://[^\s\"']+\?)[^\s\"']*", "$1<query>"),
-    (r"\b\d+(?:\.\d+)?\b", "<n>"),
+    (r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+(?:\.[A-Za-z_$][\w$]*)*Exception|\b[A-Za-z_$][\w$]*Error|\b[A-Za-z_$][\w$]*Exception)\b", "<type>", ("Exception", "Error")),
+    (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<ts>", ("-",)),
+    (r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\s*[+-]\d{4}", "<ts>", ("/",)),
+    (r"\b[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\b", "<ts>", (":",)),
+    (r"\b\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\b", "<time>", (":",)),
+    (r"(?i)\b\d+(?:\.\d+)?\s?(?:ms|msec|millis|seconds?|secs?|s|minutes?|min|m)\b", "<duration>", ()),
+    (r"(?i)\b\d+(?:\.\d+)?\s?(?:bytes?|kb|mb|gb|tb|kib|mib|gib)\b", "<size>", ("b", "B")),
+    (r"\b\d+(?:\.\d+)?%", "<pct>", ("%",)),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>", ("-",)),
+    (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "<email>", ("@",)),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>", (".",)),
+    (r"(?i)\b(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}\b", "<ip>", (":",)),
+    (r"(?i)0x[0-9a-f]+", "<hex>", ("0x", "0X")),
+    (r"(?i)\b[0-9a-f]{16,}\b", "<hash>", ()),
+    (r"\b[A-Za-z0-9+/]{32,}={0,2}\b", "<blob>", ()),
+    (r'"(?:[^"\\]|\\.)*"', "<str>", ('"',)),
+    (r'"[^"]*"?:', "<key>:", ('"',)),
+    (r"'(?:[^'\\]|\\.)*'", "<str>", ("'",)),
+    (r"([\w./\\-]+\.\w{1,5}):\d+(?::\d+)?", "<file>:<line>", (":",)),
+    (r"(?i)\b(pid|tid|thread|status|code|id|index|offset|port|size|length|bytes|attempt|retry|connection|conn)\b(\s*[=:]\s*)\S+", "$1$2<val>", ("=", ":")),
+    (r"\b\d{4,}\b", "<n>", ()),
+    (r"(?i)([a-z][a-z0-9+.-]*://[^\s\"']+\?)[^\s\"']*", "$1<query>", ("://",)),
+    (r"\b\d+(?:\.\d+)?\b", "<n>", ()),
 )
 SIGNATURE_CHARS, PATTERN_CHARS, TITLE_CHARS = 220, 240, 120
 
 
-def normalize_message(message: Column) -> Column:
-    for pattern, put in REPLACEMENTS:
-        message = F.regexp_replace(message, pattern, put)
+def normalize_message(message: Sql) -> Sql:
+    def way(pattern: str, put: str, needs: tuple[str, ...]):
+        def replaced(text: Sql) -> Sql:
+            new = X.regexp_replace(text, pattern, put)
+            return X.when(any_of(text, needs), new).otherwise(text) if needs else new
+
+        return replaced
+
+    for rule in REPLACEMENTS:
+        message = X.bind(message, way(*rule))
     return flat(message)
 
 
-def fnv1a(text: Column) -> Column:
-    """FNV-1a over the characters' code points, 32 bits, in base 36."""
-    codes = F.filter(F.split(text, ""), lambda c: c != "")
-    h = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(4294967295))
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+def fnv1a(text: Sql) -> Sql:
+    """FNV-1a over the text's UTF-16 units, 32 bits, in base 36."""
+    step = lambda h, unit: (h.xor(unit) * 16777619).bits(4294967295)
+
+    def two(h: Sql, code: Sql) -> Sql:
+        high = X.shiftright(code - 0x10000, 10) + 0xD800
+        return X.when(code < 0x10000, step(h, code)).otherwise(step(step(h, high), code.bits(0x3FF) + 0xDC00))
+
+    codes = X.transform(X.split(text, ""), lambda c: X.ascii(c).cast("long"))
+    return X.when(text == "", "ztntfp").otherwise(X.lower(X.conv(X.aggregate(codes, X.lit(2166136261), two).cast("string"), 10, 36)))
 
 
-def signature(level: Column, normalized: Column, exception_type: Column, logger: Column) -> Column:
-    scope = F.coalesce(exception_type, logger, F.lit(""))
-    return fnv1a(F.concat_ws("|", level, scope, F.substring(normalized, 1, SIGNATURE_CHARS)))
+def signature(level: Sql, normalized: Sql, exception_type: Sql, logger: Sql) -> Sql:
+    scope = X.coalesce(exception_type, logger, "")
+    return fnv1a(X.concat_ws("|", level, scope, X.substring(normalized, 1, SIGNATURE_CHARS)))
 
 
-def title(message: Column, exception_type: Column, limit: int = TITLE_CHARS) -> Column:
-    lead = F.when(exception_type.isNull() | (exception_type == ""), F.lit("")).otherwise(F.concat(exception_type, F.lit(": ")))
-    return truncate(flat(F.concat(lead, message)), limit)
+def title(message: Sql, exception_type: Sql, limit: int = TITLE_CHARS) -> Sql:
+    lead = X.when(exception_type.isNull() | (exception_type == ""), "").otherwise(X.concat(exception_type, ": "))
+    return truncate(flat(X.concat(lead, message)), limit)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import group, strip
+from timberline.functions.text import line_groups, part, strip, without_lead
 
 # Exception headers (pattern, type or None for group 1, fatal), tried in this order.
 HEADERS = (
@@ -16,16 +15,16 @@ HEADERS = (
     (r"^panic:\s*(.*)$", "panic", True),
     (r"^fatal error:\s*(.*)$", "fatal error", True),
 )
-# Stack frames. (pattern, function group, location group) or (pattern, function group, file group, line group).
+# Stack frames, as (pattern, its groups, function's group, file's group, line's group or None if the file's has it).
 FRAMES = (
-    (r"^at\s+([\w$.<>]+\.[\w$<>]+)\(([^)]*)\)\s*$", 1, 2, None),
-    (r"^at\s+([\w$]+(?:\.[\w$]+)*)\(([^)]*)\)\s*$", 1, 2, None),
-    (r"^at\s+(?:async\s+)?(.+?)\s+\((.+?)\)\s*$", 1, 2, None),
-    (r"^at\s+(\S+?)(?::(\d+):(\d+))\s*$", None, 1, 2),
-    (r'^File\s+"([^"]+)",\s*line\s+(\d+)(?:,\s*in\s+(.+))?$', 3, 1, 2),
-    (r"(?i)^([\w./()*\[\]-]+)\((?:0x[0-9a-f]+)?\)?\s+(/[^:]+|\S+\.go):(\d+)", 1, 2, 3),
-    (r"(?i)^at\s+([\w.<>`]+)\(?\)?\s+in\s+(.+?):line\s+(\d+)$", 1, 2, 3),
-    (r"^from\s+(.+?):(\d+)(?::in\s+[`'](.+?)')?", 3, 1, 2),
+    (r"^at\s+([\w$.<>]+\.[\w$<>]+)\(([^)]*)\)\s*$", 2, 1, 2, None),
+    (r"^at\s+([\w$]+(?:\.[\w$]+)*)\(([^)]*)\)\s*$", 2, 1, 2, None),
+    (r"^at\s+(?:async\s+)?(.+?)\s+\((.+?)\)\s*$", 2, 1, 2, None),
+    (r"^at\s+(\S+?)(?::(\d+):(\d+))\s*$", 3, None, 1, 2),
+    (r'^File\s+"([^"]+)",\s*line\s+(\d+)(?:,\s*in\s+(.+))?$', 3, 3, 1, 2),
+    (r"(?i)^([\w./()*\[\]-]+)\((?:0x[0-9a-f]+)?\)?\s+(/[^:]+|\S+\.go):(\d+)", 3, 1, 2, 3),
+    (r"(?i)^at\s+([\w.<>`]+)\(?\)?\s+in\s+(.+?):line\s+(\d+)$", 3, 1, 2, 3),
+    (r"^from\s+(.+?):(\d+)(?::in\s+[`'](.+?)')?", 3, 3, 1, 2),
 )
 CONTINUATIONS = (
     "caused by:", "suppressed:", "during handling of the above exception", "the above exception was thrown", "... ",
@@ -35,51 +34,62 @@ CONTINUATIONS = (
 FRAME_TYPE = "struct<function:string,file:string,line:int,raw:string>"
 
 
-def exception_header(raw: Column) -> Column:
-    """struct(type, message, fatal) of an exception's first line, or null."""
-    line, found = strip(raw), []
-    for pattern, kind, fatal in HEADERS:
-        name = group(line, pattern, 1) if kind is None else F.lit(kind)
-        text = strip(F.regexp_extract(line, pattern, 2 if kind is None else 1))
-        found.append(F.when(line.rlike(pattern), F.struct(name.alias("type"), text.alias("message"), F.lit(fatal).alias("fatal"))))
-    return F.when(line.rlike("Exception|Error|Throwable|Fault|Failure|Warning|Interrupt|Exit|panic:|fatal error:"), F.coalesce(*found))
-
-
-def stack_frame(raw: Column) -> Column:
-    """struct(function, file, line, raw) of a stack frame, or null."""
-    line, found = strip(raw), []
-    for pattern, function, place, number in FRAMES:
-        name = F.lit(None).cast("string") if function is None else strip(group(line, pattern, function))
-        where = strip(F.regexp_extract(line, pattern, place))
-        if number is None:
-            tail = r"^(.*?):(\d+)(?::\d+)?$"
-            known = ~where.isin("", "Unknown Source", "<anonymous>")
-            file = F.when(where.rlike(tail), F.regexp_extract(where, tail, 1)).when(known, where)
-            at = group(where, tail, 2)
-        else:
-            file, at = where, group(line, pattern, number)
-        frame = F.struct(name.alias("function"), file.alias("file"), at.try_cast("int").alias("line"), line.alias("raw"))
-        found.append(F.when(line.rlike(pattern), frame))
-    return F.when(line.rlike(r"(?i)^(at |file |from |[\w./()*\[\]-]+\()"), F.coalesce(*found))
-
-
-def is_continuation(raw: Column, frame: Column) -> Column:
-    low = F.lower(F.regexp_replace(raw, r"^\s+", ""))
-    marks = F.lit(False)
+def exception_header(line: Sql) -> Sql:
+    """struct(type, message, fatal) of an exception's first line (without white space at its ends), or null."""
+
+    def way(pattern: str, kind: str | None, fatal: bool) -> Sql:
+        def made(g: Sql) -> Sql:
+            name, text = (part(g, 0), g[1]) if kind is None else (X.lit(kind), g[0])
+            return X.when(g.isNotNull(), X.struct(name.alias("type"), strip(text).alias("message"), X.lit(fatal).alias("fatal")))
+
+        return X.bind(line_groups(line, pattern, 2 if kind is None else 1), made)
+
+    return X.when(line.rlike("Exception|Error|Throwable|Fault|Failure|Warning|Interrupt|Exit|panic:|fatal error:"), X.coalesce(*(way(*h) for h in HEADERS)))
+
+
+def stack_frame(line: Sql) -> Sql:
+    """struct(function, file, line, raw) of a stack frame (without white space at its ends), or null."""
+
+    def way(pattern: str, count: int, function: int | None, place: int, number: int | None) -> Sql:
+        def made(g: Sql) -> Sql:
+            name = X.lit(None).cast("string") if function is None else strip(part(g, function - 1))
+
+            def framed(where: Sql) -> Sql:
+                if number is not None:
+                    return _frame(name, where, part(g, number - 1), line)
+                known = ~where.isin("", "Unknown Source", "<anonymous>")
+                split = line_groups(where, r"^(.*?):(\d+)(?::\d+)?$", 2)
+                return X.bind(split, lambda t: X.when(t.isNotNull(), _frame(name, t[0], t[1], line)).otherwise(_frame(name, X.when(known, where), X.lit(None), line)))
+
+            return X.when(g.isNotNull(), X.bind(strip(g[place - 1]), framed))
+
+        return X.bind(line_groups(line, pattern, count), made)
+
+    return X.when(line.rlike(r"(?i)^(at |file |from |[\w./()*\[\]-]+\()"), X.coalesce(*(way(*f) for f in FRAMES)))
+
+
+def _frame(function: Sql, file: Sql, number: Sql, raw: Sql) -> Sql:
+    at = number.cast("string").try_cast("int")
+    return X.struct(function.alias("function"), file.alias("file"), at.alias("line"), raw.alias("raw")).cast(FRAME_TYPE)
+
+
+def is_continuation(raw: Sql, frame: Sql) -> Sql:
+    low = X.lower(without_lead(raw))
+    marks = X.lit(False)
     for m in CONTINUATIONS:
         marks = marks | low.startswith(m)
     return (low != "") & (frame.isNotNull() | marks)
 
 
-def frame_owner(frame: Column) -> Column:
+def frame_owner(frame: Sql) -> Sql:
     """The class or module that a frame belongs to."""
-    name = strip(F.regexp_replace(frame["function"], r"\(.*$", ""))
-    owner = F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-    return F.when(frame["function"].isNull(), frame["file"]).otherwise(owner)
+    name = strip(X.regexp_replace(frame["function"], r"\(.*$", ""))
+    owner = X.when(X.instr(name, ".") > 0, X.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    return X.when(frame["function"].isNull(), frame["file"]).otherwise(owner)
 
 
-def compact_frames(frames: Column, most: int = 40, head: int = 12, tail: int = 6) -> Column:
-    return F.when(F.size(frames) > most, F.concat(F.slice(frames, 1, head), F.slice(frames, -tail, tail))).otherwise(frames)
+def compact_frames(frames: Sql, most: int = 40, head: int = 12, tail: int = 6) -> Sql:
+    return X.when(X.size(frames) > most, X.concat(X.slice(frames, 1, head), X.slice(frames, -tail, tail))).otherwise(frames)
 
 
 # References to places in sources.
@@ -89,11 +99,11 @@ SOURCE_REFS = (
 )
 
 
-def source_refs(text: Column, limit: int = 3) -> Column:
+def source_refs(text: Sql, limit: int = 3) -> Sql:
     """The first ``file:line`` references, one for each file."""
-    refs = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in SOURCE_REFS))
-    refs = F.transform(refs, lambda r: F.regexp_extract(r, r"^(.*?:\d+)(?::\d+)?$", 1))
-    file = lambda r: F.regexp_replace(r, r"\d+$", "")
-    none = F.array().cast("array<string>")
-    one = F.aggregate(refs, none, lambda acc, r: F.when(F.exists(acc, lambda a: a.startswith(file(r))), acc).otherwise(F.array_append(acc, r)))
-    return F.when(text.rlike(r":\d"), F.slice(one, 1, limit)).otherwise(none)
+    refs = X.concat(*(X.regexp_extract_all(text, p, 0) for p in SOURCE_REFS))
+    refs = X.transform(refs, lambda r: X.regexp_extract(r, r"^(.*?:\d+)(?::\d+)?$", 1))
+    file = lambda r: X.regexp_replace(r, r"\d+$", "")
+    none = X.array().cast("array<string>")
+    one = X.aggregate(refs, none, lambda acc, r: X.when(X.exists(acc, lambda a: a.startswith(file(r))), acc).otherwise(X.array_append(acc, r)))
+    return X.when(text.rlike(r":\d"), X.slice(one, 1, limit)).otherwise(none)

@@ -1,103 +1,154 @@
-"""Column helpers for text."""
+"""Sql helpers for text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from timberline.functions.sqltext import Sql, X
 
+#: Stands between the groups of a match while they are taken apart. Lines have blanks in its place (``clean``).
+SEP = "\x1f"
+SPACE = " \t\n\x0b\x0c\r\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+DAY_MS = 86_400_000
 
-def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def clean(text: Sql) -> Sql:
+    return X.translate(text, SEP, " ")
 
-def group(text: Column, pattern: str, index: int = 1) -> Column:
-    """A group of the first match; null without a match or where the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
+def groups(text: Sql, pattern: str, count: int) -> Sql:
+    """The ``count`` groups of the first match of a pattern for the whole text, empty where a group has no part; else null.
 
-def start_of(text: Column, pattern: str) -> Column:
-    """0-based place of the first match; null without one."""
-    at = F.regexp_instr(text, F.lit(pattern))
-    return F.when(at > 0, at - 1)
+    One run of the pattern gives all groups. The text holds no ``SEP`` (``clean``).
+    """
+    marked = X.regexp_replace(text, pattern, SEP.join(f"${k}" for k in range(1, count + 1)) + SEP)
+    return X.bind(marked, lambda m: X.when(m.endswith(SEP), X.split(m, SEP, -1)))
 
 
-def matched(text: Column, pattern: str) -> Column:
-    """The first match, null without one."""
-    return F.regexp_substr(text, F.lit(pattern))
+def any_of(text: Sql, characters: str | tuple[str, ...]) -> Sql:
+    """Whether the text holds one of the characters (or words); much cheaper than a pattern that needs one."""
+    out = text.contains(characters[0])
+    for c in characters[1:]:
+        out = out | text.contains(c)
+    return out
+
+
+def cut(text: Sql, pattern: str, count: int) -> Sql:
+    """[text before, match, groups 1 to count, text after] of the first match; null without one."""
+    flags, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    marked = X.regexp_replace(text, rf"{flags}({body})([\s\S]*)$", SEP + SEP.join(f"${k}" for k in range(1, count + 3)))
+    return X.bind(marked, lambda m: X.when(m.contains(SEP), X.split(m, SEP, -1)))
+
+
+def line_groups(text: Sql, pattern: str, count: int) -> Sql:
+    """As ``groups`` for a pattern that begins with ``^`` and may end before the text does."""
+    return groups(text, pattern if pattern.endswith("$") else pattern + r"[\s\S]*$", count)
 
 
-def strip(text: Column) -> Column:
+def part(found: Sql, index: int) -> Sql:
+    """A group by its place; null where it is empty."""
+    return X.nullif(found[index], "")
+
+
+def strip(text: Sql) -> Sql:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    return X.btrim(text, SPACE)
+
+
+def without_lead(text: Sql, extra: str = "") -> Sql:
+    """Without white space, and the characters of ``extra``, at the beginning."""
+    return X.ltrim(SPACE + extra, text)
 
 
-def flat(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\s+", " "))
+def flat(text: Sql) -> Sql:
+    return strip(X.regexp_replace(text, r"\s+", " "))
 
 
-def truncate(text: Column, limit: int) -> Column:
+def truncate(text: Sql, limit: int) -> Sql:
     """At most ``limit`` characters, the last one an ellipsis if any were cut."""
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+    return X.when(X.length(text) > limit, X.concat(X.substring(text, 1, limit - 1), "…")).otherwise(text)
 
 
-def round_half_up(x: Column) -> Column:
-    return F.floor(x + 0.5)
+def round_half_up(x: Sql) -> Sql:
+    return X.floor(x + 0.5)
 
 
-def percent(x: Column) -> Column:
-    return F.concat(F.format_number(x * 100, 1), F.lit("%"))
+def percent(x: Sql, digits: int = 1) -> Sql:
+    return X.concat(X.format_string(f"%.{digits}f", x * 100), "%")
 
 
-def normalize_path(path: Column) -> Column:
+def short_ms(ms: Sql) -> Sql:
+    """``850ms``, ``4.20s``, ``2.5m``."""
+    return (
+        X.when(ms >= 60_000, X.concat(X.format_string("%.1f", ms / 60_000), "m"))
+        .when(ms >= 1_000, X.concat(X.format_string("%.2f", ms / 1_000), "s"))
+        .otherwise(X.concat(round_half_up(ms).cast("string"), "ms"))
+    )
+
+
+def normalize_path(path: Sql) -> Sql:
     """Path without query, with ids, uuids and hashes replaced so that requests of a route group together."""
 
-    def segment(s: Column) -> Column:
+    def segment(s: Sql) -> Sql:
         return (
-            F.when(s.rlike("^[0-9]+$"), ":id")
+            X.when(s.rlike("^[0-9]+$"), ":id")
             .when(s.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-"), ":uuid")
             .when(s.rlike("(?i)^[0-9a-f]{16,}$"), ":hash")
-            .when((F.length(s) > 24) & s.rlike("[0-9]"), ":id")
+            .when((X.length(s) > 24) & s.rlike("[0-9]"), ":id")
             .otherwise(s)
         )
 
-    return F.array_join(F.transform(F.split(F.regexp_replace(path, r"(?s)[?#].*$", ""), "/"), segment), "/")
+    return X.array_join(X.transform(X.split(X.regexp_replace(path, r"(?s)[?#].*$", ""), "/"), segment), "/")
 
 
-def format_duration(ms: Column) -> Column:
+def format_duration(ms: Sql) -> Sql:
     """``850ms``, ``4.20s``, ``32.1s``, ``5m 3s``, ``2h 5m``."""
     s = ms / 1000
-    minutes = F.floor(s / 60)
+    minutes = X.floor(s / 60)
     return (
-        F.when(ms < 1000, F.concat(round_half_up(ms).cast("string"), F.lit("ms")))
-        .when(s < 10, F.format_string("%.2fs", s))
-        .when(s < 60, F.format_string("%.1fs", s))
-        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m "), round_half_up(s % 60).cast("string"), F.lit("s")))
-        .otherwise(F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), (minutes % 60).cast("string"), F.lit("m")))
+        X.when(ms < 1000, X.concat(round_half_up(ms).cast("string"), "ms"))
+        .when(s < 10, X.format_string("%.2fs", s))
+        .when(s < 60, X.format_string("%.1fs", s))
+        .when(minutes < 60, X.concat(minutes.cast("string"), "m ", round_half_up(s % 60).cast("string"), "s"))
+        .otherwise(X.concat(X.floor(minutes / 60).cast("string"), "h ", (minutes % 60).cast("string"), "m"))
     )
 
 
-def format_bytes(n: Column) -> Column:
-    out = F.concat(n.cast("string"), F.lit(" B"))
+def format_bytes(n: Sql) -> Sql:
+    out = X.concat(n.cast("string"), " B")
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         v = n / 1024.0**k
-        out = F.when(n >= 1024**k, F.concat(F.when(v >= 10, F.format_string("%.0f", v)).otherwise(F.format_string("%.1f", v)), F.lit(f" {unit}"))).otherwise(out)
+        out = X.when(n >= 1024**k, X.concat(X.when(v >= 10, X.format_string("%.0f", v)).otherwise(X.format_string("%.1f", v)), f" {unit}")).otherwise(out)
     return out
 
 
-def format_time(ts_ms: Column, with_date: bool = True) -> Column:
-    return F.date_format(F.timestamp_millis(ts_ms), "MMM d HH:mm:ss" if with_date else "HH:mm:ss")
+def _date(ts_ms: Sql) -> Sql:
+    return X.date_from_unix_date(X.floor(ts_ms / DAY_MS).cast("int"))
+
+
+def _clock(ts_ms: Sql) -> Sql:
+    """``HH:mm:ss`` in UTC."""
+    s = X.floor(X.pmod(ts_ms, DAY_MS) / 1000).cast("int")
+    two = lambda x: X.lpad(x.cast("string"), 2, "0")
+    return X.concat(two(X.floor(s / 3600)), ":", two(X.floor(s / 60) % 60), ":", two(s % 60))
+
+
+def utc_text(ts_ms: Sql, between: str = "T", behind: str = "Z") -> Sql:
+    """``2024-05-01T12:34:56.789Z``, in UTC whatever the session's zone."""
+    ms = X.lpad(X.pmod(ts_ms, 1000).cast("string"), 3, "0")
+    return X.concat(_date(ts_ms).cast("string"), between, _clock(ts_ms), ".", ms, behind)
 
 
-def stamp(ts_ms: Column) -> Column:
-    return F.concat(F.date_format(F.timestamp_millis(ts_ms), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" UTC"))
+def stamp(ts_ms: Sql) -> Sql:
+    return utc_text(ts_ms, " ", " UTC")
 
 
-def csv_cell(text: Column) -> Column:
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+def format_time(ts_ms: Sql, with_date: bool = True) -> Sql:
+    """``May 1 12:34:56``, in UTC."""
+    day = _date(ts_ms)
+    name = X.element_at(X.array(*MONTHS), X.month(day))
+    return X.concat(name, " ", X.dayofmonth(day).cast("string"), " ", _clock(ts_ms)) if with_date else _clock(ts_ms)
 
 
-def escape_html(text: Column) -> Column:
-    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(raw), F.lit(name))
-    return text
+def csv_cell(text: Sql) -> Sql:
+    text = X.coalesce(text.cast("string"), "")
+    return X.when(text.rlike('[",\n]'), X.concat('"', X.replace(text, '"', '""'), '"')).otherwise(text)

@@ -1,14 +1,13 @@
 """Timestamps in log lines, as epoch milliseconds with their place in the line.
 
-Times without a zone are UTC; syslog times take the given year.
+Times without a zone are UTC, whatever the session's zone; syslog times take the given year.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import group, matched, start_of, strip
+from timberline.functions.text import DAY_MS, MONTHS, cut, strip
 
 # The layouts that are looked for, most specific first.
 ISO = r"(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?"
@@ -18,65 +17,86 @@ YEAR_FIRST = r"(\d{4})/(\d{2})/(\d{2})[ T](\d{2}):(\d{2}):(\d{2})"
 MONTH_FIRST = r"(\d{2})/(\d{2})/(\d{4})\s+(\d{2}):(\d{2}):(\d{2})"
 EPOCH = r"(?:^|[\[({| ])(1[0-9]{12}|20[0-9]{11})(?:[\])}| ,:]|$)"
 
+TIME = "struct<ts_ms:bigint,raw:string,start:int,end:int>"
 
-def _millis(text: Column, layout: str) -> Column:
-    return F.unix_millis(F.try_to_timestamp(text, F.lit(layout)))
 
+def _number(x: Sql) -> Sql:
+    return x.cast("long")
 
-def _number(text: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(text, pattern, index)
 
+def _month(name: Sql) -> Sql:
+    """1 to 12; null for another word."""
+    at = X.array_position(X.array(*MONTHS), X.initcap(name))
+    return X.when(at > 0, at)
 
-def _iso(line: Column) -> Column:
-    part = lambda k: _number(line, ISO, k)
-    zone = F.regexp_replace(part(8), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    zone = F.when(zone.isin("", "Z"), "+00:00").otherwise(zone)
-    text = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit("."), F.rpad(F.substring(part(7), 1, 3), 3, "0"), zone)
-    return _millis(text, "yyyy-MM-dd HH:mm:ss.SSSxxx")
 
+def _millis(year: Sql, month: Sql, day: Sql, clock: list[Sql], millis: Sql | None = None) -> Sql:
+    """Null unless the parts are in range; a day that the month doesn't have counts on into the next."""
+    hour, minute, second = clock
+    days = X.unix_date(X.make_date(year.cast("int"), month.cast("int"), X.lit(1))) + day - 1
+    value = days.cast("long") * DAY_MS + hour * 3_600_000 + minute * 60_000 + second * 1000
+    value = value if millis is None else value + millis
+    return X.when(month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59), value)
 
-def _access(line: Column) -> Column:
-    part = lambda k: _number(line, ACCESS, k)
-    zone = F.when(part(7) == "", "+0000").otherwise(part(7))
-    text = F.concat(part(1), F.lit("/"), F.initcap(part(2)), F.lit("/"), part(3), F.lit(":"), part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit(" "), zone)
-    return _millis(text, "dd/MMM/yyyy:HH:mm:ss xx")
 
+def _offset(zone: Sql) -> Sql:
+    """Milliseconds east of UTC of ``+01:00`` or ``+0100``; 0 for Z or nothing."""
+    digits = X.regexp_replace(zone, "[^0-9]", "")
+    ms = (_number(X.substring(digits, 1, 2)) * 60 + _number(X.substring(digits, 3, 2))) * 60_000
+    return X.when(X.length(digits) == 4, X.when(zone.startswith("-"), -ms).otherwise(ms)).otherwise(0)
 
-def _syslog(line: Column, year: int) -> Column:
-    part = lambda k: _number(line, SYSLOG, k)
-    text = F.concat(F.lit(f"{year} "), F.initcap(part(1)), F.lit(" "), F.lpad(part(2), 2, "0"), F.lit(" "), part(3), F.lit(":"), part(4), F.lit(":"), part(5))
-    return _millis(text, "yyyy MMM dd HH:mm:ss")
 
+def _clock(g: Sql, at: int) -> list[Sql]:
+    return [_number(g[at + k]) for k in range(3)]
 
-def _slashes(line: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    y, m, d = (_number(line, pattern, k) for k in order)
-    clock = [_number(line, pattern, k) for k in (4, 5, 6)]
-    return _millis(F.concat_ws(" ", y, m, d, *clock), "yyyy MM dd HH mm ss")
 
+def _iso(g: Sql, year: int) -> Sql:
+    fraction = _number(X.rpad(X.substring(g[8], 1, 3), 3, "0"))
+    return _millis(_number(g[2]), _number(g[3]), _number(g[4]), _clock(g, 5), fraction) - _offset(g[9])
 
-def _epoch(line: Column) -> Column:
-    n = group(line, EPOCH).try_cast("long")
-    return F.when(n.between(1_000_000_000_000, 4_102_444_800_000), n)
 
+def _access(g: Sql, year: int) -> Sql:
+    return _millis(_number(g[4]), _month(g[3]), _number(g[2]), _clock(g, 5)) - _offset(g[8])
 
-def extract_timestamp(line: Column, year: int = 2024) -> Column:
+
+def _syslog(g: Sql, year: int) -> Sql:
+    return _millis(X.lit(year), _month(g[2]), _number(g[3]), _clock(g, 4))
+
+
+def _year_first(g: Sql, year: int) -> Sql:
+    return _millis(_number(g[2]), _number(g[3]), _number(g[4]), _clock(g, 5))
+
+
+def _month_first(g: Sql, year: int) -> Sql:
+    return _millis(_number(g[4]), _number(g[2]), _number(g[3]), _clock(g, 5))
+
+
+def _epoch(g: Sql, year: int) -> Sql:
+    n = _number(g[2])
+    return X.when(n.between(1_000_000_000_000, 4_102_444_800_000), n)
+
+
+_WAYS = ((ISO, 8, _iso), (ACCESS, 7, _access), (SYSLOG, 5, _syslog), (YEAR_FIRST, 6, _year_first), (MONTH_FIRST, 6, _month_first), (EPOCH, 1, _epoch))
+
+
+def extract_timestamp(line: Sql, year: int = 2024) -> Sql:
     """struct(ts_ms, raw, start, end) of the first layout, in order of specificity, whose value is a time; else null."""
-    ways = [
-        (ISO, _iso(line)),
-        (ACCESS, _access(line)),
-        (SYSLOG, _syslog(line, year)),
-        (YEAR_FIRST, _slashes(line, YEAR_FIRST, (1, 2, 3))),
-        (MONTH_FIRST, _slashes(line, MONTH_FIRST, (3, 1, 2))),
-        (EPOCH, _epoch(line)),
-    ]
-    found = []
-    for pattern, value in ways:
-        whole = matched(line, pattern)
-        at = start_of(line, pattern)
-        hit = F.struct(
-            value.alias("ts_ms"), strip(whole).alias("raw"),
-            (at + F.when(whole.startswith(" "), 1).otherwise(0)).alias("start"), (at + F.length(whole)).alias("end"),
-        )
-        found.append(F.when(line.rlike(pattern) & value.isNotNull(), hit))
+
+    def way(pattern: str, count: int, value) -> Sql:
+        def made(g: Sql) -> Sql:
+            def hit(ms: Sql) -> Sql:
+                at = X.length(g[0])
+                return X.when(
+                    ms.isNotNull(),
+                    X.struct(
+                        ms.alias("ts_ms"), strip(g[1]).alias("raw"), (at + X.when(g[1].startswith(" "), 1).otherwise(0)).alias("start"), (at + X.length(g[1])).alias("end"),
+                    ).cast(TIME),
+                )
+
+            return X.when(g.isNotNull(), X.bind(value(g, year), hit))
+
+        return X.bind(cut(line, pattern, count), made)
+
     # Every layout has two digits next to each other.
-    return F.when(line.rlike(r"\d\d"), F.coalesce(*found))
+    return X.when(line.rlike(r"\d\d"), X.coalesce(*(way(*w) for w in _WAYS)))
+

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from timberline.functions.durations import BUDGET_MS, SEVERE_MS, extract_duration, operation_name
 from timberline.functions.levels import RANK, rank
 from timberline.functions.normalize import PATTERN_CHARS, title
+from timberline.functions.sqltext import Sql, X
 from timberline.functions.stack import compact_frames, source_refs
 from timberline.functions.text import truncate
 from timberline.operators.parse import STATUS_IN_TEXT
 from timberline.operators.stitch import CHUNK
+from timberline.sources.shared import pin
 
 # How much of each list a report holds.
 MOST = {"issues": 60, "exceptions": 60, "loggers": 40, "sources": 40, "paths": 60, "statuses": 20, "operations": 20, "frames": 24, "samples": 3, "issue_loggers": 5}
@@ -57,9 +59,9 @@ def line_counts(lines: DataFrame) -> DataFrame:
 
 def level_counts(lines: DataFrame) -> DataFrame:
     """file_id, level, count: all seven severities for every file."""
-    found = entries_of(lines).groupBy("file_id", "level").agg(F.count("*").alias("count"))
-    files = lines.select("file_id").distinct().withColumn("level", F.explode(F.array(*(F.lit(x) for x in RANK))))
-    return files.join(found, ["file_id", "level"], "left").fillna(0, ["count"])
+    is_entry = F.col("role").isin("entry", "orphan")
+    wide = lines.groupBy("file_id").agg(*(F.count_if(is_entry & (F.col("level") == x)).alias(x) for x in RANK))
+    return wide.select("file_id", F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.col(x).alias("count")) for x in RANK))).alias("l")).select("file_id", "l.*")
 
 
 def health(levels: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def with_frames(lines: DataFrame) -> DataFrame:
 def source_counts(lines: DataFrame, most: int = MOST["sources"]) -> DataFrame:
     """Places named in messages, and those of frames; inherited frames count again."""
     place = lambda f: F.when(f["file"].isNotNull() & f["line"].isNotNull(), F.concat_ws(":", f["file"], f["line"]))
-    said = lines.where("role = 'entry'").select("file_id", "line_no", F.explode(source_refs(F.col("message"))).alias("location"))
+    said = lines.where("role = 'entry'").select("file_id", "line_no", F.explode(source_refs(X.col("message")).column).alias("location"))
     own = lines.where("frame is not null and role in ('continuation', 'orphan')").select("file_id", "line_no", place(F.col("frame")).alias("location"))
     again = with_frames(lines).where("inherited is not null").select("file_id", "line_no", F.explode("inherited").alias("f"))
     again = again.select("file_id", "line_no", place(F.col("f")).alias("location"))
@@ -157,7 +159,7 @@ def path_stats(lines: DataFrame, most: int = MOST["paths"]) -> DataFrame:
 
 def slowest_request(lines: DataFrame) -> DataFrame:
     r = http_rows(lines).where("path <> '' and duration_ms >= 0")
-    best = F.max_by(F.struct("path", "duration_ms", "line_no", truncate(F.col("raw"), 300).alias("raw")), F.struct("duration_ms", -F.col("line_no")))
+    best = F.max_by(F.struct("path", "duration_ms", "line_no", truncate(X.col("raw"), 300).alias("raw").column), F.struct("duration_ms", -F.col("line_no")))
     return r.groupBy("file_id").agg(best.alias("s")).select("file_id", "s.*")
 
 
@@ -165,18 +167,35 @@ def durations(lines: DataFrame) -> DataFrame:
     """file_id, line_no, ms, name, is_http: one row for each timed entry."""
     e = lines.where("role = 'entry'").select("file_id", "line_no", "message", "http")
     timed = F.col("http.duration_ms").isNotNull()
-    e = e.withColumn("hit", F.when(~timed, extract_duration(F.col("message"))))
-    name = F.when(timed, F.coalesce("http.path", operation_name(F.col("message"), F.lit(None).cast("int")))).otherwise(F.col("hit.name"))
+    e = e.withColumn("hit", X.when(X.col("http.duration_ms").isNull(), extract_duration(X.col("message"))).column)
+    name = X.when(X.col("http.duration_ms").isNotNull(), X.coalesce(X.col("http.path"), operation_name(X.col("message")))).otherwise(X.col("hit.name")).column
     return e.select("file_id", "line_no", F.when(timed, F.col("http.duration_ms")).otherwise(F.col("hit.ms")).alias("ms"), name.alias("name"), timed.alias("is_http")).where("ms is not null")
 
 
+#: Values of a percentile's group that lie in one range; ranges hold about so many different values.
+RANGES = 256
+
+
 def _ranked(df: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles by counting equal values first; no group is gathered in one place."""
-    counts = df.groupBy(*keys, "ms").agg(F.count("*").alias("c"))
-    upto = W.partitionBy(*keys).orderBy("ms").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
-    place = lambda q: F.floor(q * (F.col("n") - 1) + 0.5) + 1
-    return counts.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") >= place(q), F.col("ms"))).alias(name) for name, q in quantiles.items()))
+    """Exact nearest-rank percentiles; no task sees all values of a group.
+
+    Equal values are counted first. Positive values fall into ranges by their logarithm (``RANGES`` for each doubling); the
+    counts of a group's ranges, a few thousand rows at most, tell which range holds each rank, and only the values of
+    those ranges are looked at.
+    """
+    span = F.when(F.col("ms") > 0, F.floor(F.log2("ms") * RANGES)).otherwise(F.lit(-(10**6))).cast("long")
+    counts = pin(df.groupBy(*keys, "ms").agg(F.count("*").alias("c")).withColumn("span", span))
+    per = counts.groupBy(*keys, "span").agg(F.sum("c").alias("c"))
+    upto = W.partitionBy(*keys).orderBy("span").rowsBetween(W.unboundedPreceding, 0)
+    per = per.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    place = F.floor(F.col("q.q") * (F.col("n") - 1) + 0.5).cast("long") + 1
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("which"), F.lit(q).alias("q")) for name, q in quantiles.items()))).alias("q")
+    wanted = per.select(*keys, "span", "c", "upto", "n", each).withColumn("place", place)
+    wanted = wanted.where("place > upto - c and place <= upto").select(*keys, "span", F.col("q.which").alias("which"), (F.col("place") - F.col("upto") + F.col("c")).alias("place"))
+    within = W.partitionBy(*keys, "span").orderBy("ms").rowsBetween(W.unboundedPreceding, 0)
+    near = counts.join(wanted.select(*keys, "span").distinct(), [*keys, "span"]).withColumn("upto", F.sum("c").over(within))
+    hit = near.join(wanted, [*keys, "span"]).where("place > upto - c and place <= upto")
+    return hit.groupBy(*keys).agg(*(F.max(F.when(F.col("which") == name, F.col("ms"))).alias(name) for name in quantiles))
 
 
 def latency_overall(timed: DataFrame, reservoir: int | None = None) -> DataFrame:
@@ -227,9 +246,18 @@ def time_range(lines: DataFrame) -> DataFrame:
 
 
 def timeline(lines: DataFrame) -> DataFrame:
-    """Dense buckets of the smallest size that makes at most 48 of them: file_id, t, total, error, warn, info, other."""
+    """Dense buckets of the smallest size that makes at most 48 of them: file_id, t, total, error, warn, info, other.
+
+    Bucket sizes are whole seconds, so the lines are counted by second once, and everything else follows from those counts.
+    """
     e = lines.where("role = 'entry' and ts_ms is not null").select("file_id", "ts_ms", "level")
-    span = e.groupBy("file_id").agg(F.min("ts_ms").alias("low"), F.max("ts_ms").alias("high"), F.count("*").alias("n")).where("n >= 2 and high > low")
+    lanes = ("error", "warn", "info", "other")
+    lane = F.when(F.col("level").isin("error", "fatal"), "error").when(F.col("level").isin("warn", "info"), F.col("level")).otherwise("other")
+    seconds = e.groupBy("file_id", F.floor(F.col("ts_ms") / 1000).alias("s")).agg(
+        F.min("ts_ms").alias("low"), F.max("ts_ms").alias("high"), F.count("*").alias("total"), *(F.count_if(lane == x).alias(x) for x in lanes)
+    )
+    seconds = pin(seconds)
+    span = seconds.groupBy("file_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("n")).where("n >= 2 and high > low")
     size = F.lit(BUCKET_MS[-1]).cast("long")
     for ms in reversed(BUCKET_MS):
         size = F.when((F.col("high") - F.col("low")) / ms <= TARGET_BUCKETS, F.lit(ms).cast("long")).otherwise(size)
@@ -237,22 +265,21 @@ def timeline(lines: DataFrame) -> DataFrame:
     span = span.withColumn("buckets", F.least(F.ceil((F.col("high") - F.col("start")) / F.col("size")) + 1, F.lit(MOST_BUCKETS)))
     dense = span.select("file_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("k"), (F.col("start") + F.col("k") * F.col("size")).alias("t"))
     # One row for each file.
-    hits = e.join(span.select("file_id", "start", "size", "buckets"), "file_id")
-    hits = hits.withColumn("k", F.least(F.floor((F.col("ts_ms") - F.col("start")) / F.col("size")), F.col("buckets") - 1))
-    lane = F.when(F.col("level").isin("error", "fatal"), "error").when(F.col("level").isin("warn", "info"), F.col("level")).otherwise("other")
-    hits = hits.groupBy("file_id", "k").agg(F.count("*").alias("total"), *(F.count_if(lane == x).alias(x) for x in ("error", "warn", "info", "other")))
-    return dense.join(hits, ["file_id", "k"], "left").fillna(0, ["total", "error", "warn", "info", "other"]).drop("k")
+    hits = seconds.join(span.select("file_id", "start", "size", "buckets"), "file_id")
+    hits = hits.withColumn("k", F.least(F.floor((F.col("s") * 1000 - F.col("start")) / F.col("size")), F.col("buckets") - 1))
+    hits = hits.groupBy("file_id", "k").agg(*(F.sum(x).alias(x) for x in ("total", *lanes)))
+    return dense.join(hits, ["file_id", "k"], "left").fillna(0, ["total", *lanes]).drop("k")
 
 
 def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     """Groups of equal problems by signature, the most severe and frequent first."""
-    e = with_frames(lines).withColumn("who", F.when(F.col("role") == "entry", logger_of()))
+    e = pin(with_frames(lines).withColumn("who", F.when(F.col("role") == "entry", logger_of())))
     keys = ["file_id", "signature"]
     seen = F.when(F.col("ts_ms").isNotNull() & (F.col("role") == "entry"), F.col("line_no"))
     first = lambda c: F.min_by(c, "line_no")
     g = e.groupBy(*keys).agg(
         F.count("*").alias("count"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
-        F.min_by("ts_ms", seen).alias("first_seen"), F.max_by("ts_ms", seen).alias("last_seen"), F.max(rank(F.col("level"))).alias("severity"),
+        F.min_by("ts_ms", seen).alias("first_seen"), F.max_by("ts_ms", seen).alias("last_seen"), F.max(rank(X.col("level")).column).alias("severity"),
         first(F.col("message")).alias("message"), first(F.substring("normalized", 1, PATTERN_CHARS)).alias("pattern"), first(F.col("exc.type")).alias("first_type"),
     )
     # Headers of attached lines (such as causes) put their type in front of the title, in order.
@@ -263,21 +290,21 @@ def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     frames = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "inherited", "frames"))).alias("parts"))
     names = e.where("who is not null").groupBy(*keys, "who").agg(F.min("line_no").alias("line_no"))
     names = first_rows(names, keys, "line_no", MOST["issue_loggers"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "who"))).alias("who"))
-    samples = first_rows(e.where("role = 'entry'"), keys, "line_no", MOST["samples"]).select(*keys, "line_no", truncate(F.col("raw"), 400).alias("raw"))
+    samples = first_rows(e.where("role = 'entry'"), keys, "line_no", MOST["samples"]).select(*keys, "line_no", truncate(X.col("raw"), 400).alias("raw").column)
     samples = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("samples"))
     for part in (heads, frames, names, samples):
         g = g.join(part, keys, "left")
-    base = title(F.col("message"), F.col("first_type"))
-    put = lambda t, h: F.when(t.startswith(h["type"]), t).otherwise(title(t, h["type"]))
-    g = g.withColumn("title", F.when(F.col("heads").isNull(), base).otherwise(F.aggregate("heads", base, put)))
-    none = F.array().cast("array<struct<function:string,file:string,line:int,raw:string>>")
+    base = title(X.col("message"), X.col("first_type"))
+    put = lambda t, h: X.when(t.startswith(h["type"]), t).otherwise(title(t, h["type"]))
+    g = g.withColumn("title", X.when(X.col("heads").isNull(), base).otherwise(X.aggregate(X.col("heads"), base, put)).column)
+    none = X.array().cast("array<struct<function:string,file:string,line:int,raw:string>>")
 
-    def grow(acc: Column, p: Column) -> Column:
-        own, lent = F.coalesce(p["frames"], none), F.coalesce(p["inherited"], none)
-        start = F.when(F.size(acc) == 0, F.slice(compact_frames(lent), 1, MOST["frames"])).otherwise(acc)
-        return F.slice(F.concat(start, own), 1, MOST["frames"])
+    def grow(acc: Sql, p: Sql) -> Sql:
+        own, lent = X.coalesce(p["frames"], none), X.coalesce(p["inherited"], none)
+        start = X.when(X.size(acc) == 0, X.slice(compact_frames(lent), 1, MOST["frames"])).otherwise(acc)
+        return X.slice(X.concat(start, own), 1, MOST["frames"])
 
-    g = g.withColumn("frames", F.when(F.col("parts").isNull(), none).otherwise(F.aggregate("parts", none, grow)))
+    g = g.withColumn("frames", X.when(X.col("parts").isNull(), none).otherwise(X.aggregate(X.col("parts"), none, grow)).column)
     level = F.element_at(F.map_from_arrays(F.array(*(F.lit(r) for r in RANK.values())), F.array(*(F.lit(x) for x in RANK))), F.col("severity"))
     total = entries_of(lines).groupBy("file_id").agg(F.count("*").alias("parsed"))
     g = g.join(total, "file_id").select(
@@ -293,9 +320,9 @@ def sample_lines(lines: DataFrame, most: int = 2000, lead: int = 200) -> DataFra
     """The first ``lead`` entries, then those of severity warn and up or status 500, up to ``most``."""
     q = min(most, lead)
     e = lines.where("role = 'entry'")
-    notable = (rank(F.col("level")) >= RANK["warn"]) | F.coalesce(F.col("http.status") == 500, F.lit(False))
+    notable = (rank(X.col("level")).column >= RANK["warn"]) | F.coalesce(F.col("http.status") == 500, F.lit(False))
     start = first_rows(e, ["file_id"], "line_no", q).drop("k")
     later = e.where(notable).join(start.groupBy("file_id").agg(F.max("line_no").alias("last"), F.count("*").alias("n")), "file_id").where("n >= %d and line_no > last" % q)
     later = first_rows(later, ["file_id"], "line_no", most - q).drop("k", "last", "n") if most > q else None
     out = start if later is None else start.unionByName(later)
-    return out.select("file_id", "line_no", "level", truncate(F.col("raw"), 500).alias("raw"))
+    return out.select("file_id", "line_no", "level", truncate(X.col("raw"), 500).alias("raw").column)

@@ -1,4 +1,8 @@
-"""A bounded store of reports: rows (id, name, saved_at, report)."""
+"""A bounded store of reports: rows (id, name, saved_at, report).
+
+Defined results: rows of one name and time are told apart by their id; a null name is a name of its own; an unknown id
+changes and finds nothing; an empty store stays empty.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +23,31 @@ def without(old: DataFrame, id_: str) -> DataFrame:
     return old.where(F.col("id") != id_)
 
 
+def get(old: DataFrame, id_: str) -> DataFrame:
+    return old.where(F.col("id") == id_)
+
+
+def cleared(old: DataFrame) -> DataFrame:
+    return old.limit(0)
+
+
+def size_bytes(old: DataFrame) -> DataFrame:
+    """bytes: how much the store holds, in UTF-8."""
+    return old.agg(F.coalesce(F.sum(F.octet_length("report")), F.lit(0)).alias("bytes"))
+
+
+def trimmed(samples: DataFrame, issues: DataFrame, tight: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A report's samples and issues cut to what is stored: 150 lines of 300 characters; 40 issues with one sample and 8
+    frames of 200 characters. ``tight`` (where the store is full) drops the samples and keeps 20 issues with 5 frames."""
+    from timberline.operators.aggregate import top
+
+    lines, groups, frames = (0, 20, 5) if tight else (150, 40, 8)
+    kept = top(samples, [F.asc("line_no")], lines).drop("place").withColumn("raw", F.substring("raw", 1, 300))
+    few = top(issues.withColumnRenamed("place", "rank"), [F.asc("rank")], groups).drop("rank")
+    few = few.withColumn("samples", F.transform(F.slice("samples", 1, 1), lambda s: s.withField("raw", F.substring(s["raw"], 1, 300))))
+    return kept, few.withColumn("frames", F.transform(F.slice("frames", 1, frames), lambda f: f.withField("raw", F.substring(f["raw"], 1, 200))))
+
+
 def listed(old: DataFrame) -> DataFrame:
     return old.orderBy(F.desc("saved_at"))
 

@@ -1,15 +1,25 @@
-"""One typed row for each line of a log."""
+"""One typed row for each line of a log.
+
+A line is parsed in a few stages, each a generator, so that a filter or a projection on the rows never copies the parser's
+expressions; every pattern runs once a line and every intermediate is bound once. The layout decides first which parser a
+line meets.
+
+Defined results: a null line is an empty one; so is a line of blanks. Rows stand for themselves, so repeated lines and ties
+need no rule. Unit separators (U+001F) in a line count as blanks. No lines give no rows. Columns beside ``file_id``,
+``line_no`` and ``raw`` are ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.durations import request_line
 from timberline.functions.levels import detect_level, infer_level, level_of_number, level_of_status
 from timberline.functions.normalize import normalize_message, signature
-from timberline.functions.stack import exception_header, is_continuation, stack_frame
-from timberline.functions.text import group, normalize_path, strip
+from timberline.functions.stack import FRAME_TYPE, exception_header, is_continuation, stack_frame
+from timberline.functions.sqltext import Sql, X
+from timberline.functions.text import clean, cut, groups, line_groups, normalize_path, part, strip, utc_text, without_lead
 from timberline.functions.timestamps import extract_timestamp
 
 # Layouts of access and syslog lines.
@@ -17,11 +27,12 @@ ACCESS_LINE = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "([A-Z]+) (\S+)(?: HTTP/[\d.]+)?
 SYSLOG_LINE = r"^(?:<\d{1,3}>)?[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\b"
 RFC5424 = r"^<\d{1,3}>\d+\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+"
 SYSLOG_BODY = r"^(?:\S+:\s*)?(\S+?)\[\d+\]:\s*(.*)$"
+SYSLOG_HOST_BODY = r"^\s*(?:\S+\s+)?(\S+?)(?:\[\d+\])?:\s*(.*)$"
 LOGGER = r"(^|\s)((?:[a-z0-9_]+\.){1,6}[A-Z][\w$]*(?:\.[\w$]+)*|\[[^\]]{2,60}\])\s*(?:[-:|]\s*)?"
 LOGGER_KEY = r'(?i)\b(?:logger|log|component|source|category)\s*[=:]\s*"?([\w.$:-]+)"?'
 THREAD = r"^(?:\d+\s+)?-\s*\[([^\]]{1,40})\]"
-LEAD = r"^[\s\])>|:,-]+"
-AFTER_LEVEL = r"^[\s:\-–—>|]+"
+LEAD = "])>|:,-"  # behind the time, beside white space
+AFTER_LEVEL = ":-–—>|"  # behind the severity, beside white space
 STATUS_IN_TEXT = r'(?i)\b(?:status(?:Code)?[=: ]|HTTP/\d\.\d"\s+|responded with )\s*([1-5]\d{2})\b'
 # Names of JSON fields.
 FIELDS = {
@@ -41,147 +52,221 @@ FIELDS = {
 }
 HTTP = "struct<method:string,path:string,status:int,bytes:long,ip:string,referer:string,user_agent:string,duration_ms:double>"
 EXC = "struct<type:string,message:string,fatal:boolean>"
-TIME = "struct<ts_ms:long,raw:string,start:int,end:int>"
 ENTRY = f"struct<level:string,message:string,ts_ms:long,ts_raw:string,logger:string,thread:string,http:{HTTP},exc:{EXC}>"
 
 
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _http(**parts: Column) -> Column:
+def _http(**parts: Sql) -> Sql:
     kinds = {"method": "string", "path": "string", "status": "int", "bytes": "long", "ip": "string", "referer": "string", "user_agent": "string", "duration_ms": "double"}
-    return F.struct(*(parts.get(k, _none(v)).cast(v).alias(k) for k, v in kinds.items()))
+    return X.struct(*((parts.get(k, X.lit(None)) if isinstance(parts.get(k), Sql) else X.lit(parts.get(k))).cast(v).alias(k) for k, v in kinds.items()))
 
 
-def _entry(**parts: Column) -> Column:
+def _entry(**parts: Sql) -> Sql:
     kinds = {"level": "string", "message": "string", "ts_ms": "long", "ts_raw": "string", "logger": "string", "thread": "string", "http": HTTP, "exc": EXC}
-    return F.struct(*(parts.get(k, _none(v)).cast(v).alias(k) for k, v in kinds.items()))
-
-
-def _seconds(text: Column) -> Column:
-    s = F.replace(text, F.lit('"'), F.lit("")).try_cast("double")
-    return F.when(s >= 0, s * 1000)
-
-
-def access_entry(line: Column, year: int) -> Column:
-    part = lambda k: group(line, ACCESS_LINE, k)
-    status, path = part(7).try_cast("int"), normalize_path(part(6))
-    ts = extract_timestamp(F.concat(F.lit("["), part(4), F.lit("]")), year)
-    http = _http(
-        method=part(5), path=path, status=status, bytes=part(8).try_cast("long"), ip=part(1), referer=part(9), user_agent=part(10),
-        duration_ms=F.coalesce(_seconds(part(11)), _seconds(part(12))),
-    )
-    return _entry(level=level_of_status(status), message=F.concat_ws(" ", part(5), path, part(7)), ts_ms=ts["ts_ms"], ts_raw=part(4), http=http)
-
-
-def syslog_entry(line: Column, ts: Column) -> Column:
-    rest = F.when(ts.isNotNull(), line.substr(ts["end"] + 1, F.length(line))).otherwise(line)
-    message = F.regexp_extract(rest, SYSLOG_BODY, 2)
-    exc = exception_header(message)
-    level = F.when(exc.isNotNull(), F.when(exc["fatal"], "fatal").otherwise("error")).otherwise(F.coalesce(detect_level(message)["level"], infer_level(message)))
-    text = F.when(exc.isNotNull(), F.concat(exc["type"], F.lit(": "), exc["message"])).otherwise(message)
-    made = _entry(level=level, message=text, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=F.regexp_extract(rest, SYSLOG_BODY, 1), exc=exc)
-    return F.when(rest.rlike(SYSLOG_BODY), made)
-
-
-def json_entry(df: DataFrame, year: int) -> DataFrame:
-    """Adds ``json``: the entry of a JSON line, null where the line isn't a JSON object. Needs ``line``."""
-    whole = F.when(F.col("line").startswith("{") & F.col("line").endswith("}"), F.try_parse_json("line"))
-    df = df.withColumn("v", whole)
-    v = F.col("v")
-
-    def pick(field: str, kind: str) -> Column:
-        return F.coalesce(*(F.try_variant_get(v, f'$["{name}"]', kind) for name in FIELDS[field]))
-
-    def kind_of(field: str) -> Column:
-        """Type of the first field of these names that isn't null."""
-        each = (F.try_variant_get(v, f'$["{name}"]', "variant") for name in FIELDS[field])
-        return F.coalesce(*(F.when(~F.is_variant_null(x), F.schema_of_variant(x)) for x in each))
-
-    number = lambda t: t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
-    for field in ("level", "time", "message", "error", "stack", "thread", "duration", "status"):
-        df = df.withColumn(f"t_{field}", kind_of(field))
-        df = df.withColumn(f"s_{field}", pick(field, "string"))
-    is_text = lambda f: F.col(f"t_{f}") == "STRING"
-    is_number = lambda f: number(F.col(f"t_{f}"))
-    n_time = F.col("s_time").try_cast("double")
-    iso = extract_timestamp(F.col("s_time"), year)["ts_ms"]
-    ts = F.when(is_number("time"), F.when(n_time > 1e12, n_time).otherwise(n_time * 1000).cast("long")).when(is_text("time"), iso)
-    first = lambda c: F.substring_index(c, "\n", 1)
-    err = lambda key: F.coalesce(*(F.try_variant_get(v, f'$["{name}"]["{key}"]', "string") for name in FIELDS["error"]))
-    name = F.coalesce(err("name"), err("type"), err("class"))
-    named = F.when(name.isNull(), F.lit("")).otherwise(F.concat(name, F.lit(": ")))
-    nested = F.when(err("stack").isNotNull(), F.concat(named, err("stack"))).when(name.isNotNull() | err("message").isNotNull(), F.concat(named, F.coalesce(err("message"), F.lit(""))))
-    stack = F.when(is_text("stack"), F.col("s_stack")).otherwise(F.array_join(F.coalesce(*(F.try_variant_get(v, f'$["{n}"]', "array<string>") for n in FIELDS["stack"])), "\n"))
-    trouble = F.coalesce(F.nullif(F.when(is_text("error"), F.col("s_error")).otherwise(nested), F.lit("")), F.nullif(stack, F.lit("")))
-    df = df.withColumn("trouble", trouble)
-    plain = F.struct(F.lit("exception").alias("type"), first(F.col("trouble")).alias("message"), F.lit(False).alias("fatal"))
-    df = df.withColumn("j_exc", F.when(F.col("trouble").isNotNull(), F.coalesce(exception_header(first(F.col("trouble"))), plain)))
-    status = F.col("s_status").try_cast("int")
-    url, method = pick("url", "string"), pick("method", "string")
-    any_http = F.col("t_status").isNotNull() | method.isNotNull() | url.isNotNull() | F.col("t_duration").isNotNull()
-    http = _http(
-        method=method, path=normalize_path(url), status=F.nullif(status, F.lit(0)), bytes=pick("bytes", "long"), ip=pick("ip", "string"),
-        duration_ms=F.when(is_number("duration"), F.col("s_duration").try_cast("double")),
-    )
-    df = df.withColumn("j_http", F.when(any_http, http))
-    exc = F.col("j_exc")
-    df = df.withColumn("j_message", F.coalesce(F.col("s_message"), F.when(exc.isNotNull(), F.concat(exc["type"], F.lit(": "), exc["message"])), F.col("line")))
-    level = F.when(is_text("level"), detect_level(F.col("s_level"), 40)["level"]).when(is_number("level"), level_of_number(F.col("s_level").try_cast("double")))
-    level = F.coalesce(level, F.when(exc.isNotNull(), infer_level(F.col("j_message"))), F.when(F.col("j_http.status").isNotNull(), level_of_status(F.col("j_http.status"))), F.lit("info"))
-    ts_raw = F.when(is_number("time"), F.date_format(F.timestamp_millis(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(F.col("s_time"))
-    made = _entry(
-        level=level, message=F.col("j_message"), ts_ms=ts, ts_raw=ts_raw, logger=pick("logger", "string"),
-        thread=F.col("s_thread"), http=F.col("j_http"), exc=exc,
-    )
-    return df.withColumn("json", F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), made))
-
-
-def text_entry(df: DataFrame) -> DataFrame:
-    """Adds ``text``: the entry of a free line. Needs ``line``, ``ts`` and ``format``."""
-    line, ts = F.col("line"), F.col("ts")
-    df = df.withColumn("x_rest", F.regexp_replace(F.when(ts.isNotNull(), line.substr(ts["end"] + 1, F.length(line))).otherwise(line), LEAD, ""))
-    df = df.withColumn("x_hit", detect_level(F.col("x_rest")))
-    hit, rest = F.col("x_hit"), F.col("x_rest")
-    df = df.withColumn("x_body", F.when(hit.isNotNull(), F.regexp_replace(rest.substr(hit["end"] + 1, F.length(rest)), AFTER_LEVEL, "")).otherwise(rest))
-    df = df.withColumn("x_thread", group(F.col("x_body"), THREAD))
-    df = df.withColumn("x_body", F.when(F.col("x_thread").isNotNull(), F.regexp_replace(F.regexp_replace("x_body", THREAD, ""), AFTER_LEVEL, "")).otherwise(F.col("x_body")))
-    # ``[main] INFO text``: the severity may stand behind a thread.
-    inner = F.regexp_extract("x_body", r"^\[([^\]]{1,40})\]\s*(.*)$", 2)
-    df = df.withColumn("x_inner", F.when(hit.isNull(), detect_level(inner)))
-    second = F.col("x_inner")
-    df = df.withColumn("x_body", F.when(second.isNotNull(), F.regexp_replace(inner.substr(second["end"] + 1, F.length(inner)), AFTER_LEVEL, "")).otherwise(F.col("x_body")))
-    df = df.withColumn("x_exc", exception_header(F.col("x_body")))
-    body, no_exc = F.col("x_body"), F.col("x_exc").isNull()
-    df = df.withColumn("x_named", no_exc & body.rlike(LOGGER) & (F.regexp_instr(body, F.lit(LOGGER)) <= 3))
-    df = df.withColumn("x_logger", F.when(F.col("x_named"), F.regexp_replace(strip(F.regexp_extract(body, LOGGER, 2)), r"^\[(.*)\]$", "$1")))
-    cut = F.regexp_instr(body, F.lit(LOGGER)) + F.length(F.regexp_substr(body, F.lit(LOGGER)))
-    df = df.withColumn("x_body", F.when(F.col("x_named"), F.regexp_replace(body.substr(cut, F.length(body)), AFTER_LEVEL, "")).otherwise(body))
-    key = group(F.col("x_body"), LOGGER_KEY)
-    df = df.withColumn("x_key", F.when(no_exc & F.col("x_logger").isNull(), key))
-    keyed = F.concat(F.lit(""), F.regexp_substr("x_body", F.lit(LOGGER_KEY)))
-    at = F.regexp_instr("x_body", F.lit(LOGGER_KEY))
-    body = F.col("x_body")
-    without = F.concat(body.substr(F.lit(1), at - 1), body.substr(at + F.length(keyed), F.length(body)))
-    df = df.withColumn("x_body", F.when(F.col("x_key").isNotNull(), without).otherwise(body))
-    df = df.withColumn("x_exc", F.coalesce(F.col("x_exc"), exception_header(F.col("x_body"))))
-    exc = F.col("x_exc")
-    df = df.withColumn("x_message", F.when(exc.isNotNull(), F.coalesce(F.nullif(exc["message"], F.lit("")), exc["type"])).otherwise(F.col("x_body")))
-    level = F.coalesce(hit["level"], second["level"], F.when(exc.isNotNull(), F.when(exc["fatal"], "fatal").otherwise("error")), infer_level(F.col("x_message")))
-    part = lambda k: group(line, ACCESS_LINE, k)
-    access = _http(method=part(5), path=normalize_path(part(6)), status=part(7).try_cast("int"), bytes=part(8).try_cast("long"), ip=part(1))
-    request = request_line(F.col("x_message"))
-    asked = _http(method=request["method"], path=request["path"], status=request["status"], duration_ms=request["duration_ms"])
-    http = F.when((F.col("format") != "text") & line.rlike(ACCESS_LINE), access).when(request.isNotNull(), asked)
-    made = _entry(
-        level=level, message=F.col("x_message"), ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=F.coalesce("x_logger", "x_key"),
-        thread=F.col("x_thread"), http=http, exc=exc,
-    )
-    return df.withColumn("text", made)
-
-
-def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None) -> DataFrame:
+    return X.struct(*((parts.get(k, X.lit(None)) if isinstance(parts.get(k), Sql) else X.lit(parts.get(k))).cast(v).alias(k) for k, v in kinds.items()))
+
+
+def _seconds(text: Sql) -> Sql:
+    s = X.replace(text, X.lit('"'), "").try_cast("double")
+    return X.when((s >= 0) & (s < float("inf")), s * 1000)
+
+
+def _headed(exc: Sql, otherwise: Sql) -> Sql:
+    """An exception's message, or its type if that is empty."""
+    return X.when(exc.isNotNull(), X.coalesce(X.nullif(exc["message"], ""), exc["type"])).otherwise(otherwise)
+
+
+def _titled(exc: Sql) -> Sql:
+    return X.concat(exc["type"], ": ", exc["message"])
+
+
+def _worst(exc: Sql) -> Sql:
+    return X.when(exc["fatal"], "fatal").otherwise("error")
+
+
+def access_entry(line: Sql, year: int) -> Sql:
+    def made(g: Sql) -> Sql:
+        def routed(r: Sql) -> Sql:
+            status, path = r["status"], r["path"]
+            http = _http(
+                method=part(g, 4), path=path, status=status, bytes=g[7].try_cast("long"), ip=part(g, 0), referer=part(g, 8), user_agent=part(g, 9),
+                duration_ms=X.coalesce(_seconds(g[10]), _seconds(g[11])),
+            )
+            ts = extract_timestamp(X.concat("[", g[3], "]"), year)["ts_ms"]
+            return _entry(level=level_of_status(status), message=X.concat_ws(" ", part(g, 4), path, g[6]), ts_ms=ts, ts_raw=part(g, 3), http=http)
+
+        route = X.struct(g[6].try_cast("int").alias("status"), normalize_path(g[5]).alias("path"))
+        return X.when(g.isNotNull(), X.bind(route, routed))
+
+    return X.bind(line_groups(line, ACCESS_LINE, 12), made)
+
+
+def syslog_entry(line: Sql, year: int, strict: bool = False) -> Sql:
+    """``strict`` reads the host that standard syslog lines have before the process, so that those lines parse, too."""
+    body = SYSLOG_BODY if not strict else SYSLOG_HOST_BODY
+
+    def timed(ts: Sql) -> Sql:
+        rest = X.when(ts.isNotNull(), line.substr(ts["end"] + 1, X.length(line))).otherwise(line)
+
+        def made(g: Sql) -> Sql:
+            def judged(exc: Sql) -> Sql:
+                level = X.when(exc.isNotNull(), _worst(exc)).otherwise(X.coalesce(detect_level(g[1])["level"], infer_level(g[1])))
+                text = X.when(exc.isNotNull(), _titled(exc)).otherwise(g[1])
+                return _entry(level=level, message=text, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=part(g, 0), exc=exc)
+
+            return X.when(g.isNotNull(), X.bind(exception_header(strip(g[1])), judged))
+
+        return X.bind(groups(rest, body, 2), made)
+
+    return X.bind(extract_timestamp(line, year), timed)
+
+
+def _is_text(x: Sql) -> Sql:
+    return X.coalesce(X.schema_of_variant(x) == "STRING", X.lit(False))
+
+
+def _is_number(x: Sql) -> Sql:
+    return X.coalesce(X.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), X.lit(False))
+
+
+def _text(x: Sql) -> Sql:
+    return X.try_variant_get(x, "$", "string")
+
+
+def _double(x: Sql) -> Sql:
+    return X.try_variant_get(x, "$", "double")
+
+
+def json_entry(line: Sql, year: int) -> Sql:
+    """The entry of a line that is a JSON object; else null. Of a field's names the first that isn't null counts."""
+
+    def of_object(fields: Sql) -> Sql:
+        def pick(field: str) -> Sql:
+            return X.coalesce(*(X.try_element_at(fields, name) for name in FIELDS[field]))
+
+        def only(field: str, fine, value) -> Sql:
+            return X.bind(pick(field), lambda x: X.when(fine(x), value(x)))
+
+        def time(x: Sql) -> Sql:
+            ms = X.when(_is_number(x), X.when(_double(x) > 1e12, _double(x)).otherwise(_double(x) * 1000).cast("long")).when(_is_text(x), extract_timestamp(clean(_text(x)), year)["ts_ms"])
+            return X.bind(ms, lambda t: X.struct(t.alias("ms"), X.when(_is_number(x), utc_text(t)).when(_is_text(x), _text(x)).alias("raw")))
+
+        def error(x: Sql) -> Sql:
+            inner = lambda key: X.try_variant_get(x, f"$.{key}", "variant")
+            value = lambda key: X.bind(inner(key), lambda y: X.when(~X.is_variant_null(y), _text(y)))
+
+            def told(r: Sql) -> Sql:
+                named = X.when(X.coalesce(r["name"], "") == "", "").otherwise(X.concat(r["name"], ": "))
+                return X.when(r["stack"].isNotNull(), X.concat(named, r["stack"])).when(
+                    (X.coalesce(r["name"], "") != "") | (X.coalesce(r["message"], "") != ""), X.concat(named, X.coalesce(r["message"], ""))
+                )
+
+            parts = X.struct(
+                X.coalesce(value("name"), value("type"), value("class")).alias("name"), value("message").alias("message"),
+                X.bind(inner("stack"), lambda y: X.when(_is_text(y), _text(y))).alias("stack"),
+            )
+            return X.when(_is_text(x), X.nullif(_text(x), "")).otherwise(X.bind(parts, told))
+
+        stack = X.bind(pick("stack"), lambda x: X.when(_is_text(x), _text(x)).otherwise(X.array_join(X.try_variant_get(x, "$", "array<string>"), "\n")))
+        trouble = X.coalesce(X.nullif(X.bind(pick("error"), error), ""), X.nullif(stack, ""))
+
+        def header(text: Sql) -> Sql:
+            plain = X.struct(X.lit("exception").alias("type"), text.alias("message"), X.lit(False).alias("fatal")).cast(EXC)
+            return X.when(text.isNotNull(), X.coalesce(exception_header(strip(clean(text))).cast(EXC), plain))
+
+        status = X.bind(pick("status"), lambda x: X.when(_is_number(x), _double(x)).otherwise(X.nullif(_text(x).try_cast("double"), X.lit(0.0))))
+        http = _http(
+            method=only("method", _is_text, _text), path=only("url", _is_text, lambda x: normalize_path(_text(x))), status=status.try_cast("int"),
+            bytes=only("bytes", _is_number, lambda x: _double(x).try_cast("long")), ip=only("ip", _is_text, _text), duration_ms=only("duration", _is_number, _double),
+        )
+        any_http = X.coalesce(*(pick(f) for f in ("status", "method", "url", "duration"))).isNotNull()
+        level = X.bind(pick("level"), lambda x: X.when(_is_text(x), detect_level(clean(_text(x)), 40)["level"]).when(_is_number(x), level_of_number(_double(x))))
+        found = X.struct(
+            level.alias("level"), _text(pick("message")).alias("message"), X.bind(pick("time"), time).alias("time"), X.bind(X.substring_index(trouble, "\n", 1), header).alias("exc"),
+            X.when(any_http, http).alias("http"), only("logger", _is_text, _text).alias("logger"), only("thread", lambda x: _is_text(x) | _is_number(x), _text).alias("thread"),
+        )
+
+        def told(r: Sql) -> Sql:
+            exc, status = r["exc"], r["http"]["status"]
+            return X.bind(X.coalesce(r["message"], X.when(exc.isNotNull(), _titled(exc)), line), lambda m: _entry(
+                level=X.coalesce(r["level"], X.when(exc.isNotNull(), infer_level(m)), X.when(X.coalesce(status, X.lit(0)) != 0, level_of_status(status)), "info"),
+                message=m, ts_ms=r["time"]["ms"], ts_raw=r["time"]["raw"], logger=r["logger"], thread=r["thread"], http=r["http"], exc=exc,
+            ))
+
+        return X.when(fields.isNotNull(), X.bind(found, told))
+
+    # The fields that aren't null; null unless the line is an object.
+    fields = X.map_filter(X.try_variant_get(X.try_parse_json(line), "$", "map<string,variant>"), lambda k, x: ~X.is_variant_null(x))
+    return X.when(line.startswith("{") & line.endswith("}"), X.bind(fields, of_object))
+
+
+def text_entry(line: Sql, ts: Sql, layout: Sql | str) -> Sql:
+    """The entry of a free line with its time: severity, thread, logger and message, each cut off from what is left of it."""
+    after = lambda text: without_lead(text, AFTER_LEVEL)
+    tail = lambda text, end: text.substr(end + 1, X.length(text))
+
+    def finished(r: Sql) -> Sql:
+        exc = r["exc"]
+
+        def told(message: Sql) -> Sql:
+            level = X.coalesce(r["level"], X.when(exc.isNotNull(), _worst(exc)), infer_level(message))
+            asked = X.bind(request_line(message), lambda q: X.when(q.isNotNull(), _http(method=q["method"], path=q["path"], status=q["status"], duration_ms=q["duration_ms"])))
+            access = lambda g: _http(method=part(g, 4), path=normalize_path(g[5]), status=g[6].try_cast("int"), bytes=g[7].try_cast("long"), ip=part(g, 0))
+            inside = X.when(X.lit(layout != "text") if isinstance(layout, str) else layout != "text", X.bind(line_groups(line, ACCESS_LINE, 12), lambda g: X.when(g.isNotNull(), access(g))))
+            return _entry(level=level, message=message, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=r["logger"], thread=r["thread"], http=X.coalesce(inside, asked), exc=exc)
+
+        return X.bind(_headed(exc, r["body"]), told)
+
+    def state(body: Sql, level: Sql, thread: Sql, logger: Sql | None = None, exc: Sql | None = None) -> Sql:
+        none = X.lit(None)
+        return X.struct(
+            body.alias("body"), level.cast("string").alias("level"), thread.cast("string").alias("thread"),
+            (none if logger is None else logger).cast("string").alias("logger"), (none if exc is None else exc).cast(EXC).alias("exc"),
+        )
+
+    def levelled(rest: Sql) -> Sql:
+        return X.bind(detect_level(rest), lambda hit: state(X.when(hit.isNotNull(), after(tail(rest, hit["end"]))).otherwise(rest), hit["level"], X.lit(None)))
+
+    def threaded(r: Sql) -> Sql:
+        return X.bind(groups(r["body"], THREAD + r"([\s\S]*)$", 2), lambda g: X.when(g.isNotNull(), state(after(g[1]), r["level"], g[0])).otherwise(r))
+
+    def inner(r: Sql) -> Sql:
+        """``[main] INFO text``: the severity may stand behind a thread."""
+        second = lambda g: X.bind(detect_level(g[1]), lambda hit: X.when(hit.isNotNull(), state(after(tail(g[1], hit["end"])), hit["level"], r["thread"])).otherwise(r))
+        return X.when(r["level"].isNotNull(), r).otherwise(X.bind(groups(r["body"], r"^\[([^\]]{1,40})\]\s*(.*)$", 2), lambda g: X.when(g.isNotNull(), second(g)).otherwise(r)))
+
+    def named(r: Sql) -> Sql:
+        keyed = X.bind(cut(r["body"], LOGGER_KEY, 1), lambda g: X.when(g.isNotNull(), state(X.concat(g[0], g[3]), r["level"], r["thread"], g[2])).otherwise(r))
+        lead = lambda g: state(after(g[4]), r["level"], r["thread"], X.regexp_replace(strip(g[3]), r"^\[(.*)\]$", "$1"))
+        return X.bind(cut(r["body"], LOGGER, 2), lambda g: X.when(g.isNotNull() & (X.length(g[0]) <= 2) & (strip(g[3]) != ""), lead(g)).otherwise(keyed))
+
+    def excepted(r: Sql) -> Sql:
+        again = lambda n: state(n["body"], n["level"], n["thread"], n["logger"], exception_header(strip(n["body"])))
+        first = lambda exc: X.when(exc.isNotNull(), state(r["body"], r["level"], r["thread"], None, exc)).otherwise(X.bind(named(r), again))
+        return X.bind(exception_header(strip(r["body"])), first)
+
+    steps = X.bind(without_lead(X.when(ts.isNotNull(), tail(line, ts["end"])).otherwise(line), LEAD), levelled)
+    for step in (threaded, inner, excepted, finished):
+        steps = X.bind(steps, step)
+    return steps
+
+
+def special_entry(line: Sql, layout: Sql | str, year: int, strict: bool) -> Sql:
+    """The entry of a line in its file's structured layout; null where it isn't one."""
+    ways = {"json": lambda: json_entry(line, year), "apache": lambda: access_entry(line, year), "syslog": lambda: syslog_entry(line, year, strict)}
+    if isinstance(layout, str):
+        return (ways[layout]() if layout in ways else X.lit(None)).cast(ENTRY)
+    out = X.lit(None)
+    for name, way in ways.items():
+        out = X.when(layout == name, way()).otherwise(out)
+    return out.cast(ENTRY)
+
+
+def _stage(df: DataFrame, **columns: Sql) -> DataFrame:
+    """Adds columns by a generator: what comes after can't copy their expressions, and short texts are parsed faster than one long one."""
+    return df.select("*", X.inline(X.array(X.struct(*(c.alias(name) for name, c in columns.items())))).column)
+
+
+def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None, syslog_strict: bool = False) -> DataFrame:
     """lines(file_id, line_no, raw) -> one typed row for each line.
 
     The layout comes from ``formats(file_id, format)`` (one row for each file) or is ``layout`` for all.
@@ -190,31 +275,20 @@ def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int =
     """
     df = lines.select("file_id", "line_no", F.coalesce("raw", F.lit("")).alias("raw"))
     df = df.join(formats.select("file_id", "format"), "file_id") if formats is not None else df.withColumn("format", F.lit(layout or "text"))
-    df = df.withColumn("line", strip(F.col("raw"))).withColumn("ts", extract_timestamp(F.col("line"), year).cast(TIME))
-    df = df.withColumn("frame", stack_frame(F.col("raw")))
-    df = text_entry(df)
-    made = F.col("text")
-    if layout in (None, "syslog"):
-        df = df.withColumn("syslog", F.when(F.col("format") == "syslog", syslog_entry(F.col("line"), F.col("ts"))))
-        made = F.coalesce("syslog", made)
-    if layout in (None, "apache"):
-        df = df.withColumn("access", F.when((F.col("format") == "apache") & F.col("line").rlike(ACCESS_LINE), access_entry(F.col("line"), year)))
-        made = F.coalesce("access", made)
-    if layout in (None, "json"):
-        df = json_entry(df, year)
-        made = F.coalesce(F.when(F.col("format") == "json", F.col("json")), made)
-    structured = F.lit(False)
-    for name in ("syslog", "access", "json"):
-        if name in df.columns:
-            structured = structured | (F.col("format").isin(name, "apache" if name == "access" else name) & F.col(name).isNotNull())
-    continues = ~structured & is_continuation(F.col("raw"), F.col("frame"))
+    line = X.col("line")
+    df = _stage(df, line=strip(clean(X.col("raw"))))
+    df = _stage(df, special=special_entry(line, X.col("format") if formats is not None else layout or "text", year, syslog_strict))
+    free = X.col("special").isNull() & (line != "")
+    df = _stage(df, frame=X.when(free, stack_frame(line)).cast(FRAME_TYPE))
+    df = _stage(df, is_empty=line == "", continuation=X.col("special").isNull() & is_continuation(X.col("raw"), X.col("frame")))
+    plain = free & ~X.col("continuation")
+    df = _stage(df, ts=X.when(plain, extract_timestamp(line, year)), head=X.when(X.col("continuation"), exception_header(line)))
     # A continuation keeps its line, and its exception if it is a header.
-    header = exception_header(F.col("line"))
-    shown = F.when(header.isNotNull(), F.coalesce(F.nullif(header["message"], F.lit("")), header["type"])).otherwise(F.col("line"))
-    body = _entry(level=F.lit("unknown"), message=shown, exc=header)
-    empty = _entry(level=F.lit("unknown"), message=F.lit(""))
-    df = df.withColumn("is_empty", F.col("line") == "").withColumn("continuation", continues)
-    df = df.withColumn("e", F.when(F.col("is_empty"), empty).when(F.col("continuation"), body).otherwise(made))
+    body = _entry(level="unknown", message=_headed(X.col("head"), line), exc=X.col("head"))
+    entry = X.when(X.col("is_empty"), _entry(level="unknown", message="")).when(X.col("continuation"), body)
+    text = text_entry(line, X.col("ts"), X.col("format") if formats is not None else layout or "text")
+    df = _stage(df, e=X.coalesce(X.col("special"), entry.when(plain, text)))
     df = df.select("file_id", "line_no", "raw", "format", "is_empty", "continuation", "e.*", "frame")
-    df = df.withColumn("normalized", normalize_message(F.col("message")))
-    return df.withColumn("signature", F.when(F.col("is_empty"), "empty").otherwise(signature(F.col("level"), F.col("normalized"), F.col("exc.type"), F.col("logger"))))
+    df = df.withColumn("normalized", normalize_message(X.col("message")).column)
+    whole = signature(X.col("level"), X.col("normalized"), X.col("exc.type"), X.col("logger"))
+    return df.withColumn("signature", X.when(X.col("is_empty"), "empty").otherwise(whole).column)

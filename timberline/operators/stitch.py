@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timberline.functions.sqltext import X
+from timberline.functions.text import clean
 from timberline.functions.timestamps import extract_timestamp
 from timberline.sources.shared import pin
 
@@ -34,7 +36,7 @@ def stitch(parsed: DataFrame) -> DataFrame:
     A line of blanks doesn't end a trace. An indented line without a timestamp is part of a trace if a frame has been seen
     since the last sure entry. A continuation with no entry before it opens an entry of its own (an orphan).
     """
-    indented = F.col("raw").rlike(r"^(\s{2,}|\t)") & F.col("frame").isNull() & extract_timestamp(F.col("raw")).isNull()
+    indented = F.col("raw").rlike(r"^(\s{2,}|\t)") & F.col("frame").isNull() & X.when(X.col("raw").rlike(r"^(\s{2,}|\t)"), extract_timestamp(clean(X.col("raw")))).column.isNull()
     parsed = pin(parsed)
     # The windows see flags only; the lines themselves join once, at the end.
     df = parsed.select("file_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), "is_empty", "continuation", indented.alias("indented"), F.col("frame").isNotNull().alias("has_frame"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.levels import infer_level
 from timberline.functions.normalize import normalize_message
+from timberline.functions.sqltext import X
 from timberline.functions.text import normalize_path
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
@@ -28,23 +29,15 @@ def query(sql: str | None = None):
     return add
 
 
-_PARSED: dict[tuple[str, str, str], DataFrame] = {}
-
-
 def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Typed and stitched lines of a derived log, written once for each session and table folder, as every report reads them."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _PARSED:
-        # The table is small on disk but its lines are costly to parse: deal them over all cores.
-        cores = spark.sparkContext.defaultParallelism
-        if kind == "trace":
-            _PARSED[key] = stitch(parse_lines(D.trace_lines(spark, sf_dir).repartition(cores, "line_no"), layout="text"))
-        else:
-            lines = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines}[kind](spark, sf_dir).repartition(cores, "line_no")
-            # None of these lines continues another, so each is an entry.
-            rows = parse_lines(lines, layout=kind).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
-            _PARSED[key] = pin(rows)
-    return _PARSED[key]
+    """Typed and stitched lines of a derived log."""
+    # The table is small on disk but its lines are costly to parse: deal them over all cores.
+    cores = spark.sparkContext.defaultParallelism
+    if kind == "trace":
+        return stitch(parse_lines(D.trace_lines(spark, sf_dir).repartition(cores, "line_no"), layout="text"))
+    lines = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines}[kind](spark, sf_dir).repartition(cores, "line_no")
+    # None of these lines continues another, so each is an entry.
+    return parse_lines(lines, layout=kind).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +137,7 @@ _RANKED = "cast(list_sort(list(ms))[cast(floor({q} * (count(*) - 1) + 0.5) as in
     "count(*) filter (ms > 5000) as severe, " + ", ".join(f"{_RANKED.format(q=q / 100)} as p{q}" for q in (50, 90, 95, 99)) + " from e"
 )
 def latency_overall(spark, sf_dir):
-    out = A.latency_overall(A.durations(_text(spark, sf_dir)))
+    out = A.latency_overall(pin(A.durations(_text(spark, sf_dir))))
     return out.select("samples", F.round("avg", 6).alias("avg"), "max", "over_budget", "severe", "p50", "p90", "p95", "p99")
 
 
@@ -155,7 +148,7 @@ def latency_by_operation(spark, sf_dir):
     p = _parsed(spark, sf_dir, "json")
     # Timed by operation here, not by path.
     p = p.withColumn("http", F.struct(F.lit(None).cast("string").alias("path"), F.col("http.duration_ms").alias("duration_ms")))
-    return A.latency_by_operation(A.durations(p)).select("name", "samples", "p50", "p95")
+    return A.latency_by_operation(pin(A.durations(p))).select("name", "samples", "p50", "p95")
 
 
 @query(
@@ -217,7 +210,7 @@ def source_refs(spark, sf_dir):
 """
 )
 def issue_groups(spark, sf_dir):
-    g = A.issues(_text(spark, sf_dir), most=1000)
+    g = A.issues(pin(_text(spark, sf_dir)), most=1000)
     return g.select("level", "pattern", F.col("loggers")[0].alias("logger"), "count", "first_line", "last_line")
 
 
@@ -228,7 +221,7 @@ def issue_groups(spark, sf_dir):
     select event_id as line_no, level from t where k <= 200 or (notable and m <= 1800)"""
 )
 def sample_retention(spark, sf_dir):
-    return A.sample_lines(_text(spark, sf_dir)).select("line_no", "level")
+    return A.sample_lines(pin(_text(spark, sf_dir).select("file_id", "line_no", "raw", "role", "level", "http"))).select("line_no", "level")
 
 
 @query(
@@ -240,7 +233,7 @@ def sample_retention(spark, sf_dir):
 )
 def normalized_paths(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", normalize_path(F.regexp_extract("url", r"://[^/?#]*([^#]*)", 1)).alias("path"))
+    return pages.select("page_id", normalize_path(X.regexp_extract(X.col("url"), r"://[^/?#]*([^#]*)", 1)).alias("path").column)
 
 
 @query(
@@ -250,13 +243,13 @@ def normalized_paths(spark, sf_dir):
 )
 def inferred_levels(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.select("conv_id", "turn", infer_level(F.coalesce("text", F.lit(""))).alias("level"))
+    return turns.select("conv_id", "turn", infer_level(X.coalesce(X.col("text"), "")).alias("level").column)
 
 
 @query()
 def normalized_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", normalize_message(F.coalesce("text", F.lit(""))).alias("pattern"))
+    return docs.select("doc_id", normalize_message(X.coalesce(X.col("text"), "")).alias("pattern").column)
 
 
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:

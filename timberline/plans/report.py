@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,44 +13,55 @@ from pyspark.sql import functions as F
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
-from timberline.plans import rules
+from timberline.functions.sqltext import X
+from timberline.functions.text import csv_cell, short_ms, utc_text
+from timberline.plans import directory, findings, rules
+from timberline.plans.views import LAYOUT_LABELS, LEVEL_LABELS
 from timberline.sources.lines import detect_format, read_lines
 from timberline.sources.shared import pin
 
 
-def triage(spark: SparkSession, path: str | list[str], glob: str | None = None, year: int = 2024) -> dict[str, DataFrame]:
-    """Child tables of the report, keyed by file. Lines are read, typed and stitched once; every table aggregates them."""
+def triage(spark: SparkSession, path: str | list[str], glob: str | None = None, year: int = 2024, syslog_strict: bool = False, max_issues: int = A.MOST["issues"]) -> dict[str, DataFrame]:
+    """Child tables of the report, keyed by file. Lines are read, typed and stitched once; every table aggregates them.
+
+    Defined results: empty files, and a folder without files, give no rows in any table; a file of blank lines only has
+    counts and levels (all 0 but the blank lines) and no other rows but checks. Files are told apart by their full path.
+    """
     lines = pin(read_lines(spark, path, glob))
     formats = pin(detect_format(lines))
-    return report_of(stitch(parse_lines(lines, formats, year)), formats)
+    return report_of(stitch(parse_lines(lines, formats, year, syslog_strict=syslog_strict)), formats, max_issues)
 
 
-def report_of(lines: DataFrame, formats: DataFrame) -> dict[str, DataFrame]:
-    levels = A.level_counts(lines)
+def report_of(lines: DataFrame, formats: DataFrame, max_issues: int = A.MOST["issues"]) -> dict[str, DataFrame]:
+    """The tables of a report over pinned lines. Percentiles are over all timings."""
+    levels = pin(A.level_counts(lines))
     timed = pin(A.durations(lines))
-    issues = pin(A.issues(lines))
+    issues = pin(A.issues(lines, max_issues))
     out = {
         "formats": formats,
-        "counts": A.line_counts(lines),
+        "counts": pin(A.line_counts(lines)),
         "levels": levels,
         "health": A.health(levels),
         "issues": issues,
         "loggers": A.logger_stats(lines),
-        "exceptions": A.exception_counts(lines),
+        "exceptions": pin(A.exception_counts(lines)),
         "sources": A.source_counts(lines),
-        "http": A.http_totals(lines),
+        "http": pin(A.http_totals(lines)),
         "statuses": A.status_stats(lines),
-        "status_classes": A.status_classes(lines),
+        "status_classes": pin(A.status_classes(lines)),
         "paths": A.path_stats(lines),
-        "slowest": A.slowest_request(lines),
-        "latency": A.latency_overall(timed, reservoir=20_000),
-        "operations": A.latency_by_operation(timed, reservoir=2_000),
-        "http_latency": A.http_latency(lines),
-        "time_range": A.time_range(lines),
+        "slowest": pin(A.slowest_request(lines)),
+        "latency": pin(A.latency_overall(timed)),
+        "operations": pin(A.latency_by_operation(timed)),
+        "http_latency": pin(A.http_latency(lines)),
+        "time_range": pin(A.time_range(lines)),
         "timeline": A.timeline(lines),
         "samples": A.sample_lines(lines),
-        "insights": rules.insights(issues),
     }
+    out["insights"] = pin(findings.all_findings(out))
+    out["recommendations"] = findings.recommendations(issues, out["insights"], levels)
+    out["problems"] = pin(directory.known_problems(issues, out["exceptions"]))
+    out["throughput"] = findings.throughput(out["counts"], out["time_range"])
     return out | {"checks": checks(out)}
 
 
@@ -141,43 +153,135 @@ def to_json(report: dict) -> str:
     return json.dumps(report, indent=2, ensure_ascii=False, default=str)
 
 
-def issues_csv(issues: DataFrame) -> DataFrame:
-    """One CSV line for each issue, quoted where needed."""
-    from timberline.functions.text import csv_cell
+#: Columns of the issues' CSV.
+CSV_COLUMNS = (
+    "level", "count", "share", "title", "exception_type", "first_line", "last_line", "first_seen", "last_seen", "duration_in_file", "loggers", "top_frame",
+    "directory_entry", "sample_line",
+)
+
 
+def issues_csv(issues: DataFrame, problems: DataFrame) -> DataFrame:
+    """file_id, place, line: a header (place 0) and one CSV line for each issue, quoted where needed; lines count from 1."""
+    level = X.try_element_at(X.map(*(x for kv in LEVEL_LABELS.items() for x in kv)), X.col("level"))
+    seen = lambda c: X.when(X.col(c).isNotNull(), utc_text(X.col(c)))
+    span = X.when(X.col("first_seen").isNotNull() & X.col("last_seen").isNotNull(), short_ms(X.col("last_seen") - X.col("first_seen")))
     cells = (
-        F.col("level"), F.col("title"), F.col("exception_type"), F.col("count"), F.format_string("%.5f", F.col("share")), F.col("first_line") + 1, F.col("last_line") + 1,
-        F.date_format(F.timestamp_millis("first_seen"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.date_format(F.timestamp_millis("last_seen"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-        F.array_join("loggers", " | "), F.col("signature"), F.size("frames"), F.col("samples")[0]["raw"], F.col("pattern"),
+        level, X.col("count"), X.format_string("%.5f", X.col("share")), X.col("title"), X.col("exception_type"), X.col("first_line") + 1, X.col("last_line") + 1,
+        seen("first_seen"), seen("last_seen"), span, X.array_join(X.col("loggers"), " | "), X.col("frames")[0]["raw"], X.col("label"), X.col("samples")[0]["raw"],
     )
-    return issues.select("file_id", "place", F.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line"))
+    rows = issues.join(directory.issue_labels(problems), ["file_id", "signature"], "left")
+    rows = rows.select("file_id", F.col("place"), X.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line").column)
+    head = issues.select("file_id").distinct().select("file_id", F.lit(0).alias("place"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return head.union(rows)
+
+
+def _pct(x: float | None, digits: int = 1) -> str:
+    return f"{(x or 0) * 100:.{digits}f}%"
+
+
+def _ms(x: float | None) -> str:
+    x = x or 0
+    return f"{x / 60_000:.1f}m" if x >= 60_000 else f"{x / 1000:.2f}s" if x >= 1000 else f"{int(x + 0.5)}ms"
+
+
+def _stamp(ms: int) -> str:
+    return datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.") + f"{ms % 1000:03d} UTC"
+
+
+def _first(report: dict, name: str) -> dict:
+    return (report.get(name) or [{}])[0]
+
+
+def _by_place(report: dict, name: str, most: int | None = None) -> list[dict]:
+    return sorted(report.get(name) or [], key=lambda x: x["place"])[:most]
+
+
+def facts_of(report: dict) -> list[tuple[str, str]]:
+    """The headline figures of a report, as (what, value)."""
+    levels = {x["level"]: x["count"] for x in report["levels"]}
+    parsed = max(sum(levels.values()), 1)
+    errors, layout, times = levels.get("error", 0) + levels.get("fatal", 0), _first(report, "formats"), _first(report, "time_range")
+    out = [
+        ("Lines", f"{_first(report, 'counts').get('line_count', 0):,}"),
+        ("Layout", f"{LAYOUT_LABELS.get(layout.get('format'), layout.get('format'))} ({_pct(layout.get('confidence'), 0)} of the sample)"),
+        ("Errors and fatal", f"{errors:,} ({_pct(errors / parsed, 2)})"),
+        ("Warnings", f"{levels.get('warn', 0):,} ({_pct(levels.get('warn', 0) / parsed, 2)})"),
+        ("Issue groups", str(len(report["issues"]))),
+        ("Directory matches", str(len(report.get("problems") or []))),
+        ("Health", f"{_first(report, 'health').get('health_score')}/100"),
+    ]
+    if times:
+        out.append(("Time range", f"{_stamp(times['start_ms'])} to {_stamp(times['end_ms'])} ({_ms(times['duration_ms'])})"))
+    if _first(report, "throughput").get("per_second"):
+        out.append(("Throughput", f"{_first(report, 'throughput')['per_second']:.1f} lines/s"))
+    return out
+
+
+def sections_of(report: dict, most_issues: int, most_paths: int) -> list[tuple[str, list[str], list[list[str]]]]:
+    """(title, header, rows) of the tables that a report shows, as plain text."""
+    out = []
+    lat = _first(report, "latency")
+    if lat:
+        rows = [["all", str(lat["samples"]), _ms(lat["p50"]), _ms(lat["p95"]), _ms(lat["p99"]), _ms(lat["max"]), f"{lat['over_budget']} ({_pct(lat['over_budget'] / lat['samples'])})"]]
+        rows += [[x["name"], str(x["samples"]), _ms(x["p50"]), _ms(x["p95"]), _ms(x["p99"]), _ms(x["max"]), str(x["over_budget"])] for x in _by_place(report, "operations")]
+        out.append(("Latency", ["Operation", "Timings", "Median", "p95", "p99", "Max", "Over 1 s"], rows))
+    found = [[x["severity"], x["title"] or x["id"], str(x["occurrences"]), (x["detail"] or "")[:300], x["advice"]] for x in _by_place(report, "insights")]
+    out.append(("Findings", ["Severity", "Finding", "Lines", "Detail", "What to do"], found))
+    out.append(("Order of work", ["", "What"], [[str(k), x["text"]] for k, x in enumerate(_by_place(report, "recommendations"), 1)]))
+    met = []
+    for x in _by_place(report, "problems"):
+        why, fix = directory.ADVICE.get(x["category"], ("", ""))
+        met.append([x["severity"], f"{directory.CATEGORIES.get(x['category'], x['category'])}: {x['title']}", str(x["occurrences"]), (x["example"] or "")[:300], why, fix])
+    out.append(("Directory matches", ["Severity", "Problem", "Lines", "Example", "Why", "What to do"], met))
+    out.append(("Checks", ["Check", "Group", "Status"], [[x["id"], x["group"], x["status"].upper()] for x in report["checks"]]))
+    rows = [[str(k), LEVEL_LABELS[x["level"]], str(x["count"]), x["title"][:140], x["exception_type"] or ""] for k, x in enumerate(_by_place(report, "issues", most_issues), 1)]
+    out.append(("Issue groups", ["#", "Severity", "Lines", "Title", "Exception"], rows))
+    if _first(report, "http"):
+        shown = lambda x: _ms(x) if x else "-"
+        rows = [[x["path"], str(x["count"]), str(x["errors"]), shown(x["avg_ms"]), shown(x["max_ms"])] for x in _by_place(report, "paths", most_paths)]
+        http = _first(report, "http")
+        out.append((f"HTTP: {http['requests']:,} requests, {_pct(http['error_rate'], 2)} returned 5xx", ["Path", "Requests", "5xx", "Mean", "Max"], rows))
+    return [x for x in out if x[2]]
 
 
 def to_markdown(report: dict, name: str, most: int = 25) -> str:
-    health = (report["health"] or [{}])[0]
-    out = [f"# Log report: {name}", "", f"- Health: {health.get('health_score')}", f"- Entries: {health.get('parsed')}", "", "## Findings", ""]
-    out += [f"- **{x['severity']}** {x['id']}: {x['occurrences']} lines" for x in report["insights"]] or ["None."]
-    out += ["", "## Checks", "", "| check | status |", "| --- | --- |"] + [f"| {x['id']} | {x['status']} |" for x in report["checks"] if x["status"] in ("warn", "fail")]
-    out += ["", "## Issues", "", "| level | count | title |", "| --- | --- | --- |"]
-    out += [f"| {x['level']} | {x['count']} | {x['title'].replace('|', chr(92) + '|')} |" for x in sorted(report["issues"], key=lambda x: x["place"])[:most]]
-    return "\n".join(out) + "\n"
+    cell = lambda x: str(x).replace("|", chr(92) + "|").replace("\n", " ")
+    row = lambda cells: "| " + " | ".join(map(cell, cells)) + " |"
+    out = [f"# Log report: {name}", "", row(["What", "Value"]), row(["---", "---"]), *(row(x) for x in facts_of(report)), ""]
+    for title, header, rows in sections_of(report, most, 15):
+        out += [f"## {title}", "", row(header), row(["---"] * len(header)), *map(row, rows), ""]
+    return "\n".join(out)
+
+
+STYLE = "body{font:15px/1.5 sans-serif;max-width:64rem;margin:2rem auto;padding:0 1rem}table{border-collapse:collapse;width:100%}th,td{text-align:left;padding:.3rem .5rem;border-bottom:1px solid #ccc;vertical-align:top}"
 
 
 def to_html(report: dict, name: str, most: int = 30) -> str:
-    e = html.escape
-    rows = "".join(f"<tr><td>{e(x['level'])}</td><td>{x['count']}</td><td>{e(x['title'])}</td></tr>" for x in sorted(report["issues"], key=lambda x: x["place"])[:most])
-    found = "".join(f"<li>{e(x['severity'])}: {e(x['id'])} ({x['occurrences']})</li>" for x in report["insights"])
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{e(name)}</title></head><body><h1>{e(name)}</h1><ul>{found}</ul><table>{rows}</table></body></html>"
+    """A page of its own: no scripts, no links, all text escaped."""
+    e = lambda x: html.escape(str(x), quote=True)
+    table = lambda header, rows: "<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in header) + "</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in r) + "</tr>" for r in rows) + "</tbody></table>"
+    parts = "".join(f"<h2>{e(title)}</h2>{table(header, rows)}" for title, header, rows in sections_of(report, most, 20))
+    head = f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{e(name)}</title><style>{STYLE}</style></head>"
+    return f"{head}<body><h1>{e(name)}</h1>{table(['What', 'Value'], facts_of(report))}{parts}</body></html>"
 
 
 def to_summary(report: dict, name: str) -> str:
-    health = (report["health"] or [{}])[0]
-    lines = [f"{name}: health {health.get('health_score')}, {health.get('parsed')} entries"]
-    return "\n".join(lines + [f"- {x['severity']} {x['id']} ({x['occurrences']})" for x in report["insights"][:3]])
+    facts, lat, http = dict(facts_of(report)), _first(report, "latency"), _first(report, "http")
+    out = [name, f"{facts['Lines']} lines, {facts['Errors and fatal']} errors, {facts['Warnings']} warnings, health {facts['Health']}"]
+    if lat:
+        out.append(f"Latency p50 {_ms(lat['p50'])}, p95 {_ms(lat['p95'])}, max {_ms(lat['max'])} ({lat['samples']} timings)")
+    if http:
+        out.append(f"HTTP {http['requests']:,} requests, {_pct(http['error_rate'], 2)} 5xx")
+    found = [f"- {x['title'] or x['id']}" for x in _by_place(report, "insights", 3)]
+    out += ["Findings:", *found] if found else []
+    met = [x["title"] for x in _by_place(report, "problems", 4)]
+    return "\n".join(out + (["Directory matches: " + ", ".join(met)] if met else []))
 
 
 SINKS = {"json": lambda r, n: to_json(r), "markdown": to_markdown, "html": to_html, "summary": to_summary}
 
 
 def export_name(name: str, kind: str) -> str:
-    return f"{name.rsplit('.', 1)[0] or 'log'}-report.{ {'json': 'json', 'markdown': 'md', 'html': 'html', 'summary': 'txt'}[kind] }"
+    extension = {"json": "report.json", "csv": "issues.csv", "markdown": "report.md", "html": "report.html", "summary": "summary.txt"}[kind]
+    stem = name.rsplit(".", 1)[0] if "." in name else name
+    return f"{stem or 'log'}.{extension}"

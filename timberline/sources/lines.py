@@ -32,23 +32,24 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
 def detect_format(lines: DataFrame, sample: int = 400) -> DataFrame:
     """file_id, format, confidence: the layout of the first ``sample`` non-blank lines of each file."""
     from timberline.functions.levels import detect_level
+    from timberline.functions.sqltext import X
     from timberline.functions.stack import is_continuation, stack_frame
-    from timberline.functions.text import strip
+    from timberline.functions.text import clean, strip
     from timberline.functions.timestamps import extract_timestamp
     from timberline.operators.parse import ACCESS_LINE, RFC5424, SYSLOG_LINE
 
     head = lines.where(F.col("raw").rlike(r"\S"))
     head = head.withColumn("k", F.row_number().over(W.partitionBy("file_id").orderBy("line_no"))).where(F.col("k") <= sample)
-    head = head.select("file_id", strip(F.col("raw")).alias("line"))
-    line = F.col("line")
+    head = head.select("file_id", strip(clean(X.col("raw"))).column.alias("line"))
+    line, text = F.col("line"), X.col("line")
     # In columns of their own: one expression of them all is more than the code generator takes.
-    head = head.withColumn("frame", stack_frame(line)).withColumn("ts", extract_timestamp(line)["ts_ms"])
-    head = head.withColumn("level", F.when(F.col("ts").isNotNull(), detect_level(line)["level"]))
+    head = head.withColumn("frame", stack_frame(text).column).withColumn("ts", extract_timestamp(text)["ts_ms"].column)
+    head = head.withColumn("level", X.when(X.col("ts").isNotNull(), detect_level(text)["level"]).column)
     kind = (
         F.when(line.startswith("{") & line.endswith("}") & F.try_parse_json(line).isNotNull(), "json")
         .when(line.rlike(ACCESS_LINE), "apache")
         .when(line.rlike(RFC5424) | line.rlike(SYSLOG_LINE), "syslog")
-        .when(F.col("ts").isNotNull() & (F.col("level").isNotNull() | is_continuation(line, F.col("frame"))), "text")
+        .when(F.col("ts").isNotNull() & (F.col("level").isNotNull() | is_continuation(text, X.col("frame")).column), "text")
     )
     votes = head.select("file_id", kind.alias("kind")).groupBy("file_id").agg(
         F.count("*").alias("lines"), *(F.count_if(F.col("kind") == k).alias(k) for k in ("json", "apache", "syslog", "text"))

@@ -11,11 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a temporary one in local mode, and else one in the warehouse, which executors share, too: a folder
+    of this machine's own would lose data on a cluster.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.conf.get("spark.timberline.scratch", None)
+    if not own and not spark.sparkContext.master.startswith("local"):
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_timberline"
+        if own.startswith("file:"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.timberline.scratch", own)
     if not own:
         own = tempfile.mkdtemp(prefix="timberline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
