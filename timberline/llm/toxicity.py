@@ -7,7 +7,7 @@ logistic in the presence of words and word starts, and minimises the class-prior
 
 stepping back up whenever the second term turns negative. Features are those whose share among the positives exceeds
 their share among the unlabelled by far more than chance. Training runs over a bounded sample of labelled rows
-(``positives`` and ``unlabelled`` rows at most, chosen by a hash of the id); every document is scored, whole.
+(some ``positives`` and ``unlabelled`` rows, chosen by a hash of the id); every document is scored, whole.
 
 Defined results: null or empty text has no feature and gets the score of the intercept. Without confirmed toxic rows
 every score is 0. A null id isn't held out. Extra columns are ignored; repeated rows are scored each. Empty table: empty.
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.common import pin, unpin
+
 #: Lengths of word starts that are features beside the word itself.
 STARTS = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’¡¿*#$%&|_-–—"
@@ -80,18 +82,6 @@ class Model:
         return score
 
 
-def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int) -> np.ndarray:
-    """Features whose share among the positives is the most significantly above that among the unlabelled."""
-    seen_pos, n_pos = np.unique(np.concatenate(pos), return_counts=True)
-    seen_unl, n_unl = np.unique(np.concatenate(unl), return_counts=True)
-    at = np.minimum(np.searchsorted(seen_unl, seen_pos), len(seen_unl) - 1)
-    other = np.where(seen_unl[at] == seen_pos, n_unl[at], 0)
-    p, u = n_pos / len(pos), (other + 1) / (len(unl) + 2)
-    z = (p - u) / np.sqrt(u * (1 - u) * (1 / len(pos) + 1 / len(unl)))
-    good = np.flatnonzero((z > 4) & (p > 3 * u) & (n_pos >= 3))
-    return np.sort(seen_pos[good[np.argsort(-z[good], kind="stable")][:most]])
-
-
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3):
     """Weights and intercept, by Adam on the non-negative risk with the logistic loss."""
     w, b = np.zeros(xp.shape[1]), float(np.log(prior / (1 - prior)))
@@ -116,42 +106,61 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _featurised(batches):
     for batch in batches:
-        found = [text_features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"])
+        found = [text_features(t).astype(np.int64) for t in batch.column("text").to_pylist()]
+        columns = [batch.column(c) for c in ("place", "positive", "drawn")] + [pa.array(found, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "positive", "drawn", "features"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 8000) -> Model:
-    """Trains on at most ``positives`` confirmed rows and ``unlabelled`` rows drawn whatever their label."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
-    labels = labels.where("doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = labels.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    order = F.xxhash64("doc_id")
-    unl = labels.orderBy(order, "doc_id").limit(unlabelled).withColumn("drawn", F.lit(True))
-    pos = labels.where("toxic").orderBy(order, "doc_id").limit(positives).withColumn("drawn", F.lit(False))
-    chosen = unl.union(pos).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("drawn").alias("drawn"))
-    # At most positives + unlabelled rows: small whatever the corpus.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = sample.select((F.col("toxic").cast("int") * 2 + F.col("drawn").cast("int")).alias("toxic"), "text")
-    rows = sample.mapInArrow(_featurised, "toxic int, features binary").collect()
-    pos = [np.frombuffer(r.features, np.uint32) for r in rows if r.toxic >= 2]
-    unl = [np.frombuffer(r.features, np.uint32) for r in rows if r.toxic % 2]
-    return train_samples(pos, unl, prior)
+def draw(labels: DataFrame, most: int, rows: int) -> DataFrame:
+    """About 95 % of ``most`` of the rows, or all if there are no more, by a hash of the id: no row is sent or sorted to choose it."""
+    share = min(1.0, 0.95 * most / max(rows, 1)) if rows > most else 1.0
+    return labels.where(F.col("place") < int(share * 2**40))
 
 
-def train_samples(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most_features: int = 512) -> Model:
-    if not pos or not unl or not prior:
-        return Model({}, -40.0)
-    chosen = select_features(pos, unl, most_features)
+def chosen_features(sample: DataFrame, positives: int, unlabelled: int, most: int) -> list[int]:
+    """Features whose share among the positives is the most significantly above that among the unlabelled; at most ``most``."""
+    counts = sample.select("positive", "drawn", F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count_if("positive").alias("n_pos"), F.count_if("drawn").alias("n_unl")
+    )
+    p, u = F.col("n_pos") / positives, (F.col("n_unl") + 1) / (unlabelled + 2)
+    z = (p - u) / F.sqrt(u * (1 - u) * (1 / positives + 1 / unlabelled))
+    good = counts.withColumn("z", z).where((z > 4) & (p > 3 * u) & (F.col("n_pos") >= 3))
+    return sorted(r.feature for r in good.orderBy(F.desc("z"), "feature").limit(most).collect())
 
-    def dense(sample):
-        x = np.zeros((len(sample), len(chosen)), np.float32)
-        for i, f in enumerate(sample):
-            x[i] = np.isin(chosen, f)
-        return x
 
-    w, b = fit_nnpu(dense(pos), dense(unl), min(prior, 0.99))
-    return Model({int(f): float(x) for f, x in zip(chosen, w)}, float(b))
+def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 8000, most_features: int = 512) -> Model:
+    """Trains on at most ``positives`` confirmed rows and ``unlabelled`` rows drawn whatever their label.
+
+    Features are counted by Spark; the driver gets at most ``most_features`` of them and, of each row of the sample, which
+    of these it has, in the order of a hash of the ids.
+    """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("toxic"))
+    labels = labels.where("doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2**40)))
+    rows, toxic = labels.agg(F.count("*"), F.count_if("toxic")).first()
+    if not rows or not toxic:
+        return Model({}, -40.0)
+    drawn = draw(labels, unlabelled, rows).select("doc_id", "place", F.lit(False).alias("positive"), F.lit(True).alias("drawn"))
+    confirmed = draw(labels.where("toxic"), positives, toxic).select("doc_id", "place", F.lit(True).alias("positive"), F.lit(False).alias("drawn"))
+    chosen = drawn.union(confirmed).groupBy("doc_id", "place").agg(F.max("positive").alias("positive"), F.max("drawn").alias("drawn"))
+    # Some positives + unlabelled rows of four small columns: the bound doesn't depend on the corpus.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "place", "positive", "drawn", "text").dropDuplicates(["doc_id"])
+    sample = pin(sample.mapInArrow(_featurised, "place long, positive boolean, drawn boolean, features array<long>"))
+    n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if("drawn")).first()
+    if not n_pos or not n_unl:
+        return Model({}, -40.0)
+    features = chosen_features(sample, n_pos, n_unl, most_features)
+    mine = F.array_intersect("features", F.array(*(F.lit(f) for f in features)).cast("array<long>"))
+    rows_of = sorted(sample.select("place", "positive", "drawn", mine.alias("features")).collect(), key=lambda r: (r.place, sorted(r.features)))
+    unpin(sample)
+    at = {f: k for k, f in enumerate(features)}
+    x = np.zeros((len(rows_of), len(features)), np.float32)
+    for k, r in enumerate(rows_of):
+        x[k, [at[f] for f in r.features]] = 1
+    positive, unl = (np.array([r[c] for r in rows_of], bool) for c in ("positive", "drawn"))
+    w, b = fit_nnpu(x[positive], x[unl], min(toxic / rows, 0.99))
+    return Model({int(f): float(v) for f, v in zip(features, w)}, float(b))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
