@@ -2,29 +2,126 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_triage import JAVA_LOG
 from timberline.operators import history
-from timberline.plans import report
+from timberline.plans import directory, report, views
 
 
-def test_report(spark, tmp_path):
-    (tmp_path / "shop.log").write_text(JAVA_LOG + "2024-03-02 08:01:00,000 ERROR [x-1] com.acme.Mail - <b>api_key=notarealkey</b> timed out\n")
-    tables = report.triage(spark, str(tmp_path))
-    file_id = tables["formats"].first()["file_id"]
-    one = report.collect_report(tables, file_id)
-    status = {c["id"]: c["status"] for c in one["checks"]}
-    assert len(one["checks"]) == len(status) == 53
-    assert status["secret-exposure"] == "fail" and status["error-rate"] == "fail" and status["latency-p95"] == "unknown"
-    assert "timeouts" in {x["id"] for x in one["insights"]} and "nulls" in {x["id"] for x in one["insights"]}
-    assert json.loads(report.to_json(one))["health"]
-    assert "<b>" not in report.to_html(one, "shop.log") and "&lt;b&gt;" in report.to_html(one, "shop.log")
-    assert "# Log report" in report.to_markdown(one, "shop.log") and report.to_summary(one, "shop.log")
-    assert report.issues_csv(tables["issues"]).count() == len(one["issues"])
-    assert report.export_name("shop.log", "markdown") == "shop-report.md"
+SHOP = JAVA_LOG + """2024-03-02 08:01:00,000 ERROR [x-1] com.acme.Mail - <b>api_key=notarealkey</b> timed out
+2024-03-02 08:01:01,000 WARN [x-1] com.acme.Mail - smtp, the "mail" job took 2500ms
+2024-03-02 08:01:02,000 INFO [x-1] com.acme.Web - GET /api/carts/1 -> 503 (1500ms)
+2024-03-02 08:01:03,000 INFO [x-1] com.acme.Web - GET /api/carts/2 -> 200 (12ms)
+2024-03-02 08:01:04,000 INFO [x-1] com.acme.Web - GET /api/carts/3 -> 404 (15ms)
+"""
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("logs")
+    (folder / "shop.log").write_text(SHOP)
+    (folder / "other.log").write_text("2024-03-02 08:00:00,000 INFO app.Main - all is well\n")
+    (folder / "void.log").write_text("")
+    return report.triage(spark, str(folder))
+
+
+@pytest.fixture(scope="module")
+def shop(tables):
+    file_id = tables["formats"].where(F.col("file_id").endswith("shop.log")).first()["file_id"]
+    return report.collect_report(tables, file_id)
+
+
+def test_report(tables, shop):
+    assert tables["counts"].count() == 2  # the empty file gives no rows
+    status = {c["id"]: c["status"] for c in shop["checks"]}
+    assert len(shop["checks"]) == len(status) == 53
+    assert status["secret-exposure"] == "fail" and status["error-rate"] == "fail" and status["fatal-lines"] == "pass"
+    found = {x["id"]: x for x in shop["insights"]}
+    assert {"timeouts", "nulls", "http-5xx", "http-4xx", "http-slowest-endpoint", "latency-slowest-endpoint"} <= set(found)
+    assert found["http-5xx"]["occurrences"] == 1 and found["latency-slowest-endpoint"]["occurrences"] == 4
+    ranks = [{"critical": 3, "warning": 2, "info": 1}[x["severity"]] for x in sorted(shop["insights"], key=lambda x: x["place"])]
+    assert ranks == sorted(ranks, reverse=True)
+    met = {x["id"]: x for x in shop["problems"]}
+    assert {"null-reference", "timeout", "email-delivery", "http-5xx", "http-4xx"} <= set(met)
+    assert met["null-reference"]["occurrences"] == 2 and len(met["null-reference"]["issue_ids"]) == 1
+    assert met["timeout"]["example"].endswith("timed out")
+    todo = sorted(shop["recommendations"], key=lambda x: x["place"])
+    assert 1 <= len(todo) <= 8 and [x["kind"] for x in todo][:1] == ["issue"] and "finding" in {x["kind"] for x in todo}
+    seconds = shop["time_range"][0]["duration_ms"] / 1000
+    assert shop["throughput"][0]["per_second"] == pytest.approx(shop["health"][0]["parsed"] / seconds)
+
+
+def test_exports(tables, shop):
+    assert json.loads(report.to_json(shop))["health"]
+    page = report.to_html(shop, "shop.log")
+    assert "<b>" not in page and "&lt;b&gt;" in page and "<script" not in page and "http-equiv" not in page
+    text = report.to_markdown(shop, "shop.log")
+    for title in ("# Log report: shop.log", "## Latency", "## Findings", "## Order of work", "## Directory matches", "## Checks", "## Issue groups", "## HTTP"):
+        assert title in text, title
+    assert "2024-03-02 08:00:00.100 UTC" in text
+    said = report.to_summary(shop, "shop.log")
+    assert "Findings:" in said and "Directory matches:" in said and "health" in said
+    lines = report.issues_csv(tables["issues"], tables["problems"]).where(F.col("file_id").endswith("shop.log")).orderBy("place").collect()
+    rows = list(csv.reader(r["line"] for r in lines))
+    assert rows[0] == list(report.CSV_COLUMNS) and all(len(r) == 14 for r in rows) and len(rows) == 1 + len(shop["issues"])
+    by_title = {r[3]: dict(zip(rows[0], r)) for r in rows[1:]}
+    npe = next(v for k, v in by_title.items() if "NullPointer" in k)
+    assert npe["count"] == "2" and npe["top_frame"].startswith("at com.acme.shop.CartService.load") and npe["level"] == "Error"
+    quoted = next(v for k, v in by_title.items() if "smtp" in k)
+    assert quoted["sample_line"].endswith('smtp, the "mail" job took 2500ms') and quoted["first_seen"] == "2024-03-02T08:01:01.000Z" and quoted["duration_in_file"] == "0ms"
+    assert quoted["directory_entry"].count(": ") == 1
+    assert report.export_name("shop.log", "markdown") == "shop.report.md" and report.export_name("shop.log", "csv") == "shop.issues.csv"
+
+
+def test_views(tables):
+    slices = views.severity_slices(tables["levels"]).where(F.col("file_id").endswith("shop.log")).collect()
+    assert sum(r["share"] for r in slices) == pytest.approx(1.0) and all(r["count"] for r in slices)
+    assert views.check_counts(tables["checks"]).groupBy("file_id").agg(F.sum("count").alias("n")).where("n <> 53").count() == 0
+    assert {r["level"] for r in views.issue_list(tables["issues"], "warn").collect()} == {"warn"}
+    assert views.worst_p95(tables["operations"]).first()["worst"] >= 1
+    assert max(r["scale"] for r in views.scaled(tables["paths"].withColumn("count", F.col("count").cast("double")), "count").collect()) == 1.0
+    kept, few = history.trimmed(tables["samples"], tables["issues"])
+    assert kept.count() == tables["samples"].count() and few.agg(F.max(F.size("samples"))).first()[0] == 1
+
+
+def test_directory(spark):
+    rules = directory.rules_table(spark)
+    assert rules.count() == 102 and directory.category_counts(rules).count() == 19
+    assert {r["severity"]: r["n"] for r in rules.groupBy("severity").agg(F.count("*").alias("n")).collect()} == {"critical": 38, "warning": 56, "info": 8}
+    assert [r["id"] for r in directory.search(rules, "STAMPEDE", severity="warning").collect()] == ["cache-stampede"]
+    assert directory.search(rules, "kotlin", category="runtime-crash").count() == 1
+    lines = list(csv.reader(r["line"] for r in directory.csv_lines(rules).collect()))
+    assert len(lines) == 102 and all(len(r) == len(directory.CSV_COLUMNS) for r in lines)
+    assert len(json.loads(directory.to_json(rules))) == 102
+
+
+def test_known_problems(spark):
+    samples = lambda *raw: [(k, r) for k, r in enumerate(raw)]
+    issues = [
+        ("f", "a", "read timed out", "read timed out", None, 3, samples("read timed out of db-1"), 1),
+        ("f", "b", "upstream timeout", "upstream timeout", None, 4, samples("x"), 2),
+        ("f", "c", "10:00:12,400 all fine", "all fine", None, 9, samples(), 3),
+        ("f", "d", "it failed", "it failed", None, 1, samples('{"err": "KeyError: 7"}'), 4),
+        ("g", "a", "fine", None, None, 1, samples(), 1),
+    ]
+    kinds = "file_id string, signature string, pattern string, title string, exception_type string, count long, samples array<struct<line_no:long,raw:string>>, place int"
+    types = spark.createDataFrame([("f", "java.lang.StackOverflowError", 5, 7), ("f", "StackOverflowError", 9, 2), ("f", "TimeoutException", 8, 1)], "file_id string, type string, count long, first_line long")
+    got = {r["id"]: r for r in directory.known_problems(spark.createDataFrame(issues, kinds), types).where("file_id = 'f'").collect()}
+    assert (got["timeout"]["occurrences"], got["timeout"]["issue_ids"], got["timeout"]["example"]) == (7, ["a", "b"], "read timed out of db-1")
+    assert "http-4xx" not in got  # a fraction of a second isn't a status
+    assert got["null-reference"]["issue_ids"] == ["d"]  # by its sample
+    assert (got["stack-overflow"]["occurrences"], got["stack-overflow"]["issue_ids"]) == (9, [])  # the file's first such type
+    empty = spark.createDataFrame([], kinds)
+    assert directory.known_problems(empty, types.limit(0)).count() == 0
+    # A file's name is text, too, unless that is turned off.
+    named = spark.createDataFrame([("/logs/s3-app.log", *issues[4][1:])], kinds)
+    assert [r["id"] for r in directory.known_problems(named, types.limit(0)).collect()] == ["object-storage"]
+    assert directory.known_problems(named, types.limit(0), with_file_name=False).count() == 0
 
 
 def test_history(spark):
@@ -32,7 +129,8 @@ def test_history(spark):
     old = spark.createDataFrame([("1", "a", 1, "x"), ("2", "b", 2, "y")], cols)
     new = history.upsert(old, spark.createDataFrame([("3", "a", 3, "z")], cols))
     assert [(r.id, r.name) for r in history.listed(new).collect()] == [("3", "a"), ("2", "b")]
-    assert history.without(new, "2").count() == 1
+    assert history.without(new, "2").count() == 1 and history.get(new, "3").count() == 1 and history.get(new, "x").count() == 0
+    assert history.size_bytes(new).first()["bytes"] == 2 and history.size_bytes(history.cleared(new)).first()["bytes"] == 0
 
 
 def test_stream(spark, tmp_path):

@@ -204,3 +204,96 @@ def test_stitching_equals_a_sequential_fold(spark):
     finally:
         S.CHUNK = old
     assert got == want
+
+
+def test_filter_on_typed_lines_is_planned_at_once(spark):
+    import time
+
+    lines = spark.createDataFrame([("f", k, "2024-01-01 00:00:00 INFO hello") for k in range(10)], "file_id string, line_no long, raw string")
+    typed = parse_lines(lines, layout="text")
+    began = time.perf_counter()
+    kept = typed.where("not is_empty and not continuation and ts_ms is not null")
+    kept._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 5
+    assert kept.count() == 10
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_sessions_zone(spark, zone):
+    from timberline.functions.text import format_time, stamp, utc_text
+    from timberline.functions.timestamps import extract_timestamp
+
+    lines = ("2024-03-10 02:30:00 x", "Mar 10 02:30:00 host x", "2024/03/10 02:30:00 x", "03/10/2024 02:30:00 x", "[10/Mar/2024:04:30:00 +0200] x")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = X.lit(1710037800000)
+        got = spark.range(1).select(*(extract_timestamp(X.lit(x))["ts_ms"].column for x in lines), stamp(at).column, utc_text(at).column, format_time(at).column).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert list(got) == [1710037800000] * 5 + ["2024-03-10 02:30:00.000 UTC", "2024-03-10T02:30:00.000Z", "Mar 10 02:30:00"]
+
+
+@pytest.mark.parametrize(
+    "message, ms, name",
+    [
+        ("job (2h) after 5 ms", 7_200_000.0, None), ("spent 3 hours, 5 ms", 10_800_000.0, None), ("sync took 1,5 s", 1500.0, "sync"),
+        ('"nightly load" finished in 4 minutes', 240_000.0, "nightly load"), ("took=812ms op=resize", 812.0, "resize"), ("queue 12 of 40", None, None), ("read block took 0ms", None, None),
+    ],
+)
+def test_durations_in_messages(spark, message, ms, name):
+    from timberline.functions.durations import extract_duration
+
+    hit = spark.range(1).select(extract_duration(X.lit(message)).column.alias("d")).first()["d"]
+    assert (hit and hit["ms"]) == ms
+    if name:
+        assert hit["name"] == name
+
+
+def test_json_fields_by_type(spark, tmp_path):
+    rows = [
+        '{"logger":5,"path":7,"method":"GET","status":"404","msg":"no"}', '{"level":null,"severity":"ERROR","message":{"a":1},"time":1714566896}',
+        '{"level":3,"msg":"m","bytes":"12","error":{"name":"TypeError","message":"x is not a function"},"thread":7,"duration":12.5}',
+        '{"stack_trace":["ValueError: bad","  at a"],"ts":1714566896789}', '{"msg":"a","status":0}', '["not an object"]',
+    ]
+    lines = spark.createDataFrame([("f", k, r) for k, r in enumerate(rows)], "file_id string, line_no long, raw string")
+    got = parse_lines(lines, layout="json").orderBy("line_no").collect()
+    assert got[0]["logger"] is None and got[0]["http"]["path"] is None and got[0]["http"]["status"] == 404 and got[0]["level"] == "warn"
+    assert (got[1]["level"], got[1]["message"], got[1]["ts_ms"], got[1]["ts_raw"]) == ("error", '{"a":1}', 1714566896000, "2024-05-01T12:34:56.000Z")
+    assert (got[2]["level"], got[2]["exc"]["type"], got[2]["thread"], got[2]["http"]["bytes"], got[2]["http"]["duration_ms"]) == ("error", "TypeError", "7", None, 12.5)
+    assert got[3]["exc"]["type"] == "ValueError" and got[3]["message"] == "ValueError: bad" and got[3]["ts_ms"] == 1714566896789
+    assert got[4]["http"]["status"] == 0 and got[4]["level"] == "info" and got[5]["logger"] == "\"not an object\""
+
+
+def test_frames_of_each_dialect(spark):
+    from timberline.functions.stack import FRAME_TYPE, frame_owner, stack_frame
+
+    lines = {
+        "at com.acme.Job.run(Job.java:12)": ("com.acme.Job.run", "Job.java", 12, "com.acme.Job"), "at load (/srv/app.js:10:5)": ("load", "/srv/app.js", 10, "load"),
+        "at /srv/app.js:3:9": (None, "/srv/app.js", 3, "/srv/app.js"), 'File "/srv/a.py", line 7, in run': ("run", "/srv/a.py", 7, "run"),
+        "main.work(0x1f) /srv/main.go:44": ("main.work", "/srv/main.go", 44, "main"), "at Acme.Job.Run() in C:\\src\\Job.cs:line 9": ("Acme.Job.Run", "C:\\src\\Job.cs", 9, "Acme.Job"),
+        "from /srv/a.rb:3:in `run'": ("run", "/srv/a.rb", 3, "run"), "at home": None,
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "line string").select("line", stack_frame(X.col("line")).alias("f").column)
+    for r in df.select("line", "f", frame_owner(X.col("f")).alias("owner").column).collect():
+        want = lines[r["line"]]
+        assert (r["f"] is None) == (want is None), r["line"]
+        if want:
+            assert (r["f"]["function"], r["f"]["file"], r["f"]["line"], r["owner"]) == want
+
+
+def test_standard_syslog_lines_parse_in_strict_form(spark):
+    lines = spark.createDataFrame([("f", k, r) for k, r in enumerate(SYSLOG.splitlines())], "file_id string, line_no long, raw string")
+    got = [r["logger"] for r in parse_lines(lines, layout="syslog", syslog_strict=True).orderBy("line_no").collect()]
+    assert got == ["sshd", "kernel", "cron"]
+
+
+def test_odd_lines_and_empty_tables(spark):
+    rows = [("f", 0, None), ("f", 1, ""), ("f", 2, "  \t"), ("f", 3, "x" * 20_000), ("f", 4, "a\x1fb"), ("f", 5, "😀 ERROR: caf\u00e9"), ("f", 6, "same"), ("f", 7, "same")]
+    lines = spark.createDataFrame(rows, "file_id string, line_no long, raw string").withColumn("level", F.lit(1)).withColumn("message", F.lit("clash"))
+    for layout in ("text", "json", "apache", "syslog", "generic"):
+        got = parse_lines(lines, layout=layout).orderBy("line_no").collect()
+        assert [r["is_empty"] for r in got] == [True, True, True, False, False, False, False, False]
+        assert got[4]["message"] == "a b" and got[5]["level"] == "error" and got[6]["signature"] == got[7]["signature"]
+    none = stitch(parse_lines(lines.limit(0), layout="text"))
+    assert A.issues(none).count() == 0 and A.timeline(none).count() == 0 and A.level_counts(none).count() == 0 and A.latency_overall(A.durations(none)).count() == 0
