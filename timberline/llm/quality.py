@@ -84,6 +84,10 @@ MEASURES: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
 }
 
 
+#: The measures that ``judge`` gives for every text.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -113,10 +117,13 @@ def _with(df: DataFrame, needs: tuple[str, ...], guard: Column | None) -> DataFr
     return df
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
-    """The rules by estimated rejection per cost, from a sample of at most ``sample_rows`` rows."""
+def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 1000, known: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules by estimated rejection per cost, from a sample of at most ``sample_rows`` rows.
+
+    Measures in ``known`` are taken anyway and cost a rule nothing.
+    """
     sample = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("q_text"))
-    sample = pin(sample.where(F.pmod(F.xxhash64("q_text"), F.lit(7)) == 0).limit(sample_rows).coalesce(1))
+    sample = pin(_with(sample.where(F.pmod(F.xxhash64("q_text"), F.lit(7)) == 0).limit(sample_rows).coalesce(1), known, None))
 
     def spent(job: DataFrame) -> tuple[float, float]:
         began = time.perf_counter()
@@ -134,11 +141,13 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sa
     return [rule for _, _, rule in sorted(found)]
 
 
-def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", measure_all: bool = False) -> DataFrame:
-    """``docs`` with the measures taken and ``rejected_by``: the first rule in the given order that rejects, or null."""
+def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", shown: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the measures taken and ``rejected_by``: the first rule in the given order that rejects, or null.
+
+    The measures in ``shown`` are taken of every text, the others only of texts that no earlier rule has rejected.
+    """
     df = docs.withColumn("q_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    if measure_all:
-        df = _with(df, tuple(MEASURES), None)
+    df = _with(df, shown, None)
     df = df.withColumn("rejected_by", F.lit(None).cast("string"))
     for rule in rules:
         df = _with(df, rule.needs, F.col("rejected_by").isNull())
@@ -148,13 +157,17 @@ def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", measure_
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, the four measures, base_failed, kept."""
+    """One row per document: doc_id, n_words, the four measures, base_failed, kept.
+
+    The measures that a row shows are taken of every text; the cascade spares the others.
+    """
     docs = docs.select("doc_id", "text")
-    df = cascade(docs, ordered(docs, RULES), measure_all=True)
+    shown = tuple(f"q_{c}" for c in SHOWN)
+    df = cascade(docs, ordered(docs, BASE_RULES + RULES, known=shown), shown=shown)
     base_failed = F.expr(" or ".join(f"({r.rejects})" for r in BASE_RULES))
     return df.select(
         "doc_id",
-        *(F.col(f"q_{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        *(F.col(f"q_{c}").cast("long").alias(c) for c in SHOWN),
         base_failed.alias("base_failed"),
         (~base_failed & F.col("rejected_by").isNull()).alias("kept"),
     )
