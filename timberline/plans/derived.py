@@ -68,3 +68,49 @@ def trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     df = events(spark, sf_dir).select("event_id", F.posexplode(F.expr(trace)).alias("k", "raw"))
     return df.select(F.lit("trace.log").alias("file_id"), (F.col("event_id") * 4 + F.col("k")).alias("line_no"), "raw")
+
+
+#: Messages without volatile parts, each of which sets off a detector, a check or a rule of the directory.
+TROUBLES = (
+    "heap space is used up", "upstream call timed out", "connection refused by peer", "duplicate key in orders table", "segmentation fault in worker",
+    "unhandled exception in handler", "undefined is not a function", "no space left on device", "permission denied for user", "too many requests from client",
+    "retrying the upload", "tls handshake with peer broke off", "checksum mismatch in block", "legacy api will be removed", "slow answer from store",
+    "full gc in old space", "waiting for lock on account", "circuit breaker is open", "liveness probe failed", "verbose logging is on",
+    "cart was saved", "cache stampede on shelf", "consumer lag is high", "smtp relay is away", "job nightly did not run", "no module named cart",
+    "circular import in boot", "field name is required", "shelf is out of stock", "unknown encoding in file", "log rotation is done", "address already in use",
+)
+TROUBLE = "array(" + ", ".join(f"'{t}'" for t in TROUBLES) + f")[event_id % {len(TROUBLES)}]"
+TROUBLE_SQL = "[" + ", ".join(f"'{t}'" for t in TROUBLES) + f"][1 + event_id % {len(TROUBLES)}]"
+
+
+def trouble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(events(spark, sf_dir), f"concat({CLOCK}, ' ', level, ' app.core.Svc - ', {TROUBLE})")
+    return lines.withColumn("file_id", F.lit("trouble.log"))
+
+
+MONTH_DAY = "concat(date_format(timestamp_millis(ts_ms), 'MMM '), lpad(cast(day(timestamp_millis(ts_ms)) as string), 2, ' '), date_format(timestamp_millis(ts_ms), ' HH:mm:ss'))"
+
+
+def syslog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard lines: time, host, process and its number."""
+    return _lines(events(spark, sf_dir), f"concat({MONTH_DAY}, ' node', user_id % 3, ' app-', event_type, '[', user_id, ']: user ', user_id, ' was ', if(event_type = 'error', 'denied', 'served'))")
+
+
+def clocked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event in one of six layouts of time."""
+    at = lambda layout: f"date_format(timestamp_millis(ts_ms), '{layout}')"
+    ways = (
+        f"concat({at('yyyy-MM-dd HH:mm:ss')}, '.', lpad(cast(ts_ms % 1000 as string), 3, '0'), '+00:00')", f"concat('[', {at('dd/MMM/yyyy:HH:mm:ss')}, ' +0000]')", MONTH_DAY,
+        at("yyyy/MM/dd HH:mm:ss"), at("MM/dd/yyyy HH:mm:ss"), "concat('[', ts_ms, ']')",
+    )
+    case = " ".join(f"when {k} then {w}" for k, w in enumerate(ways))
+    return _lines(events(spark, sf_dir), f"concat(case event_id % {len(ways)} {case} end, ' tick')")
+
+
+#: (what stands before and behind the number, milliseconds of the unit or None: no number with a unit that makes a line timed).
+SPANS = (("sync took ", " ms", 1), ("load finished in ", "s", 1000), ("step ", " (2h)", None), ("spent ", " minutes", 60000), ("wait (", " sec)", 1000), ("seen ", " of them", None))
+
+
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = " ".join(f"when {k} then concat('{a}', 1 + ms % 90, '{b}')" for k, (a, b, _) in enumerate(SPANS))
+    return _lines(events(spark, sf_dir), f"concat({CLOCK}, ' INFO app.core.Svc - ', case event_id % {len(SPANS)} {case} end)")

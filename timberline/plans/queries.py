@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.levels import infer_level
-from timberline.functions.normalize import normalize_message
+from timberline.functions.normalize import REPLACEMENTS, normalize_message
 from timberline.functions.sqltext import X
 from timberline.functions.text import normalize_path
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
 from timberline.plans import derived as D
-from timberline.plans import rules
+from timberline.plans import directory, findings, rules, views
 from timberline.sources.shared import pin
 
 QUERIES, ORACLES = {}, {}
@@ -35,9 +37,13 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if kind == "trace":
         return stitch(parse_lines(D.trace_lines(spark, sf_dir).repartition(cores, "line_no"), layout="text"))
-    lines = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines}[kind](spark, sf_dir).repartition(cores, "line_no")
+    makers = {
+        "text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trouble": D.trouble_lines, "clocked": D.clocked_lines, "timed": D.timed_lines,
+    }
+    lines = makers[kind](spark, sf_dir).repartition(cores, "line_no")
+    layout = kind if kind in ("json", "apache", "syslog") else "text"
     # None of these lines continues another, so each is an entry.
-    return parse_lines(lines, layout=kind).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
+    return parse_lines(lines, layout=layout, syslog_strict=True).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,3 +287,170 @@ def insight_detectors(spark, sf_dir):
 )
 def wording_checks(spark, sf_dir):
     return rules.scans(_talk(spark, sf_dir)).select("id", "group", "lines", "groups")
+
+
+_GROUPS = (
+    "m as (select event_id, lower(level) as level, " + D.TROUBLE_SQL + " as text, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S,%g') || ' ' || level || ' app.core.Svc - ' || "
+    + D.TROUBLE_SQL + " as raw from e), g as (select level, text, count(*) as c, list(raw order by event_id)[1:3] as samples from m group by 1, 2)"
+)
+
+
+def _troubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pin(A.issues(pin(_parsed(spark, sf_dir, "trouble")), most=1000))
+
+
+@query(
+    "with {e}, " + _GROUPS + f", r(id, severity, p) as (values {_sql_rules(rules.DETECTORS)}) "
+    "select id, severity, cast(sum(c) as bigint) as occurrences from r join g on regexp_matches(text || ' ' || text || ' ', p) group by 1, 2"
+)
+def trouble_detectors(spark, sf_dir):
+    return rules.insights(_troubles(spark, sf_dir)).select("id", "severity", "occurrences")
+
+
+@query(
+    "with {e}, " + _GROUPS + f""", r(id, "group", p) as (values {_sql_rules(rules.SCANS)})
+    select id, "group", cast(coalesce(sum(c), 0) as bigint) as lines, count(c) as groups
+    from r left join g on regexp_matches(text || ' ' || text || '  ' || samples[1], p) group by 1, 2"""
+)
+def trouble_checks(spark, sf_dir):
+    return rules.scans(_troubles(spark, sf_dir)).select("id", "group", "lines", "groups")
+
+
+_RULES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r[0], r[1], r[2], r[3], r[4], r[5])) + ")" for r in directory.RULES)
+
+
+@query(
+    "with {e}, " + _GROUPS + f""", r(id, category, severity, title, languages, p) as (values {_RULES_SQL})
+    select id, category, severity, cast(sum(c) as bigint) as occurrences, count(*) as issues from r join g
+    on regexp_matches(lower(text || ' ' || text || '  trouble.log'), p) or regexp_matches(lower(array_to_string(samples, ' ')), p) group by 1, 2, 3"""
+)
+def known_problems(spark, sf_dir):
+    none = spark.createDataFrame([], "file_id string, type string, count long, first_line long")
+    return directory.known_problems(_troubles(spark, sf_dir), none).select("id", "category", "severity", "occurrences", F.size("issue_ids").cast("long").alias("issues"))
+
+
+@query(
+    f"""with r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), t as (select text, count(*) as c from conversations where text is not null group by text)
+    select id, cast(sum(c) as bigint) as occurrences from r join t on regexp_matches(lower(text || ' ' || text || '  talk'), p) or regexp_matches(lower(text), p) group by 1"""
+)
+def known_problems_in_talk(spark, sf_dir):
+    none = spark.createDataFrame([], "file_id string, type string, count long, first_line long")
+    talk = _talk(spark, sf_dir).withColumn("signature", F.col("place").cast("string"))
+    return directory.known_problems(talk, none).select("id", "occurrences")
+
+
+@query(f"with r(id, category, severity, title, languages, p) as (values {_RULES_SQL}) select category, count(*) as count from r group by 1")
+def category_counts(spark, sf_dir):
+    return directory.category_counts(directory.rules_table(spark))
+
+
+_ADVICE_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + ")" for k, v in directory.ADVICE.items())
+
+
+@query(
+    f"""with r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), a(category, why, fix) as (values {_ADVICE_SQL}),
+    t as (select *, lower(title || chr(10) || why || chr(10) || fix || chr(10) || languages) as said from r join a using (category))
+    select id, title from t where severity = 'critical' and (contains(said, 'lock') or contains(said, 'kafka'))"""
+)
+def directory_search(spark, sf_dir):
+    rules_ = directory.rules_table(spark)
+    return directory.search(rules_, "LOCK", severity="critical").union(directory.search(rules_, "kafka", severity="critical")).select("id", "title").distinct()
+
+
+_LATE = "s as (select count(*) as n, count(*) filter (status >= 500) as c5, count(*) filter (status between 400 and 499) as c4, max(ms) as hi, " + f"{_RANKED.format(q=0.95)} as p95 from e)"
+
+
+@query(
+    "with {e}, " + _LATE + """, f(id, severity, yes, occurrences) as (
+      select 'http-5xx', 'critical', c5 / n > 0.02, c5 from s union all select 'http-4xx', 'warning', c4 / n > 0.1, c4 from s union all
+      select 'http-slowest-endpoint', 'warning', hi >= 1000, 1 from s union all select 'latency-p95', 'warning', p95 > 1000, n from s union all
+      select 'latency-outlier', 'warning', hi > 4 * p95 and hi > 1000, n from s union all
+      select 'latency-op-/api/users/:id', case when p95 > 5000 then 'warning' else 'info' end, p95 >= 1000, n from s union all
+      select 'latency-slowest-endpoint', 'warning', hi > 1000, n from s)
+    select id, severity, cast(occurrences as bigint) as occurrences from f where yes"""
+)
+def computed_findings(spark, sf_dir):
+    lines = pin(_text(spark, sf_dir))
+    timed = pin(A.durations(lines))
+    http, slowest = A.http_totals(lines), A.slowest_request(lines)
+    found = findings.http_findings(http, A.status_classes(lines), slowest)
+    late = findings.latency_findings(A.latency_overall(timed), A.latency_by_operation(timed), A.http_latency(lines), slowest)
+    return found.unionByName(late).select("id", "severity", "occurrences")
+
+
+@query("with {e} select round(count(*) / ((max(ts_ms) - min(ts_ms)) / 1000), 6) as per_second from e")
+def throughput(spark, sf_dir):
+    lines = pin(_text(spark, sf_dir).select("file_id", "line_no", "role", "entry_id", "level", "frame", "ts_ms"))
+    return findings.throughput(A.line_counts(lines), A.time_range(lines)).select(F.round("per_second", 6).alias("per_second"))
+
+
+@query("with {e}, n as (select lower(level) as level, count(*) as count from e group by 1) select level, count, round(count / sum(count) over (), 6) as share from n")
+def severity_slices(spark, sf_dir):
+    return views.severity_slices(A.level_counts(_text(spark, sf_dir))).select("level", "count", F.round("share", 6).alias("share"))
+
+
+@query(
+    "with {e} select event_id as line_no, 'app-' || event_type as logger, case when event_type = 'error' then 'error' else 'info' end as level, ts_ms // 1000 * 1000 as ts_ms, "
+    "'user ' || user_id || ' was ' || case when event_type = 'error' then 'denied' else 'served' end as message from e"
+)
+def parse_syslog_lines(spark, sf_dir):
+    return _parsed(spark, sf_dir, "syslog").select("line_no", "logger", "level", "ts_ms", "message")
+
+
+@query("with {e} select event_id as line_no, case when event_id % 6 in (0, 5) then ts_ms else ts_ms // 1000 * 1000 end as ts_ms, 'tick' as message from e")
+def time_layouts(spark, sf_dir):
+    return _parsed(spark, sf_dir, "clocked").select("line_no", "ts_ms", "message")
+
+
+_SPANS_SQL = " ".join(f"when {k} then " + (f"(1 + ms % 90) * {x}" if x else "null") for k, (_, _, x) in enumerate(D.SPANS))
+
+
+@query("with {e}, d as (select event_id, case event_id % 6 " + _SPANS_SQL + " end as ms from e) select event_id as line_no, cast(ms as double) as ms from d where ms is not null")
+def message_durations(spark, sf_dir):
+    return A.durations(_parsed(spark, sf_dir, "timed")).select("line_no", "ms")
+
+
+def _sql_normalized(column: str) -> str:
+    out = column
+    for pattern, put, _ in REPLACEMENTS:
+        quoted = lambda x: "'" + x.replace("'", "''") + "'"
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(put.replace('$', chr(92)))}, 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"select page_id, {_sql_normalized('url')} as pattern from pages")
+def normalized_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", normalize_message(X.coalesce(X.col("url"), "")).alias("pattern").column)
+
+
+@query(
+    """with {e}, u as (select 'u' || (user_id % 40) as name, event_id as saved_at, 'r' || event_id as id from e),
+    l as (select *, row_number() over (partition by name order by saved_at desc) as k from u) select id, name, saved_at from l where k = 1 order by saved_at desc limit 30"""
+)
+def history_upsert(spark, sf_dir):
+    from timberline.operators import history
+
+    rows = D.events(spark, sf_dir).selectExpr("concat('r', event_id) as id", "concat('u', user_id % 40) as name", "event_id as saved_at")
+    return history.upsert(rows.where("saved_at % 2 = 0"), rows.where("saved_at % 2 = 1"))
+
+
+_FILES_SQL = """with {e}, w as (select count(*) as n, count(*) filter (level = 'ERROR') as er, count(*) filter (status >= 500) as c5, count(*) filter (event_type = 'error') as t from e)
+    select 'text' as layout, 'text' as format, n as line_count, n as parsed, er as errors, n as requests from w union all select 'json', 'json', n, n, er, n from w union all
+    select 'apache', 'apache', n, n, c5, n from w union all select 'syslog', 'syslog', n, n, er, 0 from w union all
+    select 'trace', 'text', n + 3 * t, n, er, 0 from w"""
+
+
+@query(_FILES_SQL)
+def triage_files(spark, sf_dir):
+    """The whole path from files of five layouts to a report's figures."""
+    from timberline.plans import report
+    from timberline.sources.shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
+    makers = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trace": D.trace_lines}
+    for name, make in makers.items():  # each a folder of one file: these logs have an order
+        make(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/{name}")
+    t = report.triage(spark, [f"{folder}/{name}" for name in makers], syslog_strict=True)
+    levels = t["levels"].groupBy("file_id").agg(F.sum("count").alias("parsed"), F.sum(F.when(F.col("level").isin("error", "fatal"), F.col("count")).otherwise(0)).alias("errors"))
+    out = t["formats"].join(levels, "file_id").join(t["counts"].select("file_id", "line_count"), "file_id").join(t["http"].select("file_id", "requests"), "file_id", "left")
+    return out.select(F.element_at(F.split("file_id", "/"), -2).alias("layout"), "format", "line_count", "parsed", "errors", F.coalesce("requests", F.lit(0)).alias("requests"))
