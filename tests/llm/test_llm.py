@@ -337,6 +337,92 @@ def test_urls(spark):
     assert urls.judge(empty(pages)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "target, want",
+    [
+        ("http://x.org/a", "http://x.org/a"), ("//x.org/a", "https://x.org/a"), ("/b?c=1", "https://site.info/b?c=1"), ("?c=2", "https://site.info/dir/page?c=2"),
+        ("other", "https://site.info/dir/other"), ("./other", "https://site.info/dir/other"), ("../up/x", "https://site.info/up/x"), ("../../../x", "https://site.info/x"),
+        ("a/../b/./c", "https://site.info/dir/b/c"), ("#top", None), ("mailto:a@b.c", None), ("x?y=/../z", "https://site.info/dir/x?y=/../z"),
+    ],
+)
+def test_url_targets_are_resolved(spark, target, want):
+    assert spark.range(1).select(urls.resolved(F.lit(target), F.lit("https://site.info/dir/page?q=1#f"))).first()[0] == want
+
+
+def test_url_links(spark):
+    html = """<LINK href='/a?x=1&amp;y=2' REL=canonical><link rel="stylesheet" href="canonical.css"><meta http-equiv="Refresh" content="0; URL='next.html'">
+    <meta name="refresh" content="5;url=/no"><link rel="alternate canonical" href=//m.site.info/b>"""
+    assert spark.range(1).select(urls.link_targets(F.lit(html))).first()[0] == ["/a?x=1&y=2", "next.html", "//m.site.info/b"]
+
+
+def plain_key(url):
+    """One name for an address, by string methods alone."""
+    if url is None or "://" not in url:
+        return None
+    rest = url.split("://", 1)[1].split("#", 1)[0]
+    place, _, query = rest.partition("?")
+    host, slash, path = place.partition("/")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    host = host[4:] if host.startswith("www.") else host
+    for port in (":80", ":443"):
+        host = host.removesuffix(port)
+    path = (slash + path).rstrip("/")
+    path = path.removesuffix(".html") if path.endswith(".html") else path.removesuffix(".htm")
+    path = path.removesuffix("/index").rstrip("/") if path.endswith("/index") else path
+    kept = sorted(x for x in query.split("&") if x and not re.match(r"(utm_[a-z]+|gclid|fbclid)(=|$)", x))
+    return host + path + "?" + "&".join(kept)
+
+
+def brute_verdicts(rows, links):
+    """page_id -> verdict, by union-find over the addresses; ``links`` has page_id -> absolute targets."""
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def own(url):
+        host, _, path = url.split("://", 1)[1].split("#")[0].split("?")[0].partition("/")
+        host, path = host.lower(), "/" + path if _ else ""
+        fits = [(len(h) + len(p), what) for what, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    said = {}
+    for page, url in rows:
+        for u in [url, *links.get(page, [])]:
+            if plain_key(u) is not None and plain_key(url) is not None:
+                said.setdefault(plain_key(u), set()).add(own(u))
+                a, b = root(plain_key(url)), root(plain_key(u))
+                parent[max(a, b)] = min(a, b)
+    of = {}
+    for key, what in said.items():
+        of.setdefault(root(key), set()).update(what)
+    out = {}
+    for page, url in rows:
+        key = plain_key(url)
+        found = of[root(key)] if key is not None else set()
+        out[page] = (own(url) if key is not None else None) or ("block" if "block" in found and "allow" not in found else "allow")
+    return out
+
+
+def test_urls_by_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    hosts = ["a.info", "www.a.info", "A.INFO:80", "b.net", "example.com", "q.org", "c.info", "example.net"]
+    make = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/de/', '/fr/', '/en/', '/x'])}{rng.choice(['', '1', '2.html', 'index.html', '3/'])}{rng.choice(['', '?utm_source=z', '?b=1&a=2', '?a=2&b=1', '#t'])}"
+    rows = [(k, make() if k % 29 else rng.choice([None, "nowhere"])) for k in range(400)]
+    links = {k: [make() for _ in range(rng.choice([0, 0, 0, 1, 2]))] for k, _ in rows}
+    pages = [(k, u, "".join(f'<link rel="canonical" href="{t}">' for t in links[k]), "x") for k, u in rows]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string, host string").repartition(3)).collect()
+    assert {r.page_id: r.verdict for r in got} == brute_verdicts(rows, links)
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = [(r.page_id, r.url) for r in table.select("page_id", "url").collect()]
+    assert {r.page_id: r.verdict for r in urls.judge(table).collect()} == brute_verdicts(plain, {})
+
+
 def test_components(spark):
     from timberline.llm.components import components
 

@@ -5,8 +5,11 @@ parameters, fragment, trailing slash or ``.html``, or tied by a page's canonical
 found by distributed connected components. A url without a rule of its own takes its component's decision: block if some
 alias is blocked, unless some alias is explicitly allowed; allow if there is neither.
 
+Targets may be relative and hold character references; they are resolved against the page's own url.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, is alias to nothing and is
-allowed. Null html has no links. Repeated rows are judged each. Extra columns are ignored. Empty table: empty result.
+allowed. Null html has no links. Repeated rows, and rows of one id, are judged each; a null id is kept. Urls and html of
+any length are read whole. Extra columns are ignored. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -53,17 +56,59 @@ def alias_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(name, place, F.lit("?"), F.array_join(kept, "&")))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, without quotes; empty without one."""
+    found = rf"""(?i)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    return F.trim(F.concat(*(F.regexp_extract(tag, found, k) for k in (1, 2, 3))))
+
+
+def _unescaped(text: Column) -> Column:
+    for name, c in (("&quot;|&#34;", '"'), ("&#39;|&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;|&#38;|&#x26;", "&")):
+        text = F.regexp_replace(text, f"(?i){name}", c)
+    return text
+
+
 def link_targets(html: Column) -> Column:
-    """Absolute targets of canonical links and meta refreshes."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\s[^>]*(?:canonical|refresh)[^>]*>"), F.lit(0))
-    target = lambda t: F.regexp_extract(t, r"""(?i)(?:href\s*=\s*|url\s*=\s*)["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)""", 1)
+    """Targets of canonical links (``rel`` holds the word) and meta refreshes (``http-equiv`` is the word), as they are written."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\s[^>]*>"), F.lit(0))
+
+    def target(tag: Column) -> Column:
+        canonical = tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+        refresh = tag.rlike("(?i)^<meta") & _attribute(tag, "http-equiv").rlike("(?i)^refresh$")
+        later = F.regexp_extract(_attribute(tag, "content"), r"""(?i)^\s*[0-9.]*\s*[;,]\s*url\s*=\s*["']?([^"']+)""", 1)
+        return _unescaped(F.trim(F.when(canonical, _attribute(tag, "href")).when(refresh, later).otherwise("")))
+
     maybe = html.rlike(r"(?i)<(link|meta)\s[^>]*(canonical|refresh)")
     return F.when(maybe, F.filter(F.transform(tags, target), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
+def resolved(target: Column, page: Column) -> Column:
+    """The target as an absolute address, seen from a page's url; null where that isn't one. ``<base>`` isn't looked at."""
+    scheme, rest = F.substring_index(page, "://", 1), _rest(page)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, r"^([^/?#]*)", 1))
+    place = path(page)
+    folder = F.when(place == "", "/").otherwise(F.regexp_replace(place, r"[^/]*$", ""))
+    whole = (
+        F.when(F.instr(target, "://") > 0, target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("/"), F.concat(site, target))
+        .when(target.startswith("?"), F.concat(site, place, target))
+        .otherwise(F.concat(site, folder, target))
+    )
+    whole = F.when(F.instr(page, "://") > 0, whole).when(F.instr(target, "://") > 0, target)
+    # Steps up are taken one by one from the left; more than sixteen are left as they are.
+    whole = F.regexp_replace(whole, r"/\./(?=[^?#]*)", "/")
+    for _ in range(16):
+        whole = F.regexp_replace(whole, r"^([^?#]*?://[^/?#]+(?:/[^?#]*?)??)(?:/(?!\.\./)[^/?#]+)?/\.\./", "$1/")
+    return whole
+
+
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict. ``redirects(source, target)`` adds edges between urls."""
-    urls = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(link_targets(F.col("html")), F.array().cast("array<string>")).alias("targets"))
+    targets = F.coalesce(link_targets(F.col("html").cast("string")), F.array().cast("array<string>"))
+    urls = pages.select("page_id", F.col("url").cast("string").alias("url"), targets.alias("written"))
+    urls = urls.withColumn("targets", F.when(F.size("written") > 0, F.filter(F.transform("written", lambda t: resolved(t, F.col("url"))), lambda t: t.isNotNull())).otherwise(F.col("written")))
     h, p = host(F.col("url")), path(F.col("url"))
     rule, verdict = rule_of(h, p, rules)
     key = alias_key(F.col("url"))
@@ -71,6 +116,9 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         "page_id", h.alias("host"), p.alias("path"), rule.alias("rule"), verdict.alias("own"), F.xxhash64(key).alias("hash"), key.alias("key"), "targets"
     ).withColumn("node", F.when(F.col("key").isNotNull(), F.col("hash"))).drop("hash", "key")
     urls = pin(urls)
+    # Rows without an address of their own are alias to nothing.
+    nowhere = urls.where("node is null")
+    urls = urls.where("node is not null")
     ends = urls.select("node", F.explode("targets").alias("target"))
     target_node = F.when(alias_key(F.col("target")).isNotNull(), F.xxhash64(alias_key(F.col("target"))))
     target_own = rule_of(host(F.col("target")), path(F.col("target")), rules)[1]
@@ -91,5 +139,5 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     decided = decided.where("blocked and not coalesce(allowed, false)").select("component", F.lit("block").alias("from_alias"))
     # Only nodes of blocked components need a row; a common url is one row here however many pages have it.
     nodes = judged.select("node", "component").join(decided, "component").select("node", "from_alias")
-    out = urls.join(nodes, "node", "left")
+    out = urls.join(nodes, "node", "left").unionByName(nowhere.withColumn("from_alias", F.lit(None).cast("string")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "from_alias", F.lit("allow")).alias("verdict"))
