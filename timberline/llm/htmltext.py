@@ -83,11 +83,12 @@ def _holes(page: str) -> dict[int, int]:
 def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of link text) of the blocks outside the elements that never hold main text, in page order.
 
-    A tag whose name would leave it out, but which stands in an article or main element, has ``!`` behind it in paths.
+    A tag whose name would leave it out, but which stands in an article or main element, has ``!`` behind it in paths;
+    articles are numbered.
     """
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, bool, str]] = []  # (tag, whether it is outside, tag in paths)
-    outside = links = homes = 0
+    outside = links = homes = articles = 0
     parts: list[str] = []
     linked: list[int] = []
     holes = _holes(page)
@@ -160,10 +161,13 @@ def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str,
                     break
         if not attributes.rstrip().endswith("/") or block:
             away, label = False, tag
+            if tag == "article":  # each has paths of its own, so that cards beside a story don't share its ratio
+                articles += 1
+                label = f"article~{articles}"
             if not outside:
                 away = tag in OUTSIDE or bool(attributes and tag not in ("html", "body", "article", "main") and OUTSIDE_ROLES.search(attributes))
                 if not away and names and attributes and tag not in ("html", "body", "article", "main") and _named(attributes):
-                    away, label = not homes, tag + "!"
+                    away, label = not homes, label + "!"
             if away and parts:
                 flush() if block else parts.append(" ")
             stack.append((tag, away, label))
@@ -174,6 +178,10 @@ def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str,
     return out
 
 
+def _is_home(label: str) -> bool:
+    return label == "main" or label.startswith("article~")
+
+
 def main_text(page: str | None, threshold: float = 0.5) -> str:
     if not page:
         return ""
@@ -198,8 +206,8 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     for path, text, _ in blocks:
         if path in chosen:
             weight[path[:-1]] += len(text)
-    top = max(weight, key=lambda p: (weight[p], any(t in ("article", "main") for t in p), -len(p)))
-    home = next((top[: k + 1] for k, t in enumerate(top) if t in ("article", "main")), top)
+    top = max(weight, key=lambda p: (weight[p], any(_is_home(t) for t in p), -len(p)))
+    home = next((top[: k + 1] for k, t in enumerate(top) if _is_home(t)), top)
     kept = [path in chosen for path, _, _ in blocks]
     mine = [k for k, (path, _, _) in enumerate(blocks) if path[: len(home)] == home]
     content = [k for k in mine if kept[k]]
