@@ -310,6 +310,22 @@ def test_pii_contexts_are_judged_by_kind(spark):
     assert got[51] == "email:12:40" and got[50] == "phone:12:29"
 
 
+def test_pii_finds_addresses_with_a_written_at(spark):
+    rows = [(k, f"write to us k{k}@mail.example.com please or not") for k in range(40)]
+    rows += [(50, "write to us joe(at)mail.com please or not"), (51, "look (at)that please or not")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "email:12:27" and got[51] == ""
+
+
+def test_pii_masks_repeated_rows_once(spark, monkeypatch):
+    rows = [(1, "a b@c.de f")] * 3 + [(1, "x"), (None, "g h@i.kl"), (None, "g h@i.kl"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(7)).withColumn("start", F.lit(0))
+    for small in (100_000, 0):  # either way of joining
+        monkeypatch.setattr(pii, "SMALL", small)
+        got = Counter((r.doc_id, r.text, r.n_chars) for r in pii.masked(df).collect())
+        assert got == Counter({(1, "a [email] f", 11): 3, (1, "x", 1): 1, (None, "g [email]", 9): 2, (2, None, 0): 1})
+
+
 def test_pii_finds_several_words_by_their_form(spark):
     rows = [(k, f"ab{k} +1 (454) 555-{1000 + k} cd{k}" if k % 2 else f"x y +1 (454) 555-{1000 + k} z{k}") for k in range(60)]
     rows += [(90, "some des +1 (826) 555-4081 190.137.223.204 du"), (91, "in 1999 the 300.1.1.1 was 12 of 1234567890123456")]
@@ -453,6 +469,30 @@ def test_html_ratio_decides_inside_the_container():
         assert htmltext.main_text(page) == "\n\n".join(["Head", LONG, "Next", "short", LONG]), home
 
 
+def test_html_cards_beside_the_story_are_left_out():
+    card = "<article><h3>Card {0}</h3><p>Short teaser {0}.</p></article>"
+    for home in ("main", "div"):
+        page = f"<body><div>Home About</div><{home}><article><h1>Head</h1><p>{LONG}</p><p>{LONG} {LONG}</p></article>{card.format(1)}{card.format(2)}</{home}><div>Buy now</div></body>"
+        assert htmltext.main_text(page) == f"Head\n\n{LONG}\n\n{LONG} {LONG}", home
+    assert htmltext.main_text(f"<body><div>Home About</div><div><p>{LONG}</p><p>{LONG}</p></div><div>Buy now</div></body>") == f"{LONG}\n\n{LONG}"
+
+
+def test_html_without_the_ratio_more_is_kept():
+    """Ablation: with a threshold of nothing every path is content."""
+    links = "<ul>" + "".join(f"<li><a href=x>Go there {k}</a></li>" for k in range(6)) + "</ul>"
+    page = f"<body><div>{links}<p>{LONG}</p><p>{LONG}</p></div><div>Buy now</div></body>"
+    assert htmltext.main_text(page) == f"{LONG}\n\n{LONG}"
+    assert "Go there" in htmltext.main_text(page, threshold=0.0) and "Buy now" in htmltext.main_text(page, threshold=0.0)
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>", "x"), (1, "u", f"<p>{LONG}</p>", "x"), (None, None, None, "x"), (2, "v", "", "x"), (3, "w", "<p>" + "word, " * 50_000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.n_chars) for r in htmltext.extract(pages).collect())
+    assert got == [(0, 0), (1, len(LONG)), (1, len(LONG)), (2, 0), (3, 299_999)]
+    assert htmltext.extract(pages.limit(0)).count() == 0
+
+
 def test_html_unclosed_elements_end_with_their_parent():
     for tag in ("svg", "iframe", "object", "select", "noscript", "template"):
         assert htmltext.main_text(f"<p>one <{tag} class=i/> two</p><p>three</p>") == "one two\n\nthree", tag

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.common import pin, unpin
+from timberline.llm.common import pin
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. The possessive forms match what the plain ones match (nothing follows a repeat that it could give back
@@ -49,7 +49,11 @@ LONG = {
 }
 #: Distinct seeds that a context needs: of both words, of one word, of the form.
 LEAST_SEEDS = {"both": 5, "one": 20, "form": 20}
-TOKEN = r"[^\s]*[0-9@][^\s]*"
+#: Identifier-like: with a digit or an ``@``, or an address whose ``@`` is written out.
+TOKEN = r"[^\s]*(?:[0-9@]|\(at\)|\[at\])[^\s]*"
+MAYBE = r"[0-9@]|\(at\)|\[at\]"
+#: Characters on either side of a span that are looked at for its neighbouring words.
+AROUND = 64
 
 
 def _digits(x: Column) -> Column:
@@ -99,21 +103,25 @@ def _found(text: Column, pattern: str, gate: str, valid) -> Column:
     return F.coalesce(F.when(hits, all_of), F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """A name for a document's id and text."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds p_text, p_key (a name for id and text) and one array of spans for each kind."""
     df = docs.withColumn("p_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    df = df.withColumn("p_key", F.xxhash64("doc_id", "p_text"))
+    df = df.withColumn("p_key", _key(F.col("doc_id"), F.col(text_col)))
     for kind in KINDS:
         df = df.withColumn(f"p_{kind}", _found(F.col("p_text"), PATTERNS[kind], GATES[kind], _checker(kind)))
     return df
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
-    """Adds the words before and after the span (start, end) of p_text."""
-    # 64 characters on either side hold the neighbouring words, or stand for words that are longer.
-    before = F.substring("p_text", F.greatest(F.col("start") - 63, F.lit(1)), F.least(F.col("start"), F.lit(64)))
-    after = F.substring("p_text", F.col("end") + 1, F.lit(64))
-    return df.withColumn("left", F.lower(F.regexp_extract(before, r"(\S+\s+\S*|\S*)$", 1))).withColumn("right", F.lower(F.regexp_extract(after, r"^(\S*\s+\S+|\S*)", 1)))
+def _neighbours(s: Column) -> tuple[Column, Column]:
+    """The words before and after the span s of p_text; ``AROUND`` characters on either side hold them, or stand for longer ones."""
+    before = F.col("p_text").substr(F.greatest(s["start"] - (AROUND - 1), F.lit(1)), F.least(s["start"], F.lit(AROUND)))
+    after = F.col("p_text").substr(s["end"] + 1, F.lit(AROUND))
+    return F.lower(F.regexp_extract(before, r"(\S+\s+\S*|\S*)$", 1)), F.lower(F.regexp_extract(after, r"^(\S*\s+\S+|\S*)", 1))
 
 
 def _fits(kind: str, x: Column) -> Column:
@@ -175,35 +183,44 @@ def _of_kind(kind: str) -> Column:
     return F.transform(f"p_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
-def _tokens(base: DataFrame, *keys: str) -> DataFrame:
-    """Identifier-like tokens with their contexts, marked by the kind of the base span they are."""
+def _tokens() -> Column:
+    """Identifier-like tokens of a ``with_base`` row with their contexts, marked by the kind of the base span they are, or else
+    by the kinds that they can be of; tokens that can be of none are left out."""
     spans = F.concat(*(_of_kind(k) for k in KINDS))
-    seeds = base.select(*keys, "p_text", F.explode(spans).alias("s")).select(*keys, "p_text", "s.*")
-    # Tokens beside the base spans: blanks stand for the spans, so places stay.
-    loose = _found(F.col("p_text"), TOKEN, r"[0-9@]", lambda x: F.lit(True))
+    loose = _found(F.col("p_text"), TOKEN, MAYBE, lambda x: F.lit(True))
     long = F.concat(*(_found(F.col("p_text"), LONG[k], GATES[k], lambda x: F.lit(True)) for k in LONG))
     free = lambda of, taken: F.filter(of, lambda t: ~F.exists(taken, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    rest = base.select(*keys, "p_text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"), loose.alias("loose"), long.alias("long"))
-    rest = rest.withColumn("long", free("long", "spans"))
-    rest = rest.select(*keys, "p_text", F.explode(F.concat("long", free(free("loose", "spans"), "long"))).alias("s"))
-    lead = F.length(F.regexp_extract("s.value", r"^[\"'(\[{<,;:!?]*", 0))
-    trimmed = F.regexp_replace(F.regexp_replace("s.value", r"^[\"'(\[{<,;:!?]+", ""), r"[\"')\]}>,;:!?.]+$", "")
-    rest = rest.select(*keys, "p_text", F.lit(None).cast("string").alias("kind"), (F.col("s.start") + lead).alias("start"), (F.col("s.start") + lead + F.length(trimmed)).alias("end"), trimmed.alias("value"))
-    both = seeds.select(*keys, "p_text", "kind", "start", "end", "value").unionByName(rest.where("value <> ''"))
-    return _neighbours(both).drop("p_text")
-
-
-def extract(docs: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """``with_base`` rows plus p_added: array of (kind, start, end) discovered from contexts."""
-    base = with_base(docs) if base is None else base
-    tokens = pin(_tokens(base.where(F.col("p_text").rlike("[0-9@]")), "p_key"))
-    fits = F.filter(F.array(*(F.when(_fits(k, F.col("value")), k) for k in KINDS)), lambda k: k.isNotNull())
-    tokens = pin(tokens.withColumn("fits", F.when(F.col("kind").isNull(), fits)).where("kind is not null or size(fits) > 0"), replaces=tokens)
+
+    def trimmed(s: Column) -> Column:
+        lead = F.length(F.regexp_extract(s["value"], r"^[\"'(\[{<,;:!?]*", 0))
+        inner = F.regexp_replace(F.regexp_replace(s["value"], r"^[\"'(\[{<,;:!?]+", ""), r"[\"')\]}>,;:!?.]+$", "")
+        return F.struct(F.lit(None).cast("string").alias("kind"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(inner)).alias("end"), inner.alias("value"))
+
+    def placed(s: Column) -> Column:
+        left, right = _neighbours(s)
+        fits = F.when(s["kind"].isNull(), F.filter(F.array(*(F.when(_fits(k, s["value"]), k) for k in KINDS)), lambda k: k.isNotNull()))
+        return F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "value")), left.alias("left"), right.alias("right"), fits.alias("fits"))
+
+    # Each step is bound to a lambda variable, so that it is made once.
+    bind = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))
+    rest = lambda taken: bind(free(long, taken), lambda wide: F.transform(F.concat(wide, free(free(loose, taken), wide)), trimmed))
+    every = bind(spans, lambda taken: F.concat(taken, F.filter(rest(taken), lambda s: s["value"] != "")))
+    return F.filter(F.transform(every, placed), lambda t: t["kind"].isNotNull() | (F.size(t["fits"]) > 0))
+
+
+def extract(docs: DataFrame) -> DataFrame:
+    """doc_id, p_key, base spans of each kind, and p_added: array of (kind, start, end) discovered from contexts; no texts.
+
+    Every text is searched once: what the rounds and the result need of it is written, small, to the shared folder.
+    """
+    tokens = F.when(F.col("p_text").rlike(MAYBE), _tokens())
+    base = pin(with_base(docs).select("doc_id", "p_key", *(f"p_{k}" for k in KINDS), tokens.alias("p_tokens")))
+    tokens = base.select("p_key", F.explode("p_tokens").alias("t")).select("p_key", "t.*")
     good = trusted_contexts(tokens)
     loose = tokens.where("kind is null").select("p_key", "start", "end", "left", "right", "value", F.explode("fits").alias("kind"))
     added = _with_contexts(loose).join(good, ["context", "kind"])
     added = added.groupBy("p_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("p_added"))
-    return base.join(added, "p_key", "left")
+    return base.drop("p_tokens").join(added, "p_key", "left")
 
 
 def _text_of(kind: str, spans: Column) -> Column:
@@ -233,11 +250,18 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Up to so many documents with spans, their spans (some hundred bytes each) go to every executor; beyond, the join shuffles.
+SMALL = 100_000
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """The documents, columns as before, with every span replaced by its kind in brackets and n_chars counted anew."""
-    found = extract(docs.select(F.struct(*docs.columns).alias("p_row"), F.col("doc_id"), F.col("text")))
-    spans = F.concat(*(F.transform(all_spans(k), _named(k)) for k in KINDS))
-    found = found.withColumn("p_spans", F.array_sort(spans))
+    spans = F.array_sort(F.concat(*(F.transform(all_spans(k), _named(k)) for k in KINDS)))
+    found = extract(docs.select(F.col("doc_id"), F.col("text"))).select("p_key", spans.alias("p_spans"))
+    # Rows of one id and text have the same spans.
+    found = pin(found.where(F.size("p_spans") > 0).dropDuplicates(["p_key"]))
+    rows = docs.select(F.struct(*docs.columns).alias("p_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("p_text"), _key(F.col("doc_id"), F.col("text")).alias("p_key"))
+    rows = rows.join(F.broadcast(found) if found.count() <= SMALL else found.hint("merge"), "p_key", "left")
 
     def step(acc: Column, s: Column) -> Column:
         # A span inside or across the one before only lengthens it.
@@ -249,10 +273,10 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.concat(acc["out"], F.col("p_text").substr(acc["at"] + 1, F.length("p_text")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.when(F.size("p_spans") == 0, F.col("p_row.text")).otherwise(F.aggregate("p_spans", start, step, finish))
-    found = found.select("p_row", text.alias("p_new"))
+    text = F.when(F.col("p_spans").isNull(), F.col("p_row.text")).otherwise(F.aggregate("p_spans", start, step, finish))
+    rows = rows.select("p_row", text.alias("p_new"))
     new = {"text": F.col("p_new"), "n_chars": F.length(F.coalesce("p_new", F.lit(""))).cast("long")}
-    return found.select(*(new.get(c, F.col(f"p_row.`{c}`")).alias(c) for c in docs.columns))
+    return rows.select(*(new.get(c, F.col(f"p_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def _named(kind: str):
