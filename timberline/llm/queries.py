@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import embedding, htmltext, minhash, packing, pii, quality, resharding, toxicity, urls, wordbpe
+from timberline.llm import embedding, htmltext, minhash, packing, periodic, pii, quality, resharding, toxicity, urls, wordbpe
 from timberline.llm.common import read
 
 
@@ -53,6 +53,10 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_crochemore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,8 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_redirect_equivalence,
         op9_tag_path_ratios,
         op10_cross_polytope,
+        op11_crochemore_runs,
     )
 }
 
 #: DuckDB's SQL for the queries that SQL can express; the others are tested against brute force in ``tests/llm``.
-ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL}
+ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL, "op11_crochemore_runs": periodic.SQL}
