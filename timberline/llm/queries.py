@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import embedding, htmltext, minhash, packing, periodic, pii, quality, resharding, toxicity, urls, wordbpe
+from timberline.llm import embedding, htmltext, minhash, packing, perfecthash, periodic, pii, quality, resharding, toxicity, urls, wordbpe
 from timberline.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op11_crochemore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(read(spark, sf_dir, "documents"))
 
 
+def op12_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perfecthash.exact_duplicates(read(spark, sf_dir, "documents"), perfecthash.in_history()).drop("known")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,8 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_tag_path_ratios,
         op10_cross_polytope,
         op11_crochemore_runs,
+        op12_perfect_hash_dedup,
     )
 }
 
 #: DuckDB's SQL for the queries that SQL can express; the others are tested against brute force in ``tests/llm``.
-ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL, "op11_crochemore_runs": periodic.SQL}
+ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL, "op11_crochemore_runs": periodic.SQL, "op12_perfect_hash_dedup": perfecthash.SQL}
