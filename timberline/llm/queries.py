@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm import embedding, htmltext, minhash, packing, perfecthash, periodic, pii, quality, resharding, toxicity, urls, wordbpe
+from timberline.llm import embedding, htmltext, merkle, minhash, packing, perfecthash, periodic, pii, quality, resharding, toxicity, urls, wordbpe
 from timberline.llm.common import read
 
 
@@ -61,6 +61,10 @@ def op12_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfecthash.exact_duplicates(read(spark, sf_dir, "documents"), perfecthash.in_history()).drop("known")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,8 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_cross_polytope,
         op11_crochemore_runs,
         op12_perfect_hash_dedup,
+        op13_merkle_manifest,
     )
 }
 
 #: DuckDB's SQL for the queries that SQL can express; the others are tested against brute force in ``tests/llm``.
-ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL, "op11_crochemore_runs": periodic.SQL, "op12_perfect_hash_dedup": perfecthash.SQL}
+ORACLES: dict[str, str] = {"op4_quality_cascade": quality.SQL, "op11_crochemore_runs": periodic.SQL, "op12_perfect_hash_dedup": perfecthash.SQL, "op13_merkle_manifest": merkle.SQL}
