@@ -6,27 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timberline.sources.shared import pin
+
 LINE_COLUMNS = ("file_id", "line_no", "raw")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """file_id, line_no (from 0, in file order), raw. Empty files give no lines; ``\\r`` before a line end is dropped."""
+    """file_id, line_no (from 0, in file order), raw, through Spark's own text reader. The files are read once.
+
+    Empty files give no lines. ``\\r`` before a line end is dropped; at the end of a last line without one it is content.
+    """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     text = reader.text(path).where("_metadata.file_size > 0")
     text = text.select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.regexp_replace("value", r"\r$", "").alias("raw"),
-    )
-    # Numbers within a block, plus the lines of the file's blocks before; a block fits in one task whatever the file's size.
-    inner = text.withColumn("in_block", F.row_number().over(W.partitionBy("file_id", "block").orderBy("at")) - 1)
-    before = text.groupBy("file_id", "block").count()
-    before = before.withColumn("before", F.sum("count").over(W.partitionBy("file_id").orderBy("block")) - F.col("count"))
-    numbered = inner.join(before.drop("count"), ["file_id", "block"])
-    return numbered.select("file_id", (F.col("before") + F.col("in_block")).alias("line_no"), "raw")
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
+    )
+    text = pin(text)
+    # A block's lines lie in one task one after the other, so their numbers follow from the block's first.
+    blocks = text.groupBy("file_id", "block").agg(F.min("at").alias("first"), F.count("*").alias("count"), F.sum(F.octet_length("raw") + 1).alias("bytes"), F.max("size").alias("size"))
+    upto = W.partitionBy("file_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("file_id")
+    # With a line end behind every line, lines and ends are all that a file holds.
+    blocks = blocks.select(
+        "file_id", "block", "first", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"), (F.sum("bytes").over(whole) > F.max("size").over(whole)).alias("open"), F.sum("count").over(whole).alias("lines"),
+    )
+    number = F.col("before") + F.col("at") - F.col("first")
+    unended = F.col("open") & (number == F.col("lines") - 1)
+    return text.join(blocks, ["file_id", "block"]).select("file_id", number.alias("line_no"), F.when(unended, F.col("raw")).otherwise(F.regexp_replace("raw", r"\r\z", "")).alias("raw"))
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None, block_bytes: int | None = None) -> DataFrame:
+    """As ``read_lines``, for one path, through the source of lines with places (``logsource``)."""
+    from timberline.sources import logsource
+
+    logsource.register(spark)
+    reader = spark.read.format("timberline_lines").option("path", path)
+    for name, value in (("glob", glob), ("blockBytes", block_bytes)):
+        reader = reader if value is None else reader.option(name, str(value))
+    text = pin(reader.load())
+    blocks = text.groupBy("file_id", "block").agg(F.count("*").alias("count"))
+    before = F.sum("count").over(W.partitionBy("file_id").orderBy("block")) - F.col("count")
+    return text.join(blocks.select("file_id", "block", before.alias("before")), ["file_id", "block"]).select("file_id", (F.col("before") + F.col("in_block")).alias("line_no"), "raw")
 
 
 def detect_format(lines: DataFrame, sample: int = 400) -> DataFrame:
