@@ -41,7 +41,7 @@ def _opened(uri: str):
     from pyarrow import fs
 
     if uri.startswith("file:") or "://" not in uri:
-        return fs.LocalFileSystem(), unquote(uri.removeprefix("file:").replace("///", "/", 1)) if uri.startswith("file:") else uri
+        return fs.LocalFileSystem(), "/" + unquote(uri[5:].lstrip("/")) if uri.startswith("file:") else uri
     return fs.FileSystem.from_uri(uri)
 
 
@@ -55,7 +55,7 @@ def _listed(path: str, glob: str | None) -> list[tuple[str, int]]:
         raise FileNotFoundError(path)
     infos = system.get_file_info(fs.FileSelector(inner, recursive=True)) if info.type == fs.FileType.Directory else [info]
     local = isinstance(system, fs.LocalFileSystem)
-    head = "file://" if local else path[: path.index("://") + 3]
+    head = "file:" if local else path[: path.index("://") + 3]
     return sorted(
         (head + (quote(i.path) if local else i.path), i.size) for i in infos
         if i.type == fs.FileType.File and i.size and not i.base_name.startswith((".", "_")) and fnmatch.fnmatch(i.base_name, glob or "*")
