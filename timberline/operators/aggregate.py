@@ -96,25 +96,58 @@ def exception_counts(lines: DataFrame, most: int = MOST["exceptions"]) -> DataFr
     return top(stats, [F.desc("count"), F.asc("first_line")], most)
 
 
-def entry_frames(lines: DataFrame, keep: int = 200) -> DataFrame:
-    """file_id, entry_id, frames: the last ``keep`` frames of each entry, in order."""
+def entry_frames(lines: DataFrame, lead: int = MOST["frames"], keep: int = 200) -> DataFrame:
+    """file_id, entry_id, frames (the first ``lead`` of an entry, in order) and ring (the last ``keep``).
+
+    A trace is cut by chunks of lines first, so that one of any length is many tasks; what a chunk leaves is bounded.
+    """
     f = lines.where("frame is not null and role in ('continuation', 'orphan')").select("file_id", "entry_id", "line_no", "frame")
-    f = f.withColumn("k", F.row_number().over(W.partitionBy("file_id", "entry_id").orderBy(F.desc("line_no")))).where(F.col("k") <= keep)
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "frame")))
-    return f.groupBy("file_id", "entry_id").agg(F.transform(rows, lambda r: r["frame"]).alias("frames"))
+    f = f.withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
+    keys, row = ["file_id", "entry_id"], F.struct("line_no", "frame")
+    up, down = (W.partitionBy(*keys, "chunk").orderBy(o) for o in (F.asc("line_no"), F.desc("line_no")))
+    f = f.withColumn("k", F.row_number().over(up)).withColumn("back", F.row_number().over(down)).where((F.col("k") <= lead) | (F.col("back") <= keep))
+    parts = f.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.when(F.col("k") <= lead, row))).alias("head"), F.array_sort(F.collect_list(F.when(F.col("back") <= keep, row))).alias("tail"))
+    # A chunk's part is at most ``lead`` and ``keep`` rows: carried over the chunks, the first ones and the last ones stay.
+    earlier = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*keys).orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
+    parts = parts.withColumn("before", F.coalesce(F.sum(F.size("head")).over(earlier), F.lit(0))).withColumn("behind", F.coalesce(F.sum(F.size("tail")).over(later), F.lit(0)))
+    whole = lambda c, cond: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("chunk", c)))), lambda p: p[c]))
+    parts = parts.groupBy(*keys).agg(whole("head", F.col("before") < lead).alias("head"), whole("tail", F.col("behind") < keep).alias("tail"))
+    last = F.slice("tail", F.greatest(F.size("tail") - keep + 1, F.lit(1)), keep)
+    return parts.select(*keys, F.transform(F.slice("head", 1, lead), lambda r: r["frame"]).alias("frames"), F.transform(last, lambda r: r["frame"]).alias("ring"))
 
 
 def with_frames(lines: DataFrame) -> DataFrame:
-    """Entries with their own frames and, for exceptions, those of the entry before (``inherited``)."""
+    """Entries with their own frames and, for exceptions, the last ones of the entry before (``inherited``)."""
     e = entries_of(lines).join(entry_frames(lines), ["file_id", "entry_id"], "left")
     e = e.withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     before = W.partitionBy("file_id", "chunk").orderBy("line_no")
-    ends = e.groupBy("file_id", "chunk").agg(F.max_by("frames", "line_no").alias("last_frames"))
-    ends = ends.withColumn("carried", F.lag("last_frames").over(W.partitionBy("file_id").orderBy("chunk"))).drop("last_frames")
+    ends = e.groupBy("file_id", "chunk").agg(F.max_by("ring", "line_no").alias("last_ring"))
+    ends = ends.withColumn("carried", F.lag("last_ring").over(W.partitionBy("file_id").orderBy("chunk"))).drop("last_ring")
     e = e.join(ends, ["file_id", "chunk"], "left")
-    prior = F.when(F.row_number().over(before) == 1, F.col("carried")).otherwise(F.lag("frames").over(before))
+    prior = F.when(F.row_number().over(before) == 1, F.col("carried")).otherwise(F.lag("ring").over(before))
     inherited = F.when((F.col("role") == "entry") & F.col("exc").isNotNull(), prior)
-    return e.withColumn("inherited", inherited).drop("carried", "chunk")
+    return e.withColumn("inherited", inherited).drop("carried", "chunk", "ring")
+
+
+def issue_heads(lines: DataFrame, entries: DataFrame, most: int = 64) -> DataFrame:
+    """file_id, signature, heads: the types of exception headers on attached lines, in order, that may change a title.
+
+    Once a header's type stands in front of a title, headers whose type that one begins with change nothing. Those are
+    left out within each chunk of lines, and of the rest the last ``most`` stay, which fill a title's 120 characters.
+    """
+    keys = ["file_id", "signature"]
+    heads = lines.where("role = 'continuation' and exc is not null").select("file_id", "entry_id", "line_no", F.col("exc.type").alias("type"))
+    heads = heads.join(entries.select("file_id", "entry_id", "signature"), ["file_id", "entry_id"]).withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
+    heads = heads.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("line_no", "type"))).alias("h"))
+
+    def said(types: Sql) -> Sql:
+        told = lambda acc, t: X.when((X.size(acc) > 0) & X.coalesce(X.try_element_at(acc, -1).startswith(t), X.lit(False)), acc).otherwise(X.slice(X.array_append(acc, t), X.greatest(X.size(acc) + 2 - most, 1), most))
+        return X.aggregate(types, X.array().cast("array<string>"), told)
+
+    heads = heads.select(*keys, "chunk", said(X.transform(X.col("h"), lambda x: x["type"])).alias("t").column, F.col("h")[0]["type"].alias("first"))
+    heads = heads.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "t"))).alias("c"), F.min_by("first", "chunk").alias("first_head"))
+    return heads.select(*keys, "first_head", F.flatten(F.transform("c", lambda x: x["t"])).alias("heads"))
 
 
 def source_counts(lines: DataFrame, most: int = MOST["sources"]) -> DataFrame:
@@ -280,12 +313,10 @@ def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     g = e.groupBy(*keys).agg(
         F.count("*").alias("count"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
         F.min_by("ts_ms", seen).alias("first_seen"), F.max_by("ts_ms", seen).alias("last_seen"), F.max(rank(X.col("level")).column).alias("severity"),
-        first(F.col("message")).alias("message"), first(F.substring("normalized", 1, PATTERN_CHARS)).alias("pattern"), first(F.col("exc.type")).alias("first_type"),
+        first(F.col("message")).alias("message"), first(F.substring("normalized", 1, PATTERN_CHARS)).alias("pattern"), first(F.col("exc.type")).alias("first_type"), F.min_by("exc.type", F.when(F.col("exc").isNotNull(), F.col("line_no"))).alias("any_type"),
     )
     # Headers of attached lines (such as causes) put their type in front of the title, in order.
-    heads = lines.where("role = 'continuation' and exc is not null").select("file_id", "entry_id", "line_no", F.col("exc.type").alias("type"))
-    heads = heads.join(e.select("file_id", "entry_id", "signature"), ["file_id", "entry_id"])
-    heads = first_rows(heads, keys, "line_no", MOST["frames"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "type"))).alias("heads"))
+    heads = issue_heads(lines, e)
     frames = first_rows(e.where("frames is not null or inherited is not null"), keys, "line_no", MOST["frames"])
     frames = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "inherited", "frames"))).alias("parts"))
     names = e.where("who is not null").groupBy(*keys, "who").agg(F.min("line_no").alias("line_no"))
@@ -295,7 +326,7 @@ def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     for part in (heads, frames, names, samples):
         g = g.join(part, keys, "left")
     base = title(X.col("message"), X.col("first_type"))
-    put = lambda t, h: X.when(t.startswith(h["type"]), t).otherwise(title(t, h["type"]))
+    put = lambda t, h: X.when(t.startswith(h), t).otherwise(title(t, h))
     g = g.withColumn("title", X.when(X.col("heads").isNull(), base).otherwise(X.aggregate(X.col("heads"), base, put)).column)
     none = X.array().cast("array<struct<function:string,file:string,line:int,raw:string>>")
 
@@ -309,11 +340,17 @@ def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     total = entries_of(lines).groupBy("file_id").agg(F.count("*").alias("parsed"))
     g = g.join(total, "file_id").select(
         *keys, level.alias("level"), "title", "pattern", "count", (F.col("count") / F.col("parsed")).alias("share"), "first_line", "last_line", "first_seen", "last_seen",
-        F.coalesce("first_type", F.col("heads")[0]["type"]).alias("exception_type"), F.transform(F.coalesce("who", F.array().cast("array<struct<line_no:bigint,who:string>>")), lambda w: w["who"]).alias("loggers"),
+        F.coalesce("first_type", "first_head", "any_type").alias("exception_type"), F.transform(F.coalesce("who", F.array().cast("array<struct<line_no:bigint,who:string>>")), lambda w: w["who"]).alias("loggers"),
         "frames", F.coalesce("samples", F.array().cast("array<struct<line_no:bigint,raw:string>>")).alias("samples"), "severity",
     )
+    return in_order(g, most)
+
+
+def in_order(groups: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` groups of each file: the most severe, then the most frequent, then by title."""
     order = [F.desc("severity"), F.desc("count"), F.expr("title collate UNICODE"), F.asc("first_line")]
-    return top(g, order, most).drop("severity")
+    columns = ["file_id", "signature", "level", "title", "pattern", "count", "share", "first_line", "last_line", "first_seen", "last_seen", "exception_type", "loggers", "frames", "samples"]
+    return top(groups, order, most).select(*columns, "place")
 
 
 def sample_lines(lines: DataFrame, most: int = 2000, lead: int = 200) -> DataFrame:

@@ -30,20 +30,24 @@ def _carried(df: DataFrame, **marks: str) -> DataFrame:
     return df
 
 
+def flagged(parsed: DataFrame) -> DataFrame:
+    """Adds what stitching looks at: whether a line is a frame of a trace, may be a trace's body, or surely begins an entry."""
+    lead = F.col("raw").rlike(r"^(\s{2,}|\t)")
+    indented = lead & F.col("frame").isNull() & X.when(X.col("raw").rlike(r"^(\s{2,}|\t)"), extract_timestamp(clean(X.col("raw")))).column.isNull()
+    df = parsed.withColumn("is_frame", F.col("continuation") & F.col("frame").isNotNull())
+    df = df.withColumn("maybe_body", ~F.col("is_empty") & ~F.col("continuation") & indented)
+    return df.withColumn("sure", ~F.col("is_empty") & ~F.col("continuation") & ~F.col("maybe_body"))
+
+
 def stitch(parsed: DataFrame) -> DataFrame:
     """Adds ``role`` (entry, continuation, orphan or empty) and ``entry_id`` (line_no of the entry a line belongs to).
 
     A line of blanks doesn't end a trace. An indented line without a timestamp is part of a trace if a frame has been seen
     since the last sure entry. A continuation with no entry before it opens an entry of its own (an orphan).
     """
-    indented = F.col("raw").rlike(r"^(\s{2,}|\t)") & F.col("frame").isNull() & X.when(X.col("raw").rlike(r"^(\s{2,}|\t)"), extract_timestamp(clean(X.col("raw")))).column.isNull()
     parsed = pin(parsed)
     # The windows see flags only; the lines themselves join once, at the end.
-    df = parsed.select("file_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), "is_empty", "continuation", indented.alias("indented"), F.col("frame").isNotNull().alias("has_frame"))
-    df = df.withColumn("is_frame", F.col("continuation") & F.col("has_frame"))
-    df = df.withColumn("maybe_body", ~F.col("is_empty") & ~F.col("continuation") & F.col("indented"))
-    df = df.withColumn("sure", ~F.col("is_empty") & ~F.col("continuation") & ~F.col("maybe_body"))
-    df = pin(df.drop("has_frame", "indented"))
+    df = pin(flagged(parsed).select("file_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), "is_empty", "continuation", "is_frame", "maybe_body", "sure"))
     df = _carried(df, last_sure="if(sure, line_no, null)", last_frame="if(is_frame, line_no, null)")
     body = F.col("maybe_body") & F.coalesce(F.col("last_frame") > F.coalesce("last_sure", F.lit(-1)), F.lit(False))
     df = df.withColumn("attached", ~F.col("is_empty") & (F.col("continuation") | body))

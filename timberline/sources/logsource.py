@@ -36,6 +36,9 @@ class Block(InputPartition):
     high: int
 
 
+NOTHING = Block("", 0, 0)
+
+
 def _opened(uri: str):
     """(file system, path in it) of a URI or a local path."""
     from pyarrow import fs
@@ -89,6 +92,8 @@ def lines_between(handle, low: int, high: int, whole: int | None = None) -> Iter
 def _batches(block: Block) -> Iterator:
     import pyarrow as pa
 
+    if block == NOTHING:
+        return
     system, path = _opened(block.uri)
     names = ["file_id", "block", "in_block", "at", "raw"]
 
@@ -119,7 +124,7 @@ class _Lines(DataSourceReader):
 
     def partitions(self) -> list[Block]:
         size = int(self.options.get("blockBytes", BLOCK))
-        return [b for uri, n in _listed(self.options["path"], self.options.get("glob")) for b in _cut(uri, 0, n, size)]
+        return [b for uri, n in _listed(self.options["path"], self.options.get("glob")) for b in _cut(uri, 0, n, size)] or [NOTHING]
 
     def read(self, partition: Block) -> Iterator:
         return _batches(partition)
@@ -154,7 +159,7 @@ class _Tail(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Block]:
         size = int(self.options.get("blockBytes", BLOCK))
         before = json.loads(start["files"])
-        return [b for uri, n in json.loads(end["files"]).items() if n > before.get(uri, 0) for b in _cut(uri, before.get(uri, 0), n, size)]
+        return [b for uri, n in json.loads(end["files"]).items() if n > before.get(uri, 0) for b in _cut(uri, before.get(uri, 0), n, size)] or [NOTHING]
 
     def read(self, partition: Block) -> Iterator:
         return _batches(partition)

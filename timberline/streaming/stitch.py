@@ -2,29 +2,272 @@
 
 Lines come with their place in the file (``sources.logsource``). One state a file (``FileState``) numbers them and attaches
 continuation lines to their entries, by the rules of ``operators.stitch``: it holds the next number, the last sure entry,
-frame and entry, the open entry's fingerprint and its last 200 frames. One state a fingerprint and file (``IssueState``)
-folds those lines into an issue group, and every batch gives the groups that changed. ``IssueTable`` keeps them in a
-versioned table; with all pieces read, its issues are those that ``aggregate.issues`` finds in the whole file.
+frame and entry, the open entry's fingerprint and its last 200 frames. One state a file and fingerprint (``IssueState``)
+folds those lines into an issue group, and every batch gives the groups that changed, which are appended to a versioned
+table (``keep_issues``). With all pieces read, its issues (``issues_of``) are those that ``aggregate.issues`` finds in the
+whole file.
 
-Lines of a batch are sorted by their place within their file, so files may be appended in any pieces; a batch's lines of one
-file are in one task. A file without lines for ``idle`` gets its open trace reported as closed (``closed_traces``); lines that come
-later still belong to it. With a time to live, an idle fingerprint's state is dropped; when it comes back, it starts a new
-part of its group, and parts are put together when the table is read.
+A batch's lines of one file are sorted by their place in one task; what a batch brings bounds that, not the file. A file
+without lines for some time (``idle_ms``) gets its open trace reported (``closed_traces``); lines that come later still
+belong to it. With a time to live, the state of an idle fingerprint is dropped; when that comes back it starts a new part of
+its group, and parts are put together when the table is read.
 
-Defined results: a null line counts as a blank one; blank lines attach to nothing. Repeated lines are lines of their own.
-No lines give no rows.
+Defined results: a null line counts as a blank one; blank lines attach to nothing; repeated lines are lines of their own. No
+lines give no rows.
 """
 
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from timberline.functions.durations import json as _unused  # noqa: F401
+from timberline.functions.levels import RANK, rank
+from timberline.functions.normalize import PATTERN_CHARS, TITLE_CHARS, title
+from timberline.functions.sqltext import X
+from timberline.functions.stack import FRAME_TYPE
+from timberline.functions.text import truncate
+from timberline.operators.aggregate import MOST, in_order, logger_of
+from timberline.operators.parse import EXC, HTTP, parse_lines
+from timberline.operators.stitch import flagged
+from timberline.sources import logsource
+from timberline.sources.snapshots import Snapshots
+
+PARSED = (
+    f"struct<raw:string,format:string,is_empty:boolean,continuation:boolean,level:string,message:string,ts_ms:bigint,ts_raw:string,logger:string,thread:string,"
+    f"http:{HTTP},exc:{EXC},frame:{FRAME_TYPE},normalized:string,signature:string>"
+)
+TOLD = "struct<rank:int,title:string,pattern:string,type:string,who:string,ts_ms:bigint,raw:string>"
+STITCHED = "line_no long, role string, entry_id long, opener string, inherited string, frame string, told string, line string, file_id string"
+CHANGED = "part long, data string, file_id string, signature string"
+GROUP = (
+    "struct<count:bigint,first_line:bigint,last_line:bigint,first_seen:bigint,last_seen:bigint,severity:int,title:string,pattern:string,type:string,"
+    "loggers:array<string>,frames:array<string>,samples:array<struct<line_no:bigint,raw:string>>,heads:array<string>>"
+)
+RING, HEADS = 200, 64
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FileState(StatefulProcessor):
+    """Numbers and roles of a file's lines, as they come."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("file", "data string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"next": 0, "sure": -1, "frame": -1, "entry": None, "orphan": None, "opener": None, "frames": [], "lines": 0, "timer": None}
+        batch = pd.concat(list(rows)).sort_values("at")
+        columns = ("is_empty", "continuation", "maybe_body", "has_frame", "has_exc", "signature", "frame", "told", "line")
+        out = []
+        for empty, goes_on, maybe, has_frame, has_exc, signature, frame, told, line in zip(*(batch[c].tolist() for c in columns)):
+            n = s["next"]
+            s["next"] = n + 1
+            if empty:
+                out.append((n, "empty", None, None, None, None, told, line))
+                continue
+            attached = goes_on or (maybe and s["frame"] > s["sure"])
+            if not attached:
+                if s["lines"]:
+                    out.append(closed(s))
+                lent = json.dumps(s["frames"]) if has_exc and s["frames"] else None
+                s |= {"entry": n, "opener": signature, "frames": [], "lines": 0}
+                out.append((n, "entry", n, signature, lent, None, told, line))
+            else:
+                if s["entry"] is None and s["orphan"] is None:
+                    s |= {"orphan": n, "opener": signature}
+                    role = "orphan"
+                else:
+                    role = "continuation"
+                out.append((n, role, s["orphan"] if s["entry"] is None else s["entry"], s["opener"], None, frame if has_frame else None, told, line))
+                s["lines"] += 1
+                if has_frame:
+                    s["frames"] = [*s["frames"], frame][-RING:]
+            if goes_on and has_frame:
+                s["frame"] = n
+            if not goes_on and not maybe:
+                s["sure"] = n
+        if s["timer"] is not None:
+            self.handle.deleteTimer(s["timer"])
+        s["timer"] = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.handle.registerTimer(s["timer"])
+        self.state.update((json.dumps(s),))
+        yield told_rows(out, key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s = json.loads(self.state.get()[0])
+        s["timer"] = None
+        self.state.update((json.dumps(s),))
+        if s["lines"]:
+            yield told_rows([closed(s)], key)
+
+    def close(self) -> None:
+        pass
+
+
+def closed(s: dict) -> tuple:
+    """A row that says that an entry has all its lines."""
+    return (None, "closed", s["orphan"] if s["entry"] is None else s["entry"], s["opener"], json.dumps(s["frames"]), None, None, None)
+
+
+def told_rows(rows: list[tuple], key: tuple) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["line_no", "role", "entry_id", "opener", "inherited", "frame", "told", "line"], dtype=object)
+    out["line_no"], out["entry_id"] = out["line_no"].astype("Int64"), out["entry_id"].astype("Int64")
+    return out.assign(file_id=key[0])
+
+
+def titled(text: str, kind: str) -> str:
+    text = f"{kind}: {text}"
+    return text if len(text) <= TITLE_CHARS else text[: TITLE_CHARS - 1] + "…"
+
+
+class IssueState(StatefulProcessor):
+    """A group of equal problems in a file, folded line by line."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("group", "data string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        g = json.loads(self.state.get()[0]) if self.state.exists() else {"part": None, "count": 0, "loggers": [], "frames": [], "samples": [], "heads": []}
+        batch = pd.concat(list(rows)).sort_values("line_no")
+        for n, role, lent, frame, told in zip(*(batch[c].tolist() for c in ("line_no", "role", "inherited", "frame", "told"))):
+            self.fold(g, int(n), role, lent, frame, json.loads(told))
+        self.state.update((json.dumps(g),))
+        yield pd.DataFrame({"part": [g["part"]], "data": [json.dumps(g, ensure_ascii=False)], "file_id": [key[0]], "signature": [key[1]]})
+
+    @staticmethod
+    def fold(g: dict, n: int, role: str, lent: str | None, frame: str | None, told: dict) -> None:
+        if g["part"] is None:
+            g |= {"part": n, "first_line": n, "last_line": n, "first_seen": None, "last_seen": None, "severity": 0, "title": None, "pattern": None, "type": None}
+        kind = told.get("type")
+        if role in ("entry", "orphan"):
+            if g["title"] is None:
+                g |= {"title": told.get("title", ""), "pattern": told.get("pattern", "")}
+                for head in g["heads"]:  # of lines that came before in a part that begins inside a trace
+                    g["title"] = g["title"] if g["title"].startswith(head) else titled(g["title"], head)
+            g["count"] += 1
+            g["last_line"] = n
+            level = told.get("rank", 0)
+            g["severity"] = max(g["severity"], RANK["error"] if role == "orphan" and level == RANK["unknown"] else level)
+            g["type"] = g["type"] or kind
+        if role == "entry":
+            if told.get("ts_ms") is not None:
+                g["last_seen"] = told["ts_ms"]
+                g["first_seen"] = told["ts_ms"] if g["first_seen"] is None else g["first_seen"]
+            who = told.get("who")
+            if who is not None and who not in g["loggers"] and len(g["loggers"]) < MOST["issue_loggers"]:
+                g["loggers"].append(who)
+            if len(g["samples"]) < MOST["samples"]:
+                g["samples"].append({"line_no": n, "raw": told.get("raw", "")})
+            if lent and not g["frames"]:
+                frames = json.loads(lent)
+                g["frames"] = (frames if len(frames) <= 40 else frames[:12] + frames[-6:])[: MOST["frames"]]
+        if frame is not None and len(g["frames"]) < MOST["frames"]:
+            g["frames"].append(frame)
+        if role == "continuation" and kind:
+            g["type"] = g["type"] or kind
+            if not g["heads"] or not g["heads"][-1].startswith(kind):
+                g["heads"] = [*g["heads"], kind][-HEADS:]
+            if g["title"] is not None and not g["title"].startswith(kind):
+                g["title"] = titled(g["title"], kind)
+
+    def close(self) -> None:
+        pass
+
+
+def located_lines(spark: SparkSession, path: str, glob: str | None = None, unterminated: str = "wait") -> DataFrame:
+    """A stream of file_id, at (the line's first byte), raw, from files that are added and that grow."""
+    logsource.register(spark)
+    reader = spark.readStream.format("timberline_lines").option("path", path).option("unterminated", unterminated)
+    return (reader.option("glob", glob) if glob else reader).load().select("file_id", "at", "raw")
+
+
+def stitched(lines: DataFrame, layout: str, idle_ms: int = 60_000, year: int = 2024) -> DataFrame:
+    """lines(file_id, at, raw), a stream -> ``STITCHED`` rows: all lines with number, role and entry, and closed traces.
+
+    Needs the state store of ``STATE_STORE``.
+    """
+    parsed = parse_lines(lines.withColumnRenamed("at", "line_no"), layout=layout, year=year)
+    whole = F.struct(*(c for c in parsed.columns if c not in ("file_id", "line_no")))
+    parsed = flagged(parsed)
+    told = F.struct(
+        rank(X.col("level")).column.cast("int").alias("rank"), title(X.col("message"), X.col("exc.type")).alias("title").column, F.substring("normalized", 1, PATTERN_CHARS).alias("pattern"),
+        F.col("exc.type").alias("type"), logger_of().alias("who"), "ts_ms", truncate(X.col("raw"), 400).alias("raw").column,
+    )
+    rows = parsed.select(
+        "file_id", F.col("line_no").alias("at"), "is_empty", "continuation", "maybe_body", F.col("frame").isNotNull().alias("has_frame"), F.col("exc").isNotNull().alias("has_exc"), "signature",
+        F.to_json("frame").alias("frame"), F.to_json(told).alias("told"), F.to_json(whole).alias("line"),
+    )
+    return rows.groupBy("file_id").transformWithStateInPandas(FileState(idle_ms), STITCHED, "Append", "ProcessingTime")
+
+
+def stitched_lines(rows: DataFrame) -> DataFrame:
+    """The columns of ``operators.stitch.stitch`` from the rows of ``stitched``."""
+    out = rows.where("role <> 'closed'").select("file_id", "line_no", F.from_json("line", PARSED).alias("p"), "role", "entry_id").select("file_id", "line_no", "p.*", "role", "entry_id")
+    return out.withColumn("level", F.when((F.col("role") == "orphan") & (F.col("level") == "unknown"), "error").otherwise(F.col("level")))
+
+
+def closed_traces(rows: DataFrame) -> DataFrame:
+    """file_id, entry_id, signature, frames (the last 200, as JSON) of entries whose attached lines are all there."""
+    return rows.where("role = 'closed'").select("file_id", "entry_id", F.col("opener").alias("signature"), F.from_json("inherited", "array<string>").alias("frames"))
+
+
+def issue_changes(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """``CHANGED`` rows: every batch, the groups that it changed, as they are then."""
+    lines = rows.where("role in ('entry', 'orphan', 'continuation')").select("file_id", F.col("opener").alias("signature"), "line_no", "role", "inherited", "frame", "told")
+    return lines.groupBy("file_id", "signature").transformWithStateInPandas(IssueState(ttl_ms), CHANGED, "Append", "ProcessingTime")
+
+
+def issue_table(spark: SparkSession, path: str) -> Snapshots:
+    return Snapshots(spark, path, f"{CHANGED}, batch long")
+
+
+def keep_issues(changes: DataFrame, path: str, checkpoint: str, **trigger):
+    """Starts the query that appends each batch's changed groups to the table at ``path``; a batch done again adds nothing."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        issue_table(batch.sparkSession, path).append(rows.select("part", "data", "file_id", "signature", "batch"), batch=number)
+
+    return changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(add).start()
+
+
+def compact(table: Snapshots) -> int:
+    """Only the latest state of each part stays."""
+    return table.update(latest)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("file_id", "signature", "part").agg(F.max_by(F.struct("data", "batch"), "batch").alias("l"))
+    return last.select("part", "l.data", "file_id", "signature", "l.batch")
+
+
+def issues_of(table: Snapshots, most: int = MOST["issues"], version: int | None = None) -> DataFrame:
+    """The columns of ``aggregate.issues`` from a table of changes."""
+    g = latest(table.read(version)).select("file_id", "signature", "part", F.from_json("data", GROUP).alias("g"))
+    g = g.groupBy("file_id", "signature").agg(F.array_sort(F.collect_list(F.struct("part", "g"))).alias("parts"))
+    parts, each = F.col("parts"), lambda c: F.flatten(F.transform("parts", lambda p: F.coalesce(p["g"][c], F.array())))
+    known = lambda c: F.filter(F.transform("parts", lambda p: p["g"][c]), lambda x: x.isNotNull())
+    later = F.flatten(F.transform(F.slice("parts", 2, 1_000_000), lambda p: p["g"]["heads"]))
+    put = lambda t, h: X.when(t.startswith(h), t).otherwise(title(t, h))
+    g = g.withColumn("later", later).withColumn("first_title", F.get(known("title"), F.lit(0)))
+    level = F.element_at(F.map_from_arrays(F.array(*(F.lit(r) for r in RANK.values())), F.array(*(F.lit(x) for x in RANK))), F.array_max(known("severity")))
+    g = g.select(
+        "file_id", "signature", level.alias("level"), X.aggregate(X.col("later"), X.col("first_title"), put).alias("title").column, F.get(known("pattern"), F.lit(0)).alias("pattern"),
+        F.aggregate(known("count"), F.lit(0).cast("long"), lambda a, b: a + b).alias("count"), parts[0]["g"]["first_line"].alias("first_line"), F.array_max(known("last_line")).alias("last_line"),
+        F.get(known("first_seen"), F.lit(0)).alias("first_seen"), F.try_element_at(known("last_seen"), F.lit(-1)).alias("last_seen"), F.get(known("type"), F.lit(0)).alias("exception_type"),
+        F.slice(F.array_distinct(each("loggers")), 1, MOST["issue_loggers"]).alias("loggers"), F.slice(F.transform(each("frames"), lambda f: F.from_json(f, FRAME_TYPE)), 1, MOST["frames"]).alias("frames"),
+        F.slice(each("samples"), 1, MOST["samples"]).alias("samples"), F.array_max(known("severity")).alias("severity"),
+    )
+    parsed = g.groupBy("file_id").agg(F.sum("count").alias("parsed"))
+    return in_order(g.join(parsed, "file_id").withColumn("share", F.col("count") / F.col("parsed")).drop("parsed"), most)
