@@ -97,11 +97,21 @@ def resolved(target: Column, page: Column) -> Column:
         .otherwise(F.concat(site, folder, target))
     )
     whole = F.when(F.instr(page, "://") > 0, whole).when(F.instr(target, "://") > 0, target)
-    # Steps up are taken one by one from the left; more than sixteen are left as they are.
-    whole = F.regexp_replace(whole, r"/\./(?=[^?#]*)", "/")
-    for _ in range(16):
-        whole = F.regexp_replace(whole, r"^([^?#]*?://[^/?#]+(?:/[^?#]*?)??)(?:/(?!\.\./)[^/?#]+)?/\.\./", "$1/")
-    return whole
+    return without_dots(whole)
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute address without ``.`` and ``..`` in its path: its segments are taken one by one, each ``..`` drops one."""
+    cut = r"^([^?#]*?://[^/?#]*)([^?#]*)([\s\S]*)$"
+    head, place, tail = (F.regexp_extract(url, cut, k) for k in (1, 2, 3))
+    segments = F.split(F.regexp_replace(place, r"(^|/)\.\.?$", "$0/"), "/")  # a last dot stands for a folder
+
+    def step(acc: Column, s: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(s == "..", up).when(s == ".", acc).otherwise(F.array_append(acc, s))
+
+    folded = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(place.rlike(r"(^|/)\.\.?(/|$)"), F.concat(head, folded, tail)).otherwise(url)
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
