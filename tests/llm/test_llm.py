@@ -627,3 +627,40 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd):
             assert out.columns == docs.columns and out.count() <= docs.count(), name
     last = dict(corpus_pipeline.STAGES)["best_fit_packing"]
     assert last(spark, plain.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Two texts of one id are two documents: neither is lost, nor are the links of either."""
+    words = [[f"w{g}x{k}" for k in range(60)] for g in range(3)]
+    near = lambda g, k: " ".join([*words[g][:k], "other", *words[g][k + 1 :]])
+    a, b, c = (" ".join(w) for w in words)
+    rows = [(1, a), (1, b), (2, near(0, 59)), (3, near(1, 59)), (4, c), (5, c.upper()), (5, "alone"), (6, ""), (6, "  "), (1, a), (1, a.replace(" ", "  "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    want = {(1, 56, 1, True): 4, (2, 56, 1, False): 1, (3, 56, 1, False): 1, (4, 56, 4, True): 1, (5, 56, 4, False): 1, (5, 1, 5, True): 1, (6, 0, 6, True): 2}
+    assert got == Counter(want)
+    kept = sorted((r.doc_id, " ".join(r.text.split())) for r in minhash.one_of_each(df).collect())
+    assert kept == [(1, a), (1, b), (4, c), (5, "alone"), (6, ""), (6, "")]
+
+
+def test_near_duplicates_equal_an_exact_join_on_many_texts(spark):
+    """All documents of sf0.01 against a comparison of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    owner, sizes = brute_components({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {k: (sizes[k], owner[k]) for k in owner}
+
+
+def test_any_number_of_steps_up(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.net/x", '<link rel="canonical" href="http://b.org/' + "p/" * 40 + "../" * 40 + 'end">'),
+            (2, "http://b.org/end", ""),
+            (3, "http://c.org/m/n/page", '<link rel="canonical" href="../../../../far/./x/..?q=/../y">'),
+        ],
+        "page_id long, url string, html string",
+    )
+    target = urls.resolved(F.regexp_extract("html", 'href="([^"]*)"', 1), F.col("url"))
+    got = {r.page_id: r.t for r in pages.select("page_id", target.alias("t")).collect()}
+    assert got[1] == "http://b.org/end" and got[3] == "http://c.org/far/?q=/../y"
+    assert {r.page_id: r.verdict for r in urls.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow"}

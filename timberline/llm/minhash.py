@@ -134,9 +134,8 @@ def _sign(batches):
                 h1.append(0), h2.append(0), packed.append(bytes(HASHES * BITS // 8)), odd.append(bytes(PARITY_BITS // 8))
                 bands.append(np.zeros(BANDS, np.uint64))
                 continue
-            whole = xxhash.xxh3_128_intdigest(s.tobytes())
-            h1.append(int(np.uint64(whole & (2**64 - 1)).astype(np.int64)))
-            h2.append(int(np.uint64(whole >> 64).astype(np.int64)))
+            one, two = _set_name(s)
+            h1.append(one), h2.append(two)
             m = minima(s)
             packed.append(pack(m)), odd.append(parity(s))
             key = np.zeros(BANDS, np.uint64)
@@ -147,6 +146,7 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 ids.cast(pa.int64()),
+                batch.column("said"),
                 pa.array(n, pa.int64()),
                 pa.array(h1, pa.int64()),
                 pa.array(h2, pa.int64()),
@@ -154,17 +154,35 @@ def _sign(batches):
                 _lists(np.frombuffer(b"".join(odd), np.int64), len(n)),
                 _lists(flat, len(n)),
             ],
-            ["doc_id", "n_shingles", "h1", "h2", "sig", "odd", "bands"],
+            ["doc_id", "said", "n_shingles", "h1", "h2", "sig", "odd", "bands"],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>, odd array<long>, bands array<long>"
+_SIGNED = "doc_id long, said long, n_shingles long, h1 long, h2 long, sig array<long>, odd array<long>, bands array<long>"
+
+
+def _set_name(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a whole shingle set."""
+    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(int(np.uint64(half).astype(np.int64)) for half in (whole & (2**64 - 1), whole >> 64))
 
 
 def _sets(batches):
+    """The shingle sets of the classes that a row's id is wanted for; an id may occur with several texts."""
+    last, seen = None, set()
     for batch in batches:
-        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+        ids, sets = [], []
+        for doc_id, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+            if doc_id != last:
+                last, seen = doc_id, set()
+            s = shingle_set(text)
+            h1, h2 = _set_name(s)
+            for w in wanted:
+                if (w["h1"], w["h2"]) == (h1, h2) and w["id"] not in seen:
+                    seen.add(w["id"])
+                    ids.append(w["id"])
+                    sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
 @F.pandas_udf(T.LongType())
@@ -203,18 +221,20 @@ def _within_reach(percent: int) -> Column:
     return enough | (F.col("lead_a") != F.col("lead_b")) | F.col("lead_a").isNull() | F.col("lead_b").isNull()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """a, b, shared, link: how many shingles the whole sets share, and whether the similarity is reached, by integers."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "low", "h1", "h2"), "id")
+    # More than one class for an id only where the id occurs with several texts.
+    wanted = wanted.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list(F.struct("h1", "h2", "id")).alias("wanted"))
     # The ids grow with the corpus, so they are never broadcast.
-    texts = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted")
     sets = pin(texts.mapInArrow(_sets, "id long, shingles binary"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
     n = (F.octet_length("set_a") + F.octet_length("set_b")) / F.lit(8)
     shared = both.withColumn("n", n.cast("long")).withColumn("shared", _shared("set_a", "set_b"))
-    links = pin(shared.select("a", "b", "shared", (F.col("shared") * 100 >= percent * (F.col("n") - F.col("shared"))).alias("link")))
+    links = pin(shared.select("a", "b", "shared", (F.col("shared") * 100 >= percent * (F.col("n") - F.col("shared"))).alias("link")).dropDuplicates(["a", "b"]))
     unpin(sets)
     return links
 
@@ -237,18 +257,40 @@ def _blocked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return few.select("key", "x", "y", "band", "id", "comp"), full.select("key", "x", "y", "id", "comp", "minor")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """h1, h2, low, copies, id: one row for each shingle set, with its smallest doc_id and a number of its own.
+
+    That number is the smallest doc_id; where several sets have the same (an id that occurs with several texts), a hash.
+    """
+    classes = pin(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")))
+    shared = pin(classes.groupBy("low").agg(F.count("*").alias("sets")).where("sets > 1").select("low"))
+    if shared.isEmpty():
+        return classes.withColumn("id", F.col("low"))
+    marked = classes.join(shared.withColumn("shared", F.lit(True)), "low", "left")
+    for seed in range(100):
+        out = pin(marked.withColumn("id", F.when(F.col("shared"), F.xxhash64("h1", "h2", F.lit(seed))).otherwise(F.col("low"))).drop("shared"))
+        if out.groupBy("id").count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("no distinct numbers for shingle sets")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_duplicates``, with hashes of the text (``said``) and of its shingle set (h1, h2)."""
     threshold = percent / 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = pin(docs.mapInArrow(_sign, _SIGNED))
+    signed = pin(docs.select("doc_id", "text", F.xxhash64("text").alias("said")).mapInArrow(_sign, _SIGNED))
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = pin(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    # One row per class: that of its smallest id.
+    classes = _named(named)
+    # One row per class: one of its smallest id.
     reps = pin(
-        named.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "odd", "bands")
+        named.join(classes.select(F.col("low").alias("doc_id"), "h1", "h2", "id"), ["doc_id", "h1", "h2"])
+        .dropDuplicates(["doc_id", "h1", "h2"])
+        .select("id", F.col("n_shingles").alias("n"), "sig", "odd", "bands")
     )
     facts = reps.select("id", "n", "sig", "odd")
 
@@ -268,7 +310,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     star = few.join(leads, "key").groupBy("id").agg(F.max("lead").alias("lead")).select((-F.col("lead.id")).alias("a"), F.col("id").alias("b")).where("a <> b")
     sides = [facts.select(*(F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in facts.columns)) for x in "ab"]
     star = pin(star.join(sides[0], "a").join(sides[1], "b").where(_plausible(threshold)).select("a", "b"))
-    compared = _confirmed(docs, star, percent)
+    compared = _confirmed(docs, classes, star, percent)
     unpin(star)
     links = compared.where("link").select("a", "b")
     first = pin(components(links))
@@ -295,19 +337,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     found = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     found = pin(found.distinct())
     if not found.isEmpty():
-        links = links.union(_confirmed(docs, found, percent).where("link").select("a", "b"))
+        links = links.union(_confirmed(docs, classes, found, percent).where("link").select("a", "b"))
         first = pin(components(links))
-    owner = classes.join(first.withColumnRenamed("node", "id"), "id", "left")
+    owner = pin(classes.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # A component is called by the smallest doc_id in it.
+    lows = owner.groupBy("component").agg(F.min("low").alias("component_id"))
+    owner = owner.join(lows, "component")
     # Classes that are their own component need no row here.
-    owner = owner.select("h1", "h2", F.coalesce("component", "id").alias("component_id"), "copies").where("component_id <> id or copies > 1")
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(owner.drop("copies"), ["h1", "h2"], "left")
+    owner = owner.select("h1", "h2", "component_id", "low", "copies").where("component_id <> low or copies > 1").drop("low", "copies")
+    out = signed.select("doc_id", "n_shingles", "said", "h1", "h2").join(owner, ["h1", "h2"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; rows without an id stay, rows of one id become one."""
-    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """The documents that ``near_duplicates`` keeps, with all their columns; rows without an id stay.
+
+    An id may occur with several texts: each of them is judged by itself, and only rows of one id whose shingles are equal
+    become one.
+    """
+    kept = _grouped(docs, percent).where("kept and doc_id is not null")
+    # Texts without words are equal to nothing but themselves.
+    kept = kept.groupBy("doc_id", "h1", "h2", F.when(F.col("n_shingles") == 0, F.col("said")).alias("bare")).agg(F.min("said").alias("k_said"))
+    kept = kept.select(F.col("doc_id").alias("k_id"), "k_said").distinct()
+    rows = docs.where("doc_id is not null").withColumn("k_id", F.col("doc_id").cast("long")).withColumn("k_said", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(kept.hint("merge"), ["k_id", "k_said"], "left_semi").dropDuplicates(["k_id", "k_said"])
+    return rows.select(docs.columns).union(docs.where("doc_id is null"))
