@@ -1,6 +1,11 @@
 """From raw documents to packed sequences, in five stages over the operators of ``timberline.llm``.
 
 Each stage takes ``(spark, docs, sf_dir)``. All but the last return the columns of ``documents``.
+
+Defined results: a null text is kept as an empty one by every stage but the quality rules, which reject texts with fewer than 20
+words. Rows without an id go through, each by itself. Rows of one id are judged each by its own text; near copies leave one
+document of each group, and rows equal in id and text become one. Columns beside those of ``documents`` are passed on. Empty
+tables go through all stages and give no rows.
 """
 
 from __future__ import annotations
@@ -45,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, written = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = pin(docs)
+            # Nothing reads a stage's input any more once its output is written.
+            docs = written = pin(docs, replaces=written)
     return docs
