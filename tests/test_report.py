@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import csv
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_triage import JAVA_LOG
 from timberline.operators import history
-from timberline.plans import directory, report, views
+from timberline.plans import directory, documents, report, views
 
 
 SHOP = JAVA_LOG + """2024-03-02 08:01:00,000 ERROR [x-1] com.acme.Mail - <b>api_key=notarealkey</b> timed out
@@ -32,8 +33,17 @@ def tables(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def shop(tables):
+    """The rows of one file in every table."""
     file_id = tables["formats"].where(F.col("file_id").endswith("shop.log")).first()["file_id"]
-    return report.collect_report(tables, file_id)
+    return {name: [r.asDict(recursive=True) for r in df.where(F.col("file_id") == file_id).drop("file_id").collect()] for name, df in tables.items()}
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tables):
+    sizes = spark.createDataFrame([(r["file_id"], len(SHOP)) for r in tables["counts"].where(F.col("file_id").endswith("shop.log")).collect()], "file_id string, bytes long")
+    from timberline.sources.shared import pin
+
+    return pin(documents.documents(tables, sizes, at_ms=5))
 
 
 def test_report(tables, shop):
@@ -56,26 +66,81 @@ def test_report(tables, shop):
     assert shop["throughput"][0]["per_second"] == pytest.approx(shop["health"][0]["parsed"] / seconds)
 
 
-def test_exports(tables, shop):
-    assert json.loads(report.to_json(shop))["health"]
-    page = report.to_html(shop, "shop.log")
-    assert "<b>" not in page and "&lt;b&gt;" in page and "<script" not in page and "http-equiv" not in page
-    text = report.to_markdown(shop, "shop.log")
+def test_document(docs, shop):
+    rows = {r["report"]["fileName"]: r["report"].asDict(recursive=True) for r in docs.collect()}
+    assert set(rows) == {"shop.log", "other.log"}
+    doc, other = rows["shop.log"], rows["other.log"]
+    assert (doc["version"], doc["sizeBytes"], doc["analyzedAt"], doc["format"]) == (1, len(SHOP), 5, "text")
+    for name, table, order in (("issues", "issues", "place"), ("insights", "insights", "place"), ("samples", "samples", "line_no"), ("timeline", "timeline", "t"), ("checks", "checks", "place"), ("loggers", "loggers", "place")):
+        assert len(doc[name]) == len(shop[table]), name
+        assert [x.get("title") or x.get("raw") or x.get("t") or x.get("logger") for x in doc[name]] == [
+            x.get("title") or x.get("raw") or x.get("t") or x.get("logger") for x in sorted(shop[table], key=lambda x: x[order])
+        ], name
+    assert sum(doc["levels"].values()) == doc["parsedLines"] == shop["counts"][0]["parsed_lines"]
+    assert doc["latency"]["samples"] == shop["latency"][0]["samples"] and len(doc["latency"]["operations"]) == len(shop["operations"])
+    assert doc["http"]["total"] == 3 and doc["http"]["slowest"]["durationMs"] == 1500.0 and doc["timeRange"]["start"] == shop["time_range"][0]["start_ms"]
+    named = {p["catalogId"]: p for p in doc["knownProblems"]}
+    assert named["null-reference"]["issueIds"] == [i["id"] for i in doc["issues"] if "NullPointer" in i["title"]]
+    assert other["http"] is None and other["latency"] is None and other["timeline"] == [] and other["sizeBytes"] is None and len(other["checks"]) == 53
+    text = json.loads(docs.where("report.fileName = 'other.log'").select(documents.json_text(F.col("report"))).first()[0])
+    assert "http" not in text and text["levels"]["info"] == 1 and list(text)[:3] == ["version", "fileName", "format"]
+
+
+def test_texts(docs, shop):
+    got = {(r["kind"], r["name"]): r["text"] for r in documents.texts(docs).collect()}
+    assert len(got) == 10 and {k for k, _ in got} == set(documents.KINDS)
+    page = got["html", "shop.report.html"]
+    assert "<b>" not in page and "&lt;b&gt;" in page and "<script" not in page and "http-equiv" not in page and "href" not in page
+    text = got["markdown", "shop.report.md"]
     for title in ("# Log report: shop.log", "## Latency", "## Findings", "## Order of work", "## Directory matches", "## Checks", "## Issue groups", "## HTTP"):
-        assert title in text, title
-    assert "2024-03-02 08:00:00.100 UTC" in text
-    said = report.to_summary(shop, "shop.log")
-    assert "Findings:" in said and "Directory matches:" in said and "health" in said
-    lines = report.issues_csv(tables["issues"], tables["problems"]).where(F.col("file_id").endswith("shop.log")).orderBy("place").collect()
-    rows = list(csv.reader(r["line"] for r in lines))
-    assert rows[0] == list(report.CSV_COLUMNS) and all(len(r) == 14 for r in rows) and len(rows) == 1 + len(shop["issues"])
+        assert title in text and f">{title.lstrip('# ').removeprefix('Log report: ')}" in page, title
+    assert "## HTTP" not in got["markdown", "other.report.md"] and "2024-03-02 08:00:00.100 UTC" in text
+    said = got["summary", "shop.summary.txt"]
+    assert "Findings:" in said and "Directory matches:" in said and "health" in said and "HTTP 3 requests, 33.33% 5xx" in said
+    rows = list(csv.reader(got["csv", "shop.issues.csv"].splitlines()))
+    assert rows[0] == list(documents.CSV_COLUMNS) and all(len(r) == 14 for r in rows) and len(rows) == 1 + len(shop["issues"])
     by_title = {r[3]: dict(zip(rows[0], r)) for r in rows[1:]}
     npe = next(v for k, v in by_title.items() if "NullPointer" in k)
-    assert npe["count"] == "2" and npe["top_frame"].startswith("at com.acme.shop.CartService.load") and npe["level"] == "Error"
+    assert npe["count"] == "2" and npe["top_frame"].startswith("at com.acme.shop.CartService.load") and npe["level"] == "Error" and npe["directory_entry"].startswith("runtime-crash: ")
     quoted = next(v for k, v in by_title.items() if "smtp" in k)
     assert quoted["sample_line"].endswith('smtp, the "mail" job took 2500ms') and quoted["first_seen"] == "2024-03-02T08:01:01.000Z" and quoted["duration_in_file"] == "0ms"
     assert quoted["directory_entry"].count(": ") == 1
-    assert report.export_name("shop.log", "markdown") == "shop.report.md" and report.export_name("shop.log", "csv") == "shop.issues.csv"
+    assert json.loads(got["json", "shop.report.json"])["fileName"] == "shop.log"
+
+
+def test_names(spark):
+    names = spark.createDataFrame([("shop.log",), ("a.b.log",), ("plain",), (".log",)], "n string").select(documents.export_name(F.col("n"), "csv").alias("x"))
+    assert [r.x for r in names.collect()] == ["shop.issues.csv", "a.b.issues.csv", "plain.issues.csv", "log.issues.csv"]
+
+
+def test_written_texts(spark, docs, tmp_path):
+    documents.write_texts(docs, str(tmp_path / "out"), ("markdown", "summary"))
+    files = [os.path.join(d, f) for d, _, fs in os.walk(tmp_path / "out") for f in fs if f.endswith(".txt")]
+    assert len(files) == 4
+    want = {(r["kind"], r["name"]): r["text"] for r in documents.texts(docs, ("markdown", "summary")).collect()}
+    for path in files:
+        kind, _, name = (p.split("=", 1)[1] for p in path.split(os.sep)[-4:-1])
+        with open(path) as f:
+            assert f.read() == want[kind, name] + "\n"
+
+
+def test_many_files_at_once_equal_single_runs(spark, tmp_path):
+    """Documents of a folder of files are those of each file by itself."""
+    import random
+
+    rng = random.Random(2)
+    lines = SHOP.splitlines()
+    for k in range(25):
+        part = tmp_path / "all" / f"d{k}"
+        part.mkdir(parents=True)
+        (part / f"f {k}+%.log").write_text("\n".join(rng.sample(lines, rng.randrange(1, len(lines)))) + "\n")
+    plain = lambda path: {r["file_id"]: json.loads(r["t"]) for r in report.reports(spark, path, at_ms=1).select("file_id", documents.json_text(F.col("report")).alias("t")).collect()}
+    whole = plain(str(tmp_path / "all"))
+    assert len(whole) == 25 and whole[next(iter(whole))]["fileName"].startswith("f ")
+    for k in (7,):
+        single = plain(str(tmp_path / "all" / f"d{k}"))
+        for file_id, doc in single.items():
+            assert whole[file_id] == doc and doc["sizeBytes"] == os.path.getsize(tmp_path / "all" / f"d{k}" / f"f {k}+%.log")
 
 
 def test_views(tables):
@@ -85,8 +150,11 @@ def test_views(tables):
     assert {r["level"] for r in views.issue_list(tables["issues"], "warn").collect()} == {"warn"}
     assert views.worst_p95(tables["operations"]).first()["worst"] >= 1
     assert max(r["scale"] for r in views.scaled(tables["paths"].withColumn("count", F.col("count").cast("double")), "count").collect()) == 1.0
-    kept, few = history.trimmed(tables["samples"], tables["issues"])
-    assert kept.count() == tables["samples"].count() and few.agg(F.max(F.size("samples"))).first()[0] == 1
+    assert {views.health_tone(F.lit(x)) is not None for x in (80, 60, 10)} == {True}
+    assert {r["status"] for r in views.open_checks(tables["checks"]).collect()} == {"warn", "fail"}
+    assert views.problem_lines(tables["problems"]).where(F.col("file_id").endswith("shop.log")).first()["lines"] > 3
+    found = history.search_lines(tables["samples"], "TIMED out", "error").collect()
+    assert [r["raw"].endswith("timed out") for r in found] == [True] and history.search_lines(tables["samples"], "timed out", "info").count() == 0
 
 
 def test_directory(spark):
@@ -130,7 +198,45 @@ def test_history(spark):
     new = history.upsert(old, spark.createDataFrame([("3", "a", 3, "z")], cols))
     assert [(r.id, r.name) for r in history.listed(new).collect()] == [("3", "a"), ("2", "b")]
     assert history.without(new, "2").count() == 1 and history.get(new, "3").count() == 1 and history.get(new, "x").count() == 0
-    assert history.size_bytes(new).first()["bytes"] == 2 and history.size_bytes(history.cleared(new)).first()["bytes"] == 0
+
+
+def test_stored_history(spark, docs, tmp_path):
+    store = history.History(spark, str(tmp_path / "h"))
+    assert store.entries().count() == 0 and store.size_bytes() == 0
+    assert documents.REPORT == docs.schema["report"].dataType.simpleString()
+    store.save(docs, at_ms=100)
+    names = lambda: {r.name: (r.saved_at, r.form) for r in store.entries().collect()}
+    assert names() == {"shop.log": (100, "whole"), "other.log": (100, "whole")}
+    store.save(docs.where("report.fileName = 'shop.log'"), at_ms=200)  # the same name takes the place of the older one
+    assert names() == {"shop.log": (200, "whole"), "other.log": (100, "whole")}
+    one = store.entries().where("name = 'shop.log'").first()
+    assert (one.line_count, one.format, one.error_count, one.health_score) == (16, "text", 5, one.report.healthScore)
+    assert all(len(i.samples) <= 1 and len(i.frames) <= 8 for i in one.report.issues) and len(one.report.samples) == 12
+    whole = store.size_bytes()
+    # Room for the newest whole and the other without samples, then for the newest only, then for it without samples.
+    sizes = {r.name: (r.w, r.t) for r in history.measured(store.entries()).collect()}
+    assert whole == sum(w for w, _ in sizes.values())
+    for quota, want in ((whole, {"shop.log": "whole", "other.log": "whole"}), (whole - 1, {"shop.log": "whole", "other.log": "tight"}), (sizes["shop.log"][0], {"shop.log": "whole"}), (sizes["shop.log"][1], {"shop.log": "tight"}), (10, {})):
+        fit = history.fitted(store.entries(), quota).collect()
+        assert {r.name: r.form for r in fit} == want, quota
+        assert all(r.report.samples == [] and all(not i.samples and len(i.frames) <= 5 for i in r.report.issues) for r in fit if r.form == "tight")
+    store.delete(one.id)
+    assert set(names()) == {"other.log"} and store.get(one.id).count() == 0
+    store.clear()
+    assert store.entries().count() == 0 and store.table.manifest()[0] == 4
+
+
+def test_two_writers_of_a_history_both_survive(spark, docs, tmp_path):
+    import threading
+
+    parts = [docs.where(F.col("report.fileName") == n) for n in ("shop.log", "other.log")]
+    threads = [threading.Thread(target=lambda d=d, k=k: history.History(spark, str(tmp_path / "h")).save(d, at_ms=k)) for k, d in enumerate(parts)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    store = history.History(spark, str(tmp_path / "h"))
+    assert {r.name for r in store.entries().collect()} == {"shop.log", "other.log"} and store.table.versions() == [1, 2]
 
 
 def test_stream(spark, tmp_path):

@@ -1,22 +1,14 @@
-"""A report on each file of a log: bounded child tables, the measured checks, and their serialised forms."""
+"""A report on each file of a log, as bounded tables and as one document a file."""
 
 from __future__ import annotations
 
-import html
-import json
-from datetime import datetime, timezone
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
-from timberline.functions.sqltext import X
-from timberline.functions.text import csv_cell, short_ms, utc_text
-from timberline.plans import directory, findings, rules
-from timberline.plans.views import LAYOUT_LABELS, LEVEL_LABELS
+from timberline.plans import directory, documents, findings
+from timberline.plans.checks import checks
 from timberline.sources.lines import detect_format, read_lines
 from timberline.sources.shared import pin
 
@@ -43,245 +35,28 @@ def report_of(lines: DataFrame, formats: DataFrame, max_issues: int = A.MOST["is
         "levels": levels,
         "health": A.health(levels),
         "issues": issues,
-        "loggers": A.logger_stats(lines),
+        "loggers": pin(A.logger_stats(lines)),
         "exceptions": pin(A.exception_counts(lines)),
         "sources": A.source_counts(lines),
         "http": pin(A.http_totals(lines)),
-        "statuses": A.status_stats(lines),
+        "statuses": pin(A.status_stats(lines)),
         "status_classes": pin(A.status_classes(lines)),
-        "paths": A.path_stats(lines),
+        "paths": pin(A.path_stats(lines)),
         "slowest": pin(A.slowest_request(lines)),
         "latency": pin(A.latency_overall(timed)),
         "operations": pin(A.latency_by_operation(timed)),
         "http_latency": pin(A.http_latency(lines)),
         "time_range": pin(A.time_range(lines)),
-        "timeline": A.timeline(lines),
+        "timeline": pin(A.timeline(lines)),
         "samples": A.sample_lines(lines),
     }
     out["insights"] = pin(findings.all_findings(out))
     out["recommendations"] = findings.recommendations(issues, out["insights"], levels)
     out["problems"] = pin(directory.known_problems(issues, out["exceptions"]))
     out["throughput"] = findings.throughput(out["counts"], out["time_range"])
-    return out | {"checks": checks(out)}
-
-
-def _verdict(*ways: tuple[Column, str]) -> Column:
-    out = None
-    for condition, status in ways:
-        out = F.when(condition, status) if out is None else out.when(condition, status)
-    return out.otherwise("pass")
-
-
-def measured_checks(t: dict[str, DataFrame]) -> DataFrame:
-    """file_id, id, group, status of the checks that look at numbers rather than wording."""
-    wide = t["levels"].groupBy("file_id").pivot("level", list(A.RANK)).agg(F.first("count"))
-    one = t["counts"].join(wide, "file_id").join(t["formats"].select("file_id", "format"), "file_id", "left")
-    one = one.join(t["time_range"].select("file_id", "start_ms", "out_of_order"), "file_id", "left")
-    lat = t["latency"].select("file_id", "samples", F.col("max").alias("lat_max"), F.col("p95").alias("lat_p95"), "over_budget")
-    slow = t["operations"].where("samples >= 2 and p95 > 1000").groupBy("file_id").agg(F.count("*").alias("slow_ops"))
-    http = t["http"].select("file_id", "requests", "errors")
-    four = t["statuses"].where("status between 400 and 499").groupBy("file_id").agg(F.sum("count").alias("client_errors"))
-    cover = t["http_latency"].select("file_id", "coverage")
-    names = t["loggers"].groupBy("file_id").agg(F.count("*").alias("loggers"))
-    bursts = t["issues"].where("count > 20 and last_seen - first_seen < 60000 and level in ('warn', 'error', 'fatal')")
-    bursts = bursts.groupBy("file_id").agg(F.count("*").alias("bursts"))
-    bare = t["issues"].where("level in ('error', 'fatal')").groupBy("file_id").agg(F.count_if((F.size("frames") == 0) & F.col("exception_type").isNull()).alias("bare"))
-    traced = t["issues"].where(F.lower(F.concat_ws(" ", "pattern", "title", F.col("samples")[0]["raw"])).rlike("(?i)" + rules.CORRELATION))
-    traced = traced.groupBy("file_id").agg(F.count("*").alias("traced"))
-    for part in (lat, slow, http, four, cover, names, bursts, bare, traced, timeline_facts(t["timeline"])):
-        one = one.join(part, "file_id", "left")
-    c = lambda n: F.coalesce(F.col(n), F.lit(0))
-    parsed = F.greatest("parsed_lines", F.lit(1))
-    error_rate = (F.col("error") + F.col("fatal")) / parsed
-    few = c("requests") < 3
-    untimed = c("samples") == 0
-    table = (
-        ("fatal-lines", "availability", _verdict((F.col("fatal") > 0, "fail"))),
-        ("error-rate", "availability", _verdict((error_rate > 0.05, "fail"), (error_rate > 0.01, "warn"))),
-        ("latency-p95", "latency", _verdict((untimed, "unknown"), (c("lat_p95") > 1000, "warn"))),
-        ("latency-outliers", "latency", _verdict((c("samples") < 5, "unknown"), (c("lat_max") > F.greatest(F.lit(1000.0), c("lat_p95") * 4), "warn"))),
-        ("latency-operations", "latency", _verdict((untimed, "unknown"), (c("slow_ops") > 0, "warn"))),
-        ("latency-over-budget", "latency", _verdict((untimed, "unknown"), (c("over_budget") > 0, "warn"))),
-        ("http-latency-coverage", "latency", _verdict((few, "unknown"), (c("coverage") < 0.5, "warn"))),
-        ("http-5xx", "latency", _verdict((few, "unknown"), (c("errors") / c("requests") > 0.05, "fail"), (c("errors") > 0, "warn"))),
-        ("http-4xx", "latency", _verdict((few, "unknown"), (c("client_errors") / c("requests") > 0.1, "warn"))),
-        ("error-burst", "throughput", _verdict((c("bursts") > 0, "warn"))),
-        ("traffic-spike", "throughput", _verdict((c("buckets") < 4, "unknown"), (F.col("peak") > 3 * F.col("typical"), "warn"))),
-        ("error-spike", "throughput", _verdict((c("filled") < 4, "unknown"), ((F.col("peak_errors") > 0.02) & (F.col("peak_errors") > 3 * F.col("typical_errors")), "warn"))),
-        ("volume-drop", "throughput", _verdict((c("filled") < 6, "unknown"), (F.col("tail") < 0.25 * F.col("typical_filled"), "warn"))),
-        ("timestamps", "data", _verdict((F.col("start_ms").isNull(), "unknown"), (F.col("out_of_order"), "warn"))),
-        ("malformed-lines", "data", _verdict((F.col("parsed_lines") == 0, "fail"), (F.col("unclassified_lines") / parsed > 0.2, "warn"))),
-        ("log-noise", "observability", _verdict((F.col("parsed_lines") == 0, "unknown"), ((F.col("debug") + F.col("trace")) / parsed > 0.4, "warn"))),
-        ("single-logger", "observability", _verdict((F.col("parsed_lines") < 200, "unknown"), (c("loggers") <= 1, "warn"))),
-        ("correlation-id", "observability", _verdict((F.col("parsed_lines") < 200, "unknown"), (c("traced") == 0, "warn"))),
-        ("structure", "observability", _verdict((~F.coalesce(F.col("format"), F.lit("")).isin("json", "apache", "syslog"), "warn"))),
-        ("error-context", "observability", _verdict((c("bare") > 0, "warn"))),
-    )
-    each = F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("group"), s.alias("status")) for a, b, s in table)))
-    return one.select("file_id", each.alias("c")).select("file_id", "c.*")
-
-
-def timeline_facts(timeline: DataFrame) -> DataFrame:
-    """Peaks and typical values of a file's buckets (at most 500 of them)."""
-    share = F.when(F.col("total") > 0, F.col("error") / F.col("total"))
-    t = timeline.withColumn("share", share).withColumn("back", F.row_number().over(W.partitionBy("file_id", F.col("total") > 0).orderBy(F.desc("t"))))
-    filled = F.when(F.col("total") > 0, F.col("total"))
-    return t.groupBy("file_id").agg(
-        F.count("*").alias("buckets"), F.count(filled).alias("filled"), F.max("total").alias("peak"), F.median("total").alias("typical"), F.median(filled).alias("typical_filled"),
-        F.max("share").alias("peak_errors"), F.median("share").alias("typical_errors"), F.avg(F.when((F.col("total") > 0) & (F.col("back") <= 3), F.col("total"))).alias("tail"),
-    )
-
-
-def checks(t: dict[str, DataFrame]) -> DataFrame:
-    """All 53 checks of every file: file_id, id, group, status."""
-    wording = rules.scans(t["issues"]).select("file_id", "id", "group", "status")
-    # A file without issues passes every wording check.
-    every = F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("group")) for a, b, _, _ in rules.SCANS)))
-    rest = t["counts"].select("file_id").join(t["issues"].select("file_id").distinct(), "file_id", "left_anti").select("file_id", every.alias("r"))
-    rest = rest.select("file_id", "r.*", F.lit("pass").alias("status"))
-    return measured_checks(t).unionByName(wording).unionByName(rest)
-
-
-# Sinks. A report's tables hold a bounded number of rows for each file, so one file's report fits in the driver.
-
-
-def collect_report(t: dict[str, DataFrame], file_id: str) -> dict:
-    return {name: [r.asDict(recursive=True) for r in df.where(F.col("file_id") == file_id).drop("file_id").collect()] for name, df in t.items()}
-
-
-def to_json(report: dict) -> str:
-    return json.dumps(report, indent=2, ensure_ascii=False, default=str)
-
-
-#: Columns of the issues' CSV.
-CSV_COLUMNS = (
-    "level", "count", "share", "title", "exception_type", "first_line", "last_line", "first_seen", "last_seen", "duration_in_file", "loggers", "top_frame",
-    "directory_entry", "sample_line",
-)
-
-
-def issues_csv(issues: DataFrame, problems: DataFrame) -> DataFrame:
-    """file_id, place, line: a header (place 0) and one CSV line for each issue, quoted where needed; lines count from 1."""
-    level = X.try_element_at(X.map(*(x for kv in LEVEL_LABELS.items() for x in kv)), X.col("level"))
-    seen = lambda c: X.when(X.col(c).isNotNull(), utc_text(X.col(c)))
-    span = X.when(X.col("first_seen").isNotNull() & X.col("last_seen").isNotNull(), short_ms(X.col("last_seen") - X.col("first_seen")))
-    cells = (
-        level, X.col("count"), X.format_string("%.5f", X.col("share")), X.col("title"), X.col("exception_type"), X.col("first_line") + 1, X.col("last_line") + 1,
-        seen("first_seen"), seen("last_seen"), span, X.array_join(X.col("loggers"), " | "), X.col("frames")[0]["raw"], X.col("label"), X.col("samples")[0]["raw"],
-    )
-    rows = issues.join(directory.issue_labels(problems), ["file_id", "signature"], "left")
-    rows = rows.select("file_id", F.col("place"), X.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line").column)
-    head = issues.select("file_id").distinct().select("file_id", F.lit(0).alias("place"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
-    return head.union(rows)
-
-
-def _pct(x: float | None, digits: int = 1) -> str:
-    return f"{(x or 0) * 100:.{digits}f}%"
-
-
-def _ms(x: float | None) -> str:
-    x = x or 0
-    return f"{x / 60_000:.1f}m" if x >= 60_000 else f"{x / 1000:.2f}s" if x >= 1000 else f"{int(x + 0.5)}ms"
-
-
-def _stamp(ms: int) -> str:
-    return datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.") + f"{ms % 1000:03d} UTC"
-
-
-def _first(report: dict, name: str) -> dict:
-    return (report.get(name) or [{}])[0]
-
-
-def _by_place(report: dict, name: str, most: int | None = None) -> list[dict]:
-    return sorted(report.get(name) or [], key=lambda x: x["place"])[:most]
-
-
-def facts_of(report: dict) -> list[tuple[str, str]]:
-    """The headline figures of a report, as (what, value)."""
-    levels = {x["level"]: x["count"] for x in report["levels"]}
-    parsed = max(sum(levels.values()), 1)
-    errors, layout, times = levels.get("error", 0) + levels.get("fatal", 0), _first(report, "formats"), _first(report, "time_range")
-    out = [
-        ("Lines", f"{_first(report, 'counts').get('line_count', 0):,}"),
-        ("Layout", f"{LAYOUT_LABELS.get(layout.get('format'), layout.get('format'))} ({_pct(layout.get('confidence'), 0)} of the sample)"),
-        ("Errors and fatal", f"{errors:,} ({_pct(errors / parsed, 2)})"),
-        ("Warnings", f"{levels.get('warn', 0):,} ({_pct(levels.get('warn', 0) / parsed, 2)})"),
-        ("Issue groups", str(len(report["issues"]))),
-        ("Directory matches", str(len(report.get("problems") or []))),
-        ("Health", f"{_first(report, 'health').get('health_score')}/100"),
-    ]
-    if times:
-        out.append(("Time range", f"{_stamp(times['start_ms'])} to {_stamp(times['end_ms'])} ({_ms(times['duration_ms'])})"))
-    if _first(report, "throughput").get("per_second"):
-        out.append(("Throughput", f"{_first(report, 'throughput')['per_second']:.1f} lines/s"))
-    return out
-
-
-def sections_of(report: dict, most_issues: int, most_paths: int) -> list[tuple[str, list[str], list[list[str]]]]:
-    """(title, header, rows) of the tables that a report shows, as plain text."""
-    out = []
-    lat = _first(report, "latency")
-    if lat:
-        rows = [["all", str(lat["samples"]), _ms(lat["p50"]), _ms(lat["p95"]), _ms(lat["p99"]), _ms(lat["max"]), f"{lat['over_budget']} ({_pct(lat['over_budget'] / lat['samples'])})"]]
-        rows += [[x["name"], str(x["samples"]), _ms(x["p50"]), _ms(x["p95"]), _ms(x["p99"]), _ms(x["max"]), str(x["over_budget"])] for x in _by_place(report, "operations")]
-        out.append(("Latency", ["Operation", "Timings", "Median", "p95", "p99", "Max", "Over 1 s"], rows))
-    found = [[x["severity"], x["title"] or x["id"], str(x["occurrences"]), (x["detail"] or "")[:300], x["advice"]] for x in _by_place(report, "insights")]
-    out.append(("Findings", ["Severity", "Finding", "Lines", "Detail", "What to do"], found))
-    out.append(("Order of work", ["", "What"], [[str(k), x["text"]] for k, x in enumerate(_by_place(report, "recommendations"), 1)]))
-    met = []
-    for x in _by_place(report, "problems"):
-        why, fix = directory.ADVICE.get(x["category"], ("", ""))
-        met.append([x["severity"], f"{directory.CATEGORIES.get(x['category'], x['category'])}: {x['title']}", str(x["occurrences"]), (x["example"] or "")[:300], why, fix])
-    out.append(("Directory matches", ["Severity", "Problem", "Lines", "Example", "Why", "What to do"], met))
-    out.append(("Checks", ["Check", "Group", "Status"], [[x["id"], x["group"], x["status"].upper()] for x in report["checks"]]))
-    rows = [[str(k), LEVEL_LABELS[x["level"]], str(x["count"]), x["title"][:140], x["exception_type"] or ""] for k, x in enumerate(_by_place(report, "issues", most_issues), 1)]
-    out.append(("Issue groups", ["#", "Severity", "Lines", "Title", "Exception"], rows))
-    if _first(report, "http"):
-        shown = lambda x: _ms(x) if x else "-"
-        rows = [[x["path"], str(x["count"]), str(x["errors"]), shown(x["avg_ms"]), shown(x["max_ms"])] for x in _by_place(report, "paths", most_paths)]
-        http = _first(report, "http")
-        out.append((f"HTTP: {http['requests']:,} requests, {_pct(http['error_rate'], 2)} returned 5xx", ["Path", "Requests", "5xx", "Mean", "Max"], rows))
-    return [x for x in out if x[2]]
-
-
-def to_markdown(report: dict, name: str, most: int = 25) -> str:
-    cell = lambda x: str(x).replace("|", chr(92) + "|").replace("\n", " ")
-    row = lambda cells: "| " + " | ".join(map(cell, cells)) + " |"
-    out = [f"# Log report: {name}", "", row(["What", "Value"]), row(["---", "---"]), *(row(x) for x in facts_of(report)), ""]
-    for title, header, rows in sections_of(report, most, 15):
-        out += [f"## {title}", "", row(header), row(["---"] * len(header)), *map(row, rows), ""]
-    return "\n".join(out)
-
-
-STYLE = "body{font:15px/1.5 sans-serif;max-width:64rem;margin:2rem auto;padding:0 1rem}table{border-collapse:collapse;width:100%}th,td{text-align:left;padding:.3rem .5rem;border-bottom:1px solid #ccc;vertical-align:top}"
-
-
-def to_html(report: dict, name: str, most: int = 30) -> str:
-    """A page of its own: no scripts, no links, all text escaped."""
-    e = lambda x: html.escape(str(x), quote=True)
-    table = lambda header, rows: "<table><thead><tr>" + "".join(f"<th>{e(h)}</th>" for h in header) + "</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{e(c)}</td>" for c in r) + "</tr>" for r in rows) + "</tbody></table>"
-    parts = "".join(f"<h2>{e(title)}</h2>{table(header, rows)}" for title, header, rows in sections_of(report, most, 20))
-    head = f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{e(name)}</title><style>{STYLE}</style></head>"
-    return f"{head}<body><h1>{e(name)}</h1>{table(['What', 'Value'], facts_of(report))}{parts}</body></html>"
-
-
-def to_summary(report: dict, name: str) -> str:
-    facts, lat, http = dict(facts_of(report)), _first(report, "latency"), _first(report, "http")
-    out = [name, f"{facts['Lines']} lines, {facts['Errors and fatal']} errors, {facts['Warnings']} warnings, health {facts['Health']}"]
-    if lat:
-        out.append(f"Latency p50 {_ms(lat['p50'])}, p95 {_ms(lat['p95'])}, max {_ms(lat['max'])} ({lat['samples']} timings)")
-    if http:
-        out.append(f"HTTP {http['requests']:,} requests, {_pct(http['error_rate'], 2)} 5xx")
-    found = [f"- {x['title'] or x['id']}" for x in _by_place(report, "insights", 3)]
-    out += ["Findings:", *found] if found else []
-    met = [x["title"] for x in _by_place(report, "problems", 4)]
-    return "\n".join(out + (["Directory matches: " + ", ".join(met)] if met else []))
-
-
-SINKS = {"json": lambda r, n: to_json(r), "markdown": to_markdown, "html": to_html, "summary": to_summary}
+    return out | {"checks": pin(checks(out))}
 
 
-def export_name(name: str, kind: str) -> str:
-    extension = {"json": "report.json", "csv": "issues.csv", "markdown": "report.md", "html": "report.html", "summary": "summary.txt"}[kind]
-    stem = name.rsplit(".", 1)[0] if "." in name else name
-    return f"{stem or 'log'}.{extension}"
+def reports(spark: SparkSession, path: str | list[str], glob: str | None = None, at_ms: int | None = None, **options) -> DataFrame:
+    """file_id, report: the document of every file that isn't empty, all in one run of jobs."""
+    return documents.documents(triage(spark, path, glob, **options), documents.file_sizes(spark, path, glob), at_ms)

@@ -95,10 +95,10 @@ def insights(issues: DataFrame) -> DataFrame:
 
 def scans(issues: DataFrame) -> DataFrame:
     """file_id, id, group, status, lines, groups, sample for each wording check of each file."""
-    text = _joined(F.col("pattern"), F.col("title"), F.col("exception_type"), F.col("samples")[0]["raw"])
+    text = _joined(F.col("pattern"), F.col("title"), F.col("exception_type"), F.get("samples", F.lit(0))["raw"])
     hit = _matches(issues, text, SCANS, lambda r: F.lit(r[0]))
     found = hit.groupBy("file_id", F.col("rule").alias("id")).agg(
-        F.sum("count").alias("lines"), F.count("*").alias("groups"), F.min_by(F.col("samples")[0]["raw"], "place").alias("sample")
+        F.sum("count").alias("lines"), F.count("*").alias("groups"), F.min_by(F.get("samples", F.lit(0))["raw"], "place").alias("sample")
     )
     every = F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("group"), F.lit(c).alias("bad")) for a, b, c, _ in SCANS)))
     all_of = issues.select("file_id").distinct().select("file_id", every.alias("r")).select("file_id", "r.*")
