@@ -114,3 +114,85 @@ SPANS = (("sync took ", " ms", 1), ("load finished in ", "s", 1000), ("step ", "
 def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = " ".join(f"when {k} then concat('{a}', 1 + ms % 90, '{b}')" for k, (a, b, _) in enumerate(SPANS))
     return _lines(events(spark, sf_dir), f"concat({CLOCK}, ' INFO app.core.Svc - ', case event_id % {len(SPANS)} {case} end)")
+
+
+#: Six files, told apart by user, that differ in severities, requests, timings, loggers and wording. The same in both SQLs.
+CHECKED = {
+    "f": "user_id % 6",
+    "lvl": "case when event_type = 'error' then case when user_id % 6 = 0 then 'FATAL' when user_id % 6 = 4 then 'INFO' else 'ERROR' end when user_id % 6 = 1 then 'DEBUG' else 'INFO' end",
+    "st": "case when user_id % 6 = 2 then null when user_id % 6 = 4 then 200 when event_id % 11 = 0 then 500 when event_id % 7 = 0 then 404 else 200 end",
+    "dur": "case when user_id % 6 = 2 then null when user_id % 6 = 3 then cast(floor(value * 10 + 0.5) as bigint) * 20 + 1 else 1 + event_id % 90 end",
+    "lg": "case when user_id % 6 = 5 then 'w-0' else concat('w-', user_id % 7) end",
+}
+
+
+def checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = events(spark, sf_dir).select("*", *(F.expr(x).alias(n) for n, x in CHECKED.items()))
+    said = "case when st is null then concat('job ', event_id, ' ended') else concat('GET /api/', if(f = 4, 'request_id', 'carts'), '/', user_id, ' -> ', st, ' (', dur, 'ms)') end"
+    raw = f"concat({CLOCK}, ' ', lvl, ' [', lg, '] app.Cart - ', {said})"
+    return df.select(F.concat(F.lit("f"), "f", F.lit(".log")).alias("file_id"), F.col("event_id").alias("line_no"), F.expr(raw).alias("raw"))
+
+
+#: (a frame's line with its number put in, function, file) of each dialect.
+DIALECTS = (
+    ("\\tat com.acme.Job.run(Job.java:#)", "com.acme.Job.run", "Job.java"), ('  File "/srv/w.py", line #, in run', "run", "/srv/w.py"), ("    at load (/srv/app.js:#:5)", "load", "/srv/app.js"),
+    ("    at /srv/app.js:#:5", None, "/srv/app.js"), ("   at Acme.Store.Load() in /src/Store.cs:line #", "Acme.Store.Load", "/src/Store.cs"), ("\\tfrom /srv/app.rb:#:in `run'", "run", "/srv/app.rb"),
+    ("main.run(0x1f) /srv/main.go:#", "main.run", "/srv/main.go"),
+)
+
+
+def _chosen(texts: list[str | None], by: str) -> str:
+    """A CASE over ``by``, the same in both SQLs; quotes are doubled."""
+    quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"case {by} " + " ".join(f"when {k} then {quoted(x)}" for k, x in enumerate(texts)) + " end"
+
+
+def framed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit(None)
+    for k, (line, _, _) in enumerate(DIALECTS):
+        text = F.when(F.col("event_id") % len(DIALECTS) == k, F.lit(line.replace("\\t", "\t"))).otherwise(text)
+    df = events(spark, sf_dir).withColumn("raw", F.replace(text, F.lit("#"), (F.col("user_id") + 1).cast("string")))
+    return df.select(F.lit("framed.log").alias("file_id"), F.col("event_id").alias("line_no"), "raw")
+
+
+#: (a header's line with a word put in, type, whether the line goes on a trace).
+HEADERS = (
+    ("com.acme.StoreException: lost #", "com.acme.StoreException", False), ("KeyError: #", "KeyError", False), ("Caused by: java.io.IOException: no #", "java.io.IOException", True),
+    ("Uncaught TypeError: # is not here", "TypeError", False), ("Suppressed: a.b.CloseFailure - #", "a.b.CloseFailure", True),
+)
+
+
+def headed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = _chosen([h[0] for h in HEADERS], f"event_id % {len(HEADERS)}")
+    return _lines(events(spark, sf_dir), f"replace({text}, '#', event_type)")
+
+
+#: (word, severity) of the words that stand for severities.
+TOKENS = (
+    ("FATAL", "fatal"), ("CRITICAL", "fatal"), ("CRIT", "fatal"), ("PANIC", "fatal"), ("EMERG", "fatal"), ("ALERT", "fatal"), ("ERROR", "error"), ("ERR", "error"), ("EXCEPTION", "error"),
+    ("FAILURE", "error"), ("FAILED", "error"), ("FAIL", "error"), ("WARN", "warn"), ("WARNING", "warn"), ("NOTICE", "warn"), ("INFO", "info"), ("LOG", "info"), ("DEBUG", "debug"), ("DBG", "debug"),
+    ("TRACE", "trace"), ("VERBOSE", "trace"), ("FINE", "trace"), ("FINER", "trace"), ("FINEST", "trace"),
+)
+
+
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(events(spark, sf_dir), f"concat('[', {_chosen([t for t, _ in TOKENS], f'event_id % {len(TOKENS)}')}, '] step ', event_id)")
+
+
+def lone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error event is an entry, a frame with a line of code, and a header of its own line, which takes the frame over."""
+    head = f"concat({CLOCK}, ' ', level, ' app.', initcap(event_type), 'Svc - job broke')"
+    trace = (
+        f"case when event_type = 'error' then array({head}, concat('  File \"/srv/w', user_id % 2, '.py\", line ', 41 + user_id % 3, ', in run'), '    value = table[key]', "
+        f"concat('KeyError: k', user_id % 4)) else array({head}) end"
+    )
+    df = events(spark, sf_dir).select("event_id", F.posexplode(F.expr(trace)).alias("k", "raw"))
+    return df.select(F.lit("lone.log").alias("file_id"), (F.col("event_id") * 4 + F.col("k")).alias("line_no"), "raw")
+
+
+#: Lines of RFC 5424, of no layout, and with a thread, which the layouts' parsers leave to the text parser or read themselves.
+SHAPES = ("plain words and number #", "[main] WARN pool of # is low", "level=error logger=store.Cart text # broke", "<34>1 2024-03-02T08:00:00Z host app - - - user # left")
+
+
+def shaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(events(spark, sf_dir), f"replace({_chosen(list(SHAPES), f'event_id % {len(SHAPES)}')}, '#', user_id)")

@@ -16,29 +16,19 @@ from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
 from timberline.plans import derived as D
 from timberline.plans import directory, findings, rules, views
+from timberline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from timberline.sources.shared import pin
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.replace("{e}", D.EVENTS_SQL)
-        return f
-
-    return add
-
-
 def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Typed and stitched lines of a derived log."""
     # The table is small on disk but its lines are costly to parse: deal them over all cores.
     cores = spark.sparkContext.defaultParallelism
-    if kind == "trace":
-        return stitch(parse_lines(D.trace_lines(spark, sf_dir).repartition(cores, "line_no"), layout="text"))
+    traces = {"trace": D.trace_lines, "lone": D.lone_lines}
+    if kind in traces:
+        return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text"))
     makers = {
         "text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trouble": D.trouble_lines, "clocked": D.clocked_lines, "timed": D.timed_lines,
+        "checked": D.checked_lines, "framed": D.framed_lines, "headed": D.headed_lines, "tokens": D.token_lines, "shaped": D.shaped_lines,
     }
     lines = makers[kind](spark, sf_dir).repartition(cores, "line_no")
     layout = kind if kind in ("json", "apache", "syslog") else "text"
@@ -339,22 +329,39 @@ def known_problems_in_talk(spark, sf_dir):
     return directory.known_problems(talk, none).select("id", "occurrences")
 
 
-@query(f"with r(id, category, severity, title, languages, p) as (values {_RULES_SQL}) select category, count(*) as count from r group by 1")
+_MET_SQL = """, met as (select id, cast(sum(c) as bigint) as occurrences from r join g
+    on regexp_matches(lower(text || ' ' || text || '  trouble.log'), p) or regexp_matches(lower(array_to_string(samples, ' ')), p) group by 1)"""
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = spark.createDataFrame([], "file_id string, type string, count long, first_line long")
+    return directory.known_problems(_troubles(spark, sf_dir), none).select("id", "occurrences")
+
+
+@query(
+    "with {e}, " + _GROUPS + f", r(id, category, severity, title, languages, p) as (values {_RULES_SQL})" + _MET_SQL
+    + " select category, count(*) as count, count(met.id) as met, cast(coalesce(sum(occurrences), 0) as bigint) as lines from r left join met using (id) group by 1"
+)
 def category_counts(spark, sf_dir):
-    return directory.category_counts(directory.rules_table(spark))
+    """For each category of the directory: its entries, how many of them a log meets, and lines."""
+    both = directory.rules_table(spark).join(_met(spark, sf_dir).withColumn("hit", F.lit(1)), "id", "left")
+    counts = directory.category_counts(both)
+    return counts.join(both.groupBy("category").agg(F.count("hit").alias("met"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("lines")), "category")
 
 
 _ADVICE_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + ")" for k, v in directory.ADVICE.items())
 
 
 @query(
-    f"""with r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), a(category, why, fix) as (values {_ADVICE_SQL}),
-    t as (select *, lower(title || chr(10) || why || chr(10) || fix || chr(10) || languages) as said from r join a using (category))
-    select id, title from t where severity = 'critical' and (contains(said, 'lock') or contains(said, 'kafka'))"""
+    "with {e}, " + _GROUPS + f", r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), a(category, why, fix) as (values {_ADVICE_SQL})" + _MET_SQL
+    + """, t as (select *, lower(title || chr(10) || why || chr(10) || fix || chr(10) || languages) as said from r join a using (category))
+    select id, title, occurrences from t join met using (id) where contains(said, 'lock') or (severity = 'warning' and contains(said, 'limit'))"""
 )
 def directory_search(spark, sf_dir):
+    """Entries that a log meets and that a search of the directory finds."""
     rules_ = directory.rules_table(spark)
-    return directory.search(rules_, "LOCK", severity="critical").union(directory.search(rules_, "kafka", severity="critical")).select("id", "title").distinct()
+    found = directory.search(rules_, "LOCK").union(directory.search(rules_, "limit", severity="warning")).select("id", "title").distinct()
+    return found.join(_met(spark, sf_dir), "id")
 
 
 _LATE = "s as (select count(*) as n, count(*) filter (status >= 500) as c5, count(*) filter (status between 400 and 499) as c4, max(ms) as hi, " + f"{_RANKED.format(q=0.95)} as p95 from e)"
@@ -454,3 +461,6 @@ def triage_files(spark, sf_dir):
     levels = t["levels"].groupBy("file_id").agg(F.sum("count").alias("parsed"), F.sum(F.when(F.col("level").isin("error", "fatal"), F.col("count")).otherwise(0)).alias("errors"))
     out = t["formats"].join(levels, "file_id").join(t["counts"].select("file_id", "line_count"), "file_id").join(t["http"].select("file_id", "requests"), "file_id", "left")
     return out.select(F.element_at(F.split("file_id", "/"), -2).alias("layout"), "format", "line_count", "parsed", "errors", F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+from timberline.plans import report_queries  # noqa: E402, F401  (registers its queries)
