@@ -163,8 +163,8 @@ def test_directory(spark):
     assert {r["severity"]: r["n"] for r in rules.groupBy("severity").agg(F.count("*").alias("n")).collect()} == {"critical": 38, "warning": 56, "info": 8}
     assert [r["id"] for r in directory.search(rules, "STAMPEDE", severity="warning").collect()] == ["cache-stampede"]
     assert directory.search(rules, "kotlin", category="runtime-crash").count() == 1
-    lines = list(csv.reader(r["line"] for r in directory.csv_lines(rules).collect()))
-    assert len(lines) == 102 and all(len(r) == len(directory.CSV_COLUMNS) for r in lines)
+    lines = list(csv.reader(r["line"] for r in directory.csv_lines(rules).orderBy("place").collect()))
+    assert len(lines) == 103 and lines[0] == list(directory.CSV_COLUMNS) and all(len(r) == len(directory.CSV_COLUMNS) for r in lines)
     assert len(json.loads(directory.to_json(rules))) == 102
 
 
@@ -184,6 +184,11 @@ def test_known_problems(spark):
     assert "http-4xx" not in got  # a fraction of a second isn't a status
     assert got["null-reference"]["issue_ids"] == ["d"]  # by its sample
     assert (got["stack-overflow"]["occurrences"], got["stack-overflow"]["issue_ids"]) == (9, [])  # the file's first such type
+    # Of equal severity and lines, what issues met comes before what only a type meets, whatever the directory's order.
+    tie = spark.createDataFrame([("f", "a", "request timed out", "request timed out", None, 5, samples("x"), 1)], kinds)
+    order = directory.known_problems(tie, spark.createDataFrame([("f", "java.lang.NullPointerException", 5, 1)], types.schema)).orderBy("place").collect()
+    ranks = [(r["id"], bool(r["issue_ids"])) for r in order if r["severity"] == "critical"]
+    assert ("timeout", True) in ranks and ("null-reference", False) in ranks and [m for _, m in ranks] == sorted((m for _, m in ranks), reverse=True)
     empty = spark.createDataFrame([], kinds)
     assert directory.known_problems(empty, types.limit(0)).count() == 0
     # A file's name is text, too, unless that is turned off.

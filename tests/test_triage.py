@@ -297,3 +297,31 @@ def test_odd_lines_and_empty_tables(spark):
         assert got[4]["message"] == "a b" and got[5]["level"] == "error" and got[6]["signature"] == got[7]["signature"]
     none = stitch(parse_lines(lines.limit(0), layout="text"))
     assert A.issues(none).count() == 0 and A.timeline(none).count() == 0 and A.level_counts(none).count() == 0 and A.latency_overall(A.durations(none)).count() == 0
+
+
+def test_json_object_as_message_keeps_its_order(spark):
+    raw = ['{"level":"info","message":{"zeta":1,"alpha":{"y":2,"b":[3,"x"]}}}', '{"msg":null,"log":["b","a"]}', '{"message":"plain"}', '{"message":7}']
+    lines = spark.createDataFrame([("f", k, r) for k, r in enumerate(raw)], "file_id string, line_no long, raw string")
+    got = [r["message"] for r in parse_lines(lines, layout="json").orderBy("line_no").collect()]
+    assert got == ['{"zeta":1,"alpha":{"y":2,"b":[3,"x"]}}', '["b","a"]', "plain", "7"]
+
+
+def test_frames_of_a_trace_over_several_chunks(spark, monkeypatch):
+    """First and last frames, inheritance and titles are those of a plain fold, however the lines are cut into chunks."""
+    from timberline.operators import aggregate, stitch as stitching
+
+    text = ["2024-03-02 08:00:00,000 ERROR app.Deep - it broke"] + [f"\tat com.acme.D.f(D.java:{k})" for k in range(530)] + ["Caused by: a.XException: 1", "Caused by: a.XEx.YException: 2", "Caused by: a.XException: 3"]
+    text += ["java.lang.RuntimeException: after", "2024-03-02 08:00:01,000 ERROR app.Deep - it broke", "\tat com.acme.E.g(E.java:9)", "Caused by: a.XException: 4"]
+    lines = spark.createDataFrame([("f", k, r) for k, r in enumerate(text)], "file_id string, line_no long, raw string")
+    wanted = None
+    for chunk in (100_000, 64, 7):
+        monkeypatch.setattr(aggregate, "CHUNK", chunk)
+        monkeypatch.setattr(stitching, "CHUNK", chunk)
+        groups = {g["title"]: g for g in aggregate.issues(stitch(parse_lines(lines, layout="text"))).collect()}
+        deep = next(g for t, g in groups.items() if "it broke" in t)
+        after = groups["java.lang.RuntimeException: after"]
+        assert [f["line"] for f in deep["frames"]] == list(range(24)) and deep["count"] == 2
+        assert [f["line"] for f in after["frames"]] == [*range(330, 342), *range(524, 530)]  # of the last 200: the first 12 and the last 6
+        assert deep["title"] == "a.XException: a.XEx.YException: a.XException: it broke"
+        wanted = wanted or {t: tuple(map(str, g)) for t, g in groups.items()}
+        assert {t: tuple(map(str, g)) for t, g in groups.items()} == wanted

@@ -128,6 +128,10 @@ def _is_number(x: Sql) -> Sql:
     return X.coalesce(X.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), X.lit(False))
 
 
+def _is_nested(x: Sql) -> Sql:
+    return X.coalesce(X.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), X.lit(False))
+
+
 def _text(x: Sql) -> Sql:
     return X.try_variant_get(x, "$", "string")
 
@@ -180,8 +184,11 @@ def json_entry(line: Sql, year: int) -> Sql:
         )
         any_http = X.coalesce(*(pick(f) for f in ("status", "method", "url", "duration"))).isNotNull()
         level = X.bind(pick("level"), lambda x: X.when(_is_text(x), detect_level(clean(_text(x)), 40)["level"]).when(_is_number(x), level_of_number(_double(x))))
+        # A variant sorts an object's keys; the line's own text has them in their order.
+        nested = X.coalesce(*(X.get_json_object(line, f"$['{name}']") for name in FIELDS["message"]))
+        message = X.bind(pick("message"), lambda x: X.when(_is_nested(x), nested).otherwise(_text(x)))
         found = X.struct(
-            level.alias("level"), _text(pick("message")).alias("message"), X.bind(pick("time"), time).alias("time"), X.bind(X.substring_index(trouble, "\n", 1), header).alias("exc"),
+            level.alias("level"), message.alias("message"), X.bind(pick("time"), time).alias("time"), X.bind(X.substring_index(trouble, "\n", 1), header).alias("exc"),
             X.when(any_http, http).alias("http"), only("logger", _is_text, _text).alias("logger"), only("thread", lambda x: _is_text(x) | _is_number(x), _text).alias("thread"),
         )
 

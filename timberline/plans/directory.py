@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.functions.sqltext import X
@@ -208,10 +209,11 @@ def known_problems(issues: DataFrame, exceptions: DataFrame, rules: tuple = RULE
     by_type = kinds.groupBy("file_id", "rule").agg(F.min_by(F.struct("count", "type"), "first_line").alias("t"))
     by_type = by_type.select("file_id", "rule", F.col("t.count").alias("occurrences"), F.array().cast("array<string>").alias("issue_ids"), F.col("t.type").alias("example"))
     facts = F.array(*(F.struct(F.lit(r[0]).alias("id"), F.lit(r[3]).alias("title"), F.lit(r[1]).alias("category"), F.lit(r[2]).alias("severity")) for r in rules))
-    out = met.unionByName(by_type).withColumn("r", F.get(facts, F.col("rule")))
+    # Of equal ranks, problems met by issues come before those met by a type only.
+    out = met.withColumn("phase", F.lit(0)).unionByName(by_type.withColumn("phase", F.lit(1))).withColumn("r", F.get(facts, F.col("rule")))
     weight = F.when(F.col("r.severity") == "critical", 3).when(F.col("r.severity") == "warning", 2).otherwise(1)
-    out = out.select("file_id", "r.*", "occurrences", "issue_ids", "example", weight.alias("w"), "rule")
-    return top(out, [F.desc("w"), F.desc("occurrences"), F.asc("rule")], len(rules)).drop("w", "rule")
+    out = out.select("file_id", "r.*", "occurrences", "issue_ids", "example", weight.alias("w"), "phase", "rule")
+    return top(out, [F.desc("w"), F.desc("occurrences"), F.asc("phase"), F.asc("rule")], len(rules)).drop("w", "phase", "rule")
 
 
 def issue_labels(problems: DataFrame) -> DataFrame:
@@ -224,10 +226,12 @@ CSV_COLUMNS = ("id", "category", "severity", "title", "languages", "reasons", "f
 
 
 def csv_lines(rules: DataFrame) -> DataFrame:
-    """One CSV line for each rule, under ``CSV_COLUMNS``."""
+    """place, line: a header (place 0) and one CSV line for each rule, by id."""
     many = lambda c: X.array_join(X.col(c), " | ")
     cells = [X.col("id"), X.col("label"), X.col("severity"), X.col("title"), many("languages"), many("reasons"), many("fixes"), X.col("pattern")]
-    return rules.select("id", X.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line").column)
+    rows = rules.select(F.row_number().over(W.orderBy("id")).alias("place"), X.concat_ws(",", *(csv_cell(c) for c in cells)).alias("line").column)  # some hundred rows
+    head = rules.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return head.union(rows)
 
 
 def to_json(rules: DataFrame) -> str:

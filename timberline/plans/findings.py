@@ -37,13 +37,13 @@ WORDS = {
     "circuit-breaker": ("Parts run in degraded mode", "Restore what the breaker protects from."),
     "container-restart": ("Containers restart", "Read the last events of the container."),
     "logging-noise": ("Logging is too verbose", "Raise the level where nobody reads it."),
-    "http-5xx": ("Server-side HTTP failures", "Take the path with the most failures and find the frame that throws."),
+    "http-5xx": ("Requests fail on the server's side", "Take the path with the most failures and find the frame that throws."),
     "http-4xx": ("Many client errors", "Look for a route or a parameter that these requests share."),
-    "http-slowest-endpoint": ("Slow endpoint", "Profile that route and watch its response time."),
+    "http-slowest-endpoint": ("A route takes over a second", "Profile that route and watch its response time."),
     "latency-p95": ("The tail exceeds the budget of 1 s", "Look at the slowest operations: a few of them often make the tail."),
     "latency-outlier": ("Outliers far above the 95th percentile", "See whether the outliers share a retry, a pause or a callee."),
     "latency-coverage": ("Most requests have no response time", "Log the response time of every request."),
-    "latency-slowest-endpoint": ("Slowest endpoint", "Repeat that request and profile it."),
+    "latency-slowest-endpoint": ("The slowest request", "Repeat that request and profile it."),
 }
 SLOW_OPERATION = ("Slow operation", "Trace this operation and give it a limit.")
 MOST_LATENCY, MOST_RECOMMENDATIONS = 6, 8

@@ -68,6 +68,7 @@ SCANS = (
     ("incompatible-runtime", "configuration", "warn", "unsupported class file|unsupported major|invalid class file|no matching (version|distribution)|incompatible|requires (java|python|node|openssl)|version mismatch|minimum.*version"),
     ("deprecations", "configuration", "warn", "deprecat|will be removed|no longer supported|end of life|legacy api|renamed to|use .* instead"),
 )
+# Fixed value: wording that tells a request from others.
 CORRELATION = "request[_-]?id|requestid|trace[_-]?id|correlation[_-]?id|x-request-id|span[_-]?id|rid="
 
 
