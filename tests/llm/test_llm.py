@@ -59,23 +59,62 @@ def test_flow_moves_the_fewest_bytes():
         assert sum(b - a for _, a, b, k in cuts if k == j) == c
 
 
-def test_rewrite(spark, docs, tmp_path):
-    assigned = resharding.assign(docs)
-    touched = resharding.rewrite(docs, assigned, "", str(tmp_path / "new"))
-    back = spark.read.parquet(str(tmp_path / "new"))
-    assert set(touched) >= {r[0] for r in back.select("shard").distinct().collect()}
-    assert back.count() == assigned.where(F.col("shard").isin(touched)).count()
-
-
-def test_rewrite_keeps_null_and_repeated_ids(spark, tmp_path):
-    rows = [(None, "no id"), (None, "no id"), (None, None), (7, "seven"), (7, "seven"), (7, "other")] + [(k % 40, f"text {k} " * (k % 9)) for k in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assigned = resharding.assign(df)
-    touched = resharding.rewrite(df, assigned, "", str(tmp_path / "new"))
-    assert touched == list(range(8))
+def test_rewrite_reads_and_writes_affected_shards_only(spark, docs, tmp_path, odd):
+    import shutil
+
+    rows = [(None, "no id", "a"), (None, "no id", "a"), (None, None, "b"), (7, "seven", "c"), (7, "seven", "c"), (7, "other", None)] + [(k % 40, f"text {k} " * (k % 9), "d") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    resharding.store(df, str(tmp_path / "old"), 4)
+    moved = resharding.reassign(spark, str(tmp_path / "old"), 6)
+    touched = resharding.rewrite(spark, str(tmp_path / "old"), str(tmp_path / "new"), moved)
     back = spark.read.parquet(str(tmp_path / "new")).collect()
-    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
-    assert len({(r.shard, r.slot) for r in back}) == len(rows)
+    assert touched == list(range(6)) and Counter((r.doc_id, r.text, r.shard) for r in back) == Counter(rows)
+    for j in range(6):
+        assert sorted(r._slot for r in back if r._shard == j) == list(range(sum(r._shard == j for r in back)))
+    # From there, only shards 1 and 3 have to change: the others' files may even be gone.
+    some = spark.createDataFrame([(r._row, r._shard, 3 if r._shard == 1 and r._slot == 0 else r._shard, r._slot) for r in back], "row long, old int, shard int, slot long")
+    for j in (0, 2, 4, 5):
+        shutil.rmtree(tmp_path / "new" / f"_shard={j}")
+    assert resharding.rewrite(spark, str(tmp_path / "new"), str(tmp_path / "newer"), some) == [1, 3]
+    assert spark.read.parquet(str(tmp_path / "newer")).count() == sum(r._shard in (1, 3) for r in back)
+    assert resharding.rewrite(spark, str(tmp_path / "newer"), str(tmp_path / "none"), some.where("old = shard")) == []
+
+
+def spread(rows):
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    return [sizes[j] for j in range(8)]
+
+
+def test_shards_are_near_equal_whatever_the_ids_and_sizes(spark):
+    # 4,000 rows without an id and of one text, and 4,000 others.
+    rows = [(None, "the very same text here")] * 4000 + [(k, f"text {k}") for k in range(4000)]
+    got = resharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((k, zlib.crc32(t.encode())) for k, t in rows)
+    sizes = spread(got)
+    assert max(sizes) - min(sizes) <= 30 and all(sorted(r.slot for r in got if r.shard == j) == list(range(sum(r.shard == j for r in got))) for j in range(8))
+    # Three copies of a long text: each alone is more than a shard's share; the other five shards share the rest evenly.
+    rows = [(k, "x" * 200_000) for k in range(3)] + [(k, f"t{k}") for k in range(3, 20_003)]
+    sizes = sorted(spread(resharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sizes[5:] == [200_001] * 3 and sizes[4] - sizes[0] <= 30
+    assert resharding.levelled(10, [0, 7, 3]) == [6, 0, 4] or sum(resharding.levelled(10, [0, 7, 3])) == 10
+    for total, taken in ((100, [0, 0, 90]), (5, [10, 10]), (0, [3, 1]), (7, [0, 0, 0]), (11, [5, 1, 1])):
+        more = resharding.levelled(total, taken)
+        assert sum(more) == total and min(more) >= 0
+        filled = [a + b for a, b in zip(taken, more) if b]
+        assert not filled or max(filled) - min(filled) <= 1
+
+
+def test_assignment_moves_the_fewest_bytes(spark, docs):
+    """What leaves its shard is what doesn't fit where it is, and what straddles a cut."""
+    got = resharding.assign(docs).collect()
+    old, total = Counter(), sum(r.size for r in got)
+    for r in got:
+        old[r.old_shard] += r.size
+    must = sum(max(0, b - total / 8) for b in old.values())
+    assert must <= sum(r.size for r in got if r.shard != r.old_shard) + total * 0.02
+    assert sum(r.size for r in got if r.shard != r.old_shard) <= must + total * 0.05
 
 
 def test_packing(spark, docs, odd):

@@ -3,26 +3,29 @@
 From the sizes of the old shards and the capacities of the new ones, a minimum-cost flow decides how many bytes go from
 each old shard to each new one; bytes that stay in place cost nothing, so the flow moves the fewest. Each old shard is an
 ordered line of blocks (groups of equal texts next to each other), the flow cuts it into stretches, and a stretch's rows
-go to its new shard. Only the table of shard sizes reaches the driver.
+go to its new shard. Only the table of shard sizes and rows too large for a stretch (each over a ``1 / HEAVY`` share of all
+bytes, so fewer than ``HEAVY``) reach the driver; such rows are placed one by one, the largest first, and the flow fills what
+they leave, to one level.
 
-The law that holds is ``bytes``: new shards differ by at most about one group of equal texts. Equal texts stay together,
-unless they exceed a ``1 / HEAVY`` share of all rows: such a group is dealt out row by row.
+The law that holds is ``bytes``: new shards differ by at most about one group of equal texts, or by what a single row is
+larger than a shard. Equal texts stay together, unless they exceed a ``1 / HEAVY`` share of all rows or bytes: such a group
+is dealt out row by row.
 
-Sizes are the UTF-8 bytes of the text plus 1 (null: 1). Null and empty texts are equal to each other. Repeated rows each
-have a place of their own. A null id is kept. Extra columns are ignored. An empty table gives an empty result.
+Sizes are the UTF-8 bytes of the text plus 1 (null: 1). Null and empty texts are equal to each other. Repeated rows, and
+rows with a null id, each have a place of their own. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.llm.common import pin
 
-#: A group with more than this share of the rows is divided; there are at most so many such groups.
+#: A group with more than this share of the rows or bytes is divided; there are at most twice so many such groups.
 HEAVY = 4000
 #: Rows of a block, about.
 BLOCK_ROWS = 20_000
@@ -93,6 +96,33 @@ def near_equal(total: int, parts: int) -> list[int]:
     return [total // parts + (k < total % parts) for k in range(parts)]
 
 
+def levelled(total: int, taken: list[int]) -> list[int]:
+    """How much more each part takes so that ``total`` is used up and the fullness of the parts is as equal as can be."""
+    order = sorted(range(len(taken)), key=lambda j: (taken[j], j))
+    left, more = total, [0] * len(taken)
+    # The emptiest parts are filled to one level; parts above it take nothing.
+    count = next(k for k in range(1, len(order) + 1) if k == len(order) or sum(taken[order[k]] - taken[j] for j in order[:k]) >= left)
+    level = sum(taken[j] for j in order[:count]) + left
+    for j, height in zip(order[:count], near_equal(level, count)):
+        more[j] = height - taken[j]
+    over = -sum(min(m, 0) for m in more)  # rounding may put a part one below what it holds
+    more = [max(m, 0) for m in more]
+    for j in order:
+        cut = min(over, more[j])
+        more[j], over = more[j] - cut, over - cut
+    return more
+
+
+def placed(large: list, parts: int, total: int) -> dict[int, int]:
+    """{row: new shard} of the largest rows: each stays where it is while that has room, else it goes to the emptiest shard."""
+    load, out = [0] * parts, {}
+    for r in sorted(large, key=lambda r: (-r.size, r.row)):
+        j = r.old if r.old < parts and load[r.old] + r.size <= total // parts else min(range(parts), key=lambda j: (load[j], j))
+        load[j] += r.size
+        out[r.row] = j
+    return out
+
+
 def settled(rows: DataFrame, capacities: list[int], candidates: int = 200) -> DataFrame:
     """Evens out what rows that straddle a cut have left, by moving single rows from the fullest to the emptiest shard.
 
@@ -100,9 +130,9 @@ def settled(rows: DataFrame, capacities: list[int], candidates: int = 200) -> Da
     """
     over = {r.shard: r.bytes - capacities[r.shard] for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
     over = {j: over.get(j, -c) for j, c in enumerate(capacities)}
-    few = rows.where("alone and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit("few")))
+    few = rows.where("alone").withColumn("h", F.xxhash64("row", F.lit("few")))
     # A bounded number of each shard: aggregated, so that no window sees a whole shard.
-    few = few.withColumn("bin", F.pmod("h", F.lit(candidates))).groupBy("shard", "bin").agg(F.min_by(F.struct("doc_id", "place", "size"), "h").alias("x"))
+    few = few.withColumn("bin", F.pmod("h", F.lit(candidates))).groupBy("shard", "bin").agg(F.min_by(F.struct("row", "size"), "h").alias("x"))
     at_hand: dict[int, list] = {j: [] for j in over}
     for r in sorted(few.collect(), key=lambda r: (r.shard, r.bin)):
         at_hand[r.shard].append(r.x)
@@ -117,89 +147,122 @@ def settled(rows: DataFrame, capacities: list[int], candidates: int = 200) -> Da
         at_hand[full].remove(x)
         over[full] -= x.size
         over[empty] += x.size
-        moves.append((x.doc_id, x.place, empty))
+        moves.append((x.row, empty))
     if not moves:
         return rows.drop("alone")
-    moved = rows.sparkSession.createDataFrame(moves, "doc_id long, place long, anew int")
+    moved = rows.sparkSession.createDataFrame(moves, "row long, anew int")
     # At most ``candidates`` rows.
-    rows = rows.join(F.broadcast(moved), ["doc_id", "place"], "left").withColumn("shard", F.coalesce("anew", "shard"))
+    rows = rows.join(F.broadcast(moved), "row", "left").withColumn("shard", F.coalesce("anew", "shard"))
     return rows.drop("alone", "anew")
 
 
 def reshard(rows: DataFrame, shards: int) -> DataFrame:
-    """rows(doc_id, size, group, old) -> the same with ``shard`` and ``slot``, and nothing moved without need."""
+    """rows(row, doc_id, size, text_crc32, group, old), ``row`` distinct -> the same with ``shard`` and ``slot``, and nothing
+    moved without need."""
     rows = pin(rows)
-    total_rows = rows.count()
+    total_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = total // HEAVY
+    large = rows.where(F.col("size") > share).where(F.lit(total > 100 * HEAVY)).select("row", "size", "old").collect()  # fewer than HEAVY
+    fixed = placed(large, shards, total)
+    held = [0] * shards
+    for r in large:
+        held[fixed[r.row]] += r.size
     sizes = {r.old: r.bytes for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}  # one row for each old shard
-    cuts = transfers(sizes, near_equal(sum(sizes.values()), shards))
-    counts = rows.groupBy("group").agg(F.count("*").alias("copies")).where(F.col("copies") * HEAVY > total_rows)
-    # At most HEAVY groups can each hold more than a HEAVY-th of the rows.
+    for r in large:
+        sizes[r.old] -= r.size
+    room = levelled(sum(sizes.values()), held)
+    cuts = transfers(sizes, room)
+    counts = rows.groupBy("group").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes"))
+    counts = counts.where((F.col("copies") * HEAVY > total_rows) | (F.col("bytes") > max(share, 1)) & (F.col("copies") > 1)).select("group", F.lit(True).alias("heavy"))
+    # At most HEAVY groups can each hold more than a HEAVY-th of the rows, and HEAVY of the bytes.
     rows = rows.join(F.broadcast(counts), "group", "left")
+    # Rows placed one by one, fewer than HEAVY, take no part of a stretch.
+    named = rows.sparkSession.createDataFrame(list(fixed.items()), "row long, own int")
+    rows = rows.join(F.broadcast(named), "row", "left")
     blocks = max(1, total_rows // BLOCK_ROWS)
-    # Heavy groups are dealt out; every other group lies in one block.
-    place = F.when(F.col("copies").isNull(), F.col("group")).otherwise(F.xxhash64("group", "doc_id"))
-    rows = rows.withColumn("place", place).withColumn("block", F.pmod("place", F.lit(blocks)))
+    # The rows of a heavy group are dealt out by their numbers; every other group lies in one block.
+    place = F.when(F.col("heavy"), F.xxhash64("group", "row")).otherwise(F.col("group"))
+    rows = rows.withColumn("place", place).withColumn("block", F.pmod("place", F.lit(blocks))).withColumn("counted", F.when(F.col("own").isNull(), F.col("size")).otherwise(0))
     # Where a row's group starts within its block, and where the block starts within its old shard.
     inner = "(partition by old, block order by place {})"
     rows = rows.selectExpr(
-        "doc_id", "size", "text_crc32", "old", "block", "place",
-        f"sum(size) over {inner.format('range between unbounded preceding and current row')} - sum(size) over (partition by old, block, place) as inside",
-        "count(*) over (partition by old, block, place) = 1 as alone",
+        "row", "doc_id", "size", "text_crc32", "old", "block", "place", "own", "counted",
+        f"sum(counted) over {inner.format('range between unbounded preceding and current row')} - sum(counted) over (partition by old, block, place) as inside",
+        "own is null and count(*) over (partition by old, block, place) = 1 as alone",
     )
-    starts = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
+    starts = rows.groupBy("old", "block").agg(F.sum("counted").alias("bytes"))
     starts = starts.selectExpr("old", "block", "sum(bytes) over (partition by old order by block) - bytes as base")
     rows = rows.join(starts, ["old", "block"]).withColumn("at", F.col("base") + F.col("inside"))
     # Stretches: at most old shards x new shards.
     shard = F.lit(None).cast("int")
     for s, low, high, new in cuts:
         shard = F.when((F.col("old") == s) & (F.col("at") >= low) & (F.col("at") < high), new).otherwise(shard)
-    rows = pin(rows.select("doc_id", "size", "text_crc32", "old", "block", "place", "alone", shard.alias("shard")))
-    rows = settled(rows, near_equal(sum(sizes.values()), shards))
+    rows = pin(rows.select("row", "doc_id", "size", "text_crc32", "old", "block", "place", "alone", F.coalesce("own", shard).alias("shard")))
+    rows = settled(rows, [h + r for h, r in zip(held, room)])
     before = rows.groupBy("shard", "old", "block").count()
     before = before.selectExpr("shard", "old", "block", "sum(count) over (partition by shard order by old, block) - count as before")
     return rows.join(before, ["shard", "old", "block"]).selectExpr(
-        "doc_id", "size", "text_crc32", "old", "shard",
-        "before + row_number() over (partition by shard, old, block order by place, doc_id) - 1 as slot",
+        "row", "doc_id", "size", "text_crc32", "old", "shard",
+        "before + row_number() over (partition by shard, old, block order by place, row) - 1 as slot",
     )
 
 
-def lean(docs: DataFrame, old_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, group and the old shard, which follows from the text as the corpus is stored by content."""
+def lean(docs: DataFrame, old: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, size, text_crc32, group and old of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("group"),
-        F.pmod(F.xxhash64(text, F.lit("shard")), F.lit(old_shards)).cast("int").alias("old"),
-    )
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("group"), old.cast("int").alias("old"),
+    )
+
+
+def by_content(shards: int, text_col: str = "text") -> Column:
+    """The old shard of a row where a corpus is stored by its texts' hashes."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("shard")), F.lit(shards))
 
 
 def assign(docs: DataFrame, old_shards: int = 6, new_shards: int = 8) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard."""
-    out = reshard(lean(docs, old_shards), new_shards)
+    out = reshard(lean(docs, by_content(old_shards)), new_shards)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"),
     )
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, old_path: str, new_path: str) -> list[int]:
-    """Writes the new layout of ``docs`` under ``new_path`` and returns the shards rewritten.
+#: Columns that stored shards have besides those of the documents.
+OWN = ("_shard", "_row", "_size", "_crc", "_group")
 
-    A shard whose rows neither leave nor arrive keeps its files under ``old_path`` and isn't read or written. Rows lie in
-    slot order within a shard's files. Every row of ``docs`` takes one place of a row with its id (or null) and text.
-    """
-    moved = assigned.where("shard <> old_shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("shard", "old_shard"))).distinct().collect()})
+
+def store(docs: DataFrame, path: str, shards: int) -> None:
+    """Writes the documents as shards under ``path``, each row with a number of its own and what resharding needs to know."""
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_shard": by_content(shards).cast("int"), **{own: _expression(name) for own, name in (("_size", "size"), ("_crc", "crc"), ("_group", "group"))}})
+    rows.repartition("_shard").write.partitionBy("_shard").parquet(path)
+
+
+def _expression(name: str) -> Column:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = ("r_id", "r_size", "r_crc")
-    turn = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("r_id"), (F.octet_length(text) + 1).cast("long").alias("r_size"), F.crc32(text).alias("r_crc"))
-    places = assigned.select(F.col("doc_id").alias("r_id"), F.col("size").alias("r_size"), F.col("text_crc32").alias("r_crc"), "shard", "slot")
-    rows, places = (x.withColumn("r_turn", turn) for x in (rows, places.where(F.col("shard").isin(touched))))
-    rows, places = rows.alias("x"), places.alias("y")
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "r_turn")]
-    placed = rows.join(places, same).select(*(F.col(f"x.`{c}`") for c in docs.columns), "y.shard", "y.slot")
-    placed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
+    return {"size": (F.octet_length(text) + 1).cast("long"), "crc": F.crc32(text), "group": F.xxhash64(text)}[name]
+
+
+def reassign(spark, path: str, shards: int) -> DataFrame:
+    """row, old, shard, slot, ... of the rows of stored shards, from their facts alone: texts aren't read."""
+    stored = spark.read.parquet(path)
+    rows = stored.select(F.col("_row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_group").alias("group"), F.col("_shard").alias("old"))
+    return pin(reshard(rows, shards))
+
+
+def rewrite(spark, old_path: str, new_path: str, moved: DataFrame) -> list[int]:
+    """Writes the shards that rows leave or enter under ``new_path``, in slot order, and returns their numbers.
+
+    The other shards keep their files under ``old_path``, which are neither read nor written: the folders of the shards
+    concerned are read by name.
+    """
+    touched = sorted({r[0] for r in moved.where("shard <> old").select(F.explode(F.array("shard", "old"))).distinct().collect()})
+    if not touched:
+        return []
+    stored = spark.read.parquet(old_path).where(F.col("_shard").isin(touched))  # whole folders
+    places = moved.where(F.col("old").isin(touched)).select(F.col("row").alias("_row"), F.col("shard").alias("_new"), F.col("slot").alias("_slot"))
+    rows = stored.drop("_shard", "_slot").join(places, "_row").withColumnRenamed("_new", "_shard")
+    rows.repartition("_shard", F.floor(F.col("_slot") / 100_000)).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(new_path)
     return touched
