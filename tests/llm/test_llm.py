@@ -551,6 +551,34 @@ def test_html_names_count_as_a_whole():
         assert htmltext.main_text(f'<article><p>{LONG}</p><div class="{name}">Buy it</div><p>{LONG}</p></article>') == f"{LONG}\n\n{LONG}", name
 
 
+def test_html_ends_of_the_article_stay():
+    two = f"<p>{LONG}<p>{LONG}"
+    ends = {
+        "<h2>Steps</h2><ul><li>Mix flour<li>Add water</ul>": ["Steps", "Mix flour", "Add water"], "<table><tr><th>A</th><td>1</td></tr></table>": ["A", "1"], "<pre>x = 1</pre>": ["x = 1"],
+        "<figure><img src=a><figcaption>A view</figcaption></figure>": ["A view"], "<blockquote>So be it</blockquote>": ["So be it"], "<dl><dt>K</dt><dd>V</dd></dl>": ["K", "V"],
+    }
+    for html, said in ends.items():
+        for home in ("article", "main", "div"):
+            assert htmltext.main_text(f"<body><{home}><h1>T</h1>{two}{html}</{home}></body>") == "\n\n".join(["T", LONG, LONG, *said]), (html, home)
+            assert htmltext.main_text(f"<body><{home}>{html}{two}</{home}></body>") == "\n\n".join([*said, LONG, LONG]), (html, home)
+    assert htmltext.main_text(f"<article><h1>T</h1><div class=dek>Short lead</div>{two}</article>") == "\n\n".join(["T", "Short lead", LONG, LONG])
+
+
+def test_html_comments_notices_and_adverts_inside_the_article_go():
+    two = f"<p>{LONG}<p>{LONG}"
+    reader = f"<p>{LONG} reader.</p>"
+    for said in (
+        f'<section class="comments">{reader}</section>', f'<div id="comments">{reader * 5}</div>', f'<div class="notice">{LONG}</div>', f'<div class="ad"><p>{LONG}</p></div>',
+        f"<section><article>{reader}</article><article>{reader}</article></section>", f'<ol class="comment-list"><li>{LONG} one</li><li>{LONG} two</li></ol>',
+    ):
+        assert htmltext.main_text(f"<article><h1>T</h1>{two}{said}</article>") == "\n\n".join(["T", LONG, LONG]), said
+    for said in (f'<div class="notice">{LONG}</div>', f'<div class="ad"><p>{LONG}</p></div>'):  # in the middle
+        assert htmltext.main_text(f"<article><p>{LONG}</p>{said}<p>{LONG}</p></article>") == f"{LONG}\n\n{LONG}", said
+    # A name alone doesn't take the story away.
+    assert htmltext.main_text(f'<article><div class="notice"><p>{LONG}</p><p>{LONG}</p></div></article>') == f"{LONG}\n\n{LONG}"
+    assert htmltext.main_text(f'<article><p>Short.</p><div class="notice"><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p></article>').count(LONG) == 3
+
+
 def brute_links(rows):
     """vec_id -> (n_links, component_id, kept) by comparing all pairs."""
     usable = [(i, np.array(v, float), y) for i, v, y in rows if i is not None and y is not None and v and None not in v and np.isfinite(v).all() and any(v)]

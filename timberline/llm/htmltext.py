@@ -3,14 +3,17 @@
 Every text node has a path of tags from the root to its leaf. For each path the text length and the punctuation of its
 nodes, and the number of its nodes, are summed over the page. The two ratios (length and punctuation per node) are
 smoothed over neighbouring paths in page order, fused by their product, and a path is content if its fused ratio reaches
-a share of the page's deviation. Nodes in content paths form the text. Of the rest, a heading before content and a block
-between content, inside the container that holds most of it, go with it, unless most of the block is link text; of equal
-containers an article or main element counts first.
+a share of the page's deviation. Nodes in content paths form the text. Of the rest, blocks between content, inside the
+container that holds most of it, go with it, unless most of the block is link text; so do headings, lists, tables, quotes,
+captions and code at the container's ends, and a lead under its heading. Of equal containers an article or main element
+counts first.
 
 Elements that never hold main text (scripts, styles, navigation, headers, footers, asides, forms, and containers whose
 class or id names an advert, notice, sidebar, menu or comments) are left out before the ratios are taken. A class or id
 counts as a whole, and inside an article or main element it only gives its blocks paths of their own, which the ratio
-judges. If nothing else is left, names are ignored. An svg, iframe, object, select, noscript or template that isn't closed
+judges. Comments, notices and adverts named so inside an article, and articles inside it, as comments are marked up, are left
+out by their place and size: where they are less than the story, or nothing of the story follows them. If nothing else is
+left, names are ignored. An svg, iframe, object, select, noscript or template that isn't closed
 ends with its parent.
 
 Defined results: null or empty html, or html without content, gives an empty text. Ids and urls pass through as they are,
@@ -47,21 +50,27 @@ OUTSIDE_NAMES = frozenset(
     "newsletter subscribe sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination header masthead footer comment "
     "comments reply replies respond share sharing social related recommended widget toolbar login search disclaimer copyright legal".split()
 )
+#: Of these, names of what is left out inside an article, too, if its place or size agrees.
+INSIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored promo banner cookie cookies consent notice notices popup modal newsletter subscribe comment comments reply replies respond".split()
+)
 #: Words that a name may have besides: ``site-footer`` names a footer, ``has-sidebar`` or ``related-work`` nothing.
 BESIDE_NAMES = frozenset("site main top bottom left right primary secondary list box bar links buttons form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are text by what they mean, also at a story's ends.
+MEANT = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption section hgroup details summary".split())
 #: Tags whose opening closes an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？；：、]")
 SPACE = re.compile(r"\s+")
 
 
-def _named(attributes: str) -> bool:
+def _named(attributes: str, known: frozenset[str] = OUTSIDE_NAMES) -> bool:
     """Whether a class or an id, as a whole, is a name of what never holds main text."""
     for values in NAMES.findall(attributes):
         for name in "".join(values).lower().split():
             words = [w for w in re.split("[-_]+", name) if w]
-            if any(w in OUTSIDE_NAMES for w in words) and all(w in OUTSIDE_NAMES or w in BESIDE_NAMES for w in words):
+            if any(w in known for w in words) and all(w in OUTSIDE_NAMES or w in BESIDE_NAMES for w in words):
                 return True
     return False
 
@@ -83,8 +92,8 @@ def _holes(page: str) -> dict[int, int]:
 def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of link text) of the blocks outside the elements that never hold main text, in page order.
 
-    A tag whose name would leave it out, but which stands in an article or main element, has ``!`` behind it in paths;
-    articles are numbered.
+    A tag whose name would leave it out, but which stands in an article or main element, has ``!`` behind it in paths (``!!``
+    for ``INSIDE_NAMES``); articles are numbered.
     """
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, bool, str]] = []  # (tag, whether it is outside, tag in paths)
@@ -167,7 +176,7 @@ def blocks_of(page: str, names: bool = True) -> list[tuple[tuple[str, ...], str,
             if not outside:
                 away = tag in OUTSIDE or bool(attributes and tag not in ("html", "body", "article", "main") and OUTSIDE_ROLES.search(attributes))
                 if not away and names and attributes and tag not in ("html", "body", "article", "main") and _named(attributes):
-                    away, label = not homes, label + "!"
+                    away, label = not homes, label + ("!!" if _named(attributes, INSIDE_NAMES) else "!")
             if away and parts:
                 flush() if block else parts.append(" ")
             stack.append((tag, away, label))
@@ -182,6 +191,17 @@ def _is_home(label: str) -> bool:
     return label == "main" or label.startswith("article~")
 
 
+def _is_said(path: tuple[str, ...]) -> bool:
+    """Whether a path leads through comments, notices or adverts inside an article."""
+    return any(t.endswith("!!") for t in path)
+
+
+def _is_foreign(path: tuple[str, ...], story: tuple[str, ...]) -> bool:
+    """Whether a path inside the story leads through those, or through an article of its own inside an article."""
+    rest = path[len(story) :] if path[: len(story)] == story else ()
+    return _is_said(rest) or bool(story) and story[-1].startswith("article~") and any(t.startswith("article~") for t in rest)
+
+
 def main_text(page: str | None, threshold: float = 0.5) -> str:
     if not page:
         return ""
@@ -206,19 +226,36 @@ def main_text(page: str | None, threshold: float = 0.5) -> str:
     for path, text, _ in blocks:
         if path in chosen:
             weight[path[:-1]] += len(text)
-    top = max(weight, key=lambda p: (weight[p], any(_is_home(t) for t in p), -len(p)))
+    own = [p for p in weight if not _is_said(p)] or list(weight)
+    top = max(own, key=lambda p: (weight[p], any(_is_home(t) for t in p), -len(p)))
     home = next((top[: k + 1] for k, t in enumerate(top) if _is_home(t)), top)
+    story = next((top[: k + 1] for k in range(len(top) - 1, -1, -1) if _is_home(top[k])), top)
     kept = [path in chosen for path, _, _ in blocks]
     mine = [k for k, (path, _, _) in enumerate(blocks) if path[: len(home)] == home]
-    content = [k for k in mine if kept[k]]
+    content = [k for k in mine if kept[k] and not _is_foreign(blocks[k][0], story)] or [k for k in mine if kept[k]]
+    within = lambda path: path[: len(story)] == story
+    first_heading = next((k for k in mine if within(blocks[k][0]) and blocks[k][0][-1:] and blocks[k][0][-1] in HEADINGS), len(blocks))
     for k in mine:
         path, _, linked = blocks[k]
-        if content[0] < k < content[-1] and linked < 0.5 and not any(t.endswith("!") for t in path):
+        if linked >= 0.5 or any(t.endswith("!") for t in path):
+            continue
+        inside = within(path)
+        meant = inside and len(path) > len(story) and all(t in MEANT for t in path[len(story) :])
+        lead = inside and first_heading < k < content[0]
+        if content[0] < k < content[-1] and not _is_foreign(path, story) or meant or lead:
             kept[k] = True
+    # What others say inside the article: less than the story, or behind its end.
+    foreign = [k for k in mine if kept[k] and _is_foreign(blocks[k][0], story)]
+    plain = [k for k in mine if kept[k] and not _is_foreign(blocks[k][0], story)]
+    if plain and foreign:
+        told = lambda ks: sum(len(blocks[k][1]) for k in ks)
+        small = told(foreign) < told(plain)
+        for k in foreign:
+            kept[k] = kept[k] and not small and k < plain[-1]
     # A heading goes with what it stands before.
     for k in reversed(mine):
         path = blocks[k][0]
-        if path[-1:] and path[-1] in HEADINGS and not any(t.endswith("!") for t in path) and k + 1 < len(blocks) and kept[k + 1]:
+        if path[-1:] and path[-1] in HEADINGS and not any(t.endswith("!") for t in path) and not _is_foreign(path, story) and k + 1 < len(blocks) and kept[k + 1]:
             kept[k] = True
     return "\n\n".join(text for (_, text, _), yes in zip(blocks, kept) if yes)
 
