@@ -161,6 +161,8 @@ def test_directory(spark):
     rules = directory.rules_table(spark)
     assert rules.count() == 102 and directory.category_counts(rules).count() == 19
     assert {r["severity"]: r["n"] for r in rules.groupBy("severity").agg(F.count("*").alias("n")).collect()} == {"critical": 38, "warning": 56, "info": 8}
+    told = [(r["reasons"][0], r["fixes"][0]) for r in rules.collect()]
+    assert len(set(told)) == 102 and all(len(a) > 20 and len(b) > 20 for a, b in told)  # of its own for each entry
     assert [r["id"] for r in directory.search(rules, "STAMPEDE", severity="warning").collect()] == ["cache-stampede"]
     assert directory.search(rules, "kotlin", category="runtime-crash").count() == 1
     lines = list(csv.reader(r["line"] for r in directory.csv_lines(rules).orderBy("place").collect()))

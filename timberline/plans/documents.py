@@ -191,7 +191,7 @@ def _sections(r: Column, issues: int, paths: int) -> list[tuple[Column, list[str
         (title("Order of work"), ["", "What"], numbered(r["recommendations"], lambda x: [x])),
         (
             title("Directory matches"), ["Severity", "Problem", "Lines", "Example", "Why", "What to do"],
-            F.transform(r["knownProblems"], lambda x: row(x["severity"], said(label(x["category"], directory.CATEGORIES), ": ", x["title"]), x["occurrences"], F.substring(x["example"], 1, 300), F.try_element_at(advice[0], x["category"]), F.try_element_at(advice[1], x["category"]))),
+            F.transform(r["knownProblems"], lambda x: row(x["severity"], said(label(x["category"], directory.CATEGORIES), ": ", x["title"]), x["occurrences"], F.substring(x["example"], 1, 300), F.try_element_at(advice[0], x["catalogId"]), F.try_element_at(advice[1], x["catalogId"]))),
         ),
         (title("Checks"), ["Check", "Group", "Status", "Found", "Example"], F.transform(r["checks"], lambda x: row(x["title"], label(x["group"], GROUP_LABELS), F.upper(x["status"]), x["detail"], F.substring(x["evidence"], 1, 300)))),
         (title("Issue groups"), ["#", "Severity", "Lines", "Title", "Exception"], numbered(F.slice(r["issues"], 1, issues), lambda x: [label(x["level"], LEVEL_LABELS), x["count"], F.substring(x["title"], 1, 140), x["exceptionType"]])),

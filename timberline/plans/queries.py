@@ -306,7 +306,7 @@ def trouble_checks(spark, sf_dir):
     return rules.scans(_troubles(spark, sf_dir)).select("id", "group", "lines", "groups")
 
 
-_RULES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r[0], r[1], r[2], r[3], r[4], r[5])) + ")" for r in directory.RULES)
+_RULES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (r[0], r[1], r[2], r[3], " ".join(r[4]), directory.alternation(r))) + ")" for r in directory.RULES)
 
 
 @query(
@@ -353,8 +353,8 @@ _ADVICE_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x i
 
 
 @query(
-    "with {e}, " + _GROUPS + f", r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), a(category, why, fix) as (values {_ADVICE_SQL})" + _MET_SQL
-    + """, t as (select *, lower(title || chr(10) || why || chr(10) || fix || chr(10) || languages) as said from r join a using (category))
+    "with {e}, " + _GROUPS + f", r(id, category, severity, title, languages, p) as (values {_RULES_SQL}), a(id, why, fix) as (values {_ADVICE_SQL})" + _MET_SQL
+    + """, t as (select *, lower(title || chr(10) || why || chr(10) || fix || chr(10) || languages) as said from r join a using (id))
     select id, title, occurrences from t join met using (id) where contains(said, 'lock') or (severity = 'warning' and contains(said, 'limit'))"""
 )
 def directory_search(spark, sf_dir):
