@@ -13,7 +13,7 @@ from timberline.functions.durations import BUDGET_MS, SEVERE_MS, extract_duratio
 from timberline.functions.levels import RANK, rank
 from timberline.functions.normalize import PATTERN_CHARS, title
 from timberline.functions.sqltext import Sql, X
-from timberline.functions.stack import compact_frames, source_refs
+from timberline.functions.stack import FRAME_TYPE, compact_frames, source_refs
 from timberline.functions.text import truncate
 from timberline.operators.parse import STATUS_IN_TEXT
 from timberline.operators.stitch import CHUNK
@@ -119,6 +119,9 @@ def entry_frames(lines: DataFrame, lead: int = MOST["frames"], keep: int = 200)
 
 def with_frames(lines: DataFrame) -> DataFrame:
     """Entries with their own frames and, for exceptions, the last ones of the entry before (``inherited``)."""
+    if lines.where("role in ('continuation', 'orphan')").isEmpty():  # no line goes on another: nothing to gather or to inherit
+        none = F.lit(None).cast(f"array<{FRAME_TYPE}>")
+        return entries_of(lines).withColumn("frames", none).withColumn("inherited", none)
     e = entries_of(lines).join(entry_frames(lines), ["file_id", "entry_id"], "left")
     e = e.withColumn("chunk", F.floor(F.col("line_no") / CHUNK))
     before = W.partitionBy("file_id", "chunk").orderBy("line_no")
@@ -315,15 +318,19 @@ def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
         F.min_by("ts_ms", seen).alias("first_seen"), F.max_by("ts_ms", seen).alias("last_seen"), F.max(rank(X.col("level")).column).alias("severity"),
         first(F.col("message")).alias("message"), first(F.substring("normalized", 1, PATTERN_CHARS)).alias("pattern"), first(F.col("exc.type")).alias("first_type"), F.min_by("exc.type", F.when(F.col("exc").isNotNull(), F.col("line_no"))).alias("any_type"),
     )
-    # Headers of attached lines (such as causes) put their type in front of the title, in order.
-    heads = issue_heads(lines, e)
-    frames = first_rows(e.where("frames is not null or inherited is not null"), keys, "line_no", MOST["frames"])
-    frames = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "inherited", "frames"))).alias("parts"))
+    parts = []
+    if not lines.where("role in ('continuation', 'orphan')").isEmpty():
+        # Headers of attached lines (such as causes) put their type in front of the title, in order.
+        frames = first_rows(e.where("frames is not null or inherited is not null"), keys, "line_no", MOST["frames"])
+        parts = [issue_heads(lines, e), frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "inherited", "frames"))).alias("parts"))]
+    else:
+        kind = f"array<struct<line_no:bigint,inherited:array<{FRAME_TYPE}>,frames:array<{FRAME_TYPE}>>>"
+        g = g.select("*", F.lit(None).cast("string").alias("first_head"), F.lit(None).cast("array<string>").alias("heads"), F.lit(None).cast(kind).alias("parts"))
     names = e.where("who is not null").groupBy(*keys, "who").agg(F.min("line_no").alias("line_no"))
     names = first_rows(names, keys, "line_no", MOST["issue_loggers"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "who"))).alias("who"))
     samples = first_rows(e.where("role = 'entry'"), keys, "line_no", MOST["samples"]).select(*keys, "line_no", truncate(X.col("raw"), 400).alias("raw").column)
     samples = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("samples"))
-    for part in (heads, frames, names, samples):
+    for part in (*parts, names, samples):
         g = g.join(part, keys, "left")
     base = title(X.col("message"), X.col("first_type"))
     put = lambda t, h: X.when(t.startswith(h), t).otherwise(title(t, h))
