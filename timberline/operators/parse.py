@@ -206,7 +206,7 @@ def json_entry(line: Sql, year: int) -> Sql:
     return X.when(line.startswith("{") & line.endswith("}"), X.bind(fields, of_object))
 
 
-def text_entry(line: Sql, ts: Sql, layout: Sql | str) -> Sql:
+def text_entry(line: Sql, ts: Sql, layout: Sql | str, requests: bool = True) -> Sql:
     """The entry of a free line with its time: severity, thread, logger and message, each cut off from what is left of it."""
     after = lambda text: without_lead(text, AFTER_LEVEL)
     tail = lambda text, end: text.substr(end + 1, X.length(text))
@@ -216,6 +216,8 @@ def text_entry(line: Sql, ts: Sql, layout: Sql | str) -> Sql:
 
         def told(message: Sql) -> Sql:
             level = X.coalesce(r["level"], X.when(exc.isNotNull(), _worst(exc)), infer_level(message))
+            if not requests:
+                return _entry(level=level, message=message, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=r["logger"], thread=r["thread"], exc=exc)
             asked = X.bind(request_line(message), lambda q: X.when(q.isNotNull(), _http(method=q["method"], path=q["path"], status=q["status"], duration_ms=q["duration_ms"])))
             access = lambda g: _http(method=part(g, 4), path=normalize_path(g[5]), status=g[6].try_cast("int"), bytes=g[7].try_cast("long"), ip=part(g, 0))
             inside = X.when(X.lit(layout != "text") if isinstance(layout, str) else layout != "text", X.bind(line_groups(line, ACCESS_LINE, 12), lambda g: X.when(g.isNotNull(), access(g))))
@@ -273,9 +275,11 @@ def _stage(df: DataFrame, **columns: Sql) -> DataFrame:
     return df.select("*", X.inline(X.array(X.struct(*(c.alias(name) for name, c in columns.items())))).column)
 
 
-def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None, syslog_strict: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None, syslog_strict: bool = False, requests: bool = True) -> DataFrame:
     """lines(file_id, line_no, raw) -> one typed row for each line.
 
+    Without ``requests``, free lines aren't searched for requests, and their ``http`` is null.
+
     The layout comes from ``formats(file_id, format)`` (one row for each file) or is ``layout`` for all.
     Columns: file_id, line_no, raw, format, is_empty, continuation, level, message, ts_ms, ts_raw, logger, thread, http, exc,
     frame, normalized, signature.
@@ -293,7 +297,7 @@ def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int =
     # A continuation keeps its line, and its exception if it is a header.
     body = _entry(level="unknown", message=_headed(X.col("head"), line), exc=X.col("head"))
     entry = X.when(X.col("is_empty"), _entry(level="unknown", message="")).when(X.col("continuation"), body)
-    text = text_entry(line, X.col("ts"), X.col("format") if formats is not None else layout or "text")
+    text = text_entry(line, X.col("ts"), X.col("format") if formats is not None else layout or "text", requests)
     df = _stage(df, e=X.coalesce(X.col("special"), entry.when(plain, text)))
     df = df.select("file_id", "line_no", "raw", "format", "is_empty", "continuation", "e.*", "frame")
     df = df.withColumn("normalized", normalize_message(X.col("message")).column)

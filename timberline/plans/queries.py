@@ -19,13 +19,13 @@ from timberline.plans import directory, findings, rules, views
 from timberline.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from timberline.sources.shared import pin
 
-def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Typed and stitched lines of a derived log."""
+def _parsed(spark: SparkSession, sf_dir: str, kind: str, requests: bool = True) -> DataFrame:
+    """Typed and stitched lines of a derived log; ``requests`` says whether requests in free lines are of use."""
     # The table is small on disk but its lines are costly to parse: deal them over all cores.
     cores = spark.sparkContext.defaultParallelism
     traces = {"trace": D.trace_lines, "lone": D.lone_lines}
     if kind in traces:
-        return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text"))
+        return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text", requests=requests))
     makers = {
         "text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trouble": D.trouble_lines, "clocked": D.clocked_lines, "timed": D.timed_lines,
         "checked": D.checked_lines, "framed": D.framed_lines, "headed": D.headed_lines, "tokens": D.token_lines, "shaped": D.shaped_lines,
@@ -33,13 +33,18 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     lines = makers[kind](spark, sf_dir).repartition(cores, "line_no")
     layout = kind if kind in ("json", "apache", "syslog") else "text"
     # None of these lines continues another, so each is an entry.
-    return parse_lines(lines, layout=layout, syslog_strict=True).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
+    return parse_lines(lines, layout=layout, syslog_strict=True, requests=requests).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "text")
 
 
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of which no request is of use."""
+    return _parsed(spark, sf_dir, "text", requests=False)
+
+
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "apache")
 
@@ -50,7 +55,7 @@ def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     select lower(l.level) as level, cast(coalesce(n.c, 0) as bigint) as count from l left join n on lower(n.level) = l.level"""
 )
 def level_histogram(spark, sf_dir):
-    return A.level_counts(_text(spark, sf_dir)).select("level", "count")
+    return A.level_counts(_plain(spark, sf_dir)).select("level", "count")
 
 
 @query(
@@ -59,7 +64,7 @@ def level_histogram(spark, sf_dir):
       cast(greatest(0, least(100, floor(100 - least(65.0, er / parsed * 420) - least(20.0, wa / parsed * 120) + 0.5))) as bigint) as health_score from n"""
 )
 def health_score(spark, sf_dir):
-    return A.health(A.level_counts(_text(spark, sf_dir))).select("parsed", F.round("error_rate", 6).alias("error_rate"), "health_score")
+    return A.health(A.level_counts(_plain(spark, sf_dir))).select("parsed", F.round("error_rate", 6).alias("error_rate"), "health_score")
 
 
 @query(
@@ -158,7 +163,7 @@ def latency_by_operation(spark, sf_dir):
       count(*) filter (h.level = 'INFO') as info from d left join h on h.k = d.k group by d.t"""
 )
 def timeline(spark, sf_dir):
-    return A.timeline(_text(spark, sf_dir)).select("t", "total", "error", "warn", "info")
+    return A.timeline(_plain(spark, sf_dir)).select("t", "total", "error", "warn", "info")
 
 
 @query(
@@ -166,7 +171,7 @@ def timeline(spark, sf_dir):
     select min(ts_ms) as start_ms, max(ts_ms) as end_ms, max(ts_ms) - min(ts_ms) as duration_ms, coalesce(bool_or(ts_ms < b), false) as out_of_order from o"""
 )
 def time_range(spark, sf_dir):
-    return A.time_range(_text(spark, sf_dir)).select("start_ms", "end_ms", "duration_ms", "out_of_order")
+    return A.time_range(_plain(spark, sf_dir)).select("start_ms", "end_ms", "duration_ms", "out_of_order")
 
 
 @query(
@@ -174,7 +179,7 @@ def time_range(spark, sf_dir):
     from e group by 1"""
 )
 def logger_stats(spark, sf_dir):
-    return A.logger_stats(_text(spark, sf_dir)).select("logger", "total", "errors", "warnings")
+    return A.logger_stats(_plain(spark, sf_dir)).select("logger", "total", "errors", "warnings")
 
 
 @query(
@@ -182,13 +187,13 @@ def logger_stats(spark, sf_dir):
     count(*) filter (event_type = 'error') * 3 as continuation_lines, count(*) filter (event_type = 'error') as multi_line_entries from e"""
 )
 def stitch_traces(spark, sf_dir):
-    lines = _parsed(spark, sf_dir, "trace")
+    lines = _parsed(spark, sf_dir, "trace", requests=False)
     return A.line_counts(lines).select("line_count", "parsed_lines", "continuation_lines", "multi_line_entries")
 
 
 @query("""with {e} select 'java.lang.IllegalStateException' as type, count(*) as count from e where event_type = 'error'""")
 def exception_counts(spark, sf_dir):
-    return A.exception_counts(_parsed(spark, sf_dir, "trace")).select("type", "count")
+    return A.exception_counts(_parsed(spark, sf_dir, "trace", requests=False)).select("type", "count")
 
 
 @query(
@@ -196,7 +201,7 @@ def exception_counts(spark, sf_dir):
     select location, count(*) as count from x group by 1"""
 )
 def source_refs(spark, sf_dir):
-    return A.source_counts(_parsed(spark, sf_dir, "trace")).select("location", "count")
+    return A.source_counts(_parsed(spark, sf_dir, "trace", requests=False)).select("location", "count")
 
 
 @query(
@@ -206,7 +211,7 @@ def source_refs(spark, sf_dir):
 """
 )
 def issue_groups(spark, sf_dir):
-    g = A.issues(pin(_text(spark, sf_dir)), most=1000)
+    g = A.issues(pin(_plain(spark, sf_dir)), most=1000)
     return g.select("level", "pattern", F.col("loggers")[0].alias("logger"), "count", "first_line", "last_line")
 
 
@@ -387,13 +392,13 @@ def computed_findings(spark, sf_dir):
 
 @query("with {e} select round(count(*) / ((max(ts_ms) - min(ts_ms)) / 1000), 6) as per_second from e")
 def throughput(spark, sf_dir):
-    lines = pin(_text(spark, sf_dir).select("file_id", "line_no", "role", "entry_id", "level", "frame", "ts_ms"))
+    lines = pin(_plain(spark, sf_dir).select("file_id", "line_no", "role", "entry_id", "level", "frame", "ts_ms"))
     return findings.throughput(A.line_counts(lines), A.time_range(lines)).select(F.round("per_second", 6).alias("per_second"))
 
 
 @query("with {e}, n as (select lower(level) as level, count(*) as count from e group by 1) select level, count, round(count / sum(count) over (), 6) as share from n")
 def severity_slices(spark, sf_dir):
-    return views.severity_slices(A.level_counts(_text(spark, sf_dir))).select("level", "count", F.round("share", 6).alias("share"))
+    return views.severity_slices(A.level_counts(_plain(spark, sf_dir))).select("level", "count", F.round("share", 6).alias("share"))
 
 
 @query(
