@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -268,22 +269,48 @@ def history_quota(spark, sf_dir):
     return out.select("id", "name", "form", history.stored_bytes(F.col("report")).alias("bytes"))
 
 
+@contextmanager
+def _streaming(spark: SparkSession, sf_dir: str):
+    """A folder with a log under ``in``, and the state store that states need while it is read as a stream."""
+    from timberline.streaming.stitch import STATE_STORE
+
+    folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
+    D.trace_lines(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 @query(
     """with {e} select 'entry' as role, count(*) as lines, count(*) as entries from e union all
     select 'continuation', 3 * count(*) filter (event_type = 'error'), count(*) filter (event_type = 'error') from e"""
 )
 def streamed_traces(spark, sf_dir):
-    """A log read as a stream, in two files' worth of batches, stitched by state."""
+    """A log read as a stream and stitched by state."""
     from timberline.streaming import stitch as S
 
-    folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
-    D.trace_lines(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/in")
-    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(name, S.STATE_STORE)
-    try:
-        rows = S.stitched_lines(S.stitched(S.located_lines(spark, f"{folder}/in"), "text"))
-        q = rows.select("file_id", "line_no", "role", "entry_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    with _streaming(spark, sf_dir) as folder:
+        rows = S.stitched_lines(S.stitched(S.located_lines(spark, f"{folder}/in"), "text")).select("file_id", "line_no", "role", "entry_id")
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("role").agg(F.count("*").alias("lines"), F.countDistinct("entry_id").alias("entries"))
+
+
+@query(
+    """with {e}, g as (select event_type, lower(level) as level, count(*) as count, min(event_id) as low, arg_min(ts_ms, event_id) as first_seen, arg_max(ts_ms, event_id) as last_seen from e group by 1, 2)
+    select level, case when event_type = 'error' then 'java.lang.IllegalStateException: ' else '' end || 'job ' || low as title, case when event_type = 'error' then 'java.lang.IllegalStateException' end as exception_type,
+      count, round(count / sum(count) over (), 6) as share, first_seen, last_seen, case when event_type = 'error' then least(24, 2 * count) else 0 end as frames, least(3, count) as samples from g"""
+)
+def streamed_issues(spark, sf_dir):
+    """Issue groups of a log read as a stream, from the table of their changes."""
+    from timberline.streaming import stitch as S
+
+    with _streaming(spark, sf_dir) as folder:
+        changes = S.issue_changes(S.stitched(S.located_lines(spark, f"{folder}/in"), "text"))
+        S.keep_issues(changes, f"{folder}/issues", f"{folder}/at").awaitTermination()
+    g = S.issues_of(S.issue_table(spark, f"{folder}/issues"), most=1000)
+    sizes = (F.size(c).cast("long").alias(c) for c in ("frames", "samples"))
+    return g.select("level", "title", "exception_type", "count", F.round("share", 6).alias("share"), "first_seen", "last_seen", *sizes)
