@@ -120,11 +120,11 @@ def level_words(spark, sf_dir):
 
 @query(
     """with {e} select event_id as line_no, case event_id % 4 when 1 then 'warn' when 2 then 'error' else 'info' end as level, case event_id % 4 when 2 then 'store.Cart' end as logger,
-    case event_id % 4 when 1 then 'main' end as thread, case event_id % 4 when 3 then 1709366400000 end as ts_ms from e"""
+    case event_id % 4 when 1 then 'main' end as thread, case event_id % 4 when 3 then 1709366400000 else 0 end as ts_ms from e"""
 )
 def free_shapes(spark, sf_dir):
     """Lines without a layout of their own, among them RFC 5424, which the text parser reads."""
-    return _parsed(spark, sf_dir, "shaped").select("line_no", "level", "logger", "thread", "ts_ms")
+    return _parsed(spark, sf_dir, "shaped").select("line_no", "level", "logger", "thread", F.coalesce("ts_ms", F.lit(0).cast("long")).alias("ts_ms"))
 
 
 def _fnv_sql(x: str) -> str:
