@@ -191,7 +191,7 @@ def lone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of RFC 5424, of no layout, and with a thread, which the layouts' parsers leave to the text parser or read themselves.
-SHAPES = ("plain words and number #", "[main] WARN pool of # is low", "level=error logger=store.Cart text # broke", "<34>1 2024-03-02T08:00:00Z host app - - - user # left")
+SHAPES = ("plain words and number #", "WARN 12 - [main] pool of # is low", "level=error logger=store.Cart text # broke", "<34>1 2024-03-02T08:00:00Z host app - - - user # left")
 
 
 def shaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
