@@ -113,14 +113,29 @@ def format_duration(ms: Sql) -> Sql:
     )
 
 
-def format_bytes(n: Sql) -> Sql:
+def format_bytes(n: Sql, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Sql:
     out = X.concat(n.cast("string"), " B")
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for k, unit in enumerate(units, 1):
         v = n / 1024.0**k
         out = X.when(n >= 1024**k, X.concat(X.when(v >= 10, X.format_string("%.0f", v)).otherwise(X.format_string("%.1f", v)), f" {unit}")).otherwise(out)
     return out
 
 
+def view_size(n: Sql) -> Sql:
+    """Bytes as a report's head shows them: gigabytes at most."""
+    return format_bytes(n, ("KB", "MB", "GB"))
+
+
+def view_span(ms: Sql) -> Sql:
+    """A length of time as a report's head shows it: ``850ms``, ``32.1s``, ``5m``, ``2.1h``."""
+    return (
+        X.when(ms < 1000, X.concat(round_half_up(ms).cast("string"), "ms"))
+        .when(ms < 60_000, X.format_string("%.1fs", ms / 1000))
+        .when(ms < 3_600_000, X.concat(round_half_up(ms / 60_000).cast("string"), "m"))
+        .otherwise(X.format_string("%.1fh", ms / 3_600_000))
+    )
+
+
 def _date(ts_ms: Sql) -> Sql:
     return X.date_from_unix_date(X.floor(ts_ms / DAY_MS).cast("int"))
 

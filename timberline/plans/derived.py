@@ -167,6 +167,17 @@ def headed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(events(spark, sf_dir), f"replace({text}, '#', event_type)")
 
 
+#: Types of exceptions, most of which a rule of the directory knows.
+CAUSES = (
+    "java.lang.NullPointerException", "java.lang.OutOfMemoryError", "java.net.SocketTimeoutException", "com.acme.StoreException", "ModuleNotFoundError", "RecursionError", "java.net.ConnectException",
+    "UnicodeDecodeError",
+)
+
+
+def cause_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(events(spark, sf_dir), f"concat({_chosen(list(CAUSES), f'event_id % {len(CAUSES)}')}, ': lost ', event_type)")
+
+
 #: (word, severity) of the words that stand for severities.
 TOKENS = (
     ("FATAL", "fatal"), ("CRITICAL", "fatal"), ("CRIT", "fatal"), ("PANIC", "fatal"), ("EMERG", "fatal"), ("ALERT", "fatal"), ("ERROR", "error"), ("ERR", "error"), ("EXCEPTION", "error"),

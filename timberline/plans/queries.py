@@ -28,7 +28,7 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str, requests: bool = True)
         return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text", requests=requests))
     makers = {
         "text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trouble": D.trouble_lines, "clocked": D.clocked_lines, "timed": D.timed_lines,
-        "checked": D.checked_lines, "framed": D.framed_lines, "headed": D.headed_lines, "tokens": D.token_lines, "shaped": D.shaped_lines,
+        "checked": D.checked_lines, "framed": D.framed_lines, "headed": D.headed_lines, "caused": D.cause_lines, "tokens": D.token_lines, "shaped": D.shaped_lines,
     }
     lines = makers[kind](spark, sf_dir).repartition(cores, "line_no")
     layout = kind if kind in ("json", "apache", "syslog") else "text"
@@ -468,4 +468,4 @@ def triage_files(spark, sf_dir):
     return out.select(F.element_at(F.split("file_id", "/"), -2).alias("layout"), "format", "line_count", "parsed", "errors", F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
-from timberline.plans import report_queries  # noqa: E402, F401  (registers its queries)
+from timberline.plans import report_queries, view_queries  # noqa: E402, F401  (registers their queries)

@@ -221,6 +221,15 @@ def shown_values(spark, sf_dir):
     return classes.union(health).union(bars)
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of four files, told apart by user."""
+    folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
+    for k in range(4):  # each a folder of one file: these logs have an order
+        lines = D.text_lines(spark, sf_dir).join(D.events(spark, sf_dir).where(f"user_id % 4 = {k}").select(F.col("event_id").alias("line_no")), "line_no")
+        lines.repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/f{k}.log")
+    return pin(report.reports(spark, [f"{folder}/f{k}.log" for k in range(4)], at_ms=0))
+
+
 @query(
     """with {e} select 'f' || (user_id % 4) || '.log' as name, count(*) as line_count, count(*) filter (level = 'ERROR') as errors, count(*) filter (level = 'WARN') as warnings, count(*) as requests,
       count(*) filter (status >= 500) as failed, min(ts_ms) as start_ms, max(ts_ms) as end_ms, cast(max(ms) as double) as slowest, """
@@ -230,11 +239,7 @@ def shown_values(spark, sf_dir):
 )
 def report_documents(spark, sf_dir):
     """From files to one document and one summary for each: what the documents hold."""
-    folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
-    for k in range(4):  # each a folder of one file: these logs have an order
-        lines = D.text_lines(spark, sf_dir).join(D.events(spark, sf_dir).where(f"user_id % 4 = {k}").select(F.col("event_id").alias("line_no")), "line_no")
-        lines.repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/f{k}.log")
-    docs = pin(report.reports(spark, [f"{folder}/f{k}.log" for k in range(4)], at_ms=0))
+    docs = _documents(spark, sf_dir)
     said = documents.texts(docs, ("summary",)).select("file_id", F.regexp_extract("text", r"\n([^\n]*?\)), [0-9,]+ warnings", 1).alias("said"))
     r = F.col("report")
     return docs.join(said, "file_id").select(
