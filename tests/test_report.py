@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_triage import JAVA_LOG
+from timberline.functions import text as T
+from timberline.functions.sqltext import X
 from timberline.operators import history
 from timberline.plans import directory, documents, report, views
 
@@ -157,6 +159,16 @@ def test_views(tables):
     assert [r["raw"].endswith("timed out") for r in found] == [True] and history.search_lines(tables["samples"], "timed out", "info").count() == 0
 
 
+def test_sizes_and_spans(spark):
+    """Where the forms of lengths and sizes change."""
+    spans = {0: ("0ms", "0ms"), 999: ("999ms", "999ms"), 1000: ("1.00s", "1.0s"), 9990: ("9.99s", "10.0s"), 10_000: ("10.0s", "10.0s"), 60_000: ("1m 0s", "1m"), 3_599_000: ("59m 59s", "60m"), 3_600_000: ("1h 0m", "1.0h")}
+    rows = spark.createDataFrame([(k,) for k in spans], "n long").select("n", T.format_duration(X.col("n")).alias("a").column, T.view_span(X.col("n")).alias("b").column).collect()
+    assert {r["n"]: (r["a"], r["b"]) for r in rows} == spans
+    sizes = {0: ("0 B", "0 B"), 1023: ("1023 B", "1023 B"), 1024: ("1.0 KB", "1.0 KB"), 10_240: ("10 KB", "10 KB"), 3 << 20: ("3.0 MB", "3.0 MB"), 5 << 40: ("5.0 TB", "5120 GB"), 7 << 50: ("7168 TB", "7340032 GB")}
+    rows = spark.createDataFrame([(k,) for k in sizes], "n long").select("n", T.format_bytes(X.col("n")).alias("a").column, T.view_size(X.col("n")).alias("b").column).collect()
+    assert {r["n"]: (r["a"], r["b"]) for r in rows} == sizes
+
+
 def test_directory(spark):
     rules = directory.rules_table(spark)
     assert rules.count() == 102 and directory.category_counts(rules).count() == 19

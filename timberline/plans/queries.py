@@ -247,12 +247,6 @@ def inferred_levels(spark, sf_dir):
     return turns.select("conv_id", "turn", infer_level(X.coalesce(X.col("text"), "")).alias("level").column)
 
 
-@query()
-def normalized_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", normalize_message(X.coalesce(X.col("text"), "")).alias("pattern").column)
-
-
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue-shaped groups of conversation turns with equal text, for the wording rules."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
@@ -430,6 +424,12 @@ def _sql_normalized(column: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
+@query("select doc_id, " + _sql_normalized("coalesce(text, '')") + " as pattern from documents")
+def normalized_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", normalize_message(X.coalesce(X.col("text"), "")).alias("pattern").column)
+
+
 @query(f"select page_id, {_sql_normalized('url')} as pattern from pages")
 def normalized_urls(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", normalize_message(X.coalesce(X.col("url"), "")).alias("pattern").column)
