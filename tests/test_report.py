@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tests.test_triage import JAVA_LOG
 from timberline.functions import text as T
 from timberline.functions.sqltext import X
 from timberline.operators import history
-from timberline.plans import directory, documents, report, views
+from timberline.plans import checks, directory, documents, report, views
 
 
 SHOP = JAVA_LOG + """2024-03-02 08:01:00,000 ERROR [x-1] com.acme.Mail - <b>api_key=notarealkey</b> timed out
@@ -169,6 +170,17 @@ def test_sizes_and_spans(spark):
     assert {r["n"]: (r["a"], r["b"]) for r in rows} == sizes
 
 
+def test_digits_are_those_of_the_double(spark):
+    """Against exact decimals: a figure just below the middle isn't rounded up, one in the middle is."""
+    values = [k / 1000 for k in range(0, 12_000, 5)] + [0.125, 2.5, 0.5, 1.005, 1.115, 8.345, 99.95, 1e15 + 0.5, 7e-8, 123456.785]
+    ways = {f"{kind}{d}": (lambda x, d=d, f=f: f(x, d)) for kind, f in (("s", lambda x, d: T.fixed(X.col("x"), d).column), ("c", lambda x, d: checks.fixed(F.col("x"), d))) for d in (0, 1, 2, 5)}
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").select("x", *(w(None).alias(n) for n, w in ways.items())).collect()
+    for r in rows:
+        for n in ways:
+            want = None if r["x"] is None else format(Decimal(r["x"]).quantize(Decimal(1).scaleb(-int(n[1])), ROUND_HALF_UP), "f")
+            assert r[n] == want, (r["x"], n)
+
+
 def test_directory(spark):
     rules = directory.rules_table(spark)
     assert rules.count() == 102 and directory.category_counts(rules).count() == 19

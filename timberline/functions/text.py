@@ -72,15 +72,39 @@ def round_half_up(x: Sql) -> Sql:
     return X.floor(x + 0.5)
 
 
+#: Up to here a figure and its digits behind the point are a whole number that a double holds.
+LARGE = 1e9
+
+
+def shortened(x, digits: int, floor, when):
+    """``x * 10^digits`` (a double, not negative) rounded to a whole number; x is an ``Sql`` or a column.
+
+    What counts is the double itself, so 1.005, which is a little less than that, has 1.00 as its nearest. A plain product
+    can't tell. Its error is exact here: the upper half of x's bits and the rest, each times the power, lose nothing.
+    """
+    power = float(10**digits)
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * power
+    error = (upper * power - product) + (x - upper) * power
+    whole = floor(product)
+    return whole + when(product - whole - 0.5 + error >= 0, 1).otherwise(0)
+
+
+def fixed(x: Sql, digits: int) -> Sql:
+    """With so many digits behind the point; the nearest, the larger one of two (from ``LARGE`` on as Java rounds)."""
+    shown = lambda v: X.when(v < LARGE, shortened(v, digits, X.floor, X.when) / float(10**digits)).otherwise(v)
+    return X.bind(x.cast("double"), lambda v: X.when(v.isNotNull(), X.format_string(f"%.{digits}f", shown(v))))
+
+
 def percent(x: Sql, digits: int = 1) -> Sql:
-    return X.concat(X.format_string(f"%.{digits}f", x * 100), "%")
+    return X.concat(fixed(x * 100, digits), "%")
 
 
 def short_ms(ms: Sql) -> Sql:
     """``850ms``, ``4.20s``, ``2.5m``."""
     return (
-        X.when(ms >= 60_000, X.concat(X.format_string("%.1f", ms / 60_000), "m"))
-        .when(ms >= 1_000, X.concat(X.format_string("%.2f", ms / 1_000), "s"))
+        X.when(ms >= 60_000, X.concat(fixed(ms / 60_000, 1), "m"))
+        .when(ms >= 1_000, X.concat(fixed(ms / 1_000, 2), "s"))
         .otherwise(X.concat(round_half_up(ms).cast("string"), "ms"))
     )
 
@@ -106,8 +130,8 @@ def format_duration(ms: Sql) -> Sql:
     minutes = X.floor(s / 60)
     return (
         X.when(ms < 1000, X.concat(round_half_up(ms).cast("string"), "ms"))
-        .when(s < 10, X.format_string("%.2fs", s))
-        .when(s < 60, X.format_string("%.1fs", s))
+        .when(s < 10, X.concat(fixed(s, 2), "s"))
+        .when(s < 60, X.concat(fixed(s, 1), "s"))
         .when(minutes < 60, X.concat(minutes.cast("string"), "m ", round_half_up(s % 60).cast("string"), "s"))
         .otherwise(X.concat(X.floor(minutes / 60).cast("string"), "h ", (minutes % 60).cast("string"), "m"))
     )
@@ -117,7 +141,7 @@ def format_bytes(n: Sql, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> S
     out = X.concat(n.cast("string"), " B")
     for k, unit in enumerate(units, 1):
         v = n / 1024.0**k
-        out = X.when(n >= 1024**k, X.concat(X.when(v >= 10, X.format_string("%.0f", v)).otherwise(X.format_string("%.1f", v)), f" {unit}")).otherwise(out)
+        out = X.when(n >= 1024**k, X.concat(X.when(v >= 10, fixed(v, 0)).otherwise(fixed(v, 1)), f" {unit}")).otherwise(out)
     return out
 
 
@@ -130,9 +154,9 @@ def view_span(ms: Sql) -> Sql:
     """A length of time as a report's head shows it: ``850ms``, ``32.1s``, ``5m``, ``2.1h``."""
     return (
         X.when(ms < 1000, X.concat(round_half_up(ms).cast("string"), "ms"))
-        .when(ms < 60_000, X.format_string("%.1fs", ms / 1000))
+        .when(ms < 60_000, X.concat(fixed(ms / 1000, 1), "s"))
         .when(ms < 3_600_000, X.concat(round_half_up(ms / 60_000).cast("string"), "m"))
-        .otherwise(X.format_string("%.1fh", ms / 3_600_000))
+        .otherwise(X.concat(fixed(ms / 3_600_000, 1), "h"))
     )
 
 

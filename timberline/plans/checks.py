@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timberline.functions.text import LARGE, shortened
 from timberline.operators.aggregate import RANK
 from timberline.plans import rules
 
@@ -31,15 +32,21 @@ NAMES = {
 }
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """As ``fixed`` of ``functions/text.py``, of a column."""
+    shown = lambda v: F.when(v < LARGE, shortened(v, digits, F.floor, F.when) / float(10**digits)).otherwise(v)
+    return F.get(F.transform(F.array(x.cast("double")), lambda v: F.when(v.isNotNull(), F.format_string(f"%.{digits}f", shown(v)))), F.lit(0))
+
+
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+    return F.concat(fixed(x * 100, digits), F.lit("%"))
 
 
 def short_ms(x: Column) -> Column:
     """``850ms``, ``4.20s``, ``2.5m``."""
     return (
-        F.when(x >= 60_000, F.concat(F.format_string("%.1f", x / 60_000.0), F.lit("m")))
-        .when(x >= 1_000, F.concat(F.format_string("%.2f", x / 1_000.0), F.lit("s")))
+        F.when(x >= 60_000, F.concat(fixed(x / 60_000.0, 1), F.lit("m")))
+        .when(x >= 1_000, F.concat(fixed(x / 1_000.0, 2), F.lit("s")))
         .otherwise(F.concat(F.floor(x + 0.5).cast("string"), F.lit("ms")))
     )
 
@@ -53,7 +60,7 @@ def said(*parts: object) -> Column:
 
 
 def times(figure: Column) -> Column:
-    return F.concat(F.format_string("%.1f", figure), F.lit(" times"))
+    return F.concat(fixed(figure, 1), F.lit(" times"))
 
 
 def timeline_facts(timeline: DataFrame) -> DataFrame:

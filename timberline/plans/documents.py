@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators.aggregate import RANK
 from timberline.plans import directory
-from timberline.plans.checks import grouped, percent, said, short_ms
+from timberline.plans.checks import fixed, grouped, percent, said, short_ms
 from timberline.plans.views import GROUP_LABELS, LAYOUT_LABELS, LEVEL_LABELS, label
 
 KINDS = ("json", "csv", "markdown", "html", "summary")
@@ -147,7 +147,7 @@ def csv_text(r: Column) -> Column:
     def line(i: Column) -> Column:
         seen = i["firstSeen"].isNotNull() & i["lastSeen"].isNotNull()
         cells = (
-            label(i["level"], LEVEL_LABELS), i["count"], F.format_string("%.5f", i["share"]), i["title"], i["exceptionType"], i["firstIndex"] + 1, i["lastIndex"] + 1, _iso(i["firstSeen"]), _iso(i["lastSeen"]),
+            label(i["level"], LEVEL_LABELS), i["count"], fixed(i["share"], 5), i["title"], i["exceptionType"], i["firstIndex"] + 1, i["lastIndex"] + 1, _iso(i["firstSeen"]), _iso(i["lastSeen"]),
             F.when(seen, short_ms((i["lastSeen"] - i["firstSeen"]).cast("double"))), F.array_join(i["loggers"], " | "), F.get(i["frames"], F.lit(0))["raw"], _entry(r, i["id"]),
             F.get(i["samples"], F.lit(0))["raw"],
         )
@@ -168,7 +168,7 @@ def _facts(r: Column) -> Column:
         some(always, "Errors and fatal", said(grouped(errors), " (", percent(r["errorRate"], 2), ")")), some(always, "Warnings", said(grouped(n["warn"]), " (", percent(r["warningRate"], 2), ")")),
         some(always, "Issue groups", F.size(r["issues"]).cast("string")), some(always, "Directory matches", F.size(r["knownProblems"]).cast("string")), some(always, "Health", said(r["healthScore"].cast("string"), "/100")),
         some(rng.isNotNull(), "Time range", said(_stamp(rng["start"]), " to ", _stamp(rng["end"]), " (", short_ms(rng["durationMs"].cast("double")), ")")),
-        some(r["throughputPerSecond"].isNotNull(), "Throughput", said(F.format_string("%.1f", r["throughputPerSecond"]), " lines/s")),
+        some(r["throughputPerSecond"].isNotNull(), "Throughput", said(fixed(r["throughputPerSecond"], 1), " lines/s")),
     ))
 
 
