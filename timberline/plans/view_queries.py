@@ -129,7 +129,7 @@ def directory_labels(spark, sf_dir):
     "with {e}, o as (select 'handled ' || event_type || ' of user n' as name, " + _RANKED.format(q=0.95) + " as p95 from e group by 1) "
     "select name, round(p95 / greatest(max(p95) over (), 1), 6) as scale, greatest(max(p95) over (), 1.0) as worst from o"
 )
-def operation_bars(spark, sf_dir):
+def latency_bars(spark, sf_dir):
     """Bars of operations: their 95th percentile over the worst one's."""
     p = _parsed(spark, sf_dir, "json")
     p = p.withColumn("http", F.struct(F.lit(None).cast("string").alias("path"), F.col("http.duration_ms").alias("duration_ms")))
