@@ -9,13 +9,15 @@ that meet several rules count for each. Rules in ``rules`` can be a user's own,
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.functions.sqltext import X
+from timberline.functions.patterns import meets
+from timberline.functions.sqltext import Sql, X
 from timberline.functions.text import csv_cell
 from timberline.plans.advice import ADVICE
 
@@ -467,9 +469,10 @@ def alternation(rule: tuple) -> str:
     return "|".join(rule[5])
 
 
-def _hits(text: Column, rules: tuple) -> Column:
-    """Places in ``rules`` whose pattern the text meets. Patterns are literal: each is compiled once."""
-    return F.array_compact(F.array(*(F.when(text.rlike(alternation(r)), F.lit(k)) for k, r in enumerate(rules))))
+def _hits(text: Sql, rules: tuple) -> Column:
+    """Places in ``rules`` whose pattern the text, in lower case, meets. Patterns are literal: each is compiled once."""
+    met = lambda r: functools.reduce(lambda a, b: a | b, (meets(text, text, p) for p in r[5]))
+    return X.array_compact(X.array(*(X.when(met(r), k) for k, r in enumerate(rules)))).column
 
 
 def issue_rules(issues: DataFrame, rules: tuple = RULES, with_file_name: bool = True) -> DataFrame:
@@ -478,7 +481,7 @@ def issue_rules(issues: DataFrame, rules: tuple = RULES, with_file_name: bool =
     text = lambda *parts: F.lower(F.concat_ws(" ", *(F.coalesce(p, F.lit("")) for p in parts)))
     shown = text(F.col("pattern"), F.col("title"), F.col("exception_type"), name)
     samples = F.lower(F.array_join(F.transform("samples", lambda s: s["raw"]), " "))
-    either = F.array_union(_hits(F.col("d_shown"), rules), _hits(F.col("d_samples"), rules))
+    either = F.array_union(_hits(X.col("d_shown"), rules), _hits(X.col("d_samples"), rules))
     return issues.withColumn("d_shown", shown).withColumn("d_samples", samples).withColumn("rule", F.explode(either)).drop("d_shown", "d_samples")
 
 
@@ -495,7 +498,7 @@ def known_problems(issues: DataFrame, exceptions: DataFrame, rules: tuple = RULE
         F.sum("count").alias("occurrences"), F.transform(F.array_sort(F.collect_list(F.struct("place", "signature"))), lambda s: s["signature"]).alias("issue_ids"),
         F.min_by(F.get(F.col("samples"), F.lit(0))["raw"], F.when(F.size("samples") > 0, F.col("place"))).alias("example"),
     )
-    kinds = exceptions.withColumn("rule", F.explode(_hits(F.lower("type"), rules))).join(met.select("file_id", "rule"), ["file_id", "rule"], "left_anti")
+    kinds = exceptions.withColumn("rule", F.explode(_hits(X.lower(X.col("type")), rules))).join(met.select("file_id", "rule"), ["file_id", "rule"], "left_anti")
     # The first type in the file's order that meets the rule.
     by_type = kinds.groupBy("file_id", "rule").agg(F.min_by(F.struct("count", "type"), "first_line").alias("t"))
     by_type = by_type.select("file_id", "rule", F.col("t.count").alias("occurrences"), F.array().cast("array<string>").alias("issue_ids"), F.col("t.type").alias("example"))

@@ -250,7 +250,8 @@ def inferred_levels(spark, sf_dir):
 def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issue-shaped groups of conversation turns with equal text, for the wording rules."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
-    g = turns.groupBy("text").agg(F.count("*").alias("count"))
+    # Few bytes but many patterns for each text: the groups are dealt over all cores.
+    g = turns.groupBy("text").agg(F.count("*").alias("count")).repartition(4 * spark.sparkContext.defaultParallelism, "text")
     return g.select(
         F.lit("talk").alias("file_id"), F.col("text").alias("pattern"), F.col("text").alias("title"), F.lit(None).cast("string").alias("exception_type"), "count",
         F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.col("text").alias("raw"))).alias("samples"), F.xxhash64("text").alias("place"),

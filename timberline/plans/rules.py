@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.patterns import meets
+from timberline.functions.sqltext import X
+
 # Fixed values: (id, severity, pattern) of the detectors.
 DETECTORS = (
     ("memory", "critical", "out of memory|outofmemory|memoryerror|heap space|oom|gc overhead|cannot allocate memory"),
@@ -78,15 +81,16 @@ def _joined(*parts: Column) -> Column:
 
 def _matches(issues: DataFrame, text: Column, rules: tuple, make) -> DataFrame:
     """One row for each (issue, rule) that match: the rules' literal patterns tested in one projection, then exploded."""
-    hits = F.array_compact(F.array(*(F.when(text.rlike("(?i)" + r[-1]), make(r)) for r in rules)))
-    return issues.select("*", F.explode(hits).alias("rule"))
+    hits = X.array_compact(X.array(*(X.when(meets(X.col("r_text"), X.col("r_low"), r[-1], any_case=True), make(r)) for r in rules))).column
+    shown = issues.withColumn("r_text", text).withColumn("r_low", F.lower("r_text"))
+    return shown.select("*", F.explode(hits).alias("rule")).drop("r_text", "r_low")
 
 
 def insights(issues: DataFrame) -> DataFrame:
     """file_id, id, severity, occurrences, example: detectors that some issue sets off, the most severe first."""
     text = _joined(F.col("pattern"), F.col("title"), F.col("exception_type"))
     order = {r[0]: k for k, r in enumerate(DETECTORS)}
-    hit = _matches(issues, text, DETECTORS, lambda r: F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("severity"), F.lit(order[r[0]]).alias("order")))
+    hit = _matches(issues, text, DETECTORS, lambda r: X.struct(X.lit(r[0]).alias("id"), X.lit(r[1]).alias("severity"), X.lit(order[r[0]]).alias("order")))
     out = hit.groupBy("file_id", "rule").agg(F.sum("count").alias("occurrences"), F.min_by("title", "place").alias("example"))
     weight = F.when(F.col("rule.severity") == "critical", 3).when(F.col("rule.severity") == "warning", 2).otherwise(1)
     from timberline.operators.aggregate import top
@@ -97,7 +101,7 @@ def insights(issues: DataFrame) -> DataFrame:
 def scans(issues: DataFrame) -> DataFrame:
     """file_id, id, group, status, lines, groups, sample for each wording check of each file."""
     text = _joined(F.col("pattern"), F.col("title"), F.col("exception_type"), F.get("samples", F.lit(0))["raw"])
-    hit = _matches(issues, text, SCANS, lambda r: F.lit(r[0]))
+    hit = _matches(issues, text, SCANS, lambda r: X.lit(r[0]))
     found = hit.groupBy("file_id", F.col("rule").alias("id")).agg(
         F.sum("count").alias("lines"), F.count("*").alias("groups"), F.min_by(F.get("samples", F.lit(0))["raw"], "place").alias("sample")
     )
