@@ -299,7 +299,7 @@ def streamed_traces(spark, sf_dir):
     from timberline.streaming import stitch as S
 
     with _streaming(spark, sf_dir) as folder:
-        rows = S.stitched_lines(S.stitched(S.located_lines(spark, f"{folder}/in"), "text")).select("file_id", "line_no", "role", "entry_id")
+        rows = S.stitched_lines(S.stitched(S.located_lines(spark, f"{folder}/in"), "text", for_issues=False)).select("file_id", "line_no", "role", "entry_id")
         rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("role").agg(F.count("*").alias("lines"), F.countDistinct("entry_id").alias("entries"))
 
@@ -314,7 +314,7 @@ def streamed_issues(spark, sf_dir):
     from timberline.streaming import stitch as S
 
     with _streaming(spark, sf_dir) as folder:
-        changes = S.issue_changes(S.stitched(S.located_lines(spark, f"{folder}/in"), "text"))
+        changes = S.issue_changes(S.stitched(S.located_lines(spark, f"{folder}/in"), "text", for_lines=False))
         S.keep_issues(changes, f"{folder}/issues", f"{folder}/at").awaitTermination()
     g = S.issues_of(S.issue_table(spark, f"{folder}/issues"), most=1000)
     sizes = (F.size(c).cast("long").alias(c) for c in ("frames", "samples"))
