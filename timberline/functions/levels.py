@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import any_of, cut
+from timberline.functions.text import any_of, cut, holds
 
 # Severities by rank, the words for them, and the wording that implies them.
 RANK = {"fatal": 6, "error": 5, "warn": 4, "info": 3, "debug": 2, "trace": 1, "unknown": 0}
@@ -24,16 +24,16 @@ ERROR_WORDING = (
 WARN_WORDING = ("warn", "deprecated", "deprecation", "retry", "slow", "approaching", "fallback", "falling back", "soft ")
 DEBUG_WORDING = ("debug", "trace", "verbose")
 
-# Where a severity stands in a line, tried in this order: (pattern, group of the word, what it can't do without).
+# Where a severity stands in a line, tried in this order: (pattern, group of the word, characters of which it needs one).
 MARKERS = (
-    (r"[\[({<]\s*([A-Za-z]{3,9})\s*[\])}>]", 1, ""),
+    (r"[\[({<]\s*([A-Za-z]{3,9})\s*[\])}>]", 1, "[({<"),
     (r'(?i)\b(?:level|severity|lvl|levelname|log_level|log\.level)\b\s*[=:]\s*"?([A-Za-z]{3,9})"?', 1, "=:"),
     (r"(?:^|[\s-])[*#=]?\s*([A-Za-z]{3,9})\s*[:|]\s*", 1, ":|"),
     (r"^([A-Z]{3,9}):\S+?:", 1, ":"),
     (r"(?:^|[\s\])>(|])([*#=]?\s*)([A-Za-z]{3,9})\s*(?=[-:|(\s]|$)", 2, ""),
     (r"^[*#=]?\s*([A-Z]{3,9})\b", 1, ""),
 )
-SEPARATED = MARKERS[4][0]
+KEYED, SEPARATED = MARKERS[1][0], MARKERS[4][0]
 
 
 def _lookup(pairs: dict[str, object], key: Sql) -> Sql:
@@ -66,6 +66,8 @@ def detect_level(text: Sql, scan: int = 160) -> Sql:
                 return X.when(g.isNotNull(), X.bind(token_level(g[index + 1]), hit))
 
             found = X.bind(cut(head, pattern, index), made)
+            if pattern == KEYED:
+                return X.when(holds(head, gate) & X.bind(X.lower(head), lambda low: any_of(low, ("level", "lvl", "severity"))), found)
             return X.when(any_of(head, gate), found) if gate else found
 
         return X.coalesce(*(way(*m) for m in MARKERS))
@@ -73,14 +75,10 @@ def detect_level(text: Sql, scan: int = 160) -> Sql:
     return X.bind(X.substring(text, 1, scan), all_of)
 
 
-def _any_of(words: tuple[str, ...]) -> str:
-    return "|".join(words)
-
-
 def infer_level(message: Sql) -> Sql:
     """Severity by wording."""
-    low = X.lower(message)
-    return X.when(low.rlike(_any_of(ERROR_WORDING)), "error").when(low.rlike(_any_of(WARN_WORDING)), "warn").when(low.rlike(_any_of(DEBUG_WORDING)), "debug").otherwise("info")
+    told = lambda low: X.when(any_of(low, ERROR_WORDING), "error").when(any_of(low, WARN_WORDING), "warn").when(any_of(low, DEBUG_WORDING), "debug").otherwise("info")
+    return X.bind(X.lower(message), told)
 
 
 def level_of_status(status: Sql) -> Sql:

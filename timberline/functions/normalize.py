@@ -35,7 +35,13 @@ REPLACEMENTS = (
 SIGNATURE_CHARS, PATTERN_CHARS, TITLE_CHARS = 220, 240, 120
 
 
+#: Rules that need a digit, and those that need 16 characters of a hash or of base 64 in a row; by place.
+DIGITS, RUNS = (1, 2, 3, 4, 5, 6, 7, 10, 18, 20, 22), (13, 14)
+
+
 def normalize_message(message: Sql) -> Sql:
+    """Volatile values replaced. Rules are skipped where what they need is missing: no rule puts a digit or such a run there."""
+
     def way(pattern: str, put: str, needs: tuple[str, ...]):
         def replaced(text: Sql) -> Sql:
             new = X.regexp_replace(text, pattern, put)
@@ -43,9 +49,27 @@ def normalize_message(message: Sql) -> Sql:
 
         return replaced
 
-    for rule in REPLACEMENTS:
-        message = X.bind(message, way(*rule))
-    return flat(message)
+    def all_of(text: Sql, places) -> Sql:
+        for rule in (REPLACEMENTS[k] for k in places):
+            text = X.bind(text, way(*rule)) if rule[2] else way(*rule)(text)
+        return text
+
+    def gated(text: Sql, digits: Sql) -> Sql:
+        k = 0
+        while k < len(REPLACEMENTS):
+            gate = DIGITS if k in DIGITS else RUNS if k in RUNS else None
+            run = [k]
+            while gate and run[-1] + 1 in gate:
+                run.append(run[-1] + 1)
+            if gate is None:
+                text = all_of(text, run)
+            else:
+                met = (lambda t: digits) if gate is DIGITS else (lambda t: t.rlike("[A-Za-z0-9+/]{16}"))
+                text = X.bind(text, lambda t, run=run, met=met: X.when(met(t), all_of(t, run)).otherwise(t))
+            k = run[-1] + 1
+        return text
+
+    return flat(X.bind(message.rlike(r"\d"), lambda digits: gated(message, digits)))
 
 
 def fnv1a(text: Sql) -> Sql:
@@ -57,7 +81,9 @@ def fnv1a(text: Sql) -> Sql:
         return X.when(code < 0x10000, step(h, code)).otherwise(step(step(h, high), code.bits(0x3FF) + 0xDC00))
 
     codes = X.transform(X.split(text, ""), lambda c: X.ascii(c).cast("long"))
-    return X.when(text == "", "ztntfp").otherwise(X.lower(X.conv(X.aggregate(codes, X.lit(2166136261), two).cast("string"), 10, 36)))
+    plain = X.aggregate(X.split(text, ""), X.lit(2166136261), lambda h, c: step(h, X.ascii(c)))
+    value = X.when(X.octet_length(text) == X.char_length(text), plain).otherwise(X.aggregate(codes, X.lit(2166136261), two))
+    return X.when(text == "", "ztntfp").otherwise(X.lower(X.conv(value.cast("string"), 10, 36)))
 
 
 def signature(level: Sql, normalized: Sql, exception_type: Sql, logger: Sql) -> Sql:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import line_groups, part, strip, without_lead
+from timberline.functions.text import any_of, groups, part, strip, without_lead
 
 # Exception headers (pattern, type or None for group 1, fatal), tried in this order.
 HEADERS = (
@@ -15,6 +15,8 @@ HEADERS = (
     (r"^panic:\s*(.*)$", "panic", True),
     (r"^fatal error:\s*(.*)$", "fatal error", True),
 )
+#: Every header holds one of these.
+ENDINGS = ("Exception", "Error", "Throwable", "Fault", "Failure", "Warning", "Interrupt", "Exit", "panic:", "fatal error:")
 # Stack frames, as (pattern, its groups, function's group, file's group, line's group or None if the file's has it).
 FRAMES = (
     (r"^at\s+([\w$.<>]+\.[\w$<>]+)\(([^)]*)\)\s*$", 2, 1, 2, None),
@@ -42,9 +44,9 @@ def exception_header(line: Sql) -> Sql:
             name, text = (part(g, 0), g[1]) if kind is None else (X.lit(kind), g[0])
             return X.when(g.isNotNull(), X.struct(name.alias("type"), strip(text).alias("message"), X.lit(fatal).alias("fatal")))
 
-        return X.bind(line_groups(line, pattern, 2 if kind is None else 1), made)
+        return X.bind(groups(line, pattern, 2 if kind is None else 1), made)
 
-    return X.when(line.rlike("Exception|Error|Throwable|Fault|Failure|Warning|Interrupt|Exit|panic:|fatal error:"), X.coalesce(*(way(*h) for h in HEADERS)))
+    return X.when(any_of(line, ENDINGS), X.coalesce(*(way(*h) for h in HEADERS)))
 
 
 def stack_frame(line: Sql) -> Sql:
@@ -58,12 +60,12 @@ def stack_frame(line: Sql) -> Sql:
                 if number is not None:
                     return _frame(name, where, part(g, number - 1), line)
                 known = ~where.isin("", "Unknown Source", "<anonymous>")
-                split = line_groups(where, r"^(.*?):(\d+)(?::\d+)?$", 2)
+                split = groups(where, r"^(.*?):(\d+)(?::\d+)?$", 2)
                 return X.bind(split, lambda t: X.when(t.isNotNull(), _frame(name, t[0], t[1], line)).otherwise(_frame(name, X.when(known, where), X.lit(None), line)))
 
             return X.when(g.isNotNull(), X.bind(strip(g[place - 1]), framed))
 
-        return X.bind(line_groups(line, pattern, count), made)
+        return X.bind(groups(line, pattern, count), made)
 
     return X.when(line.rlike(r"(?i)^(at |file |from |[\w./()*\[\]-]+\()"), X.coalesce(*(way(*f) for f in FRAMES)))
 

@@ -12,16 +12,16 @@ DAY_MS = 86_400_000
 
 
 def clean(text: Sql) -> Sql:
-    return X.translate(text, SEP, " ")
+    return X.replace(text, SEP, " ")
 
 
 def groups(text: Sql, pattern: str, count: int) -> Sql:
-    """The ``count`` groups of the first match of a pattern for the whole text, empty where a group has no part; else null.
+    """The ``count`` groups of the match of a pattern that begins with ``^``, empty where a group has no part, and the text after it; else null.
 
     One run of the pattern gives all groups. The text holds no ``SEP`` (``clean``).
     """
     marked = X.regexp_replace(text, pattern, SEP.join(f"${k}" for k in range(1, count + 1)) + SEP)
-    return X.bind(marked, lambda m: X.when(m.endswith(SEP), X.split(m, SEP, -1)))
+    return X.bind(marked, lambda m: X.when(m.contains(SEP), X.split(m, SEP, -1)))
 
 
 def any_of(text: Sql, characters: str | tuple[str, ...]) -> Sql:
@@ -29,21 +29,27 @@ def any_of(text: Sql, characters: str | tuple[str, ...]) -> Sql:
     out = text.contains(characters[0])
     for c in characters[1:]:
         out = out | text.contains(c)
+    return Sql(f"({out.text})")
+
+
+def holds(text: Sql, *needs: str | tuple[str, ...]) -> Sql:
+    """Whether the text holds one of each: what a pattern can't do without."""
+    out = any_of(text, needs[0])
+    for need in needs[1:]:
+        out = out & any_of(text, need)
     return out
 
 
 def cut(text: Sql, pattern: str, count: int) -> Sql:
-    """[text before, match, groups 1 to count, text after] of the first match; null without one."""
+    """[text before, match, groups 1 to count, text after] of the first match; null without one.
+
+    What is before it is matched, too, so that there is one match only; the text after it stays as it is and costs nothing.
+    """
     flags, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    marked = X.regexp_replace(text, rf"{flags}({body})([\s\S]*)$", SEP + SEP.join(f"${k}" for k in range(1, count + 3)))
+    marked = X.regexp_replace(text, rf"{flags}^((?s:.*?))({body})", SEP.join(f"${k}" for k in range(1, count + 3)) + SEP)
     return X.bind(marked, lambda m: X.when(m.contains(SEP), X.split(m, SEP, -1)))
 
 
-def line_groups(text: Sql, pattern: str, count: int) -> Sql:
-    """As ``groups`` for a pattern that begins with ``^`` and may end before the text does."""
-    return groups(text, pattern if pattern.endswith("$") else pattern + r"[\s\S]*$", count)
-
-
 def part(found: Sql, index: int) -> Sql:
     """A group by its place; null where it is empty."""
     return X.nullif(found[index], "")
@@ -60,7 +66,9 @@ def without_lead(text: Sql, extra: str = "") -> Sql:
 
 
 def flat(text: Sql) -> Sql:
-    return strip(X.regexp_replace(text, r"\s+", " "))
+    """White space as one blank, none at the ends; texts whose only white space is single blanks aren't rewritten."""
+    rewritten = lambda t: X.when(any_of(t, ("  ", "\t", "\n", "\x0b", "\x0c", "\r")), X.regexp_replace(t, r"\s+", " ")).otherwise(t)
+    return strip(X.bind(text, rewritten))
 
 
 def truncate(text: Sql, limit: int) -> Sql:
@@ -115,13 +123,14 @@ def normalize_path(path: Sql) -> Sql:
     def segment(s: Sql) -> Sql:
         return (
             X.when(s.rlike("^[0-9]+$"), ":id")
-            .when(s.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-"), ":uuid")
-            .when(s.rlike("(?i)^[0-9a-f]{16,}$"), ":hash")
+            .when((X.length(s) > 13) & s.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-"), ":uuid")
+            .when((X.length(s) > 15) & s.rlike("(?i)^[0-9a-f]{16,}$"), ":hash")
             .when((X.length(s) > 24) & s.rlike("[0-9]"), ":id")
             .otherwise(s)
         )
 
-    return X.array_join(X.transform(X.split(X.regexp_replace(path, r"(?s)[?#].*$", ""), "/"), segment), "/")
+    bare = X.bind(path, lambda p: X.when(any_of(p, "?#"), X.regexp_replace(p, r"(?s)[?#].*$", "")).otherwise(p))
+    return X.array_join(X.transform(X.split(bare, "/"), segment), "/")
 
 
 def format_duration(ms: Sql) -> Sql:

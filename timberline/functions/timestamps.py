@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import DAY_MS, MONTHS, cut, strip
+from timberline.functions.text import DAY_MS, MONTHS, cut, holds, strip
 
 # The layouts that are looked for, most specific first.
 ISO = r"(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:[.,](\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?"
@@ -43,7 +43,7 @@ def _offset(zone: Sql) -> Sql:
     """Milliseconds east of UTC of ``+01:00`` or ``+0100``; 0 for Z or nothing."""
     digits = X.regexp_replace(zone, "[^0-9]", "")
     ms = (_number(X.substring(digits, 1, 2)) * 60 + _number(X.substring(digits, 3, 2))) * 60_000
-    return X.when(X.length(digits) == 4, X.when(zone.startswith("-"), -ms).otherwise(ms)).otherwise(0)
+    return X.when(zone.isin("", "Z"), 0).when(X.length(digits) == 4, X.when(zone.startswith("-"), -ms).otherwise(ms)).otherwise(0)
 
 
 def _clock(g: Sql, at: int) -> list[Sql]:
@@ -76,13 +76,17 @@ def _epoch(g: Sql, year: int) -> Sql:
     return X.when(n.between(1_000_000_000_000, 4_102_444_800_000), n)
 
 
-_WAYS = ((ISO, 8, _iso), (ACCESS, 7, _access), (SYSLOG, 5, _syslog), (YEAR_FIRST, 6, _year_first), (MONTH_FIRST, 6, _month_first), (EPOCH, 1, _epoch))
+# The last part is what the layout can't do without.
+_WAYS = (
+    (ISO, 8, _iso, ("-", ":")), (ACCESS, 7, _access, ("/", ":")), (SYSLOG, 5, _syslog, (":",)), (YEAR_FIRST, 6, _year_first, ("/", ":")),
+    (MONTH_FIRST, 6, _month_first, ("/", ":")), (EPOCH, 1, _epoch, ("12",)),
+)
 
 
 def extract_timestamp(line: Sql, year: int = 2024) -> Sql:
     """struct(ts_ms, raw, start, end) of the first layout, in order of specificity, whose value is a time; else null."""
 
-    def way(pattern: str, count: int, value) -> Sql:
+    def way(pattern: str, count: int, value, needs: tuple[str, ...]) -> Sql:
         def made(g: Sql) -> Sql:
             def hit(ms: Sql) -> Sql:
                 at = X.length(g[0])
@@ -95,7 +99,7 @@ def extract_timestamp(line: Sql, year: int = 2024) -> Sql:
 
             return X.when(g.isNotNull(), X.bind(value(g, year), hit))
 
-        return X.bind(cut(line, pattern, count), made)
+        return X.when(holds(line, *needs), X.bind(cut(line, pattern, count), made))
 
     # Every layout has two digits next to each other.
     return X.when(line.rlike(r"\d\d"), X.coalesce(*(way(*w) for w in _WAYS)))

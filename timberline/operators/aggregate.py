@@ -14,8 +14,8 @@ from timberline.functions.levels import RANK, rank
 from timberline.functions.normalize import PATTERN_CHARS, title
 from timberline.functions.sqltext import Sql, X
 from timberline.functions.stack import FRAME_TYPE, compact_frames, source_refs
-from timberline.functions.text import truncate
-from timberline.operators.parse import STATUS_IN_TEXT
+from timberline.functions.text import any_of, truncate
+from timberline.operators.parse import STATUS_IN_TEXT, signed
 from timberline.operators.stitch import CHUNK
 from timberline.sources.shared import pin
 
@@ -167,7 +167,8 @@ def source_counts(lines: DataFrame, most: int = MOST["sources"]) -> DataFrame:
 
 def http_rows(lines: DataFrame) -> DataFrame:
     e = lines.where("role = 'entry'")
-    status = F.coalesce("http.status", F.when(F.col("http").isNull(), F.regexp_extract("message", STATUS_IN_TEXT, 1).try_cast("int")))
+    worded = any_of(X.lower(X.col("message")), ("status", "http/", "responded with")).column
+    status = F.coalesce("http.status", F.when(F.col("http").isNull() & worded, F.regexp_extract("message", STATUS_IN_TEXT, 1).try_cast("int")))
     return e.select("file_id", "line_no", "raw", status.alias("status"), F.col("http.path").alias("path"), F.col("http.duration_ms").alias("duration_ms")).where("status is not null")
 
 
@@ -308,8 +309,9 @@ def timeline(lines: DataFrame) -> DataFrame:
 
 
 def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
-    """Groups of equal problems by signature, the most severe and frequent first."""
-    e = pin(with_frames(lines).withColumn("who", F.when(F.col("role") == "entry", logger_of())))
+    """Groups of equal problems by signature, the most severe and frequent first. Lines without signatures get them here, entries only."""
+    whole = with_frames(lines)
+    e = pin((whole if "signature" in lines.columns else signed(whole)).withColumn("who", F.when(F.col("role") == "entry", logger_of())))
     keys = ["file_id", "signature"]
     seen = F.when(F.col("ts_ms").isNotNull() & (F.col("role") == "entry"), F.col("line_no"))
     first = lambda c: F.min_by(c, "line_no")

@@ -19,7 +19,7 @@ from timberline.functions.levels import detect_level, infer_level, level_of_numb
 from timberline.functions.normalize import normalize_message, signature
 from timberline.functions.stack import FRAME_TYPE, exception_header, is_continuation, stack_frame
 from timberline.functions.sqltext import Sql, X
-from timberline.functions.text import clean, cut, groups, line_groups, normalize_path, part, strip, utc_text, without_lead
+from timberline.functions.text import any_of, clean, cut, groups, holds, normalize_path, part, strip, utc_text, without_lead
 from timberline.functions.timestamps import extract_timestamp
 
 # Layouts of access and syslog lines.
@@ -66,7 +66,8 @@ def _entry(**parts: Sql) -> Sql:
 
 
 def _seconds(text: Sql) -> Sql:
-    s = X.replace(text, X.lit('"'), "").try_cast("double")
+    # A failed cast costs more than the rest of the line: texts that are empty, or begin like no number, aren't cast.
+    s = X.when(text.rlike(r'^["\x00-\x20]*[+\-.\d]'), X.replace(text, X.lit('"'), "").try_cast("double"))
     return X.when((s >= 0) & (s < float("inf")), s * 1000)
 
 
@@ -97,7 +98,7 @@ def access_entry(line: Sql, year: int) -> Sql:
         route = X.struct(g[6].try_cast("int").alias("status"), normalize_path(g[5]).alias("path"))
         return X.when(g.isNotNull(), X.bind(route, routed))
 
-    return X.bind(line_groups(line, ACCESS_LINE, 12), made)
+    return X.bind(groups(line, ACCESS_LINE, 12), made)
 
 
 def syslog_entry(line: Sql, year: int, strict: bool = False) -> Sql:
@@ -220,7 +221,7 @@ def text_entry(line: Sql, ts: Sql, layout: Sql | str, requests: bool = True) ->
                 return _entry(level=level, message=message, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=r["logger"], thread=r["thread"], exc=exc)
             asked = X.bind(request_line(message), lambda q: X.when(q.isNotNull(), _http(method=q["method"], path=q["path"], status=q["status"], duration_ms=q["duration_ms"])))
             access = lambda g: _http(method=part(g, 4), path=normalize_path(g[5]), status=g[6].try_cast("int"), bytes=g[7].try_cast("long"), ip=part(g, 0))
-            inside = X.when(X.lit(layout != "text") if isinstance(layout, str) else layout != "text", X.bind(line_groups(line, ACCESS_LINE, 12), lambda g: X.when(g.isNotNull(), access(g))))
+            inside = X.when(X.lit(layout != "text") if isinstance(layout, str) else layout != "text", X.bind(groups(line, ACCESS_LINE, 12), lambda g: X.when(g.isNotNull(), access(g))))
             return _entry(level=level, message=message, ts_ms=ts["ts_ms"], ts_raw=ts["raw"], logger=r["logger"], thread=r["thread"], http=X.coalesce(inside, asked), exc=exc)
 
         return X.bind(_headed(exc, r["body"]), told)
@@ -236,7 +237,8 @@ def text_entry(line: Sql, ts: Sql, layout: Sql | str, requests: bool = True) ->
         return X.bind(detect_level(rest), lambda hit: state(X.when(hit.isNotNull(), after(tail(rest, hit["end"]))).otherwise(rest), hit["level"], X.lit(None)))
 
     def threaded(r: Sql) -> Sql:
-        return X.bind(groups(r["body"], THREAD + r"([\s\S]*)$", 2), lambda g: X.when(g.isNotNull(), state(after(g[1]), r["level"], g[0])).otherwise(r))
+        found = X.when(holds(r["body"], "[", "-"), groups(r["body"], THREAD, 1))
+        return X.bind(found, lambda g: X.when(g.isNotNull(), state(after(g[1]), r["level"], g[0])).otherwise(r))
 
     def inner(r: Sql) -> Sql:
         """``[main] INFO text``: the severity may stand behind a thread."""
@@ -244,9 +246,9 @@ def text_entry(line: Sql, ts: Sql, layout: Sql | str, requests: bool = True) ->
         return X.when(r["level"].isNotNull(), r).otherwise(X.bind(groups(r["body"], r"^\[([^\]]{1,40})\]\s*(.*)$", 2), lambda g: X.when(g.isNotNull(), second(g)).otherwise(r)))
 
     def named(r: Sql) -> Sql:
-        keyed = X.bind(cut(r["body"], LOGGER_KEY, 1), lambda g: X.when(g.isNotNull(), state(X.concat(g[0], g[3]), r["level"], r["thread"], g[2])).otherwise(r))
+        keyed = X.bind(X.when(any_of(r["body"], "=:"), cut(r["body"], LOGGER_KEY, 1)), lambda g: X.when(g.isNotNull(), state(X.concat(g[0], g[3]), r["level"], r["thread"], g[2])).otherwise(r))
         lead = lambda g: state(after(g[4]), r["level"], r["thread"], X.regexp_replace(strip(g[3]), r"^\[(.*)\]$", "$1"))
-        return X.bind(cut(r["body"], LOGGER, 2), lambda g: X.when(g.isNotNull() & (X.length(g[0]) <= 2) & (strip(g[3]) != ""), lead(g)).otherwise(keyed))
+        return X.bind(X.when(any_of(r["body"], ".["), cut(r["body"], LOGGER, 2)), lambda g: X.when(g.isNotNull() & (X.length(g[0]) <= 2) & (strip(g[3]) != ""), lead(g)).otherwise(keyed))
 
     def excepted(r: Sql) -> Sql:
         again = lambda n: state(n["body"], n["level"], n["thread"], n["logger"], exception_header(strip(n["body"])))
@@ -275,10 +277,11 @@ def _stage(df: DataFrame, **columns: Sql) -> DataFrame:
     return df.select("*", X.inline(X.array(X.struct(*(c.alias(name) for name, c in columns.items())))).column)
 
 
-def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None, syslog_strict: bool = False, requests: bool = True) -> DataFrame:
+def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int = 2024, layout: str | None = None, syslog_strict: bool = False, requests: bool = True, signatures: bool = True) -> DataFrame:
     """lines(file_id, line_no, raw) -> one typed row for each line.
 
-    Without ``requests``, free lines aren't searched for requests, and their ``http`` is null.
+    Without ``requests``, free lines aren't searched for requests, and their ``http`` is null. Without ``signatures``, the last
+    two columns aren't there (``signed`` adds them).
 
     The layout comes from ``formats(file_id, format)`` (one row for each file) or is ``layout`` for all.
     Columns: file_id, line_no, raw, format, is_empty, continuation, level, message, ts_ms, ts_raw, logger, thread, http, exc,
@@ -300,6 +303,12 @@ def parse_lines(lines: DataFrame, formats: DataFrame | None = None, year: int =
     text = text_entry(line, X.col("ts"), X.col("format") if formats is not None else layout or "text", requests)
     df = _stage(df, e=X.coalesce(X.col("special"), entry.when(plain, text)))
     df = df.select("file_id", "line_no", "raw", "format", "is_empty", "continuation", "e.*", "frame")
+    return signed(df) if signatures else df
+
+
+def signed(df: DataFrame) -> DataFrame:
+    """Adds the normalised message and the fingerprint. A stitched orphan's severity is that of its line, as before stitching."""
     df = df.withColumn("normalized", normalize_message(X.col("message")).column)
-    whole = signature(X.col("level"), X.col("normalized"), X.col("exc.type"), X.col("logger"))
+    level = X.col("level") if "role" not in df.columns else X.when((X.col("role") == "orphan") & X.col("continuation"), "unknown").otherwise(X.col("level"))
+    whole = signature(level, X.col("normalized"), X.col("exc.type"), X.col("logger"))
     return df.withColumn("signature", X.when(X.col("is_empty"), "empty").otherwise(whole).column)
