@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVEL = "case event_type when 'error' then 'ERROR' when 'signup' then 'WARN' else 'INFO' end"
@@ -30,6 +30,17 @@ def _lines(df: DataFrame, raw: str) -> DataFrame:
     return df.select(F.lit("events.log").alias("file_id"), F.col("event_id").alias("line_no"), F.expr(raw).alias("raw"))
 
 
+def write_logs(lines: DataFrame, folder: str, names: list[str]) -> None:
+    """Writes lines(log, line_no, raw) as one file a log, in order, in a folder ``log=name`` of its own; one task a log, all at once."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("log")) - 1
+    dealt = lines.repartitionById(len(names), place.cast("int")).sortWithinPartitions("log", "line_no")
+    dealt.select("log", "raw").write.partitionBy("log").text(folder)
+
+
+def log_name(file_id: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(file_id, "/"), -2), "^log=", "")
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(events(spark, sf_dir), TEXT)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str, requests: bool = True)
     cores = spark.sparkContext.defaultParallelism
     traces = {"trace": D.trace_lines, "lone": D.lone_lines}
     if kind in traces:
-        return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text", requests=requests))
+        return stitch(parse_lines(traces[kind](spark, sf_dir).repartition(cores, "line_no"), layout="text", requests=requests, signatures=False))
     makers = {
         "text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trouble": D.trouble_lines, "clocked": D.clocked_lines, "timed": D.timed_lines,
         "checked": D.checked_lines, "framed": D.framed_lines, "headed": D.headed_lines, "caused": D.cause_lines, "tokens": D.token_lines, "shaped": D.shaped_lines,
@@ -33,7 +34,7 @@ def _parsed(spark: SparkSession, sf_dir: str, kind: str, requests: bool = True)
     lines = makers[kind](spark, sf_dir).repartition(cores, "line_no")
     layout = kind if kind in ("json", "apache", "syslog") else "text"
     # None of these lines continues another, so each is an entry.
-    return parse_lines(lines, layout=layout, syslog_strict=True, requests=requests).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
+    return parse_lines(lines, layout=layout, syslog_strict=True, requests=requests, signatures=False).withColumn("role", F.lit("entry")).withColumn("entry_id", F.col("line_no"))
 
 
 def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +287,7 @@ _GROUPS = (
 
 
 def _troubles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin(A.issues(pin(_parsed(spark, sf_dir, "trouble")), most=1000))
+    return pin(A.issues(pin(_parsed(spark, sf_dir, "trouble", requests=False)), most=1000))
 
 
 @query(
@@ -461,12 +462,12 @@ def triage_files(spark, sf_dir):
 
     folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
     makers = {"text": D.text_lines, "json": D.json_lines, "apache": D.access_lines, "syslog": D.syslog_lines, "trace": D.trace_lines}
-    for name, make in makers.items():  # each a folder of one file: these logs have an order
-        make(spark, sf_dir).repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/{name}")
-    t = report.triage(spark, [f"{folder}/{name}" for name in makers], syslog_strict=True)
+    logs = [make(spark, sf_dir).select(F.lit(name).alias("log"), "line_no", "raw") for name, make in makers.items()]
+    D.write_logs(reduce(DataFrame.union, logs), folder, list(makers))
+    t = report.triage(spark, [f"{folder}/log={name}" for name in makers], syslog_strict=True)
     levels = t["levels"].groupBy("file_id").agg(F.sum("count").alias("parsed"), F.sum(F.when(F.col("level").isin("error", "fatal"), F.col("count")).otherwise(0)).alias("errors"))
     out = t["formats"].join(levels, "file_id").join(t["counts"].select("file_id", "line_count"), "file_id").join(t["http"].select("file_id", "requests"), "file_id", "left")
-    return out.select(F.element_at(F.split("file_id", "/"), -2).alias("layout"), "format", "line_count", "parsed", "errors", F.coalesce("requests", F.lit(0)).alias("requests"))
+    return out.select(D.log_name(F.col("file_id")).alias("layout"), "format", "line_count", "parsed", "errors", F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
 from timberline.plans import report_queries, view_queries  # noqa: E402, F401  (registers their queries)

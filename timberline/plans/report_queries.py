@@ -13,7 +13,7 @@ from timberline.operators import aggregate as A
 from timberline.operators import history
 from timberline.plans import checks, documents, findings, report, rules, views
 from timberline.plans import derived as D
-from timberline.plans.queries import _RANKED, _parsed, _text
+from timberline.plans.queries import _RANKED, _parsed, _plain, _text
 from timberline.plans.registry import query
 from timberline.sources.shared import pin, shared_dir
 
@@ -62,8 +62,9 @@ def _checks_sql() -> str:
 
 
 def _tables(spark: SparkSession, lines: DataFrame) -> dict[str, DataFrame]:
+    lines = pin(lines)  # first, since the files' names alone would parse all lines again
     formats = lines.select("file_id").distinct().select("file_id", F.lit("text").alias("format"), F.lit(1.0).alias("confidence"))
-    return report.report_of(pin(lines), pin(formats), 1000)
+    return report.report_of(lines, pin(formats), 1000)
 
 
 @query(_checks_sql())
@@ -139,7 +140,7 @@ def _fnv_sql(x: str) -> str:
 )
 def fingerprints(spark, sf_dir):
     """FNV-1a of severity, logger and normalised message, in base 36."""
-    return A.issues(pin(_text(spark, sf_dir)), most=1000).select("signature", "count")
+    return A.issues(pin(_plain(spark, sf_dir)), most=1000).select("signature", "count")
 
 
 @query(
@@ -148,7 +149,7 @@ def fingerprints(spark, sf_dir):
 )
 def inherited_sources(spark, sf_dir):
     """Frames that a header on its own line takes over from the entry before count again."""
-    return A.source_counts(_parsed(spark, sf_dir, "lone")).select("location", "count")
+    return A.source_counts(_parsed(spark, sf_dir, "lone", requests=False)).select("location", "count")
 
 
 @query(
@@ -157,7 +158,7 @@ def inherited_sources(spark, sf_dir):
       min(event_id * 4 + 3) as first_line from x group by user_id % 4"""
 )
 def inherited_frames(spark, sf_dir):
-    g = A.issues(_parsed(spark, sf_dir, "lone"), most=1000).where("exception_type = 'KeyError'")
+    g = A.issues(_parsed(spark, sf_dir, "lone", requests=False), most=1000).where("exception_type = 'KeyError'")
     place = F.concat_ws(":", F.get("frames", F.lit(0))["file"], F.get("frames", F.lit(0))["line"])
     return g.select("title", "exception_type", "count", place.alias("top_frame"), "first_line")
 
@@ -170,7 +171,7 @@ def inherited_frames(spark, sf_dir):
 )
 def trace_issues(spark, sf_dir):
     """Titles that a cause rewrites, frames that gather over occurrences, shares, times and samples of issue groups."""
-    g = A.issues(_parsed(spark, sf_dir, "trace"), most=1000)
+    g = A.issues(_parsed(spark, sf_dir, "trace", requests=False), most=1000)
     sizes = (F.size(c).cast("long").alias(c) for c in ("frames", "samples"))
     return g.select("level", "title", "exception_type", "count", F.round("share", 6).alias("share"), "first_line", "last_line", "first_seen", "last_seen", *sizes)
 
@@ -224,10 +225,9 @@ def shown_values(spark, sf_dir):
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of four files, told apart by user."""
     folder = f"{shared_dir(spark)}/timberline/{uuid.uuid4().hex}"
-    for k in range(4):  # each a folder of one file: these logs have an order
-        lines = D.text_lines(spark, sf_dir).join(D.events(spark, sf_dir).where(f"user_id % 4 = {k}").select(F.col("event_id").alias("line_no")), "line_no")
-        lines.repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("raw").write.text(f"{folder}/f{k}.log")
-    return pin(report.reports(spark, [f"{folder}/f{k}.log" for k in range(4)], at_ms=0))
+    lines = D.events(spark, sf_dir).select(F.concat(F.lit("f"), F.col("user_id") % 4, F.lit(".log")).alias("log"), F.col("event_id").alias("line_no"), F.expr(D.TEXT).alias("raw"))
+    D.write_logs(lines, folder, [f"f{k}.log" for k in range(4)])
+    return pin(report.reports(spark, [f"{folder}/log=f{k}.log" for k in range(4)], at_ms=0))
 
 
 @query(
@@ -243,7 +243,7 @@ def report_documents(spark, sf_dir):
     said = documents.texts(docs, ("summary",)).select("file_id", F.regexp_extract("text", r"\n([^\n]*?\)), [0-9,]+ warnings", 1).alias("said"))
     r = F.col("report")
     return docs.join(said, "file_id").select(
-        F.element_at(F.split("file_id", "/"), -2).alias("name"), r["lineCount"].alias("line_count"), r["levels"]["error"].alias("errors"), r["levels"]["warn"].alias("warnings"), r["http"]["total"].alias("requests"),
+        D.log_name(F.col("file_id")).alias("name"), r["lineCount"].alias("line_count"), r["levels"]["error"].alias("errors"), r["levels"]["warn"].alias("warnings"), r["http"]["total"].alias("requests"),
         F.aggregate(r["http"]["statuses"], F.lit(0).cast("long"), lambda a, s: a + s["errors"]).alias("failed"), r["timeRange"]["start"].alias("start_ms"), r["timeRange"]["end"].alias("end_ms"),
         r["http"]["slowest"]["durationMs"].alias("slowest"), r["latency"]["p95"].alias("p95"), F.size(r["checks"]).cast("long").alias("checks"), (F.size(r["samples"]) == r["sampledLines"]).alias("fine"), "said",
     )

@@ -179,7 +179,7 @@ def report_texts(spark, sf_dir):
         "json": number(r'"error" : (\d+)'), "csv": summed(lambda x: x.startswith("Error,")), "markdown": number(r"\| Errors and fatal \| ([\d,]+) \("), "html": number(r"<td>Errors and fatal</td><td>([\d,]+) \("),
         "summary": number(r" lines, ([\d,]+) errors"),
     }
-    out = documents.texts(docs).withColumn("file", F.element_at(F.split("file_id", "/"), -2))
+    out = documents.texts(docs).withColumn("file", D.log_name(F.col("file_id")))
     return out.select(F.regexp_replace("file", r"\.log$", "").alias("file"), "kind", F.regexp_extract("name", r"([a-z]+\.[a-z]+)$", 1).alias("ending"), pick(lines).alias("lines"), pick(errors).alias("errors"))
 
 
