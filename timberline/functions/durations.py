@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from timberline.functions.sqltext import Sql, X
 
-from timberline.functions.text import clean, cut, groups, normalize_path, part, strip
+from timberline.functions.text import any_of, clean, cut, flat, groups, normalize_path, part, strip
 
 BUDGET_MS, SEVERE_MS = 1_000, 5_000
 # Milliseconds of each unit.
@@ -27,7 +27,8 @@ SPENT = rf"(?i)\b(spent|spent_time|took_time|time_taken|timings?|process_time|pr
 TIMED = r"(?i)\d(?:\.\d+)?\s*(?:ns|us|µs|μs|ms|msec|millisecond|milliseconds|sec|seconds?|s|min|minutes?|m)\b"
 QUOTED_NAME = r"[\"'`]([A-Za-z][\w .:/-]{2,48})[\"'`]"
 NAMED_KEY = r"(?i)\b(?:operation|op|name|job|method|handler|action|query|sql|step|route|endpoint|command)\s*[=:]\s*[\"'`]?([\w.:/-]{2,48})"
-METHOD_PATH = r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)"
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+METHOD_PATH = rf"(?i)\b({'|'.join(METHODS)})\s+(\S+)"
 REQUEST = r"(?i)^\s*(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS|TRACE)\s+(\S+)\s*(?:->|=>)\s*([1-5]\d{2})\b\s*(.*)$"
 REQUEST_TIME = r"(?i)(\d+(?:[.,]\d+)?)\s*(ns|us|µs|μs|ms|msec|milliseconds|s|sec|secs|seconds?)\b"
 LOGGER_LEAD = r"^[\w.$]{4,}\s+[-–—|]\s+"
@@ -45,12 +46,12 @@ def _ms(value: Sql, unit: Sql) -> Sql:
 
 def compact_name(text: Sql) -> Sql:
     masked = X.regexp_replace(text, r"\b\d+(?:[.,]\d+)?\b", "n")
-    return X.substring(strip(X.regexp_replace(masked, r"\s+", " ")), 1, 48)
+    return X.substring(flat(masked), 1, 48)
 
 
 def operation_name(message: Sql, before: Sql | None = None) -> Sql:
     """Name of the timed operation; ``before`` is what stands before the cue word, if there is one."""
-    no_brackets = lambda c: X.regexp_replace(c, r"[\[(][^\])]*[\])]", " ")
+    no_brackets = lambda c: X.bind(c, lambda t: X.when(any_of(t, "[("), X.regexp_replace(t, r"[\[(][^\])]*[\])]", " ")).otherwise(t))
     words = X.filter(X.split(no_brackets(message), r"\s+"), lambda w: (X.length(w) > 2) & ~w.rlike("(?i)^(in|after|within|to|for|the|was|is)$"))
     last = X.coalesce(X.nullif(compact_name(X.array_join(X.slice(words, 1, 3), " ")), ""), "operation")
     named = X.bind(cut(message, NAMED_KEY, 1), lambda g: X.when(g.isNotNull(), strip(g[2])))
@@ -59,8 +60,9 @@ def operation_name(message: Sql, before: Sql | None = None) -> Sql:
         bare = X.nullif(X.regexp_replace(compact_name(prefix), r"^[\s\-:>]+|[\s\-:,]+$", ""), "")
         return X.when(prefix.rlike(LOGGER_LEAD + ".+$"), compact_name(X.regexp_replace(prefix, LOGGER_LEAD, ""))).otherwise(X.coalesce(bare, named, last))
 
-    quoted = X.bind(cut(message, QUOTED_NAME, 1), lambda g: X.when(g.isNotNull(), strip(g[2])))
-    asked = X.bind(cut(message, METHOD_PATH, 2), lambda g: X.when(g.isNotNull(), compact_name(X.concat(g[2], " ", X.substring_index(g[3], "?", 1)))))
+    quoted = X.bind(X.when(any_of(message, "\"'`"), cut(message, QUOTED_NAME, 1)), lambda g: X.when(g.isNotNull(), strip(g[2])))
+    worded = X.bind(X.lower(message), lambda low: any_of(low, tuple(m.lower() for m in METHODS)))
+    asked = X.bind(X.when(worded, cut(message, METHOD_PATH, 2)), lambda g: X.when(g.isNotNull(), compact_name(X.concat(g[2], " ", X.substring_index(g[3], "?", 1)))))
     return X.coalesce(quoted, asked, X.bind(strip(no_brackets(message if before is None else before)), prefixed))
 
 

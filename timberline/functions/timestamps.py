@@ -86,7 +86,7 @@ _WAYS = (
 def extract_timestamp(line: Sql, year: int = 2024) -> Sql:
     """struct(ts_ms, raw, start, end) of the first layout, in order of specificity, whose value is a time; else null."""
 
-    def way(pattern: str, count: int, value, needs: tuple[str, ...]) -> Sql:
+    def way(text: Sql, pattern: str, count: int, value, needs: tuple[str, ...]) -> Sql:
         def made(g: Sql) -> Sql:
             def hit(ms: Sql) -> Sql:
                 at = X.length(g[0])
@@ -99,8 +99,8 @@ def extract_timestamp(line: Sql, year: int = 2024) -> Sql:
 
             return X.when(g.isNotNull(), X.bind(value(g, year), hit))
 
-        return X.when(holds(line, *needs), X.bind(cut(line, pattern, count), made))
+        return X.when(holds(text, *needs), X.bind(cut(text, pattern, count), made))
 
     # Every layout has two digits next to each other.
-    return X.when(line.rlike(r"\d\d"), X.coalesce(*(way(*w) for w in _WAYS)))
+    return X.bind(line, lambda text: X.when(text.rlike(r"\d\d"), X.coalesce(*(way(text, *w) for w in _WAYS))))
 

@@ -152,8 +152,10 @@ def json_entry(line: Sql, year: int) -> Sql:
             return X.bind(pick(field), lambda x: X.when(fine(x), value(x)))
 
         def time(x: Sql) -> Sql:
-            ms = X.when(_is_number(x), X.when(_double(x) > 1e12, _double(x)).otherwise(_double(x) * 1000).cast("long")).when(_is_text(x), extract_timestamp(clean(_text(x)), year)["ts_ms"])
-            return X.bind(ms, lambda t: X.struct(t.alias("ms"), X.when(_is_number(x), utc_text(t)).when(_is_text(x), _text(x)).alias("raw")))
+            number = lambda n: X.when(n > 1e12, n).otherwise(n * 1000).cast("long")
+            numbered = X.bind(X.bind(_double(x), number), lambda t: X.struct(t.alias("ms"), utc_text(t).alias("raw")))
+            worded = X.bind(_text(x), lambda s: X.struct(extract_timestamp(clean(s), year)["ts_ms"].alias("ms"), s.alias("raw")))
+            return X.when(_is_text(x), worded).when(_is_number(x), numbered)
 
         def error(x: Sql) -> Sql:
             inner = lambda key: X.try_variant_get(x, f"$.{key}", "variant")
