@@ -80,10 +80,13 @@ def fnv1a(text: Sql) -> Sql:
         high = X.shiftright(code - 0x10000, 10) + 0xD800
         return X.when(code < 0x10000, step(h, code)).otherwise(step(step(h, high), code.bits(0x3FF) + 0xDC00))
 
-    codes = X.transform(X.split(text, ""), lambda c: X.ascii(c).cast("long"))
-    plain = X.aggregate(X.split(text, ""), X.lit(2166136261), lambda h, c: step(h, X.ascii(c)))
-    value = X.when(X.octet_length(text) == X.char_length(text), plain).otherwise(X.aggregate(codes, X.lit(2166136261), two))
-    return X.when(text == "", "ztntfp").otherwise(X.lower(X.conv(value.cast("string"), 10, 36)))
+    def hashed(text: Sql) -> Sql:
+        codes = X.transform(X.split(text, ""), lambda c: X.ascii(c).cast("long"))
+        plain = X.aggregate(X.split(text, ""), X.lit(2166136261), lambda h, c: step(h, X.ascii(c)))
+        value = X.when(X.octet_length(text) == X.char_length(text), plain).otherwise(X.aggregate(codes, X.lit(2166136261), two))
+        return X.when(text == "", "ztntfp").otherwise(X.lower(X.conv(value.cast("string"), 10, 36)))
+
+    return X.bind(text, hashed)
 
 
 def signature(level: Sql, normalized: Sql, exception_type: Sql, logger: Sql) -> Sql:
