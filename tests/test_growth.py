@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timberline.functions.durations import operation_name
+from timberline.functions.normalize import fnv1a
 from timberline.functions.sqltext import X
-from timberline.functions.text import cut, groups
+from timberline.functions.stack import exception_header, is_continuation
+from timberline.functions.text import SPACE, cut, groups, strip
+from timberline.functions.timestamps import extract_timestamp
 from timberline.operators import aggregate as A
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
@@ -47,3 +51,29 @@ def test_each_log_is_one_file_in_order(spark, tmp_path):
 def test_the_text_behind_a_match_is_left_alone(spark):
     row = spark.createDataFrame([("x 1 \n 2 1\n",)], "t string").select(cut(X.col("t"), r"(?i)\b(\d)\b", 1).column.alias("c"), groups(X.col("t"), r"^(\w)", 1).column.alias("g"))
     assert row.first() == (["x ", "1", "1", " \n 2 1\n"], ["x", " 1 \n 2 1\n"])
+
+
+def test_bound_texts_are_named_once(spark):
+    """What a parser is given as an expression is computed once a line, not once a pattern."""
+    given = X.concat(X.col("t"), X.lit("given"))
+    for made in (exception_header(given), is_continuation(given, X.lit(None)), extract_timestamp(given), fnv1a(given), strip(given)):
+        assert made.text.count("given") == 1
+    assert "transform" not in X.bind(X.col("t"), lambda t: t).text
+
+
+def test_white_space_goes_whatever_stands_at_the_other_end(spark):
+    texts = ["a", " a", "a ", " a", "a　", "é", " é ", "", "  ", "\x7f", "a\x1f", "﻿a b\t", None, "日本 ", "😀"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(X.col("t")).column.alias("s")).collect()
+    assert {r.t: r.s for r in rows} == {t: None if t is None else t.strip(SPACE) for t in texts}
+
+
+def test_bound_values_may_be_null_and_nest(spark):
+    twice = X.bind(X.col("t"), lambda t: X.bind(X.concat(t, t), lambda u: X.struct(X.coalesce(t, "none").alias("one"), u.alias("two"))))
+    rows = spark.createDataFrame([("a",), (None,), ("b",)], "t string").select(twice.column.alias("x")).collect()
+    assert [tuple(r.x) for r in rows] == [("a", "aa"), ("none", None), ("b", "bb")]
+
+
+def test_operation_names_are_looked_for_where_they_may_stand(spark):
+    texts = ["get /a?x=1 done", "forget it [now] (12)", "say 'load all' 3", "widget  x\t7", "pOsT   /b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(operation_name(X.col("t")).column.alias("n")).collect()
+    assert [r.n for r in rows] == ["get /a", "forget it", "load all", "widget x n", "pOsT /b"]

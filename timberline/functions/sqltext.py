@@ -162,9 +162,10 @@ class _Functions:
         """``make(value)`` with the value computed once, however often ``make`` names it.
 
         A chain of columns would do so too, but a filter on its end is pushed down as one expression in which every name
-        is replaced by what it stands for.
+        is replaced by what it stands for. An aggregate over nothing hands the value straight on, where a transform of one
+        element makes two arrays and a copy each time.
         """
-        return self.get(self.transform(self.array(value), make), 0)
+        return self.aggregate(self.array(), value, lambda bound, none: bound, make)
 
 
 X = _Functions()

@@ -39,14 +39,14 @@ FRAME_TYPE = "struct<function:string,file:string,line:int,raw:string>"
 def exception_header(line: Sql) -> Sql:
     """struct(type, message, fatal) of an exception's first line (without white space at its ends), or null."""
 
-    def way(pattern: str, kind: str | None, fatal: bool) -> Sql:
+    def way(text: Sql, pattern: str, kind: str | None, fatal: bool) -> Sql:
         def made(g: Sql) -> Sql:
-            name, text = (part(g, 0), g[1]) if kind is None else (X.lit(kind), g[0])
-            return X.when(g.isNotNull(), X.struct(name.alias("type"), strip(text).alias("message"), X.lit(fatal).alias("fatal")))
+            name, rest = (part(g, 0), g[1]) if kind is None else (X.lit(kind), g[0])
+            return X.when(g.isNotNull(), X.struct(name.alias("type"), strip(rest).alias("message"), X.lit(fatal).alias("fatal")))
 
-        return X.bind(groups(line, pattern, 2 if kind is None else 1), made)
+        return X.bind(groups(text, pattern, 2 if kind is None else 1), made)
 
-    return X.when(any_of(line, ENDINGS), X.coalesce(*(way(*h) for h in HEADERS)))
+    return X.bind(line, lambda text: X.when(any_of(text, ENDINGS), X.coalesce(*(way(text, *h) for h in HEADERS))))
 
 
 def stack_frame(line: Sql) -> Sql:
@@ -75,12 +75,18 @@ def _frame(function: Sql, file: Sql, number: Sql, raw: Sql) -> Sql:
     return X.struct(function.alias("function"), file.alias("file"), at.alias("line"), raw.alias("raw")).cast(FRAME_TYPE)
 
 
+#: No mark of a continuation is longer.
+MARK = max(map(len, CONTINUATIONS))
+
+
 def is_continuation(raw: Sql, frame: Sql) -> Sql:
-    low = X.lower(without_lead(raw))
-    marks = X.lit(False)
-    for m in CONTINUATIONS:
-        marks = marks | low.startswith(m)
-    return (low != "") & (frame.isNotNull() | marks)
+    def marked(low: Sql) -> Sql:
+        marks = frame.isNotNull()
+        for m in CONTINUATIONS:
+            marks = marks | low.startswith(m)
+        return (low != "") & marks
+
+    return X.bind(X.lower(X.substring(without_lead(raw), 1, MARK)), marked)
 
 
 def frame_owner(frame: Sql) -> Sql:

@@ -56,8 +56,9 @@ def part(found: Sql, index: int) -> Sql:
 
 
 def strip(text: Sql) -> Sql:
-    """Without white space at both ends."""
-    return X.btrim(text, SPACE)
+    """Without white space at both ends. A search of the whole set is dear: texts that begin and end with visible ASCII are spared it."""
+    visible = lambda c: (c > 32) & (c < 127)
+    return X.bind(text, lambda t: X.when(visible(X.ascii(t)) & visible(X.ascii(X.substring(t, -1, 1))), t).otherwise(X.btrim(t, SPACE)))
 
 
 def without_lead(text: Sql, extra: str = "") -> Sql:
