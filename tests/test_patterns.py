@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import ascii_words, meets, needed
+from timberline.functions.patterns import any_needed, ascii_words, meets, needed
 from timberline.functions.sqltext import X
-from timberline.plans import directory, rules
+from timberline.plans import directory, queries, rules
 
 
 def test_words_end_at_other_letters(spark):
@@ -29,3 +29,24 @@ def test_literals_never_hide_a_match(spark):
     got = df.select("t", *(meets(X.col("t"), X.col("low"), p, True).column.alias(f"p{k}") for k, p in enumerate(patterns))).collect()
     for row in got:
         assert [row[f"p{k}"] for k in range(len(patterns))] == [re.search(p, row["t"], re.I | re.A) is not None for p in patterns], row["t"]
+
+
+def test_one_search_finds_what_any_pattern_needs():
+    assert any_needed(["a|b", r"\d+"]) is None and any_needed(["abc|ab", "xy[0-9]+"]) == "(?:ab|xy)"
+    for table in (rules.DETECTORS, rules.SCANS):
+        some = re.compile(any_needed([r[-1] for r in table]))
+        assert all(some.search(f"x {one.lower()} y") for r in table for one in needed(r[-1]))
+        assert not some.search("the cart of a user was saved at noon")
+
+
+def test_wording_of_talk_equals_its_sql(spark, tmp_path):
+    """No match begins in a text and ends in its copy; texts that no rule needs count for nothing, and a check without hits has a row."""
+    import duckdb
+
+    texts = ["young gen, and then a pause", "upstream is fine; no instead of use this", "Retrying: 429", "retrying: 429", "heap space", "", None, "heap space", "nothing to see"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "conv_id long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("wording_checks", "insight_detectors"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.execute(queries.ORACLES[name]).fetchall()), name

@@ -248,14 +248,19 @@ def inferred_levels(spark, sf_dir):
     return turns.select("conv_id", "turn", infer_level(X.coalesce(X.col("text"), "")).alias("level").column)
 
 
-def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issue-shaped groups of conversation turns with equal text, for the wording rules."""
+def _talk(spark: SparkSession, sf_dir: str, titled: bool = False) -> DataFrame:
+    """Issue-shaped groups of conversation turns with equal text, for the wording rules.
+
+    Rules look at a group's pattern, title and sample in a row, where a match may begin in one and end in the next; only
+    ``titled`` groups have the text as their title and sample, too.
+    """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null")
     # Few bytes but many patterns for each text: the groups are dealt over all cores.
     g = turns.groupBy("text").agg(F.count("*").alias("count")).repartition(4 * spark.sparkContext.defaultParallelism, "text")
+    samples = F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.col("text").alias("raw")))
     return g.select(
-        F.lit("talk").alias("file_id"), F.col("text").alias("pattern"), F.col("text").alias("title"), F.lit(None).cast("string").alias("exception_type"), "count",
-        F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.col("text").alias("raw"))).alias("samples"), F.xxhash64("text").alias("place"),
+        F.lit("talk").alias("file_id"), F.col("text").alias("pattern"), (F.col("text") if titled else F.lit(None).cast("string")).alias("title"), F.lit(None).cast("string").alias("exception_type"), "count",
+        (samples if titled else F.slice(samples, 1, 0)).alias("samples"), F.xxhash64("text").alias("place"),
     )
 
 
@@ -326,7 +331,7 @@ def known_problems(spark, sf_dir):
 )
 def known_problems_in_talk(spark, sf_dir):
     none = spark.createDataFrame([], "file_id string, type string, count long, first_line long")
-    talk = _talk(spark, sf_dir).withColumn("signature", F.col("place").cast("string"))
+    talk = _talk(spark, sf_dir, titled=True).withColumn("signature", F.col("place").cast("string"))
     return directory.known_problems(talk, none).select("id", "occurrences")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.patterns import meets
+from timberline.functions.patterns import any_needed, meets
 from timberline.functions.sqltext import X
 
 # Fixed values: (id, severity, pattern) of the detectors.
@@ -80,17 +80,20 @@ def _joined(*parts: Column) -> Column:
 
 
 def _matches(issues: DataFrame, text: Column, rules: tuple, make) -> DataFrame:
-    """One row for each (issue, rule) that match: the rules' literal patterns tested in one projection, then exploded."""
-    hits = X.array_compact(X.array(*(X.when(meets(X.col("r_text"), X.col("r_low"), r[-1], any_case=True), make(r)) for r in rules))).column
+    """One row for each (issue, rule) that match, and one without a rule for an issue that none matches: the rules' literal
+    patterns tested in one projection of those issues that hold some rule's literal, then exploded."""
+    hits = X.array_compact(X.array(*(X.when(meets(X.col("r_text"), X.col("r_low"), r[-1], any_case=True), make(r)) for r in rules)))
+    some = any_needed([r[-1] for r in rules])
+    hits = hits if some is None else X.when(X.col("r_low").rlike(some), hits)
     shown = issues.withColumn("r_text", text).withColumn("r_low", F.lower("r_text"))
-    return shown.select("*", F.explode(hits).alias("rule")).drop("r_text", "r_low")
+    return shown.select("*", F.explode_outer(hits.column).alias("rule")).drop("r_text", "r_low")
 
 
 def insights(issues: DataFrame) -> DataFrame:
     """file_id, id, severity, occurrences, example: detectors that some issue sets off, the most severe first."""
     text = _joined(F.col("pattern"), F.col("title"), F.col("exception_type"))
     order = {r[0]: k for k, r in enumerate(DETECTORS)}
-    hit = _matches(issues, text, DETECTORS, lambda r: X.struct(X.lit(r[0]).alias("id"), X.lit(r[1]).alias("severity"), X.lit(order[r[0]]).alias("order")))
+    hit = _matches(issues, text, DETECTORS, lambda r: X.struct(X.lit(r[0]).alias("id"), X.lit(r[1]).alias("severity"), X.lit(order[r[0]]).alias("order"))).where("rule is not null")
     out = hit.groupBy("file_id", "rule").agg(F.sum("count").alias("occurrences"), F.min_by("title", "place").alias("example"))
     weight = F.when(F.col("rule.severity") == "critical", 3).when(F.col("rule.severity") == "warning", 2).otherwise(1)
     from timberline.operators.aggregate import top
@@ -105,7 +108,10 @@ def scans(issues: DataFrame) -> DataFrame:
     found = hit.groupBy("file_id", F.col("rule").alias("id")).agg(
         F.sum("count").alias("lines"), F.count("*").alias("groups"), F.min_by(F.get("samples", F.lit(0))["raw"], "place").alias("sample")
     )
+    # A file's matched checks are few; also a file that matches none is here.
+    shown = F.struct("id", F.struct("lines", "groups", "sample").alias("v"))
+    files = found.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("id").isNotNull(), shown))).alias("met"))
     every = F.explode(F.array(*(F.struct(F.lit(a).alias("id"), F.lit(b).alias("group"), F.lit(c).alias("bad")) for a, b, c, _ in SCANS)))
-    all_of = issues.select("file_id").distinct().select("file_id", every.alias("r")).select("file_id", "r.*")
-    out = all_of.join(found, ["file_id", "id"], "left").fillna(0, ["lines", "groups"])
+    out = files.select("file_id", "met", every.alias("r")).select("file_id", "r.*", F.try_element_at("met", F.col("r.id")).alias("v"))
+    out = out.select("file_id", "id", "group", "bad", "v.*").fillna(0, ["lines", "groups"])
     return out.select("file_id", "id", "group", F.when(F.col("lines") > 0, F.col("bad")).otherwise("pass").alias("status"), "lines", "groups", "sample")
