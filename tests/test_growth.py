@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.functions.durations import operation_name
-from timberline.functions.normalize import fnv1a
+from timberline.functions.normalize import fnv1a, signature_of
 from timberline.functions.sqltext import X
 from timberline.functions.stack import exception_header, is_continuation
 from timberline.functions.text import SPACE, cut, groups, strip
 from timberline.functions.timestamps import extract_timestamp
 from timberline.operators import aggregate as A
+from timberline.operators import stitch as stitching
 from timberline.operators.parse import parse_lines
 from timberline.operators.stitch import stitch
 from timberline.plans import derived as D
 from timberline.plans.queries import _parsed
 from timberline.plans.report import report_of
+from timberline.sources.lines import read_lines
 from timberline.sources.shared import pin
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +79,30 @@ def test_operation_names_are_looked_for_where_they_may_stand(spark):
     texts = ["get /a?x=1 done", "forget it [now] (12)", "say 'load all' 3", "widget  x\t7", "pOsT   /b"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(operation_name(X.col("t")).column.alias("n")).collect()
     assert [r.n for r in rows] == ["get /a", "forget it", "load all", "widget x n", "pOsT /b"]
+
+
+def test_texts_hashed_together_are_hashed_alike(spark):
+    texts = ["", "a", "info|app.Svc|took <n> ms", "äb\U0001f600|ß", "a", None, "x" * 1000, "\u0000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    rows = df.select(fnv1a(X.col("t")).column.alias("one"), signature_of(F.col("t")).alias("many")).collect()
+    assert len({r.one for r in rows}) == 7 and all(r.one == r.many for r in rows)
+    assert df.where("t is null").select(signature_of(F.col("t"))).first()[0] is None
+
+
+def test_lines_that_go_on_nothing_are_stitched_without_a_join(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(stitching, "pin", lambda df: written.append(df) or pin(df))
+    of = lambda lines: stitch(parse_lines(spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "file_id string, line_no long, raw string"), signatures=False))
+    alone = of([LOG[1], "", LOG[3]])
+    assert len(written) == 1 and [tuple(r) for r in alone.select("line_no", "role", "entry_id").orderBy("line_no").collect()] == [(0, "entry", 0), (1, "empty", None), (2, "entry", 2)]
+    traced = of(LOG)
+    assert len(written) == 5 and traced.columns == alone.columns and traced.dtypes == alone.dtypes
+
+
+def test_lines_are_numbered_without_a_shuffle(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\r\ntwo\nthree\r")
+    (tmp_path / "b.log").write_text("four\n")
+    lines = read_lines(spark, str(tmp_path))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted((r.line_no, r.raw) for r in lines.collect()) == [(0, "four"), (0, "one"), (1, "two"), (2, "three\r")]

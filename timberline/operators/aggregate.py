@@ -311,7 +311,8 @@ def timeline(lines: DataFrame) -> DataFrame:
 def issues(lines: DataFrame, most: int = MOST["issues"]) -> DataFrame:
     """Groups of equal problems by signature, the most severe and frequent first. Lines without signatures get them here, entries only."""
     whole = with_frames(lines)
-    e = pin((whole if "signature" in lines.columns else signed(whole)).withColumn("who", F.when(F.col("role") == "entry", logger_of())))
+    e = (whole if "signature" in lines.columns else signed(whole)).withColumn("who", F.when(F.col("role") == "entry", logger_of()))
+    e = pin(e.select("file_id", "line_no", "raw", "role", "entry_id", "level", "message", "ts_ms", "exc", "normalized", "signature", "who", "frames", "inherited"))
     keys = ["file_id", "signature"]
     seen = F.when(F.col("ts_ms").isNotNull() & (F.col("role") == "entry"), F.col("line_no"))
     first = lambda c: F.min_by(c, "line_no")

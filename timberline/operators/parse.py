@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.durations import request_line
 from timberline.functions.levels import detect_level, infer_level, level_of_number, level_of_status
-from timberline.functions.normalize import normalize_message, signature
+from timberline.functions.normalize import normalize_message, signature_of, signed_text
 from timberline.functions.stack import FRAME_TYPE, exception_header, is_continuation, stack_frame
 from timberline.functions.sqltext import Sql, X
 from timberline.functions.text import any_of, clean, cut, groups, holds, normalize_path, part, strip, utc_text, without_lead
@@ -312,5 +312,5 @@ def signed(df: DataFrame) -> DataFrame:
     """Adds the normalised message and the fingerprint. A stitched orphan's severity is that of its line, as before stitching."""
     df = df.withColumn("normalized", normalize_message(X.col("message")).column)
     level = X.col("level") if "role" not in df.columns else X.when((X.col("role") == "orphan") & X.col("continuation"), "unknown").otherwise(X.col("level"))
-    whole = signature(level, X.col("normalized"), X.col("exc.type"), X.col("logger"))
-    return df.withColumn("signature", X.when(X.col("is_empty"), "empty").otherwise(whole).column)
+    whole = signed_text(level, X.col("normalized"), X.col("exc.type"), X.col("logger"))
+    return df.withColumn("signature", F.when(F.col("is_empty"), "empty").otherwise(signature_of(X.when(~X.col("is_empty"), whole).column)))

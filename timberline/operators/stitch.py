@@ -46,6 +46,9 @@ def stitch(parsed: DataFrame) -> DataFrame:
     since the last sure entry. A continuation with no entry before it opens an entry of its own (an orphan).
     """
     parsed = pin(parsed)
+    if flagged(parsed).where("continuation or maybe_body").isEmpty():  # no line can go on another: nothing to carry or to join
+        role, own = F.when(F.col("is_empty"), "empty").otherwise("entry"), F.when(~F.col("is_empty"), F.col("line_no"))
+        return parsed.withColumn("role", role).withColumn("entry_id", own)
     # The windows see flags only; the lines themselves join once, at the end.
     df = pin(flagged(parsed).select("file_id", "line_no", F.floor(F.col("line_no") / CHUNK).alias("chunk"), "is_empty", "continuation", "is_frame", "maybe_body", "sure"))
     df = _carried(df, last_sure="if(sure, line_no, null)", last_frame="if(is_frame, line_no, null)")

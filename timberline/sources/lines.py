@@ -33,6 +33,7 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     blocks = blocks.select(
         "file_id", "block", "first", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"), (F.sum("bytes").over(whole) > F.max("size").over(whole)).alias("open"), F.sum("count").over(whole).alias("lines"),
     )
+    blocks = pin(blocks)  # small where files are few: known to be so, it is broadcast, and the lines aren't shuffled
     number = F.col("before") + F.col("at") - F.col("first")
     unended = F.col("open") & (number == F.col("lines") - 1)
     return text.join(blocks, ["file_id", "block"]).select("file_id", number.alias("line_no"), F.when(unended, F.col("raw")).otherwise(F.regexp_replace("raw", r"\r\z", "")).alias("raw"))
